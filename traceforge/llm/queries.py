@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceforge.llm import bpe, decontam, html_extract, sharding, simhash
+from traceforge.llm import bpe, chat, decontam, html_extract, sharding, simhash, warc
+from traceforge.llm.shared import new_path, stored
 
 SHARDS = 16
 
@@ -34,6 +35,21 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added)
+    tree = stored(chat.with_parents(rows, "conv_id", "turn", "role", "text"), "tree")
+    return chat.read_back(chat.formatted(tree)).withColumnRenamed("conv", "conv_id")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    records = stored(warc.read_records(spark, path, with_payload=False), "records")
+    return warc.page_rows(warc.transactions(records))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
