@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceforge.llm import bpe, chat, decontam, html_extract, sharding, simhash, warc
+from traceforge.llm.crf_quality import QualityModel
 from traceforge.llm.shared import new_path, stored
+from traceforge.llm.toxicity import ToxicityModel
 
 SHARDS = 16
 
@@ -56,10 +58,20 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return QualityModel.fit(docs, table(spark, sf_dir, "labels")).scored(docs)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ToxicityModel.fit(docs, table(spark, sf_dir, "labels")).scored(docs)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
