@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceforge.llm import bpe, chat, decontam, html_extract, sharding, simhash, warc
+from traceforge.llm import bpe, chat, cover_tree, decontam, html_extract, sharding, simhash, warc
 from traceforge.llm.crf_quality import QualityModel
 from traceforge.llm.shared import new_path, stored
 from traceforge.llm.toxicity import ToxicityModel
@@ -33,6 +33,10 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extracted(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op3_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-from traceforge.llm.shared import components, stored
+from traceforge.llm.shared import components, hooked, stored
 
 #: Fingerprints in one tile.
 TILE = 32_768
@@ -101,24 +101,6 @@ def close_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray,
     return np.concatenate(left), np.concatenate(right)
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest index that each of ``n`` nodes reaches over edges ``a``-``b`` (vectorised hooking)."""
-    root = np.arange(n)
-    while len(a):
-        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
-        on = low != high
-        if not on.any():
-            break
-        a, b, low, high = a[on], b[on], low[on], high[on]
-        np.minimum.at(root, high, low)
-        while True:
-            up = root[root]
-            if (up == root).all():
-                break
-            root = up
-    return root
-
-
 def tile_links(prints: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     """Links ``(a, b)`` that connect distinct fingerprints exactly as all pairs within ``radius`` do."""
     spark = prints.sparkSession
@@ -158,7 +140,7 @@ def tile_links(prints: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
                 y = x if t == t2 else np.asarray(y, np.int64)
                 a, b = close_pairs(x.view(np.uint64), y.view(np.uint64), radius)
                 every = x if t == t2 else np.r_[x, y]
-                root = forest(len(every), a, b if t == t2 else b + len(x))
+                root = hooked(np.arange(len(every)), a, b if t == t2 else b + len(x))
                 on = np.flatnonzero(root != np.arange(len(every)))
                 yield pd.DataFrame({"a": every[on], "b": every[root[on]]})
 
