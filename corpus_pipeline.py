@@ -1,9 +1,66 @@
-"""The corpus pipeline: stages that each call one operator."""
-from traceforge.llm import bpe
+"""The corpus pipeline: five stages, each one operator over all that the stage before it kept.
 
-STAGES = []
+Quality, toxicity, near duplicates and benchmark contamination take documents away; the last stage encodes
+what is left. Every stage's result is written as Parquet to the shared folder and read again by the next.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from traceforge.llm import bpe, decontam, simhash
+from traceforge.llm.crf_quality import QualityModel
+from traceforge.llm.queries import table, tokenizer_path
+from traceforge.llm.shared import stored
+from traceforge.llm.toxicity import ToxicityModel
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the line model, fitted on the labelled rows among them, does not reject."""
+    return QualityModel.fit(docs, table(spark, sf_dir, "labels")).kept(docs)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not toxic to the models fitted on the labelled rows among them."""
+    return ToxicityModel.fit(docs, table(spark, sf_dir, "labels")).kept(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near fingerprints; copies that share an id and all
+    columns leave one row. Only ids travel to the decision; texts move once, to meet it."""
+    groups = simhash.near_duplicates(docs)
+    chosen = groups.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
+    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by the benchmark."""
+    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
+    return found.where(~F.col("contaminated")).select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the documents that are left."""
+    return bpe.encoded(docs, tokenizer_path())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
+    ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontaminated),
+    ("bpe", encoded),
+]
+
+#: SQL cannot express the classifiers; the pipeline is tested against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
