@@ -29,11 +29,15 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near fingerprints; copies that share an id and all
-    columns leave one row. Only ids travel to the decision; texts move once, to meet it."""
+    """The document with the smallest id of each group of near fingerprints; rows that share an id leave one.
+
+    Only ids travel to the decision; texts move once, to meet it. Rows without an id cannot be named by a
+    group and stay.
+    """
     groups = simhash.near_duplicates(docs)
-    chosen = groups.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select("doc_id").distinct()
-    return docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    chosen = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    kept = docs.where("doc_id is not null").join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
