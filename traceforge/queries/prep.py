@@ -80,10 +80,10 @@ def p8(spark, sf):
     return prep.steady_slice(r, middle(r)).select("test_id", "channel", "seq", "time_s", "value")
 
 
-@query("p9_channel_means", f"WITH {GAPPED}, {WINDOWS} SELECT test_id, channel, round(avg(value), 6) AS mean, count(value) AS n FROM readings JOIN windows USING (test_id) WHERE time_s BETWEEN start_s AND end_s GROUP BY ALL HAVING count(value) > 0")
+@query("p9_channel_means", f"WITH {GAPPED}, {WINDOWS} SELECT test_id, channel, round(avg(value), 8) AS mean, count(value) AS n FROM readings JOIN windows USING (test_id) WHERE time_s BETWEEN start_s AND end_s GROUP BY ALL HAVING count(value) > 0")
 def p9(spark, sf):
     r = readings(spark, sf, True)
-    return rounded(prep.channel_means(prep.steady_slice(r, middle(r))))
+    return rounded(prep.channel_means(prep.steady_slice(r, middle(r))), 8)
 
 
 @query("p10_fluid_state", f"""WITH {READINGS}, m AS (SELECT test_id, avg(value) FILTER (channel = 'error') AS t, avg(value) FILTER (channel = 'view') AS p FROM readings GROUP BY test_id)
