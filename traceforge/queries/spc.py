@@ -24,11 +24,11 @@ def c1(spark, sf):
     return rounded(spc.imr_limits(points(spark, sf)), 8)
 
 
-@query("c2_xbar_r_limits", f"""WITH {LONG}, g AS (SELECT campaign_name, parameter, i // 5 AS g, avg(value) AS mean, max(value) - min(value) AS rng FROM o GROUP BY ALL HAVING count(*) = 5),
+@query("c2_xbar_r_limits", f"""WITH {LONG}, g AS (SELECT campaign_name, parameter, i // 5 AS g, avg(sqrt(value)) AS mean, max(sqrt(value)) - min(sqrt(value)) AS rng FROM o GROUP BY ALL HAVING count(*) = 5),
   k AS (SELECT campaign_name, parameter, count(*) AS groups, avg(mean) AS cl, avg(rng) AS r_bar FROM g GROUP BY ALL HAVING count(*) >= 2)
   SELECT campaign_name, parameter, groups, round(cl, 8) AS cl, round(r_bar, 8) AS r_bar, round(cl + 0.577::DOUBLE * r_bar, 8) AS ucl, round(cl - 0.577::DOUBLE * r_bar, 8) AS lcl, round(0.577::DOUBLE * r_bar / 3, 8) AS zone, round(2.114::DOUBLE * r_bar, 8) AS r_ucl, round(0 * r_bar, 8) AS r_lcl FROM k""")
 def c2(spark, sf):
-    return rounded(spc.xbar_r_limits(points(spark, sf)), 8)
+    return rounded(spc.xbar_r_limits(points(spark, sf).withColumn("value", F.sqrt("value"))), 8)
 
 
 def rolled(k, c):
