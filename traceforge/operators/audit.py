@@ -21,7 +21,11 @@ def content_hash(readings: DataFrame) -> DataFrame:
 
     A row is hashed as channel, sample, time and value joined by bars, with a null as an empty place.
     """
-    line = F.concat_ws("|", "channel", F.col("seq").cast("string"), F.coalesce(F.format_string("%.6f", "time_s"), F.lit("")), F.coalesce(F.format_string("%.6f", "value"), F.lit("")))
+
+    def shown(name: str) -> Column:
+        return F.when(F.col(name).isNotNull(), F.format_string("%.6f", name)).otherwise("")
+
+    line = F.concat_ws("|", "channel", F.col("seq").cast("string"), shown("time_s"), shown("value"))
     part = F.conv(F.substring(F.sha2(line, 256), 1, 15), 16, 10).cast("decimal(38,0)")
     g = readings.select("test_id", part.alias("h")).groupBy("test_id").agg(F.sum("h").cast("string").alias("s"), F.count("*").alias("n"))
     return g.select("test_id", "n", F.concat(F.lit("sha256:"), F.sha2(F.concat_ws(":", F.col("n").cast("string"), "s"), 256)).alias("hash"))
