@@ -240,7 +240,7 @@ def test_forward_backward_against_enumeration():
         ones += p * np.array(y)
         for i in range(3):
             seen[y[i], y[i + 1]] += p
-    assert np.allclose(marginal[0], ones / total) and np.allclose(pairs, seen / total) and np.isclose(log_z[0], np.log(total))
+    assert np.allclose(marginal[0], ones / total) and np.allclose(pairs[0], seen / total) and np.isclose(log_z[0], np.log(total))
 
 
 def training(spark, n=400):
