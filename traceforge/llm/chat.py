@@ -59,12 +59,16 @@ def chosen_paths(tree: DataFrame, top: int = 1) -> DataFrame:
     A path's score is the mean score of its messages; ties go to the longer path, then to the smaller leaf.
     """
     level = stored(tree.select("conv", "node", F.col("parent").alias("up"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("n")), "paths")
-    tables = []
-    while level.where("up is not null").limit(1).count():
-        tables.append(level.select("conv", "node", "up"))
-        above = level.select(F.col("conv").alias("c2"), F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("n").alias("m2"))
-        met = level.join(above, F.col("conv").eqNullSafe(F.col("c2")) & (F.col("up") == F.col("n2")), "left")
+    done, tables = level.where("up is null"), []
+    active = level.where("up is not null")
+    while active.limit(1).count():
+        tables.append(active.select("conv", "node", "up"))
+        # a message that has met its root is done; only the others look further up
+        above = done.unionByName(active).select(F.col("conv").alias("c2"), F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("n").alias("m2"))
+        met = active.join(above, F.col("conv").eqNullSafe(F.col("c2")) & (F.col("up") == F.col("n2")), "left")
         level = stored(met.select("conv", "node", F.col("up2").alias("up"), (F.col("sum") + F.coalesce("sum2", F.lit(0.0))).alias("sum"), (F.col("n") + F.coalesce("m2", F.lit(0))).alias("n")), "paths")
+        done, active = done.unionByName(level.where("up is null")), level.where("up is not null")
+    level = done
     parents = tree.where("parent is not null").select(F.col("conv").alias("c2"), F.col("parent").alias("n2")).distinct()
     leaves = level.join(parents, F.col("conv").eqNullSafe(F.col("c2")) & (F.col("node") == F.col("n2")), "left_anti")
     order = Window.partitionBy("conv").orderBy((F.col("sum") / F.col("n")).desc(), F.col("n").desc(), F.col("node"))
