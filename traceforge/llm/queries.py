@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from traceforge.llm import bpe, chat, cover_tree, decontam, html_extract, sharding, simhash, warc
 from traceforge.llm.crf_quality import QualityModel
+from traceforge.llm.oracles import SQL
 from traceforge.llm.shared import new_path, stored
 from traceforge.llm.toxicity import ToxicityModel
 
@@ -81,4 +82,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
