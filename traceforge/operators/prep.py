@@ -28,16 +28,19 @@ def normalise_time(raw: DataFrame, unit: str = "ms") -> DataFrame:
 
 
 def neighbours(df: DataFrame, value: str = "value") -> DataFrame:
-    """Adds the last and next known value of each sample and their positions."""
-    w = by_series()
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    """Adds the last and next known value of each sample and their positions.
+
+    Looking ahead is looking back in reverse order: a frame that only grows costs one step per row.
+    """
+    back = by_series().rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*KEYS).orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
     known_at = F.when(F.col(value).isNotNull(), F.col("seq"))
     return df.withColumns(
         {
             "prev": F.last(value, ignorenulls=True).over(back),
             "prev_seq": F.last(known_at, ignorenulls=True).over(back),
-            "next": F.first(value, ignorenulls=True).over(ahead),
-            "next_seq": F.first(known_at, ignorenulls=True).over(ahead),
+            "next": F.last(value, ignorenulls=True).over(ahead),
+            "next_seq": F.last(known_at, ignorenulls=True).over(ahead),
         }
     )
 
@@ -53,9 +56,11 @@ def fill_gaps(readings: DataFrame, limit: int = 5) -> DataFrame:
     The head of a longer gap is filled too; a trailing gap repeats the last value; a leading gap stays.
     """
     near = neighbours(readings)
-    gap = F.coalesce("next_seq", F.max("seq").over(Window.partitionBy(*KEYS)) + 1) - F.coalesce("prev_seq", F.lit(-1)) - 1
-    short = F.max(F.when(F.col("value").isNull() & (gap <= limit), 1).otherwise(0)).over(Window.partitionBy(*KEYS))
-    near = near.withColumn("short", short)
+    top = near.groupBy(*KEYS).agg(F.max("seq").alias("top"))
+    near = near.join(top, list(KEYS))
+    gap = F.coalesce("next_seq", F.col("top") + 1) - F.coalesce("prev_seq", F.lit(-1)) - 1
+    short = near.groupBy(*KEYS).agg(F.max(F.when(F.col("value").isNull() & (gap <= limit), 1).otherwise(0)).alias("short"))
+    near = near.join(short, list(KEYS))
     inside = F.col("value").isNull() & F.col("prev").isNotNull() & (F.col("seq") - F.col("prev_seq") <= limit) & (F.col("short") == 1)
     filled = F.when(F.col("value").isNotNull(), F.col("value")).when(inside, F.when(F.col("next").isNull(), F.col("prev")).otherwise(between(F.col("seq"))))
     return near.withColumn("value", filled).select(*readings.columns)
@@ -87,15 +92,16 @@ def resample(readings: DataFrame, rate_hz: float) -> DataFrame:
     grid = steps.select(*KEYS, F.explode(F.sequence(F.lit(0).cast("long"), F.col("steps") - 1)).alias("seq"), "t0")
     grid = grid.select(*KEYS, "seq", (F.col("t0") + F.col("seq") / rate_hz).alias("time_s"), F.lit(None).cast("double").alias("value"))
     every = grid.unionByName(known.withColumn("seq", F.lit(None).cast("long")))
-    order = Window.partitionBy(*KEYS).orderBy("time_s", F.col("seq").isNotNull())
-    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    on_grid = F.col("seq").isNotNull()
+    back = Window.partitionBy(*KEYS).orderBy("time_s", on_grid).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*KEYS).orderBy(F.desc("time_s"), on_grid.desc()).rowsBetween(Window.unboundedPreceding, 0)
     at = F.when(F.col("value").isNotNull(), F.col("time_s"))
     around = every.withColumns(
         {
             "a": F.last("value", ignorenulls=True).over(back),
             "ta": F.last(at, ignorenulls=True).over(back),
-            "b": F.first("value", ignorenulls=True).over(ahead),
-            "tb": F.first(at, ignorenulls=True).over(ahead),
+            "b": F.last("value", ignorenulls=True).over(ahead),
+            "tb": F.last(at, ignorenulls=True).over(ahead),
         }
     )
     value = F.when(F.col("tb").isNull() | (F.col("ta") == F.col("time_s")), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * (F.col("time_s") - F.col("ta")) / (F.col("tb") - F.col("ta")))
