@@ -81,6 +81,9 @@ def test_html_extraction():
     assert html_extract.main_text(None) == html_extract.main_text("") == ""
     plain = "<div id=nav><a>home</a></div><div><h2>Title</h2><p>" + "word " * 40 + "</p><p>End.</p></div><div class='cookie-notice'>We use them</div>"
     assert html_extract.main_text(plain) == "Title\n\n" + " ".join(["word"] * 40) + "\n\nEnd."
+    beside = "<div class='content with-sidebar'><p>" + "word " * 40 + "</p></div><div class=sidebar><p>" + "no " * 60 + "</p></div><p style='display: none'>hidden text</p>"
+    assert html_extract.main_text(beside) == " ".join(["word"] * 40)
+    assert html_extract.main_text("<div class=menu><p>" + "word " * 40 + "</p></div>") == " ".join(["word"] * 40)
     assert html_extract.main_text("<ul><li><a>x</a><li><a>y</a></ul>") == ""
 
 

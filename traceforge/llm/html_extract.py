@@ -36,6 +36,7 @@ FURNITURE_WORDS = frozenset(
     "footer header masthead menu menus modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promoted promotion "
     "related replies reply respond share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription toolbar widget widgets".split()
 )
+BESIDE = frozenset("has with no without".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -43,23 +44,28 @@ ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+
 WORDS = re.compile(r"[a-z]+")
 
 
-def is_furniture(tag: str, attributes: str) -> bool:
+def is_furniture(tag: str, attributes: str, hints: bool = True) -> bool:
+    """Whether an element is page furniture: by its tag, or with ``hints`` by its attributes too."""
     if tag in FURNITURE:
         return True
-    if not attributes.strip() or tag in ("html", "body", "main"):
+    if not hints or not attributes.strip() or tag in ("html", "body", "main"):
         return False
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
         if name in ("class", "id"):
-            value = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower()
-            if not FURNITURE_WORDS.isdisjoint(WORDS.findall(value)):
-                return True
+            for word in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower().split():
+                parts = WORDS.findall(word)
+                # "with-sidebar" and the like say what stands beside an element
+                if parts and parts[0] not in BESIDE and not FURNITURE_WORDS.isdisjoint(parts):
+                    return True
         elif name == "role" and value.lower() in FURNITURE_ROLES or name == "aria-hidden" and value.lower() == "true":
             return True
+        elif name == "style" and re.search(r"display\s*:\s*none", value):
+            return True
     return bool(re.search(r"(?:^|\s)hidden(?:\s|$)", attributes))
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
+def lines_of(page: str, hints: bool = True) -> list[tuple[str, int, bool]]:
     """One ``(text, characters that count, in the article)`` per block of the page, blanks for furniture."""
     lines: list[tuple[str, int, bool]] = []
     pieces: list[str] = []
@@ -123,7 +129,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
                     pop()
         if tag in ("li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == tag:
             pop()
-        starts = is_furniture(tag, m[3])
+        starts = is_furniture(tag, m[3], hints)
         if starts and not off:
             flush()
             lines.extend([("", 0, False)] * WINDOW)
@@ -139,8 +145,14 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
 
 
 def main_text(page: str | None) -> str:
-    """The text between surge and dive points, blocks joined by a blank line."""
-    lines = lines_of(page or "")
+    """The text between surge and dive points, blocks joined by a blank line.
+
+    Where class and id words leave nothing, tags alone decide what is furniture.
+    """
+    return between_surges(lines_of(page or "")) or between_surges(lines_of(page or "", False))
+
+
+def between_surges(lines: list[tuple[str, int, bool]]) -> str:
     if any(inside for _, _, inside in lines):
         lines = [x if x[2] else ("", 0, False) for x in lines]
         surge, counts = 1, [len(t) for t, _, _ in lines]  # the page has said where its article is
