@@ -6,7 +6,7 @@ label for each of its lines; scoring runs forward-backward over the whole docume
 marginal probabilities of being good, weighted by length. A one-dimensional calibration maps the average so
 that ``CUT`` separates the classes best.
 
-The field is fitted on a bounded sample: the ``TRAIN_DOCS`` rows of the fitting folds whose text hashes
+The field is fitted on a bounded sample: the ``TRAIN_DOCS`` labelled rows of the fitting folds whose ids hash
 lowest, and of each of them at most ``TRAIN_CHUNKS`` stretches of ``CHUNK`` lines, spread evenly. Everything
 else reads all rows and whole texts.
 
@@ -17,7 +17,6 @@ classes every score is 1 (nothing is rejected on no evidence).
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,57 +35,108 @@ OWN = 14
 FEATURES = 3 * OWN + 2
 LOW, HIGH = -12.0, 12.0
 
-UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]+")
-LETTER = re.compile(r"[^\W\d_]+")
-DIGIT = re.compile(r"\d+")
-SYMBOL = re.compile(r"[^\w\s.,;:'\"?()-]+")
-RUN = re.compile(r"([^\w\s])\1+")
+def byte_table(characters: bytes) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[list(characters)] = True
+    return table
 
 
-def share(pattern: re.Pattern, line: str, size: int) -> float:
-    return sum(map(len, pattern.findall(line))) / size
+UPPER = byte_table(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+DIGIT = byte_table(b"0123456789")
+#: Letters by their first byte: ASCII letters and the first bytes of longer characters.
+LETTER = byte_table(bytes([*range(65, 91), *range(97, 123), *range(0xC2, 0xF5)]))
+#: First bytes of any character.
+FIRST = byte_table(bytes([*range(128), *range(0xC2, 0xF5)]))
+SPACE = byte_table(b" \t\n\r\v\f")
+PROSE = byte_table(b".,;:'\"?()-_ \t\n\r\v\f")
+SYMBOL = ~(LETTER | DIGIT | PROSE) & byte_table(bytes(range(33, 127)))
+MARK = ~(LETTER | DIGIT | SPACE) & byte_table(bytes(range(33, 127)))
+CLOSING = byte_table(b".!?:\"")
 
 
-def own_features(line: str, seen: bool) -> tuple:
-    size = max(1, len(line))
+def word_shares(line: str) -> tuple[int, int, int]:
+    """Words, different words, and words that repeat the one before."""
     words = line.split()
-    n = max(1, len(words))
-    letters = max(1, sum(map(len, LETTER.findall(line))))
-    again = sum(map(str.__eq__, words, words[1:])) / n
-    bars = words.count("|") / n
-    return (
-        min(1.0, np.log1p(len(line)) / 8),
-        min(1.0, np.log1p(len(words)) / 7),
-        sum(map(len, UPPER.findall(line))) / letters,
-        min(1.0, 4 * share(DIGIT, line, size)),
-        min(1.0, 4 * share(SYMBOL, line, size)),
-        min(1.0, len(RUN.findall(line)) / n),
-        min(1.0, 3 * bars),
-        len(set(words)) / n,
-        again,
-        min(1.0, len(line) / n / 16),
-        float(seen),
-        float(line.rstrip()[-1:] in (".", "!", "?", "…", ":", '"')),
-        float(line.lstrip()[:1].isupper()),
-        float(not words),
+    return len(words), len(set(words)), sum(map(str.__eq__, words, words[1:]))
+
+
+def in_groups(texts: list) -> Iterator[list[str]]:
+    """Texts, some megabytes at a time: bytes are classed for many short texts at once."""
+    group, held = [], 0
+    for text in texts:
+        group.append(text or "")
+        held += len(group[-1])
+        if held > 4_000_000:
+            yield group
+            group, held = [], 0
+    if group:
+        yield group
+
+
+def features(texts: list) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text, the features of every line and its neighbours, and the lines' lengths."""
+    return [x for group in in_groups(texts) for x in group_features(group)]
+
+
+def group_features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    split = [t.split("\n") for t in texts]
+    counts = np.array(list(map(len, split)))
+    data = np.frombuffer(("\n".join(texts) + "\n").encode("utf-8", "replace"), np.uint8)
+    ends = np.flatnonzero(data == 10)
+    starts = np.r_[0, ends[:-1] + 1]
+
+    def count(flags: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(flags, starts, dtype=np.int64)
+
+    run = np.zeros(len(data), bool)
+    run[1:] = MARK[data[1:]] & (data[1:] == data[:-1])
+    begins = run.copy()
+    begins[1:] &= ~run[:-1]
+    size = count(FIRST[data]) - 1  # without the line's end
+    # a capital of two bytes has 0xC3 first and then 0x80 to 0x9E
+    capital = UPPER[data]
+    capital[:-1] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] < 0x9F)
+    words, different, again = np.array([word_shares(line) for lines in split for line in lines], float).T
+    repeated = np.zeros(len(starts))
+    at = 0
+    for lines in split:
+        seen: set[str] = set()
+        for k, line in enumerate(lines, at):
+            if line in seen:
+                repeated[k] = bool(line)
+            seen.add(line)
+        at += len(lines)
+    n, chars = np.maximum(1, words), np.maximum(1, size)
+    last, first = data[np.maximum(ends - 1, starts)], data[starts]
+    own = np.stack(
+        [
+            np.minimum(1, np.log1p(size) / 8),
+            np.minimum(1, np.log1p(words) / 7),
+            count(capital) / np.maximum(1, count(LETTER[data])),
+            np.minimum(1, 4 * count(DIGIT[data]) / chars),
+            np.minimum(1, 4 * count(SYMBOL[data]) / chars),
+            np.minimum(1, count(begins) / n),
+            np.minimum(1, 3 * count(data == 124) / n),
+            different / n,
+            again / n,
+            np.minimum(1, size / n / 16),
+            repeated,
+            CLOSING[last].astype(float),
+            capital[starts].astype(float) * (first != 10),
+            (words == 0).astype(float),
+        ],
+        1,
     )
-
-
-def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Features of every line and its neighbours, and the lines' lengths."""
-    lines = (text or "").split("\n")
-    seen: set[str] = set()
-    rows = []
-    for line in lines:
-        rows.append(own_features(line, line in seen and bool(line)))
-        seen.add(line)
-    own = np.array(rows)
-    blank = np.zeros((1, OWN))
-    ends = np.zeros((len(lines), 2))
-    ends[:, 0] = 1
-    ends[0, 1] = 1
-    x = np.hstack([own, np.vstack([blank, own[:-1]]), np.vstack([own[1:], blank]), ends])
-    return x, np.array([max(1, len(s)) for s in lines], float)
+    tops = np.r_[0, np.cumsum(counts)]
+    before, after = np.zeros_like(own), np.zeros_like(own)
+    before[1:], after[:-1] = own[:-1], own[1:]
+    before[tops[:-1]] = 0
+    after[tops[1:] - 1] = 0
+    edge = np.zeros((len(own), 2))
+    edge[:, 0] = 1
+    edge[tops[:-1], 1] = 1
+    x, chars = np.hstack([own, before, after, edge]), chars.astype(float)
+    return [(x[a:b], chars[a:b]) for a, b in zip(tops[:-1], tops[1:])]
 
 
 def padded(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +151,7 @@ def padded(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def forward_backward(node: np.ndarray, mask: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Marginals of state 1, summed pair marginals and log partition of every padded sequence.
+    """Marginals of state 1, pair marginals summed by sequence, and log partition of every padded sequence.
 
     ``node`` has the score of state 1 against state 0 of each place.
     """
@@ -118,10 +168,10 @@ def forward_backward(node: np.ndarray, mask: np.ndarray, trans: np.ndarray) -> t
     log_z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
     # a padded place copies the alpha of the last one, so marginals there are not used
     marginal = np.exp(np.minimum(0, alpha[:, :, 1] + beta[:, :, 1] - log_z[:, None]))
-    pairs = np.zeros((2, 2))
+    pairs = np.zeros((n, 2, 2))
     if t > 1:
         p = alpha[:, :-1, :, None] + trans + (score[:, 1:] + beta[:, 1:])[:, :, None, :] - log_z[:, None, None, None]
-        pairs = np.exp(np.minimum(0, p))[mask[:, 1:]].sum(0)
+        pairs = (np.exp(np.minimum(0, p)) * mask[:, 1:, None, None]).sum(1)
     return marginal, pairs, log_z
 
 
@@ -139,17 +189,16 @@ def fit_field(sequences: list[np.ndarray], labels: np.ndarray, rounds: int = 120
     for step in range(1, rounds + 1):
         node = np.zeros(mask.shape)
         node[mask] = flat @ w
-        marginal, _, _ = forward_backward(node, mask, trans)
+        marginal, pairs, _ = forward_backward(node, mask, trans)
         gap = ((y[:, None] - marginal) * scale[:, None])[mask]
         g = flat.T @ gap - ridge * w
         eps_pairs = np.zeros((2, 2))
         for state in (0, 1):  # weighted pair counts, class by class
             own = y == state
             if own.any():
-                _, pairs, _ = forward_backward(node[own], mask[own], trans)
                 observed = np.zeros((2, 2))
                 observed[state, state] = max(0, (lengths[own] - 1).sum())
-                eps_pairs += (observed - pairs) * (0.5 / max(1, lengths[own].sum()))
+                eps_pairs += (observed - pairs[own].sum(0)) * (0.5 / max(1, lengths[own].sum()))
         g = np.r_[g, (eps_pairs - 0.02 * trans).ravel()]
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         move = 0.1 * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-9)
@@ -167,7 +216,7 @@ def chunks(x: np.ndarray) -> list[np.ndarray]:
 def averages(texts: list, w: np.ndarray, trans: np.ndarray) -> np.ndarray:
     """Length-weighted mean marginals as log odds."""
     out = np.empty(len(texts))
-    made = [features(t) for t in texts]
+    made = [(x @ w, size) for group in in_groups(texts) for x, size in group_features(group)]
     order = np.argsort([len(x) for x, _ in made], kind="stable")
     at = 0
     while at < len(order):  # sequences of like length together, a bounded number of places at a time
@@ -176,7 +225,7 @@ def averages(texts: list, w: np.ndarray, trans: np.ndarray) -> np.ndarray:
         while end < len(order) and len(made[order[end]][0]) <= max(8, 2 * most) and (end - at) * len(made[order[end]][0]) < 100_000:
             end += 1
         own = order[at:end]
-        node, mask = padded([made[k][0] @ w for k in own])
+        node, mask = padded([made[k][0] for k in own])
         marginal, _, _ = forward_backward(node, mask, trans)
         for r, k in enumerate(own):
             size = made[k][1]
@@ -193,11 +242,11 @@ class QualityModel:
     @classmethod
     def fit(cls, docs: DataFrame, labels: DataFrame, label: str = "quality") -> QualityModel:
         rows = labelled(docs, labels, label)
-        sample = rows.where("fold != 4").select("text", "label").orderBy(F.xxhash64("text"), "label").limit(TRAIN_DOCS)
+        sample = labelled(docs, labels, label, most=TRAIN_DOCS)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                out = [(c.astype(np.float32).tobytes(), y) for t, y in zip(batch["text"], batch["label"]) for c in chunks(features(t)[0])]
+                out = [(c.astype(np.float32).tobytes(), y) for (x, _), y in zip(features(list(batch["text"])), batch["label"]) for c in chunks(x)]
                 yield pd.DataFrame(out, columns=["x", "y"])
 
         got = sample.mapInPandas(run, "x binary, y int").collect()

@@ -16,11 +16,16 @@ def fold(key: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(5)).cast("int")
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(text, label, fold)`` of the rows with a label outside the held-out fold."""
+def labelled(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", most: int | None = None) -> DataFrame:
+    """``(text, label, fold)`` of the rows with a label outside the held-out fold.
+
+    With ``most``, that many labels of the fitting folds, chosen by the hash of their ids before any text is read.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("label"))
     known = known.where(fold(F.col(key)) != 0)
-    if labels.count() <= BROADCAST_LABELS:
+    if most:
+        known = F.broadcast(known.where(fold(F.col(key)) != 4).orderBy(F.xxhash64(key), key).limit(most))
+    elif labels.count() <= BROADCAST_LABELS:
         known = F.broadcast(known)
     return docs.where(F.col(key).isNotNull()).select(key, F.col(text).alias("text")).join(known, key).select("text", "label", fold(F.col(key)).alias("fold"))
 
