@@ -2,7 +2,7 @@
 
 Every page becomes one capture of three records that name each other: a request, a response (or a revisit
 of an equal earlier payload) and a metadata record, both others pointing at the response through
-``WARC-Concurrent-To``. Spark's text sink writes the records, so each output file is a plain WARC file in
+``WARC-Concurrent-To``. Spark's text sink writes the records, so each output file is a gzipped WARC file in
 whatever store the path names. Files are read back as binary rows, parsed by Content-Length, and the
 records are joined through the concurrent-to identifiers into one nested row per capture.
 
@@ -17,6 +17,8 @@ record separators, since lengths alone delimit records; an empty table writes an
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -38,20 +40,20 @@ def record_id(*parts: Column) -> Column:
 
 def roles(pages: DataFrame, min_bytes: int) -> DataFrame:
     """For every distinct (page id, payload): the page id that holds the response of that payload."""
-    keys = pages.select("page_id", "payload_digest", "payload_bytes").where(F.col("payload_bytes") >= min_bytes).distinct()
+    keys = pages.select("page_id", "key", "payload_digest", "payload_bytes").where(F.col("payload_bytes") >= min_bytes).distinct()
     best = keys.groupBy("payload_digest").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).where("n > 1")
-    return keys.join(best, "payload_digest").select("page_id", "payload_digest", "best")
+    return keys.join(best, "payload_digest").select("key", "payload_digest", "best")
 
 
 def captures(pages: DataFrame, page_id: str, url: str, html: str, min_bytes: int, files: int) -> DataFrame:
     """Rows with everything that the three records of a capture need; html moves once, by page id and digest."""
     body = F.coalesce(F.col(html), F.lit(""))
     base = pages.select(F.col(page_id).alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), body.alias("html"))
-    base = base.withColumns({"payload_digest": F.sha1(F.encode("html", "utf-8")), "payload_bytes": F.octet_length("html").cast("long")})
+    base = base.withColumns({"payload_digest": F.sha1(F.encode("html", "utf-8")), "payload_bytes": F.octet_length("html").cast("long"), "key": F.coalesce(F.col("page_id").cast("string"), F.lit(""))})
     best = roles(base, min_bytes)
-    same = base["page_id"].eqNullSafe(best["page_id"]) & (base["payload_digest"] == best["payload_digest"])
-    rows = base.repartition(files, "page_id", "payload_digest").join(best, same, "left").select(base["*"], best["best"])
-    copy = F.row_number().over(Window.partitionBy("page_id", "payload_digest").orderBy("url"))
+    # the join, the count of copies and the files all use this one partitioning
+    rows = base.repartition(files, "key", "payload_digest").join(best, ["key", "payload_digest"], "left")
+    copy = F.row_number().over(Window.partitionBy("key", "payload_digest").orderBy("url"))
     rows = rows.withColumn("copy", copy)
     large = F.col("payload_bytes") >= min_bytes
     first = F.col("copy") == 1
@@ -99,9 +101,9 @@ def records(rows: DataFrame) -> DataFrame:
 def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_BYTES) -> None:
     """Write the captures of ``pages`` as WARC files under ``path``."""
     total = pages.agg(F.sum(F.octet_length(html).cast("long"))).first()[0] or 0
-    files = max(1, -(-total // FILE_BYTES))
+    files = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_BYTES))
     rows = captures(pages, page_id, url, html, min_bytes, files)
-    records(rows).write.option("lineSep", "\r\n\r\n").text(path)
+    records(rows).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def parse_records(content: bytes) -> Iterator[tuple]:
@@ -124,12 +126,12 @@ def parse_records(content: bytes) -> Iterator[tuple]:
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
     """All records of the archives under ``path``; the digest is computed again from each payload that is there."""
-    import hashlib
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
                 rows, held = [], 0
+                content = zlib.decompress(content, 31)
                 for kind, rid, concurrent, refers, uri, digest, fields, payload in parse_records(content):
                     size = None if payload is None else len(payload)
                     if kind == "response":
