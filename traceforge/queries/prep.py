@@ -90,7 +90,7 @@ def p9(spark, sf):
   SELECT test_id, round(coalesce(CASE WHEN t < 200 THEN t + 273.15 ELSE t END, 293.15), 6) AS temperature_k, round(coalesce(p * 1e5, 101325.0), 3) AS pressure_pa FROM m""")
 def p10(spark, sf):
     r = readings(spark, sf)
-    roles = r.select("test_id").distinct().crossJoin(spark.createDataFrame([("temperature", "error"), ("upstream_pressure", "view")], "role string, channel string"))
+    roles = r.select("test_id").distinct().select("test_id", F.explode(F.create_map(F.lit("temperature"), F.lit("error"), F.lit("upstream_pressure"), F.lit("view"))).alias("role", "channel"))
     return prep.fluid_state(r, roles).select("test_id", F.round("temperature_k", 6).alias("temperature_k"), F.round("pressure_pa", 3).alias("pressure_pa"))
 
 
