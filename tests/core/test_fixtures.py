@@ -61,6 +61,17 @@ def test_quality_checks(spark):
     assert qc.summary(checks).first()["passed"] is False
 
 
+def test_full_run_equals_the_single_checks(spark):
+    rng = np.random.default_rng(8)
+    x = [None if i % 11 == 3 else float(v) for i, v in enumerate(rng.normal(size=140))]
+    r = series(spark, x, "A").unionByName(series(spark, [4.0] * 120, "B")).unionByName(series(spark, [None] * 5, "C"))
+    specs = spark.createDataFrame([("A", -1.0, 1.0, True), ("C", 0.0, None, False)], "channel string, min double, max double, allow_negative boolean")
+    own = r.where("channel in ('A', 'C')")
+    parts = [qc.timestamps_increase(r), qc.timestamp_gaps(r), qc.rate_stability(r), qc.sensor_range(r, specs), qc.flatline(own), qc.saturation(own), qc.missing(own), qc.correlated(r, "A", "B")]
+    key = lambda df: sorted((x["check"], x["channel"], x["status"], x["blocking"], x["metric"] is None or round(x["metric"], 9)) for x in df.collect())
+    assert key(qc.full_run(r, specs, ["A", "C"], "A", "B")) == sorted(k for p in parts for k in key(p))
+
+
 def test_steady_windows(spark):
     rng = np.random.default_rng(1)
     x = np.r_[np.linspace(0, 25, 200), 25 + 0.1 * rng.normal(size=600), np.linspace(25, 0, 200)]

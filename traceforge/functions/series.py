@@ -61,3 +61,8 @@ def median(c: Column) -> Column:
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null where b is null or zero."""
     return F.try_divide(a, b)
+
+
+def correlation(a: str, b: str) -> Column:
+    """Pearson correlation of two columns without nulls; null where either does not vary."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from traceforge.functions.series import KEYS, by_series, median, ratio, runs, with_stats
+from traceforge.functions.series import KEYS, by_series, correlation, median, ratio, runs, with_stats
 from traceforge.operators.qc import paired
 
 OUT = ("test_id", "channel", "kind", "start_seq", "end_seq", "start_s", "end_s", "n", "score")
@@ -140,7 +140,7 @@ def correlation_breaks(readings: DataFrame, left: str, right: str, width: int =
     last = F.least(F.floor(F.col("seq") / step), F.ceil((F.col("n") - width) / step) - 1).cast("long")
     in_windows = pair.join(n, "test_id").where("a is not null and b is not null").withColumns({"first": first, "last": last}).where("first <= last")
     w = in_windows.select("test_id", "a", "b", F.explode(F.sequence("first", "last")).alias("k")).withColumn("start", F.col("k") * step)
-    g = w.groupBy("test_id", "start").agg(F.count("*").alias("m"), F.corr("a", "b").alias("r"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb"))
+    g = w.groupBy("test_id", "start").agg(F.count("*").alias("m"), correlation("a", "b").alias("r"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb"))
     broken = g.where((F.col("m") >= width // 2) & (F.col("sa") >= 1e-10) & (F.col("sb") >= 1e-10) & (F.abs("r") < least_r))
     order = Window.partitionBy("test_id").orderBy("start")
     fresh = F.when(F.col("start") <= F.lag("start").over(order) + width + step, 0).otherwise(1)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from traceforge.functions.series import median, ratio
+from traceforge.functions.series import correlation, median, ratio
 
 INF = float("inf")
 
@@ -81,7 +81,7 @@ def correlation_matrix(df: DataFrame, columns: list[str], *keys: str) -> DataFra
     """All pairwise correlations over rows complete in every column, in one pass: ``(keys, a, b, r)``."""
     full = df.dropna(subset=columns)
     pairs = list(combinations(columns, 2))
-    g = full.groupBy(*keys).agg(F.count("*").alias("n"), *[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    g = full.groupBy(*keys).agg(F.count("*").alias("n"), *[correlation(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)])
     return g.select(*keys, "n", F.explode(rows).alias("p")).select(*keys, "n", "p.*")
 

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from traceforge.functions.series import KEYS, by_series, median, ratio, rolling, with_stats
+from traceforge.functions.series import KEYS, by_series, correlation, median, ratio, rolling, with_stats
 
 COLUMNS = ("test_id", "check", "channel", "status", "blocking", "metric")
 
@@ -21,6 +21,42 @@ def rows(df: DataFrame, check: str, status: Column, metric: Column, blocking: bo
     return df.select("test_id", F.lit(check).alias("check"), "channel", status.alias("status"), F.lit(blocking).alias("blocking"), metric.cast("double").alias("metric"))
 
 
+# The verdict of each check from its numbers, shared by the single checks and the full run.
+
+
+def order_verdict(bad: Column) -> Column:
+    return F.when(bad > 0, "FAIL").otherwise("PASS")
+
+
+def gap_verdict(gaps: Column, n: Column) -> Column:
+    return F.when(gaps == 0, "PASS").when(gaps / n < 0.01, "WARN").otherwise("FAIL")
+
+
+def rate_verdict(n: Column, cv: Column, most: float) -> Column:
+    return F.when(n < 10, "SKIP").when(cv > most, "WARN").otherwise("PASS")
+
+
+def out_of_range(value: Column) -> Column:
+    low, high = F.coalesce(value < F.col("min"), F.lit(False)), F.coalesce(value > F.col("max"), F.lit(False))
+    return low | high | (~F.coalesce("allow_negative", F.lit(True)) & F.coalesce(value < 0, F.lit(False)))
+
+
+def range_verdict(out: Column, n: Column) -> Column:
+    return F.when((n == 0) | (out > 0), "FAIL").otherwise("PASS")
+
+
+def flat_verdict(n: Column, flat: Column) -> Column:
+    return F.when(n == 0, "SKIP").when(flat == 0, "PASS").when(ratio(flat, n) < 0.1, "WARN").otherwise("FAIL")
+
+
+def saturation_verdict(n: Column, share: Column) -> Column:
+    return F.when(n < 10, "SKIP").when(share > 0.10, "FAIL").when(share > 0.01, "WARN").otherwise("PASS")
+
+
+def missing_verdict(share: Column, warn: float, fail: float) -> Column:
+    return F.when(share > fail, "FAIL").when(share > warn, "WARN").otherwise("PASS")
+
+
 def intervals(readings: DataFrame) -> DataFrame:
     return readings.withColumn("dt", F.col("time_s") - F.lag("time_s").over(by_series()))
 
@@ -28,7 +64,7 @@ def intervals(readings: DataFrame) -> DataFrame:
 def timestamps_increase(readings: DataFrame) -> DataFrame:
     """In file order, every step forward must be positive; the metric counts those that are not."""
     g = intervals(readings).groupBy(*KEYS).agg(F.count_if(F.col("dt") <= 0).alias("bad"))
-    return rows(g, "timestamp_monotonic", F.when(F.col("bad") > 0, "FAIL").otherwise("PASS"), F.col("bad"))
+    return rows(g, "timestamp_monotonic", order_verdict(F.col("bad")), F.col("bad"))
 
 
 def violations(readings: DataFrame) -> DataFrame:
@@ -42,24 +78,20 @@ def timestamp_gaps(readings: DataFrame, factor: float = 3.0) -> DataFrame:
     """Intervals over ``factor`` times the median: under one in a hundred WARN, else FAIL."""
     steps = with_stats(intervals(readings).where("dt is not null"), {"mid": median(F.col("dt"))})
     g = steps.groupBy(*KEYS).agg(F.count_if(F.col("dt") > factor * F.col("mid")).alias("gaps"), F.count("*").alias("n"))
-    status = F.when(F.col("gaps") == 0, "PASS").when(F.col("gaps") / F.col("n") < 0.01, "WARN").otherwise("FAIL")
-    return rows(g, "timestamp_gaps", status, F.col("gaps"))
+    return rows(g, "timestamp_gaps", gap_verdict(F.col("gaps"), F.col("n")), F.col("gaps"))
 
 
 def rate_stability(readings: DataFrame, most: float = 0.10) -> DataFrame:
     """Coefficient of variation of the intervals (population deviation); a warning at most."""
     g = intervals(readings).groupBy(*KEYS).agg(F.count("dt").alias("n"), ratio(F.stddev_pop("dt"), F.avg("dt")).alias("cv"))
-    status = F.when(F.col("n") < 10, "SKIP").when(F.col("cv") > most, "WARN").otherwise("PASS")
-    return rows(g, "sampling_rate", status, F.col("cv"), False)
+    return rows(g, "sampling_rate", rate_verdict(F.col("n"), F.col("cv"), most), F.col("cv"), False)
 
 
 def sensor_range(readings: DataFrame, specs: DataFrame) -> DataFrame:
     """Values outside ``specs(channel, min, max, allow_negative)``; a configured channel without values fails too."""
     joined = readings.join(F.broadcast(specs), "channel")
-    v = F.col("value")
-    out = F.coalesce(v < F.col("min"), F.lit(False)) | F.coalesce(v > F.col("max"), F.lit(False)) | (~F.coalesce("allow_negative", F.lit(True)) & (v < 0))
-    g = joined.groupBy(*KEYS).agg(F.count_if(out).alias("out"), F.count("value").alias("n"))
-    return rows(g, "sensor_range", F.when((F.col("n") == 0) | (F.col("out") > 0), "FAIL").otherwise("PASS"), F.col("out"))
+    g = joined.groupBy(*KEYS).agg(F.count_if(out_of_range(F.col("value"))).alias("out"), F.count("value").alias("n"))
+    return rows(g, "sensor_range", range_verdict(F.col("out"), F.col("n")), F.col("out"))
 
 
 def flatline(readings: DataFrame, width: int = 50, variance: float = 1e-10) -> DataFrame:
@@ -67,9 +99,7 @@ def flatline(readings: DataFrame, width: int = 50, variance: float = 1e-10) -> D
     v = F.col("value")
     rolled = readings.withColumn("var", rolling(F.var_samp(v), v, width))
     g = rolled.groupBy(*KEYS).agg(F.count("var").alias("n"), F.count_if(F.col("var") < variance).alias("flat"))
-    share = ratio(F.col("flat"), F.col("n"))
-    status = F.when(F.col("n") == 0, "SKIP").when(F.col("flat") == 0, "PASS").when(share < 0.1, "WARN").otherwise("FAIL")
-    return rows(g, "flatline", status, share)
+    return rows(g, "flatline", flat_verdict(F.col("n"), F.col("flat")), ratio(F.col("flat"), F.col("n")))
 
 
 def saturation(readings: DataFrame) -> DataFrame:
@@ -77,13 +107,12 @@ def saturation(readings: DataFrame) -> DataFrame:
     known = with_stats(readings.where("value is not null"), {"low": F.min("value"), "high": F.max("value")})
     g = known.groupBy(*KEYS).agg(F.count("*").alias("n"), F.avg((F.col("value") == F.col("low")).cast("int")).alias("a"), F.avg((F.col("value") == F.col("high")).cast("int")).alias("b"))
     share = F.greatest("a", "b")
-    status = F.when(F.col("n") < 10, "SKIP").when(share > 0.10, "FAIL").when(share > 0.01, "WARN").otherwise("PASS")
-    return rows(g, "saturation", status, share, False)
+    return rows(g, "saturation", saturation_verdict(F.col("n"), share), share, False)
 
 
 def missing(readings: DataFrame, warn: float = 0.05, fail: float = 0.20) -> DataFrame:
     g = readings.groupBy(*KEYS).agg(F.avg(F.col("value").isNull().cast("int")).alias("share"))
-    return rows(g, "nan_ratio", F.when(F.col("share") > fail, "FAIL").when(F.col("share") > warn, "WARN").otherwise("PASS"), F.col("share"))
+    return rows(g, "nan_ratio", missing_verdict(F.col("share"), warn, fail), F.col("share"))
 
 
 def paired(readings: DataFrame, left: str, right: str) -> DataFrame:
@@ -95,7 +124,7 @@ def paired(readings: DataFrame, left: str, right: str) -> DataFrame:
 
 def correlated(readings: DataFrame, left: str, right: str, least: float = 0.3, check: str = "pressure_flow_correlation") -> DataFrame:
     """Pearson correlation over complete pairs."""
-    g = paired(readings, left, right).where("a is not null and b is not null").groupBy("test_id").agg(F.count("*").alias("n"), F.corr("a", "b").alias("r"))
+    g = paired(readings, left, right).where("a is not null and b is not null").groupBy("test_id").agg(F.count("*").alias("n"), correlation("a", "b").alias("r"))
     g = g.withColumn("channel", F.lit(f"{left}/{right}"))
     r = F.col("r")
     status = F.when(F.col("n") < 10, "SKIP").when(r.isNull() | F.isnan(r), "WARN").when(r >= least, "PASS").when(r < 0, "FAIL").otherwise("WARN")
@@ -130,12 +159,39 @@ def lead_lag(readings: DataFrame, first: str, second: str, share: float = 0.1, w
 
 
 def full_run(readings: DataFrame, specs: DataFrame, critical: Sequence[str], pressure: str, flow: str, chamber: str | None = None, thrust: str | None = None) -> DataFrame:
-    """All checks of a test in one table; hot-fire checks join where a chamber channel is named."""
-    own = readings.where(F.col("channel").isin(*critical))
-    checks = [timestamps_increase(readings), timestamp_gaps(readings), rate_stability(readings), sensor_range(readings, specs), flatline(own), saturation(own), missing(own), correlated(readings, pressure, flow)]
+    """All checks of a test in one table; hot-fire checks join where a chamber channel is named.
+
+    The checks of single channels share one windowed pass over the readings and two aggregations of it, instead
+    of a pass each.
+    """
+    v, w = F.col("value"), by_series()
+    known = specs.withColumn("has_spec", F.lit(True))
+    e = readings.join(F.broadcast(known), "channel", "left").withColumns({"dt": F.col("time_s") - F.lag("time_s").over(w), "var": rolling(F.var_samp(v), v, 50)})
+    one = e.groupBy(*KEYS).agg(
+        F.count_if(F.col("dt") <= 0).alias("bad"), F.count("dt").alias("n_dt"), median(F.col("dt")).alias("mid"), ratio(F.stddev_pop("dt"), F.avg("dt")).alias("cv"),
+        F.count("var").alias("n_var"), F.count_if(F.col("var") < 1e-10).alias("flat"), F.avg(v.isNull().cast("int")).alias("share"), F.count("value").alias("known"),
+        F.min("value").alias("low"), F.max("value").alias("high"), F.first("has_spec").alias("has_spec"), F.count_if(out_of_range(v)).alias("out"),
+    )
+    two = e.select(*KEYS, "dt", "value").join(one.select(*KEYS, "mid", "low", "high"), list(KEYS)).groupBy(*KEYS).agg(
+        F.count_if(F.col("dt") > 3 * F.col("mid")).alias("gaps"), F.avg((v == F.col("low")).cast("int")).alias("at_low"), F.avg((v == F.col("high")).cast("int")).alias("at_high"))
+    j = one.join(two, list(KEYS)).withColumns({"stuck": F.greatest("at_low", "at_high"), "own": F.col("channel").isin(*critical)})
+    c = F.col
+    found = [
+        ("timestamp_monotonic", None, order_verdict(c("bad")), True, c("bad")),
+        ("timestamp_gaps", c("n_dt") > 0, gap_verdict(c("gaps"), c("n_dt")), True, c("gaps")),
+        ("sampling_rate", None, rate_verdict(c("n_dt"), c("cv"), 0.10), False, c("cv")),
+        ("sensor_range", c("has_spec"), range_verdict(c("out"), c("known")), True, c("out")),
+        ("flatline", c("own"), flat_verdict(c("n_var"), c("flat")), True, ratio(c("flat"), c("n_var"))),
+        ("saturation", c("own") & (c("known") > 0), saturation_verdict(c("known"), c("stuck")), False, c("stuck")),
+        ("nan_ratio", c("own"), missing_verdict(c("share"), 0.05, 0.20), True, c("share")),
+    ]
+    made = [F.struct(F.lit(n).alias("check"), s.alias("status"), F.lit(b).alias("blocking"), m.cast("double").alias("metric")) for n, _, s, b, m in found]
+    stack = F.array_compact(F.array(*[x if only is None else F.when(only, x) for x, (_, only, *_) in zip(made, found)]))
+    single = j.select("test_id", "channel", F.explode(stack).alias("c")).select("test_id", "c.check", "channel", "c.status", "c.blocking", "c.metric")
+    pairs = [correlated(readings, pressure, flow)]
     if chamber and thrust:
-        checks += [correlated(readings, chamber, thrust, 0.5, "chamber_thrust_correlation"), combustion_stability(readings, chamber), ignition(readings, chamber)]
-    return reduce(DataFrame.unionByName, checks)
+        pairs += [correlated(readings, chamber, thrust, 0.5, "chamber_thrust_correlation"), combustion_stability(readings, chamber), ignition(readings, chamber)]
+    return reduce(DataFrame.unionByName, [single, *pairs])
 
 
 def quick_run(readings: DataFrame) -> DataFrame:
