@@ -109,7 +109,7 @@ def i12(spark, sf):
     return named.select("test_id", *[c.alias(n) for n, c in audit.parse_test_id(F.col("name")).items()])
 
 
-@query("i13_template", f"SELECT c_custkey, {TYPE} = 'cold_flow' AS type_matches, 'FM-01,window' AS missing FROM customer".replace("c_custkey, CASE", "CASE WHEN c_custkey % 13 <> 0 THEN c_name END AS config_name, CASE"))
+@query("i13_template", f"SELECT CASE WHEN c_custkey % 13 <> 0 THEN c_name END AS config_name, {TYPE} = 'cold_flow' AS type_matches, 'FM-01,window' AS missing FROM customer")
 def i13(spark, sf):
     df = audit.against_template(configs(spark, sf), {"test_type": "cold_flow", "uncertainties": ["PT-01", "FM-01"], "settings": ["rate", "window"]})
     return df.withColumn("missing", F.array_join("missing", ","))

@@ -23,8 +23,8 @@ def p1(spark, sf):
 
 
 @query("p2_time_normalisation", f"""WITH {RAW}, coarse AS (SELECT *, ts_us // 3600000000 AS h, row_number() OVER (PARTITION BY test_id, channel, ts_us // 3600000000 ORDER BY seq) AS k FROM raw)
-  SELECT test_id, channel, row_number() OVER ({SERIES} ORDER BY h) - 1 AS seq, (h - min(h) OVER (PARTITION BY test_id)) * 1.0 AS time_s,
-         (h - min(h) OVER (PARTITION BY test_id)) * 1000.0 AS time_ms, v AS value FROM coarse WHERE k = 1""".replace("* 1.0 AS", "* CAST(1 AS DOUBLE) AS").replace("* 1000.0 AS", "* CAST(1000 AS DOUBLE) AS"))
+  SELECT test_id, channel, row_number() OVER ({SERIES} ORDER BY h) - 1 AS seq, (h - min(h) OVER (PARTITION BY test_id)) * 1.0::DOUBLE AS time_s,
+         (h - min(h) OVER (PARTITION BY test_id)) * 1000.0::DOUBLE AS time_ms, v AS value FROM coarse WHERE k = 1""")
 def p2(spark, sf):
     raw = raw_readings(spark, sf).withColumn("timestamp", F.floor(F.col("timestamp") / 3600000000))
     return prep.normalise_time(raw, "s")

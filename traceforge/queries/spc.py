@@ -88,7 +88,7 @@ def c7(spark, sf):
 
 
 @query("c9_campaign_spc", f"""WITH {LONG}, {RULES}, {CAP}, {TREND}, v AS (SELECT campaign_name, parameter, count(*) AS n, count_if(rules <> '') AS n_out FROM r GROUP BY ALL)
-  SELECT campaign_name, parameter, round(cl, 8) AS cl, n_out, round(tr.slope, 8) AS slope, round(cpk, 8) AS cpk FROM lim JOIN v USING (campaign_name, parameter) LEFT JOIN tr USING (campaign_name, parameter) LEFT JOIN d USING (campaign_name, parameter)""".replace("n_out, round", "CAST(n_out AS BIGINT) AS n_out, round"))
+  SELECT campaign_name, parameter, round(cl, 8) AS cl, CAST(n_out AS BIGINT) AS n_out, round(tr.slope, 8) AS slope, round(cpk, 8) AS cpk FROM lim JOIN v USING (campaign_name, parameter) LEFT JOIN tr USING (campaign_name, parameter) LEFT JOIN d USING (campaign_name, parameter)""")
 def c9(spark, sf):
     df = spc.campaign_spc(points(spark, sf), specs(spark))
     return df.select("campaign_name", "parameter", F.round("cl", 8).alias("cl"), "n_out", F.round("slope", 8).alias("slope"), F.round("cpk", 8).alias("cpk"))

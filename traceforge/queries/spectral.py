@@ -13,8 +13,8 @@ SEGMENTS = f"""{READINGS}, sz AS (SELECT test_id, channel, count(*) AS size FROM
   tr AS (SELECT test_id, channel, segment, regr_slope(x, i::DOUBLE) AS b, regr_intercept(x, i::DOUBLE) AS a FROM x GROUP BY ALL),
   y AS (SELECT x.test_id, x.channel, x.segment, i, (x - a - b * i) * (0.5 - 0.5 * cos(2 * pi() * i / {N})) AS y FROM x JOIN tr USING (test_id, channel, segment)),
   ks AS (SELECT unnest(range(0, {N // 2 + 1})) AS k),
-  f AS (SELECT test_id, channel, segment, k, (pow(sum(y * cos(2 * pi() * k * i / {N})), 2) + pow(sum(y * sin(2 * pi() * k * i / {N})), 2)) * any_value(CASE WHEN k IN (0, {N // 2}) THEN 1 ELSE 2 END) / {(spectral.hann(N) ** 2).sum()!r}::DOUBLE AS p FROM y, ks GROUP BY ALL),
-  psd AS (SELECT test_id, channel, k, k / {N}::DOUBLE AS freq_hz, avg(p) AS psd FROM f GROUP BY ALL)""".replace("np.float64(", "").replace(")::DOUBLE AS p", "::DOUBLE AS p")
+  f AS (SELECT test_id, channel, segment, k, (pow(sum(y * cos(2 * pi() * k * i / {N})), 2) + pow(sum(y * sin(2 * pi() * k * i / {N})), 2)) * any_value(CASE WHEN k IN (0, {N // 2}) THEN 1 ELSE 2 END) / {float((spectral.hann(N) ** 2).sum())!r}::DOUBLE AS p FROM y, ks GROUP BY ALL),
+  psd AS (SELECT test_id, channel, k, k / {N}::DOUBLE AS freq_hz, avg(p) AS psd FROM f GROUP BY ALL)"""
 
 
 def psd(spark, sf):

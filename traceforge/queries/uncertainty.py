@@ -74,7 +74,7 @@ def u9(spark, sf):
 T_TABLE = "t(dof, k) AS (VALUES " + ", ".join(f"({d}, {uncertainty.t_quantile(0.975, d)!r}::DOUBLE)" for d in range(1, 30)) + ")"
 
 
-@query("u10_statistical", f"WITH {READINGS}, {T_TABLE}, g AS (SELECT test_id, channel, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS s FROM readings WHERE seq < test_size GROUP BY ALL) SELECT test_id, channel, n, round(mean, 8) AS mean, round(s, 8) AS s, round(CASE WHEN n < 2 THEN 'inf'::DOUBLE ELSE coalesce(k, 1.96::DOUBLE) * s / sqrt(n) END, 8) AS u_stat FROM g LEFT JOIN t ON t.dof = n - 1".replace("seq < test_size", "seq % 9 = 0"))
+@query("u10_statistical", f"WITH {READINGS}, {T_TABLE}, g AS (SELECT test_id, channel, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS s FROM readings WHERE seq % 9 = 0 GROUP BY ALL) SELECT test_id, channel, n, round(mean, 8) AS mean, round(s, 8) AS s, round(CASE WHEN n < 2 THEN 'inf'::DOUBLE ELSE coalesce(k, 1.96::DOUBLE) * s / sqrt(n) END, 8) AS u_stat FROM g LEFT JOIN t ON t.dof = n - 1")
 def u10(spark, sf):
     r = readings(spark, sf).where("seq % 9 = 0")
     return rounded(uncertainty.statistical(r, "value", "test_id", "channel").select("test_id", "channel", "n", "mean", "s", "u_stat"), 8)
