@@ -233,3 +233,23 @@ def test_upsert_partial_columns(spark, given):
     change = spark.createDataFrame([("t1", 1, given)], "test_id string, written_at int, values map<string,string>")
     row = campaigns.upsert(store, change).first()
     assert (row["v"], row["part"]) == (1.0, "x" if given else "a")
+
+
+def test_batch_export_and_saved_analysis(spark, tmp_path):
+    rows = [("t1", True, None, "cd", 0.6, 0.01), ("t1", True, None, "dp", 5.0, 0.1), ("t2", False, "quality", None, None, None)]
+    out = spark.createDataFrame(rows, "test_id string, success boolean, error string, name string, value double, u double")
+    for fmt in ("csv", "json"):
+        campaigns.export_batch(out, ["cd", "dp"], str(tmp_path / fmt), fmt)
+    back = {r["test_id"]: r for r in spark.read.json(str(tmp_path / "json")).collect()}
+    assert back["t1"]["cd"] == 0.6 and back["t1"]["dp_u"] == 0.1 and back["t2"]["error"] == "quality"
+    assert spark.read.option("header", "true").csv(str(tmp_path / "csv")).count() == 2
+    r = series(spark, [1, 2, 3])
+    campaigns.save_analysis(r, r.groupBy("test_id").agg(F.avg("value").alias("avg_x")), str(tmp_path / "saved"))
+    assert spark.read.parquet(str(tmp_path / "saved" / "processed")).count() == 3
+    assert spark.read.parquet(str(tmp_path / "saved" / "results")).first()["avg_x"] == 2.0
+
+
+def test_wide_recordings_become_long(spark):
+    wide = spark.createDataFrame([("t", 10.0, 1, "x"), ("t", 0.0, 2, "y")], "test_id string, time double, P int, note string")
+    assert prep.time_column(wide) == "time" and prep.numeric_columns(wide) == ["P"]
+    assert [(r["channel"], r["seq"], r["timestamp"], r["value"]) for r in prep.wide_to_long(wide).orderBy("seq").collect()] == [("P", 0, 0.0, 2.0), ("P", 1, 10.0, 1.0)]

@@ -11,6 +11,27 @@ from traceforge.functions.series import KEYS, by_series
 TIME_UNITS = {"s": 1.0, "ms": 1e-3, "us": 1e-6}
 
 
+def time_column(wide: DataFrame, names: tuple[str, ...] = ("timestamp", "time", "Time", "TIMESTAMP", "t", "time_ms", "time_s")) -> str | None:
+    """The first of the known names that the recording has."""
+    return next((n for n in names if n in wide.columns), None)
+
+
+def numeric_columns(wide: DataFrame) -> list[str]:
+    """Columns of numbers other than the time."""
+    kinds = ("double", "float", "int", "bigint", "smallint", "tinyint", "decimal")
+    return [c for c, t in wide.dtypes if t.startswith(kinds) and c not in (time_column(wide), "seq")]
+
+
+def wide_to_long(wide: DataFrame, test_id: str = "test_id", order: str | None = None) -> DataFrame:
+    """A table of one column per channel as ``(test_id, channel, seq, timestamp, value)``, in order of time or of ``order``."""
+    at = time_column(wide)
+    channels = [c for c in numeric_columns(wide) if c not in (test_id, order)]
+    rank = (F.row_number().over(Window.partitionBy(test_id).orderBy(order or at)) - 1).cast("long")
+    stamp = F.col(at).cast("double") if at else F.col("seq") * 10.0
+    rows = wide.withColumn("seq", rank).select(F.col(test_id).alias("test_id"), "seq", stamp.alias("timestamp"), *[F.col(c).cast("double") for c in channels])
+    return rows.unpivot(["test_id", "seq", "timestamp"], channels, "channel", "value").select("test_id", "channel", "seq", "timestamp", "value")
+
+
 def map_channels(readings: DataFrame, mapping: DataFrame) -> DataFrame:
     """Acquisition ids to sensor names by ``mapping(channel, sensor)``; unmapped ids stay."""
     names = mapping.groupBy("channel").agg(F.min("sensor").alias("sensor"))

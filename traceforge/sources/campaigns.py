@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType, TimestampType
-from pyspark.sql.window import Window
 
 from traceforge.operators.prep import metric_columns
 
@@ -148,6 +147,9 @@ def save_analysis(processed: DataFrame, metrics: DataFrame, path: str) -> None:
         df.repartition("test_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("test_id").parquet(f"{path}/{name}")
 
 
-def last_write(rows: DataFrame, key: str, order: str) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return rows.withColumn("rank", F.row_number().over(w)).where("rank = 1").drop("rank")
+def export_batch(outcomes: DataFrame, names: list[str], path: str, fmt: str = "csv") -> None:
+    """Batch outcomes ``(test_id, success, error, name, value, u)`` as one flat row per test, in CSV or JSON."""
+    picks = [F.max(F.when(F.col("name") == n, F.col(k))).alias(n + p) for n in names for k, p in (("value", ""), ("u", "_u"))]
+    flat = outcomes.groupBy("test_id").agg(F.bool_and("success").alias("success"), F.first("error", ignorenulls=True).alias("error"), *picks)
+    writer = flat.write.mode("overwrite")
+    writer.json(path) if fmt == "json" else writer.option("header", "true").csv(path)
