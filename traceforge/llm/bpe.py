@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: A worker forgets its remembered words when they reach this number.
-REMEMBER = 400_000
+REMEMBER = 200_000
 
 #: The split pattern of the tokenizer file, and the same for texts of Latin letters alone, where
 #: the standard library's faster matcher agrees with it.
