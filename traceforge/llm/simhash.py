@@ -16,6 +16,7 @@ in it; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -126,11 +127,11 @@ def tile_links(prints: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     blobs = stored(tiled.groupBy("tile").agg(F.collect_list("fp").alias("fps")), "tiles")  # at most about TILE numbers each
     total = sum(parts)
     span = [(runs[k][0], runs[k][-1]) for k, p in enumerate(parts) for _ in range(p)]
-    ranges = spark.createDataFrame([(i, *span[i]) for i in range(total)], "tile int, low int, high int")
-    other = ranges.select(F.col("tile").alias("tile2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
-    # each tile names its partners: later tiles whose counts come within the radius
-    partners = ranges.join(F.broadcast(other), (F.col("tile2") >= F.col("tile")) & (F.col("low2") <= F.col("high") + radius) & (F.col("low") <= F.col("high2") + radius))
-    pairs = partners.select("tile", "tile2").repartition(max(1, min(4096, total * (total + 1) // 2)), "tile", "tile2")
+    # tiles stand in the order of their counts, so the partners of a tile are it and the next ones within the radius
+    last = [bisect_right([low for low, _ in span], high + radius) - 1 for _, high in span]
+    ranges = spark.createDataFrame(list(enumerate(last)), "tile int, last int")
+    partners = ranges.select("tile", F.explode(F.sequence("tile", "last")).alias("tile2"))
+    pairs = partners.repartition(max(1, min(4096, sum(j - i + 1 for i, j in enumerate(last)))), "tile", "tile2")
     met = pairs.join(blobs, "tile").join(blobs.select(F.col("tile").alias("tile2"), F.col("fps").alias("fps2")), "tile2").select("tile", "tile2", "fps", "fps2")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,7 +153,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
     rows = stored(fingerprinted(df.select(key, text), text, width, seed), "fingerprints")
     prints = rows.groupBy("fp").agg(F.min(key).alias("least"))
     groups = components(tile_links(prints, radius)).select(F.col("node").alias("fp"), F.col("component").alias("group"))
-    named = prints.join(groups, "fp", "left").withColumn("group", F.coalesce("group", "fp"))
-    least = named.groupBy("group").agg(F.min("least").alias("component_id"))
+    named = stored(prints.join(groups, "fp", "left").withColumn("group", F.coalesce("group", "fp")), "groups")
+    # written, so that both sides of the join below are plain shuffles, which Spark splits where a group is large
+    least = stored(named.groupBy("group").agg(F.min("least").alias("component_id")), "group-names")
     by_print = named.select("fp", "group").join(least, "group").select("fp", "component_id")
     return rows.join(by_print, "fp").select(key, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
