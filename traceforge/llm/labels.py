@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Labels up to this number (about 32 MB) are broadcast; more are joined by shuffle.
-BROADCAST_LABELS = 2_000_000
+#: Labels up to this number (about 60 MB as a hash table) are broadcast; more are joined by shuffle.
+BROADCAST_LABELS = 1_000_000
 BINS = 4000
 
 
