@@ -19,8 +19,8 @@ def segment(readings: DataFrame, active_pct: float = 10.0, steady_cv: float = 0.
     """
     empty = readings.groupBy(*KEYS).agg(F.count("value").alias("known")).where("known = 0").select(*KEYS)
     filled = fill_all(readings)
-    size = filled.groupBy(*KEYS).agg(F.count("*").alias("size"), F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mid"))
-    s = filled.join(size, list(KEYS))
+    whole = Window.partitionBy(*KEYS)  # the series is already in one place and in order for the running sums
+    s = filled.withColumns({"size": F.count("*").over(whole), "low": F.min("value").over(whole), "high": F.max("value").over(whole), "mid": F.avg("value").over(whole)})
     s = s.withColumn("w", F.greatest(F.lit(10), F.floor(F.col("size") / 50)).cast("long"))
     s = s.withColumns({"at": (F.row_number().over(by_series()) - 1).cast("long"), "x": F.col("value") - F.col("mid")})
     so_far = by_series(order="at").rowsBetween(Window.unboundedPreceding, 0)
@@ -40,9 +40,10 @@ def segment(readings: DataFrame, active_pct: float = 10.0, steady_cv: float = 0.
     span = F.col("high") - F.col("low")
     active = (F.col("value") - F.col("low")) / F.when(span > 1e-12, span) * 100 >= active_pct
     s = s.withColumns({"cv": cv, "active": F.coalesce(active, F.lit(False))})
-    on = s.groupBy(*KEYS).agg(F.min(F.when(F.col("active"), F.col("seq"))).alias("a0"), F.max(F.when(F.col("active"), F.col("seq"))).alias("a1"), F.max_by("seq", F.struct("value", -F.col("seq"))).alias("peak"))
+    on_seq = F.when(F.col("active"), F.col("seq"))
     best = longest(runs(s, F.col("active") & (F.col("cv") < steady_cv))).select(*KEYS, F.col("start_seq").alias("b0"), F.col("end_seq").alias("b1"))
-    j = s.join(on, list(KEYS)).join(best, list(KEYS), "left")
+    s = s.withColumns({"a0": F.min(on_seq).over(whole), "a1": F.max(on_seq).over(whole), "peak": F.max_by("seq", F.struct("value", -F.col("seq"))).over(whole)})
+    j = s.join(best, list(KEYS), "left")
     q = F.col("seq")
     ramp = F.when(F.col("b0").isNotNull(), F.when(q < F.col("b0"), "STARTUP").when(q > F.col("b1"), "SHUTDOWN").otherwise("STEADY")).otherwise(F.when(q <= F.col("peak"), "STARTUP").otherwise("SHUTDOWN"))
     quiet = ~F.col("active") & (ramp != "STEADY")
