@@ -138,10 +138,10 @@ def run(spark, sf):
     return r, analysis.batch(r, roles, specs(spark), uncertainty.COLD_FLOW, "simple", "view", fixed, qc.missing(r, 0.05, 0.09))
 
 
-@query("b1_analyse_tests", f"WITH {CHECKED} SELECT test_id, round(p1, 8) AS avg_p_up_bar, round(u1, 8) AS u_p_up_bar, round(f, 8) AS avg_mf_g_s, round(p1 - p2, 8) AS avg_dp_bar, round(cd, 8) AS avg_cd FROM k")
+@query("b1_analyse_tests", f"WITH {CHECKED} SELECT test_id, round(p1, 9) AS avg_p_up_bar, round(u1, 9) AS u_p_up_bar, round(f, 9) AS avg_mf_g_s, round(p1 - p2, 9) AS avg_dp_bar, round(cd, 9) AS avg_cd FROM k")
 def b1(spark, sf):
     _, done = run(spark, sf)
-    return rounded(done.where("success").select("test_id", "avg_p_up_bar", "u_p_up_bar", "avg_mf_g_s", "avg_dp_bar", "avg_cd"), 8)
+    return rounded(done.where("success").select("test_id", "avg_p_up_bar", "u_p_up_bar", "avg_mf_g_s", "avg_dp_bar", "avg_cd"), 9)
 
 
 @query("b2_b3_batch", f"WITH {CHECKED} SELECT t.test_id, b.test_id IS NULL AS success, CASE WHEN b.test_id IS NOT NULL THEN 'quality: nan_ratio' END AS error, CASE WHEN b.test_id IS NULL THEN 'PASS' ELSE 'FAIL' END AS qc_status FROM (SELECT DISTINCT test_id FROM readings) t LEFT JOIN bad b USING (test_id)")
