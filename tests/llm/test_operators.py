@@ -277,6 +277,35 @@ def test_classifiers_on_held_out_rows(spark):
     assert {r["predicted"] for r in toxicity.ToxicityModel.fit(docs, none).scored(docs).collect()} == {0}
 
 
+def test_toxicity_counts_every_context(spark):
+    rows = [(" ".join(f"p{i}x{j} common" for j in range(200)), i % 2, 4 * (i == 2)) for i in range(5)] + [("common common p0x0", 0, 1), (None, 1, 1), ("", 0, 1)]
+    got = {r["word"]: r for r in toxicity.counted(spark.createDataFrame(rows, "text string, label int, fold int").repartition(3)).collect()}
+    contexts, documents = {}, {}
+    for t, label, part in rows:
+        words = (t or "").split()
+        for before, word in zip(["", *words], words):
+            contexts.setdefault(word, set()).add(before)
+        for word in set(words):
+            documents.setdefault(word, [0] * 4)[label + 2 * (part == 4)] += 1
+    assert len(contexts["common"]) == 1002
+    assert {w: r["contexts"] for w, r in got.items()} == {w: len(x) for w, x in contexts.items()}
+    assert {w: [r["n0"], r["n1"], r["c0"], r["c1"]] for w, r in got.items()} == documents
+
+
+def test_toxicity_joins_a_model_too_large_to_broadcast(spark):
+    docs, marks, _ = training(spark)
+    docs = docs.unionByName(docs.where("doc_id in (1, 2, 6)"))
+    small, large = toxicity.ToxicityModel.fit(docs, marks), toxicity.ToxicityModel.fit(docs, marks, most=0)
+    assert isinstance(small.words, dict) and small.words == {r["word"]: r["r"] for r in large.words.collect()}
+    assert small.threshold == large.threshold
+
+    def rows(model):
+        return sorted(((r["doc_id"] if r["doc_id"] is not None else -1, r["predicted"], round(r["score"], 9)) for r in model.scored(docs).collect()))
+
+    assert rows(small) == rows(large) and sum(p for _, p, _ in rows(small)) > 0
+    assert sorted(small.kept(docs).collect(), key=str) == sorted(large.kept(docs).collect(), key=str)
+
+
 def test_cut_takes_the_middle():
     counts = np.zeros((labels.BINS, 2))
     counts[100, 0] = 50

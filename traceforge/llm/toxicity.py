@@ -9,9 +9,10 @@ and normalised by the root of the length, so long documents gather no score by l
 
 Counts are taken over every labelled row outside the held-out fold, merged by a shuffle on the word. They
 are kept apart for the calibration fold, so that the cut is set with a model that has not seen the rows it is
-set on; the final model uses all of them. The different words before a word are counted by a 64-bit linear-counting sketch, which merges by
-bitwise or. Only words whose ratio passes the margin can change a score, so only they are broadcast, the
-``MODEL_WORDS`` strongest at most (a bound of the fitted classifier).
+set on; the final model uses all of them. The different words before a word are counted exactly, by grouping
+on the pair and then on the word; the start of a text counts as one of them. Only words whose ratio passes the
+margin can change a score. They are broadcast where they take ``BROADCAST_BYTES`` at most, and joined to the
+words of the texts by a shuffle where they take more.
 
 Cases: null, empty and wordless texts have no evidence and the lowest score; labels that are null, repeated
 or belong to no document are ignored or merged (the higher wins); without labels of both classes every
@@ -22,7 +23,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -37,8 +37,9 @@ from traceforge.llm.shared import stored
 
 WORD = re.compile(r"\w+")
 MARGIN = 2.5
-MODEL_WORDS = 200_000
-#: Words that a task holds before it hands its counts on.
+#: A model up to this size (characters, and about 100 bytes a word for its entry) is broadcast.
+BROADCAST_BYTES = 24_000_000
+#: Word pairs that a task holds before it hands its counts on.
 FLUSH = 200_000
 LOW, HIGH = 0.0, 10.0
 COUNTS = ["n0", "n1", "c0", "c1"]
@@ -49,55 +50,55 @@ def words_of(text: str | None) -> list[str]:
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """``(word, n0, n1, c0, c1, before)`` over all rows of ``(text, label, fold)``: documents of each class that
-    hold the word, outside and inside the calibration fold, and the sketch of words before it."""
+    """``(word, n0, n1, c0, c1, contexts)`` over all rows of ``(text, label, fold)``: documents of each class that
+    hold the word, outside and inside the calibration fold, and how many different words stand before it."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, before = [Counter() for _ in COUNTS], {}
-
-        def out() -> pd.DataFrame:
-            words = list(before)
-            frame = pd.DataFrame({"word": words} | {c: [n[w] for w in words] for c, n in zip(COUNTS, counts)})
-            frame["before"] = np.array([before[w] for w in words], np.uint64).view(np.int64)
-            for x in (before, *counts):
+        counts, pairs = [Counter() for _ in COUNTS], set()
+
+        def out() -> Iterator[pd.DataFrame]:
+            words = list(set().union(*counts))
+            yield pd.DataFrame({"word": words, "before": None} | {c: [n[w] for w in words] for c, n in zip(COUNTS, counts)})
+            before, word = zip(*pairs)
+            yield pd.DataFrame({"word": word, "before": before} | dict.fromkeys(COUNTS, 0))
+            for x in (pairs, *counts):
                 x.clear()
-            return frame
 
         for batch in batches:
             for text, label, part in zip(batch["text"], batch["label"], batch["fold"]):
                 words = words_of(text)
                 counts[(label > 0) + 2 * (part == 4)].update(set(words))
-                bit = 1
-                for w in words:
-                    before[w] = before.get(w, 0) | bit
-                    bit = 1 << (zlib.crc32(w.encode("utf-8", "surrogatepass")) & 63)
-                if len(before) >= FLUSH:
-                    yield out()
-        if before:
-            yield out()
+                pairs.update(zip(["", *words], words))
+                if len(pairs) >= FLUSH:
+                    yield from out()
+        if pairs:
+            yield from out()
 
-    parts = rows.select("text", "label", "fold").mapInPandas(run, "word string, n0 long, n1 long, c0 long, c1 long, before long")
-    return parts.groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS], F.bit_or("before").alias("before"))
+    parts = rows.select("text", "label", "fold").mapInPandas(run, "word string, before string, n0 long, n1 long, c0 long, c1 long")
+    sums = [F.sum(c).alias(c) for c in COUNTS]
+    return parts.groupBy("word", "before").agg(*sums).groupBy("word").agg(*sums, F.count("before").alias("contexts"))
 
 
-def fitted(counts: DataFrame) -> dict[str, float]:
-    """The words of ``(word, n0, n1, before)`` whose log-likelihood ratio (toxic over ordinary) passes the margin."""
+def fitted(counts: DataFrame, most: int = BROADCAST_BYTES) -> dict[str, float] | DataFrame:
+    """The words of ``(word, n0, n1, contexts)`` whose log-likelihood ratio ``r`` (toxic over ordinary) passes the
+    margin: a dictionary, or ``(word, r)`` rows where they take more than ``most`` bytes."""
 
     def discount(n: str):
         return F.when(F.col(n) < 3, F.col(n)).otherwise(2.5)
 
-    contexts = -64 * F.log(1 - F.least(F.bit_count("before"), F.lit(63)) / 64)
-    sums = counts.agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), F.sum(discount("n0")).alias("d0"), F.sum(discount("n1")).alias("d1"), F.sum(contexts).alias("c"), F.count("*").alias("v")).first()
+    sums = counts.agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), F.sum(discount("n0")).alias("d0"), F.sum(discount("n1")).alias("d1"), F.sum("contexts").alias("c"), F.count("*").alias("v")).first()
     if not sums["t0"] or not sums["t1"]:
         return {}
-    shared = (contexts + 0.5) / (sums["c"] + 0.5 * (sums["v"] + 1))
+    shared = (F.col("contexts") + 0.5) / (sums["c"] + 0.5 * (sums["v"] + 1))
 
     def p(n: str, k: str):
         return (F.col(n) - discount(n)) / sums[f"t{k}"] + sums[f"d{k}"] / sums[f"t{k}"] * shared
 
     ratio = F.log(p("n1", "1") / p("n0", "0"))
-    strong = counts.where("n1 > 1").select("word", ratio.alias("r"), "n1").where(F.col("r") > MARGIN)
-    return {r["word"]: r["r"] for r in strong.orderBy((F.col("r") * F.col("n1")).desc(), "word").limit(MODEL_WORDS).collect()}
+    strong = stored(counts.where("n1 > 1").select("word", ratio.alias("r")).where(F.col("r") > MARGIN), "toxic-words")
+    if (strong.agg(F.sum(F.length("word") + 100)).first()[0] or 0) > most:
+        return strong
+    return {r["word"]: r["r"] for r in strong.collect()}
 
 
 def evidence(text: str | None, model: dict[str, float]) -> float:
@@ -105,9 +106,37 @@ def evidence(text: str | None, model: dict[str, float]) -> float:
     return sum(model[w] for w in words if w in model) / math.sqrt(len(words) + 20)
 
 
-def with_evidence(df: DataFrame, model: dict[str, float], text: str = "text", name: str = "s") -> DataFrame:
-    known = df.sparkSession.sparkContext.broadcast(model)
+def joined(df: DataFrame, model: DataFrame, text: str, name: str) -> DataFrame:
+    """``df`` with the evidence of its texts as ``name``, from ``(word, r)`` rows joined by a shuffle.
+
+    Texts are known by their digests, so equal ones are scored once.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = []
+        for batch in batches:
+            for digest, text in zip(batch["digest"], batch["text"]):
+                words = words_of(text)
+                rows += [(digest, w, n, len(words)) for w, n in Counter(words).items()]
+                if len(rows) >= FLUSH:
+                    yield pd.DataFrame(rows, columns=["digest", "word", "n", "size"])
+                    rows = []
+        if rows:
+            yield pd.DataFrame(rows, columns=["digest", "word", "n", "size"])
+
+    texts = df.where(F.col(text).isNotNull()).select(F.md5(F.col(text).cast("binary")).alias("digest"), F.col(text).alias("text"))
+    words = texts.mapInPandas(run, "digest string, word string, n long, size long").distinct()
+    found = words.join(model, "word").groupBy("digest").agg((F.sum(F.col("n") * F.col("r")) / F.sqrt(F.first("size") + 20)).alias(name))
+    names = [*df.columns, name]
+    keyed = df.withColumn("digest", F.md5(F.col(text).cast("binary")))
+    return keyed.join(found, "digest", "left").withColumn(name, F.coalesce(name, F.lit(0.0))).select(*names)
+
+
+def with_evidence(df: DataFrame, model: dict[str, float] | DataFrame, text: str = "text", name: str = "s") -> DataFrame:
     rest = [c for c in df.columns if c not in (text, name)]
+    if isinstance(model, DataFrame):
+        return joined(df.select(*rest, text), model, text, name).select(*rest, name)
+    known = df.sparkSession.sparkContext.broadcast(model)
     schema = StructType([df.schema[c] for c in rest]).add(name, DoubleType())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,18 +149,18 @@ def with_evidence(df: DataFrame, model: dict[str, float], text: str = "text", na
 class ToxicityModel:
     """Word ratios with the cut and slope that turn evidence into a probability."""
 
-    def __init__(self, words: dict[str, float], threshold: float, slope: float):
+    def __init__(self, words: dict[str, float] | DataFrame, threshold: float, slope: float):
         self.words, self.threshold, self.slope = words, threshold, slope
 
     @classmethod
-    def fit(cls, docs: DataFrame, labels: DataFrame, label: str = "toxic") -> ToxicityModel:
+    def fit(cls, docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = BROADCAST_BYTES) -> ToxicityModel:
         rows = labelled(docs, labels, label)
         counts = stored(counted(rows), "word-counts")
-        both = counts.select("word", (F.col("n0") + F.col("c0")).alias("n0"), (F.col("n1") + F.col("c1")).alias("n1"), "before")
-        words = fitted(both)
-        if not words:
+        both = counts.select("word", (F.col("n0") + F.col("c0")).alias("n0"), (F.col("n1") + F.col("c1")).alias("n1"), "contexts")
+        words = fitted(both, most)
+        if isinstance(words, dict) and not words:
             return cls({}, HIGH, 1000.0)
-        unseen = histogram(with_evidence(rows.where("fold = 4").select("text", "label"), fitted(counts)), LOW, HIGH)
+        unseen = histogram(with_evidence(rows.where("fold = 4").select("text", "label"), fitted(counts, most)), LOW, HIGH)
         if not unseen.sum(0).all():  # too few rows to calibrate on
             return cls(words, 0.5, 8.0)
         return cls(words, *cut(unseen, LOW, HIGH))
@@ -147,8 +176,10 @@ class ToxicityModel:
     def kept(self, df: DataFrame, text: str = "text") -> DataFrame:
         """The rows of ``df`` that are not toxic, with their columns as they were."""
         names = [f"c{i}" for i in range(len(df.columns))]
-        known = df.sparkSession.sparkContext.broadcast(self.words)
         column, threshold = names[df.columns.index(text)], self.threshold
+        if isinstance(self.words, DataFrame):
+            return joined(df.toDF(*names), self.words, column, "s").where(F.col("s") < threshold).drop("s").toDF(*df.columns)
+        known = df.sparkSession.sparkContext.broadcast(self.words)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
