@@ -87,6 +87,21 @@ def test_html_extraction():
     assert html_extract.main_text("<ul><li><a>x</a><li><a>y</a></ul>") == ""
 
 
+def test_html_windows_decide_beside_a_teaser():
+    long = " ".join(["word"] * 40)
+    teaser = f"<body><div id=content><p>{long}</p></div><article class=card>Next: read on</article></body>"
+    assert html_extract.main_text(teaser).startswith(long)
+    most = f"<body><p>Elsewhere</p><article><p>{long}</p><aside>no</aside><p>End.</p></article></body>"
+    assert html_extract.main_text(most) == long + "\n\nEnd."
+
+
+def test_html_keeps_short_blocks_after_furniture():
+    long = " ".join(["word"] * 40)
+    page = f"<body><div id=a><p>{long}</p><aside>no</aside><p>Short.</p><aside>no</aside>End.</div><nav>no</nav><div><div><p>Imprint</p></div></div></body>"
+    assert html_extract.main_text(page) == f"{long}\n\nShort.\n\nEnd."
+    assert html_extract.main_text(f"<div>{long}<button>no</button> tail</div>") == f"{long}\n\ntail"
+
+
 def test_html_columns(spark):
     df = spark.createDataFrame([(1, "u", None, "old"), (1, "u", "<article><p>hi</p></article>", "old")], "page_id long, url string, html string, text string")
     rows = html_extract.extracted(df).collect()

@@ -2,13 +2,17 @@
 
 The page's markup is stripped so that every block element becomes one line. Text in elements that are never
 part of an article (menus, headers, footers, asides, forms, scripts, styles, notices, adverts, reader
-comments, by tag, role or class and id words), and text outside the article where a page names one, counts
-as blank lines. Text lengths, link text left out, are summed over sliding windows of lines. A surge point
-is a line from which the window sum reaches a threshold; the dive point after it is the first line whose
-window holds no text. Lines between a surge and its dive are the text.
+comments, by tag, role or class and id words) counts as blank lines. Text lengths, link text left out, are
+summed over sliding windows of lines. A surge point is a line from which the window sum reaches a threshold;
+the dive point after it is the first line whose window holds no text. Lines between a surge and its dive are
+the text, and so are short lines after a gap of furniture that stand in the element, or beside the element, of a
+line between surge and dive.
 
-Cases: null or empty html gives an empty text; a page whose lines never surge keeps the lines of its
-article element, or nothing; unclosed and stray tags are tolerated; long pages are scanned once, whole.
+Where article or main elements hold at least half of the page's counted text, they decide instead: all their
+lines are the text, and nothing else is. Where they hold less (teasers beside a story), they decide nothing.
+
+Cases: null or empty html gives an empty text; a page without such an article whose lines never surge gives
+an empty text; unclosed and stray tags are tolerated; long pages are scanned once, whole.
 """
 
 from __future__ import annotations
@@ -65,28 +69,36 @@ def is_furniture(tag: str, attributes: str, hints: bool = True) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|$)", attributes))
 
 
-def lines_of(page: str, hints: bool = True) -> list[tuple[str, int, bool]]:
-    """One ``(text, characters that count, in the article)`` per block of the page, blanks for furniture."""
-    lines: list[tuple[str, int, bool]] = []
+#: Text, characters that count, whether in an article, the block element around it and the one around that.
+Line = tuple[str, int, bool, frozenset[int]]
+BLANK: Line = ("", 0, False, frozenset())
+
+
+def lines_of(page: str, hints: bool = True) -> list[Line]:
+    """One line per block of the page, blanks for furniture."""
+    lines: list[Line] = []
     pieces: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, whether it starts furniture, whether it is an article
-    off = inside = links = link_chars = 0
+    blocks = [-1, 0]  # numbers of the open block elements, under two for the page itself
+    off = inside = links = link_chars = opened = 0
 
     def flush() -> None:
         nonlocal link_chars
         text = " ".join("".join(pieces).split())
         pieces.clear()
         if text:
-            lines.append((text, max(0, len(text) - link_chars), inside > 0))
+            lines.append((text, max(0, len(text) - link_chars), inside > 0, frozenset(blocks[-2:])))
         link_chars = 0
 
     def pop() -> None:
         nonlocal off, inside, links
         tag, starts, is_article = stack.pop()
+        if tag not in INLINE:
+            blocks.pop()
         if starts:
             off -= 1
             if not off:
-                lines.extend([("", 0, False)] * WINDOW)
+                lines.extend([BLANK] * WINDOW)
         inside -= is_article
         links -= tag == "a"
 
@@ -132,11 +144,14 @@ def lines_of(page: str, hints: bool = True) -> list[tuple[str, int, bool]]:
         starts = is_furniture(tag, m[3], hints)
         if starts and not off:
             flush()
-            lines.extend([("", 0, False)] * WINDOW)
+            lines.extend([BLANK] * WINDOW)
         off += starts
         inside += tag in ("article", "main")
         links += tag == "a"
         stack.append((tag, starts, tag in ("article", "main")))
+        if tag not in INLINE:
+            opened += 1
+            blocks.append(opened)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.start() if end else size
@@ -152,22 +167,24 @@ def main_text(page: str | None) -> str:
     return between_surges(lines_of(page or "")) or between_surges(lines_of(page or "", False))
 
 
-def between_surges(lines: list[tuple[str, int, bool]]) -> str:
-    if any(inside for _, _, inside in lines):
-        lines = [x if x[2] else ("", 0, False) for x in lines]
-        surge, counts = 1, [len(t) for t, _, _ in lines]  # the page has said where its article is
-    else:
-        surge, counts = SURGE, [n for _, n, _ in lines]
-    counts += [0] * WINDOW
-    kept, on = [], False
-    for i, (text, _, _) in enumerate(lines):
-        if not on and counts[i] and sum(counts[i : i + WINDOW]) >= surge:
-            on = True
+def between_surges(lines: list[Line]) -> str:
+    article = [x for x in lines if x[2]]
+    if article and 2 * sum(x[1] for x in article) >= sum(x[1] for x in lines):
+        return "\n\n".join(x[0] for x in article)
+    counts = [x[1] for x in lines] + [0] * WINDOW
+    kept, after_gap, places = [False] * len(lines), [False] * len(lines), set()
+    on = begun = gap = False
+    for i, (text, _, _, place) in enumerate(lines):
+        if not on and counts[i] and sum(counts[i : i + WINDOW]) >= SURGE:
+            on = begun = True
         elif on and not any(counts[i : i + WINDOW]):
-            on = False
+            on = gap = False
+        gap = not on and (gap or not text)
         if on and text:
-            kept.append(text)
-    return "\n\n".join(kept)
+            kept[i] = True
+            places |= place
+        after_gap[i] = begun and gap and counts[i] > 0
+    return "\n\n".join(x[0] for x, k, g in zip(lines, kept, after_gap) if k or g and not places.isdisjoint(x[3]))
 
 
 def extracted(df: DataFrame, html: str = "html") -> DataFrame:
