@@ -4,8 +4,9 @@ Each class has a model of the words of its documents. A word's count is the numb
 class that hold it; counts are lowered by a discount (one each for counts of one, two, and three or more),
 and the mass so freed goes to a backoff distribution shared by both classes: how many different words stand
 before a word, over all fitting documents. Rare expressions thus get nearly the same probability in both models. A
-document's score compares its log-likelihoods under the two models: ratios beyond a margin are summed
-and normalised by the root of the length, so long documents gather no score by length alone.
+document's score is a lexicon cut, not the difference of its two log-likelihoods: log ratios over ``MARGIN`` of
+words in two toxic documents at least are summed, all others count 0, and the sum is normalised by the root of
+the length. The README has the figures of both.
 
 Counts are taken over every labelled row outside the held-out fold, merged by a shuffle on the word. They
 are kept apart for the calibration fold, so that the cut is set with a model that has not seen the rows it is
