@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from traceforge.operators import anomaly, audit, compare, phases, prep, qc, spc, spectral, steady, uncertainty
+from traceforge.queries import queries
 from traceforge.sources import campaigns, recordings
 
 
@@ -104,6 +105,26 @@ def test_planted_anomalies(spark):
     assert 0 <= anomaly.sensor_health(r, found).first()["health"] < 1
 
 
+def test_statistical_takes_the_t_table_for_small_dof(spark):
+    rng = np.random.default_rng(7)
+    known = {1: 12.706, 4: 2.776, 28: 2.048, 29: 2.045, 30: 1.96}
+    samples = {d: rng.normal(size=d + 1) for d in known} | {0: np.ones(1)}
+    rows = [(str(d), float(x)) for d, xs in samples.items() for x in xs]
+    got = {int(r["channel"]): r for r in uncertainty.statistical(spark.createDataFrame(rows, "channel string, value double"), "value", "channel").collect()}
+    assert math.isinf(got[0]["u_stat"])
+    for d, k in known.items():
+        assert got[d]["n"] == d + 1 and got[d]["u_stat"] == pytest.approx(k * np.std(samples[d], ddof=1) / math.sqrt(d + 1), rel=1e-3)
+
+
+def test_whole_table_queries_leave_no_row_out(spark):
+    sf, known = "/root/testdata/sf0.001", queries()
+    orders, events = (spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("orders", "events"))
+    assert known["u10_statistical_all"](spark, sf).agg(F.sum("n")).first()[0] == events
+    assert known["s8_campaign_read_all"](spark, sf).count() == orders
+    assert known["u11_u12_combined_expanded_all"](spark, sf).agg(F.sum(F.col("dof") + 1)).first()[0] == orders
+    assert {r[0] for r in known["m9_deviation_tracking_all"](spark, sf).select("parameter").distinct().collect()} > {"avg_price"}
+
+
 def test_phases_of_a_run(spark):
     rng = np.random.default_rng(3)
     x = np.r_[np.zeros(200), np.linspace(0, 30, 200), 30 + 0.1 * rng.normal(size=1000), np.linspace(30, 0, 200), np.zeros(400)]
