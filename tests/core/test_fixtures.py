@@ -2,12 +2,16 @@
 
 import math
 import random
+from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from traceforge.operators import anomaly, audit, compare, phases, prep, qc, spc, spectral, steady, uncertainty
+from traceforge.queries import anomaly as anomaly_queries
 from traceforge.queries import queries
 from traceforge.sources import campaigns, recordings
 
@@ -105,6 +109,39 @@ def test_planted_anomalies(spark):
     assert 0 <= anomaly.sensor_health(r, found).first()["health"] < 1
 
 
+def test_health_and_report_take_every_detector(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    t = np.arange(600)
+    planted = {
+        "click": 100 + 5 * np.sin(2 * np.pi * t / 50),
+        "error": np.r_[100 + rng.normal(size=300), np.full(300, 103.0)],
+        "purchase": 100 + t / 20 + 0.1 * rng.normal(size=600),
+        "signup": np.minimum(100 + 2 * rng.normal(size=600), 101.0),
+        "view": 100 + rng.normal(size=600),
+    }
+    r = reduce(DataFrame.unionByName, [series(spark, x, c) for c, x in planted.items()]).cache()
+    monkeypatch.setattr(anomaly_queries, "readings", lambda *_: r)
+    known = queries()
+    found = anomaly.detect_all(r, [(a, b) for a in planted for b in planted if a < b]).collect()
+    health = {x["channel"]: x["health"] for x in known["a9_sensor_health_all"](spark, "").collect()}
+
+    def size(channel, *kinds):
+        return sum(x["n"] for x in found if x["channel"] == channel and x["kind"] in kinds) / 600
+
+    for c in planted:
+        spikes = 100 * sum(x["channel"] == c and x["kind"] == "spike" for x in found) / 600
+        flat = size(c, "flatline")
+        wave = max((x["score"] for x in found if x["channel"] == c and x["kind"] == "oscillation"), default=0)
+        lost = (min(0.1 * spikes, 0.2) if spikes > 0.1 else 0) + min(3 * size(c, "dropout"), 0.4) + (min(0.5 * flat, 0.3) if flat > 0.1 else 0)
+        lost += min(2 * size(c, "saturation_high", "saturation_low"), 0.3) + 0.1 * (size(c, "drift") > 0) + 0.1 * (wave > 0.5)
+        assert health[c] == pytest.approx(1 - min(lost, 1), abs=1e-7), c
+    assert max(health[c] for c in ("click", "error", "purchase", "signup")) < 1
+    counts = Counter((x["channel"], x["kind"], x["severity"]) for x in found)
+    assert {(x["channel"], x["kind"], x["severity"]): x["n_intervals"] for x in known["a11_r12_report_all"](spark, "").collect()} == counts
+    assert Counter((x["channel"], x["kind"], x["severity"]) for x in known["a10_severity_all"](spark, "").collect()) == counts
+    assert {"flatline", "saturation_high", "drift", "oscillation"} <= {k for _, k, _ in counts}
+
+
 def test_statistical_takes_the_t_table_for_small_dof(spark):
     rng = np.random.default_rng(7)
     known = {1: 12.706, 4: 2.776, 28: 2.048, 29: 2.045, 30: 1.96}

@@ -1,5 +1,7 @@
 """Anomaly and sensor-health queries."""
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from traceforge.operators import anomaly
@@ -127,3 +129,23 @@ def a10b(spark, sf):
 @query("a11_r12_report", BOTH + " SELECT test_id, channel, kind, severity, count(*) AS n_intervals, CAST(sum(n) AS BIGINT) AS n_samples FROM b GROUP BY ALL")
 def a11(spark, sf):
     return anomaly.report(some(spark, sf)[1]).select("test_id", "channel", "kind", "severity", "n_intervals", "n_samples")
+
+
+#: Every pair of channels.
+PAIRS = list(combinations(("click", "error", "purchase", "signup", "view"), 2))
+
+
+@query("a9_sensor_health_all")
+def a9_all(spark, sf):
+    r = readings(spark, sf, True)
+    return rounded(anomaly.sensor_health(r, anomaly.detect_all(r, PAIRS)), 8)
+
+
+@query("a10_severity_all")
+def a10_all(spark, sf):
+    return anomaly.detect_all(readings(spark, sf, True), PAIRS).select("test_id", "channel", "kind", "start_seq", "severity")
+
+
+@query("a11_r12_report_all")
+def a11_all(spark, sf):
+    return anomaly.report(anomaly.detect_all(readings(spark, sf, True), PAIRS)).select("test_id", "channel", "kind", "severity", "n_intervals", "n_samples")
