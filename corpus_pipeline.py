@@ -29,14 +29,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near fingerprints; rows that share an id leave one.
+    """The document with the smallest id of each group of near fingerprints, one row of each group.
 
-    Only ids travel to the decision; texts move once, to meet it. Rows without an id cannot be named by a
-    group and stay.
+    A row is named by its id and the digest of its text, so different texts may share an id. Only these names
+    travel to the decision; texts move once, to meet it. Rows without an id cannot be named by a group and stay.
     """
-    groups = simhash.near_duplicates(docs)
-    chosen = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    keyed = docs.withColumn("digest", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    groups = simhash.near_duplicates(keyed, "digest").select("digest", "component_id").distinct()
+    ids = keyed.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
+    chosen = ids.join(groups, "digest").groupBy("component_id").agg(F.min(F.struct("doc_id", "digest")).alias("row")).select("row.*")
+    kept = keyed.where("doc_id is not null").join(chosen, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 

@@ -1,4 +1,7 @@
+import random
+
 import corpus_pipeline
+from traceforge.llm import simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -14,3 +17,21 @@ def test_stages_keep_columns_and_take_effect(spark):
     assert counts == sorted(counts, reverse=True) and counts[-1] > 0.4 * count
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert last.count() == counts[-1]
+
+
+def test_near_duplicates_leave_one_row_of_each_group_where_ids_repeat(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 9) for _ in range(80)) for _ in range(12)]
+    rows = [(i % 5, t) for i, t in enumerate(texts)] + [(i + 3, t) for i, t in enumerate(texts[:6])] + [(0, texts[0]), (1, None), (2, ""), (2, texts[3] + " a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = simhash.fingerprinted(df, "text", 4, 42).collect()
+    fps = [r["fp"] for r in found]
+    group = list(range(len(fps)))
+    for a in range(len(fps)):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= 4:
+                group = [group[b] if g == group[a] else g for g in group]
+    least = {g: min(r["doc_id"] for r, h in zip(found, group) if h == g) for g in group}
+    kept = corpus_pipeline.near_duplicates(spark, df, "").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(least.values())
+    assert len(least) > len({i for i, _ in rows})
