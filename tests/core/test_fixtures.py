@@ -109,6 +109,15 @@ def test_planted_anomalies(spark):
     assert 0 <= anomaly.sensor_health(r, found).first()["health"] < 1
 
 
+def test_steady_forest_sees_a_sixth_channel(spark):
+    rng = np.random.default_rng(9)
+    calm = {c: 10 + 0.1 * rng.normal(size=400) for c in "ABCDE"}
+    last = np.r_[np.linspace(500, 10, 100), 10 + 0.1 * rng.normal(size=300)]
+    r = reduce(DataFrame.unionByName, [series(spark, x, c) for c, x in (calm | {"F": last}).items()])
+    five, six = (steady.steady_forest(r, list(c)).collect() for c in ("ABCDE", "ABCDEF"))
+    assert six != five
+
+
 def test_health_and_report_take_every_detector(spark, monkeypatch):
     rng = np.random.default_rng(8)
     t = np.arange(600)

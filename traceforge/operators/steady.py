@@ -105,21 +105,21 @@ def depths(tree: tuple, x: np.ndarray) -> np.ndarray:
 
 
 def steady_forest(readings: DataFrame, channels: list[str], contamination: float = 0.3, gap: int = 5, width: int = 20, seed: int = 7) -> DataFrame:
-    """The longest run of isolation-forest inliers on value, rolling mean and rolling deviation of up to five channels.
+    """The longest run of isolation-forest inliers on value, rolling mean and rolling deviation of all given channels.
 
     A forest is grown per test from a bounded sample of its rows (``TREES * TREE_ROWS``), then all rows are scored
     where they lie; the threshold is the contamination quantile of the scores of the test.
     """
     v = F.col("value")
-    own = readings.where(F.col("channel").isin(channels[:5]))
+    own = readings.where(F.col("channel").isin(channels))
     features = own.withColumns({"m": rolling(F.avg(v), v, width), "s": rolling(F.stddev_samp(v), v, width)})
-    wide = features.groupBy("test_id", "seq").agg(F.min("time_s").alias("time_s"), *[F.max(F.when(F.col("channel") == c, F.col(k))).alias(f"{k}_{i}") for i, c in enumerate(channels[:5]) for k in ("value", "m", "s")])
-    names = [f"{k}_{i}" for i in range(len(channels[:5])) for k in ("value", "m", "s")]
+    wide = features.groupBy("test_id", "seq").agg(F.min("time_s").alias("time_s"), *[F.max(F.when(F.col("channel") == c, F.col(k))).alias(f"{k}_{i}") for i, c in enumerate(channels) for k in ("value", "m", "s")])
+    names = [f"{k}_{i}" for i in range(len(channels)) for k in ("value", "m", "s")]
     full = wide.dropna(subset=names)
     sizes = full.groupBy("test_id").agg(F.count("*").alias("n")).where("n >= 50")
     full = full.join(sizes.select("test_id"), "test_id")
     order = Window.partitionBy("test_id").orderBy(F.xxhash64("test_id", "seq"), "seq")
-    sample = full.withColumn("k", F.row_number().over(order)).where(F.col("k") <= TREES * TREE_ROWS // 8)
+    sample = full.withColumn("k", F.row_number().over(order)).where(F.col("k") <= TREES * TREE_ROWS)
     grouped = sample.groupBy("test_id").agg(F.collect_list(F.array(*names)).alias("rows"))
 
     def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
