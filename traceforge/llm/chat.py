@@ -12,21 +12,20 @@ formatting is reversible and no text can open or close a turn.
 
 Cases: null text and null role are empty strings; a null conversation id is one conversation; rows with
 equal turns are all kept, in the order of role and text; control strings and backslashes come back as they
-were; a conversation of any number of turns is formatted whole; an empty table gives an empty result.
+were; a conversation of any number of turns is formatted whole, as one row; an empty table gives an empty
+result; columns besides those named are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from traceforge.llm.shared import stored
+from traceforge.llm.shared import stored, worked
 
 # Control strings of common chat templates.
 CONTROL = ["<|im_start|>", "<|im_end|>", "<|endoftext|>", "<|startoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|system|>", "<|user|>", "<|assistant|>", "<|end|>", "<|eot_id|>", "<|start_header_id|>", "<|end_header_id|>", "<|begin_of_text|>", "<|end_of_text|>", "<bos>", "<eos>", "<pad>", "<unk>", "<start_of_turn>", "<end_of_turn>"]
@@ -83,25 +82,21 @@ def chosen_paths(tree: DataFrame, top: int = 1) -> DataFrame:
 
 def formatted(tree: DataFrame, top: int = 1) -> DataFrame:
     """``conv, branch, formatted, mask``: one conversation per chosen path, ``mask`` the trained spans as
-    (start, end) code points. A path's turns are put together by a partially aggregated list."""
+    (start, end) code points, from running lengths along the path."""
     paths = chosen_paths(tree, top)
     words = tree.select(F.col("conv").alias("c2"), F.col("node").alias("n2"), "role", "text")
     rows = paths.join(words, F.col("conv").eqNullSafe(F.col("c2")) & (F.col("node") == F.col("n2")))
     role = F.regexp_replace(escaped(F.col("role")), "\n", "\\\\\n")
     head = F.concat(F.lit(START), role, F.lit("\n"))
     body = escaped(F.col("text"))
-    piece = F.struct("depth", F.concat(head, body, F.lit(f"{END}\n")).alias("s"), F.char_length(head).alias("from"), F.char_length(body).alias("long"), (F.col("role") == "assistant").alias("train"))
-    turns = rows.select("conv", "branch", piece.alias("p")).groupBy("conv", "branch").agg(F.array_sort(F.collect_list("p")).alias("p"))
-    text = F.array_join(F.transform("p", lambda x: x["s"]), "")
-    at0 = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("mask"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["from"]
-        span = F.array(F.struct(start.alias("start"), (start + x["long"]).alias("end")))
-        mask = F.when(x["train"], F.concat(acc["mask"], span)).otherwise(acc["mask"])
-        return F.struct((acc["at"] + F.char_length(x["s"])).alias("at"), mask.alias("mask"))
-
-    return turns.select("conv", "branch", text.alias("formatted"), F.aggregate("p", at0, step)["mask"].alias("mask"))
+    turn = rows.select("conv", "branch", "depth", (F.col("role") == "assistant").alias("train"), F.concat(head, body, F.lit(f"{END}\n")).alias("s"), F.char_length(head).alias("from"), F.char_length(body).alias("long"))
+    before = Window.partitionBy("conv", "branch").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
+    start = (F.coalesce(F.sum(F.char_length("s")).over(before), F.lit(0)) + F.col("from")).cast("int")
+    span = F.struct(F.col("start"), (F.col("start") + F.col("long")).alias("end"))
+    placed = turn.withColumn("start", start).select("conv", "branch", F.struct("depth", "s", "train", span.alias("span")).alias("p"))
+    turns = placed.groupBy("conv", "branch").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    mask = F.transform(F.filter("p", lambda x: x["train"]), lambda x: x["span"])
+    return turns.select("conv", "branch", F.array_join(F.transform("p", lambda x: x["s"]), "").alias("formatted"), mask.alias("mask"))
 
 
 TURN = re.compile(re.escape(START) + r"((?:[^\\\n]|\\.)*)\n(.*?)" + re.escape(END) + "\n", re.S)
@@ -122,19 +117,17 @@ def parse(text: str) -> list[tuple[str, str]]:
 
 def read_back(done: DataFrame) -> DataFrame:
     """What the formatted conversations say, read from them alone."""
-    kind = done.schema["conv"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for conv, text, mask in zip(batch["conv"], batch["formatted"], batch["mask"]):
-                turns = parse(text)
-                seen = hashlib.sha256()
-                for role, body in turns:
-                    seen.update(f"{role}\n{body}\n".encode())
-                loss = "".join(unescaped(text[s["start"] : s["end"]]) for s in mask)
-                rows.append((conv, len(turns), seen.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
-            out = pd.DataFrame(rows, columns=["conv", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-            yield out.assign(conv=batch["conv"].array)
-
-    return done.select("conv", "formatted", "mask").mapInPandas(run, f"conv {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+    def work(texts: list, masks: list) -> tuple[list, ...]:
+        rows = []
+        for text, mask in zip(texts, masks):
+            turns = parse(text)
+            seen = hashlib.sha256()
+            for role, body in turns:
+                seen.update(f"{role}\n{body}\n".encode())
+            loss = "".join(unescaped(text[s["start"] : s["end"]]) for s in mask)
+            rows.append((len(turns), seen.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
+        return tuple(map(list, zip(*rows))) or ([],) * 5
+
+    added = {"n_turns": "long", "turns_sha256": "string", "loss_chars": "long", "loss_sha256": "string", "formatted_chars": "long"}
+    return worked(done.select("conv", "formatted", "mask"), ["formatted", "mask"], added, lambda: work)

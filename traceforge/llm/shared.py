@@ -1,13 +1,27 @@
-"""Helpers that several training-data operators use: shared tables and connected components."""
+"""Helpers that several training-data operators use: shared tables, work on texts, and connected components."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+
+#: Types of the columns that :func:`worked` can add, to Spark and to Arrow.
+TYPES = {
+    "int": (IntegerType(), pa.int32()),
+    "long": (LongType(), pa.int64()),
+    "double": (DoubleType(), pa.float64()),
+    "string": (StringType(), pa.string()),
+    "array<double>": (ArrayType(DoubleType()), pa.list_(pa.float64())),
+    "array<int>": (ArrayType(IntegerType()), pa.list_(pa.int32())),
+    "array<string>": (ArrayType(StringType()), pa.list_(pa.string())),
+}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,6 +60,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def worked(df: DataFrame, inputs: list[str], added: dict[str, str], setup: Callable[[], Callable[..., Sequence[Sequence]]], drop: list[str] | None = None) -> DataFrame:
+    """``df`` with the columns ``added`` (name to type), computed in Arrow batches from the columns ``inputs``.
+
+    ``setup`` runs once a task and returns a function from lists of input values to one list for each added
+    column. All other columns pass through as Arrow values, so ids of any size, nulls and types stay as they
+    are. ``drop`` names the columns that the result leaves out, which are all ``inputs`` unless given.
+    """
+    rest = [i for i, c in enumerate(df.columns) if c not in (inputs if drop is None else drop)]
+    where = [df.columns.index(c) for c in inputs]
+    names = [f"c{i}" for i in range(len(rest) + len(added))]
+    kinds = [df.schema[i].dataType for i in rest] + [TYPES[kind][0] for kind in added.values()]
+    schema = StructType([StructField(n, k, True) for n, k in zip(names, kinds)])
+    types = [TYPES[kind][1] for kind in added.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = setup()
+        for batch in batches:
+            made = work(*[batch.column(i).to_pylist() for i in where])
+            arrays = [batch.column(i) for i in rest] + [pa.array(x, t) for x, t in zip(made, types)]
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    positions = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return positions.mapInArrow(run, schema).toDF(*[df.columns[i] for i in rest], *added)
+
+
 def hooked(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """``root`` (of every node, the smallest index known in its set) after joining the sets of edges ``a``-``b``."""
     while len(a):
@@ -73,10 +112,13 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     spark = edges.sparkSession
     a, b = edges.columns[:2]
-    links = stored(
-        edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct(),
-        "links",
-    )
+
+    def written(df: DataFrame) -> tuple[DataFrame, str]:
+        path = new_path(spark, "links")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path), path
+
+    links, path = written(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct())
 
     def fingerprint(df: DataFrame) -> tuple:
         row = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -93,9 +135,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # small star: every smaller neighbour and the node itself go to the smallest of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = stored(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        after, new = written(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        drop_path(spark, path)  # the round before is not needed any more
         now, before_was = fingerprint(after), before
-        links, before = after, now
+        links, path, before = after, new, now
         if now == before_was:
             break
     else:

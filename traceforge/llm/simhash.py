@@ -3,8 +3,8 @@
 A fingerprint has a bit for each of 64 positions: 1 where over half of the text's word-shingle hashes have
 it set. Distinct fingerprints are sorted by population count and dealt into tiles of bounded size. Two
 fingerprints that differ in at most r bits have population counts that differ by at most r, so tile pairs
-whose counts lie further apart are skipped; inside a pair the same bound holds for the counts of each
-eighth of the bits, and what is left is compared by exclusive-or and bit counts. A tile pair gives back a
+whose counts lie further apart are skipped; inside a pair the same bound holds for the counts of the
+four quarters of the bits together, and what is left is compared by exclusive-or and bit counts. A tile pair gives back a
 spanning forest of its links, never the pairs, so a large group of near copies stays linear.
 
 Cases: null, empty and blank texts have fingerprint zero and link like any other; fewer words than a
@@ -24,9 +24,8 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructType
 
-from traceforge.llm.shared import components, hooked, stored
+from traceforge.llm.shared import components, hooked, stored, worked
 
 #: Fingerprints in one tile.
 TILE = 32_768
@@ -49,20 +48,11 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
 
 def fingerprinted(df: DataFrame, text: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
     """``df`` without its text, with a signed 64-bit ``fp``."""
-    rest = [c for c in df.columns if c not in (text, "fp")]
-    schema = StructType([df.schema[c] for c in rest]).add("fp", LongType(), False)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fp = np.fromiter((fingerprint(t, width, seed) for t in batch[text]), np.uint64, len(batch))
-            yield batch[rest].assign(fp=fp.view(np.int64))
-
-    return df.select(*rest, text).mapInPandas(run, schema)
 
+    def work(texts: list) -> tuple[np.ndarray]:
+        return (np.fromiter((fingerprint(t, width, seed) for t in texts), np.uint64, len(texts)).view(np.int64),)
 
-def eighth_counts(x: np.ndarray) -> np.ndarray:
-    """Population count of each of the eight bytes of every fingerprint."""
-    return np.bitwise_count(x.view(np.uint8).reshape(-1, 8)).astype(np.int16)
+    return worked(df, [text], {"fp": "long"}, lambda: work)
 
 
 def close_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,7 +62,7 @@ def close_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray,
     by more than the radius in sum hold no pair. Each cell of ``a`` meets its surviving cells in one numpy call.
     """
     def cells(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        q = eighth_counts(x).reshape(-1, 4, 2).sum(2)
+        q = np.bitwise_count(x.view(np.uint16).reshape(-1, 4)).astype(np.int16)  # the counts of the four quarters
         key = ((q[:, 0] * 17 + q[:, 1]) * 17 + q[:, 2]) * 17 + q[:, 3].astype(np.int32)
         order = np.argsort(key, kind="stable")
         starts = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0])
