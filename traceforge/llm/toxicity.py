@@ -1,23 +1,27 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Each class has a model of the words of its documents. A word's count is the number of documents of the
-class that hold it; counts are lowered by a discount (one each for counts of one, two, and three or more),
-and the mass so freed goes to a backoff distribution shared by both classes: how many different words stand
-before a word, over all fitting documents. Rare expressions thus get nearly the same probability in both models. A
-document's score is a lexicon cut, not the difference of its two log-likelihoods: log ratios over ``MARGIN`` of
-words in two toxic documents at least are summed, all others count 0, and the sum is normalised by the root of
-the length. The README has the figures of both.
-
-Counts are taken over every labelled row outside the held-out fold, merged by a shuffle on the word. They
-are kept apart for the calibration fold, so that the cut is set with a model that has not seen the rows it is
-set on; the final model uses all of them. The different words before a word are counted exactly, by grouping
-on the pair and then on the word; the start of a text counts as one of them. Only words whose ratio passes the
-margin can change a score. They are broadcast where they take ``BROADCAST_BYTES`` at most, and joined to the
-words of the texts by a shuffle where they take more.
-
-Cases: null, empty and wordless texts have no evidence and the lowest score; labels that are null, repeated
-or belong to no document are ignored or merged (the higher wins); without labels of both classes every
-score is 0.
+Each class has a model of its words, a word's count being the number of documents of the class that hold it.
+Counts are lowered by a discount (``DISCOUNTS`` for counts of one, two, and three or more), and the mass so
+freed goes to a backoff distribution that both classes share: how many different words stand before a word,
+over all fitting documents. Rare expressions thus get their probability from the shared counts in both models.
+
+Two log-likelihoods of a text are compared, both over all its words and normalised by its length. An ordinary
+text draws every word from the ordinary model. A toxic text draws a word from the toxic model with the
+probability ``RATE`` and else from the ordinary one, since few words make a document toxic. Words that both
+classes know only from the shared counts, unseen ones too, have one and the same ratio, so the stored model
+holds the others alone; no word is left out of the score.
+
+Counts are taken over every labelled row outside the held-out fold, merged by a shuffle. Words are known by
+64-bit hashes, and the different words before a word are counted exactly by grouping on the pair of hashes and
+then on the word; the start of a text counts as one of them. Counts are kept apart for the calibration fold,
+so that the cut is set with a model that has not seen the rows it is set on; the final model uses all of them.
+A model of ``BROADCAST_BYTES`` at most is broadcast; a larger one is joined to the words of the texts by a
+shuffle, with the same scores.
+
+Cases: null, empty and wordless texts have the lowest score; labels that are null, repeated or belong to no
+document are ignored or merged (the higher wins); without labels of both classes every score is 0; an empty
+table gives an empty result; repeated rows are scored alike; other columns are ignored by ``scored`` and
+returned as they were by ``kept``, whatever their names; texts of any length are scored whole.
 """
 
 from __future__ import annotations
@@ -25,24 +29,30 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructType
 
 from traceforge.llm.labels import cut, fold, histogram, labelled
-from traceforge.llm.shared import stored
+from traceforge.llm.shared import stored, worked
 
 WORD = re.compile(r"\w+")
-MARGIN = 2.5
-#: A model up to this size (characters, and about 100 bytes a word for its entry) is broadcast.
-BROADCAST_BYTES = 24_000_000
-#: Word pairs that a task holds before it hands its counts on.
+#: Discounts of words in one, two, and more documents of a class.
+DISCOUNTS = (1.0, 2.0, 2.5)
+#: The share of toxic words in a toxic text.
+RATE = 0.03
+#: Words added to a text's length, so that a few words alone do not make an extreme score.
+SMOOTH = 20
+#: A model of up to this size is broadcast, at ``WORD_BYTES`` a word (a hash and a value).
+BROADCAST_BYTES = 96_000_000
+WORD_BYTES = 16
+#: Rows of one Arrow batch of word counts, and words that a scoring task remembers.
 FLUSH = 200_000
-LOW, HIGH = 0.0, 10.0
+LOW, HIGH = -9.5, 2.0
 COUNTS = ["n0", "n1", "c0", "c1"]
 
 
@@ -50,141 +60,179 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+def hashed(word: str) -> int:
+    """A signed 64-bit hash; the words before others are told apart from ``COUNTS`` by being over 3."""
+    h = xxhash.xxh64_intdigest(word) >> 1
+    return h if h > 3 else h + 4
+
+
 def counted(rows: DataFrame) -> DataFrame:
     """``(word, n0, n1, c0, c1, contexts)`` over all rows of ``(text, label, fold)``: documents of each class that
     hold the word, outside and inside the calibration fold, and how many different words stand before it."""
+    names = ["word", "what", "n"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, pairs = [Counter() for _ in COUNTS], set()
-
-        def out() -> Iterator[pd.DataFrame]:
-            words = list(set().union(*counts))
-            yield pd.DataFrame({"word": words, "before": None} | {c: [n[w] for w in words] for c, n in zip(COUNTS, counts)})
-            before, word = zip(*pairs)
-            yield pd.DataFrame({"word": word, "before": before} | dict.fromkeys(COUNTS, 0))
-            for x in (pairs, *counts):
-                x.clear()
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, what, number, held = [], [], [], 0
         for batch in batches:
-            for text, label, part in zip(batch["text"], batch["label"], batch["fold"]):
-                words = words_of(text)
-                counts[(label > 0) + 2 * (part == 4)].update(set(words))
-                pairs.update(zip(["", *words], words))
-                if len(pairs) >= FLUSH:
-                    yield from out()
-        if pairs:
-            yield from out()
-
-    parts = rows.select("text", "label", "fold").mapInPandas(run, "word string, before string, n0 long, n1 long, c0 long, c1 long")
-    sums = [F.sum(c).alias(c) for c in COUNTS]
-    return parts.groupBy("word", "before").agg(*sums).groupBy("word").agg(*sums, F.count("before").alias("contexts"))
-
-
-def fitted(counts: DataFrame, most: int = BROADCAST_BYTES) -> dict[str, float] | DataFrame:
-    """The words of ``(word, n0, n1, contexts)`` whose log-likelihood ratio ``r`` (toxic over ordinary) passes the
-    margin: a dictionary, or ``(word, r)`` rows where they take more than ``most`` bytes."""
-
-    def discount(n: str):
-        return F.when(F.col(n) < 3, F.col(n)).otherwise(2.5)
+            for text, label, part in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                own = np.fromiter(map(hashed, words_of(text)), np.int64)
+                if not len(own):
+                    continue
+                once = np.unique(own)
+                # a row for each word of the document, then one for each pair, which counts no document
+                words += [once, own]
+                what += [np.full(len(once), (label > 0) + 2 * (part == 4)), np.r_[np.int64(4), own[:-1]]]
+                number += [np.ones(len(once), np.int64), np.zeros(len(own), np.int64)]
+                held += len(once) + len(own)
+                if held >= FLUSH:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (words, what, number)], names)
+                    words, what, number, held = [], [], [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (words, what, number)], names)
+
+    pairs = rows.select("text", "label", "fold").mapInArrow(run, "word long, what long, n long").groupBy("word", "what").agg(F.sum("n").alias("n"))
+    sums = [F.sum(F.when(F.col("what") == k, F.col("n")).otherwise(0)).alias(c) for k, c in enumerate(COUNTS)]
+    return pairs.groupBy("word").agg(*sums, F.sum((F.col("what") > 3).cast("long")).alias("contexts"))
+
+
+class WordValues:
+    """What a word adds to the difference of the two log-likelihoods: ``words`` by hash, ``rest`` for any other."""
+
+    def __init__(self, words: DataFrame, rest: float, most: int):
+        self.rest, self.table, self.packed = rest, words, None
+        if words.count() * WORD_BYTES <= most:
+            found = words.toPandas()
+            order = np.argsort(found["word"].to_numpy())
+            self.packed = found["word"].to_numpy()[order], found["value"].to_numpy()[order]
+
+    def sums(self) -> Callable[[], Callable]:
+        """For :func:`worked`: a function from texts to the sums of their words' values and their lengths."""
+        known = self.table.sparkSession.sparkContext.broadcast(self.packed)
+        rest = self.rest
+
+        def setup() -> Callable:
+            keys, values = known.value
+            memory: dict[str, float] = {}
+
+            def value(word: str) -> float:
+                h = hashed(word)
+                k = np.searchsorted(keys, h)
+                v = memory[word] = float(values[k]) if k < len(keys) and keys[k] == h else rest
+                return v
+
+            def work(texts: list) -> tuple[list, list]:
+                total, size = [], []
+                for text in texts:
+                    if len(memory) > FLUSH:
+                        memory.clear()
+                    words = words_of(text)
+                    total.append(math.fsum(memory[w] if w in memory else value(w) for w in words))
+                    size.append(len(words))
+                return total, size
+
+            return work
+
+        return setup
+
+
+def fitted(counts: DataFrame, most: int = BROADCAST_BYTES) -> WordValues | None:
+    """The model of ``(word, n0, n1, contexts)``; none without words of both classes."""
+    first, second, more = DISCOUNTS
+
+    def discount(n: str) -> Column:
+        return F.when(F.col(n) == 0, 0.0).when(F.col(n) == 1, first).when(F.col(n) == 2, second).otherwise(more)
 
     sums = counts.agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), F.sum(discount("n0")).alias("d0"), F.sum(discount("n1")).alias("d1"), F.sum("contexts").alias("c"), F.count("*").alias("v")).first()
     if not sums["t0"] or not sums["t1"]:
-        return {}
+        return None
     shared = (F.col("contexts") + 0.5) / (sums["c"] + 0.5 * (sums["v"] + 1))
 
-    def p(n: str, k: str):
+    def p(n: str, k: str) -> Column:
         return (F.col(n) - discount(n)) / sums[f"t{k}"] + sums[f"d{k}"] / sums[f"t{k}"] * shared
 
-    ratio = F.log(p("n1", "1") / p("n0", "0"))
-    strong = stored(counts.where("n1 > 1").select("word", ratio.alias("r")).where(F.col("r") > MARGIN), "toxic-words")
-    if (strong.agg(F.sum(F.length("word") + 100)).first()[0] or 0) > most:
-        return strong
-    return {r["word"]: r["r"] for r in strong.collect()}
-
-
-def evidence(text: str | None, model: dict[str, float]) -> float:
-    words = words_of(text)
-    return sum(model[w] for w in words if w in model) / math.sqrt(len(words) + 20)
+    # toxic against ordinary text, for one word: (1 - RATE) p0 + RATE p1 over p0
+    value = F.log(1 - RATE + RATE * p("n1", "1") / p("n0", "0"))
+    rest = math.log(1 - RATE + RATE * (sums["d1"] / sums["t1"]) / (sums["d0"] / sums["t0"]))
+    own = (F.col("n0") > discount("n0")) | (F.col("n1") > discount("n1"))
+    return WordValues(stored(counts.where(own).select("word", value.alias("value")), "toxic-words"), rest, most)
 
 
-def joined(df: DataFrame, model: DataFrame, text: str, name: str) -> DataFrame:
-    """``df`` with the evidence of its texts as ``name``, from ``(word, r)`` rows joined by a shuffle.
+def joined(df: DataFrame, model: WordValues, text: str) -> DataFrame:
+    """``df`` with ``total`` and ``size`` of its texts, the model joined to the words by a shuffle.
 
     Texts are known by their digests, so equal ones are scored once.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for digest, text in zip(batch["digest"], batch["text"]):
-                words = words_of(text)
-                rows += [(digest, w, n, len(words)) for w, n in Counter(words).items()]
+            rows = []
+            for digest, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = words_of(body)
+                rows += [(digest, hashed(w), n, len(words)) for w, n in Counter(words).items()]
                 if len(rows) >= FLUSH:
-                    yield pd.DataFrame(rows, columns=["digest", "word", "n", "size"])
+                    yield packed(rows)
                     rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=["digest", "word", "n", "size"])
+            if rows:
+                yield packed(rows)
 
-    texts = df.where(F.col(text).isNotNull()).select(F.md5(F.col(text).cast("binary")).alias("digest"), F.col(text).alias("text"))
-    words = texts.mapInPandas(run, "digest string, word string, n long, size long").distinct()
-    found = words.join(model, "word").groupBy("digest").agg((F.sum(F.col("n") * F.col("r")) / F.sqrt(F.first("size") + 20)).alias(name))
-    names = [*df.columns, name]
-    keyed = df.withColumn("digest", F.md5(F.col(text).cast("binary")))
-    return keyed.join(found, "digest", "left").withColumn(name, F.coalesce(name, F.lit(0.0))).select(*names)
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], ["digest", "word", "n", "size"])
 
+    def digest(column: str) -> Column:
+        return F.unhex(F.md5(F.col(column).cast("binary")))
 
-def with_evidence(df: DataFrame, model: dict[str, float] | DataFrame, text: str = "text", name: str = "s") -> DataFrame:
-    rest = [c for c in df.columns if c not in (text, name)]
-    if isinstance(model, DataFrame):
-        return joined(df.select(*rest, text), model, text, name).select(*rest, name)
-    known = df.sparkSession.sparkContext.broadcast(model)
-    schema = StructType([df.schema[c] for c in rest]).add(name, DoubleType())
+    texts = df.where(F.col(text).isNotNull()).select(digest(text).alias("digest"), F.col(text).alias("text"))
+    words = texts.mapInArrow(run, "digest binary, word long, n long, size long").distinct()
+    found = words.join(model.table, "word", "left").groupBy("digest").agg(F.sum(F.col("n") * F.coalesce("value", F.lit(model.rest))).alias("total"), F.first("size").alias("size"))
+    names = [f"c{i}" for i in range(len(df.columns))]
+    keyed = df.toDF(*names).withColumn("digest", digest(names[df.columns.index(text)]))
+    full = keyed.join(found, "digest", "left").select(*names, F.coalesce("total", F.lit(0.0)), F.coalesce("size", F.lit(0)))
+    return full.toDF(*df.columns, "total", "size")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[rest].assign(**{name: [float(evidence(t, known.value)) for t in batch[text]]})
 
-    return df.select(*rest, text).mapInPandas(run, schema)
+def with_evidence(df: DataFrame, model: WordValues, text: str = "text") -> DataFrame:
+    """``df`` with ``s``: the logarithm of the length-normalised difference over its least possible value."""
+    names = [f"c{i}" for i in range(len(df.columns))]
+    own, column = df.toDF(*names), names[df.columns.index(text)]
+    full = joined(own, model, column) if model.packed is None else worked(own, [column], {"total": "double", "size": "long"}, model.sums(), drop=[])
+    mean = F.col("total") / (F.col("size") + SMOOTH)
+    s = F.when(F.col("size") == 0, LOW).otherwise(F.log(F.greatest(mean - math.log(1 - RATE), F.lit(0.0)) + 1e-4))
+    return full.select(*names, s).toDF(*df.columns, "s")
 
 
 class ToxicityModel:
-    """Word ratios with the cut and slope that turn evidence into a probability."""
+    """Word values with the cut and slope that turn evidence into a probability."""
 
-    def __init__(self, words: dict[str, float] | DataFrame, threshold: float, slope: float):
+    def __init__(self, words: WordValues | None, threshold: float, slope: float):
         self.words, self.threshold, self.slope = words, threshold, slope
 
     @classmethod
     def fit(cls, docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = BROADCAST_BYTES) -> ToxicityModel:
         rows = labelled(docs, labels, label)
         counts = stored(counted(rows), "word-counts")
-        both = counts.select("word", (F.col("n0") + F.col("c0")).alias("n0"), (F.col("n1") + F.col("c1")).alias("n1"), "contexts")
-        words = fitted(both, most)
-        if isinstance(words, dict) and not words:
-            return cls({}, HIGH, 1000.0)
-        unseen = histogram(with_evidence(rows.where("fold = 4").select("text", "label"), fitted(counts, most)), LOW, HIGH)
-        if not unseen.sum(0).all():  # too few rows to calibrate on
-            return cls(words, 0.5, 8.0)
-        return cls(words, *cut(unseen, LOW, HIGH))
-
-    def probability(self):
+        words = fitted(counts.select("word", (F.col("n0") + F.col("c0")).alias("n0"), (F.col("n1") + F.col("c1")).alias("n1"), "contexts"), most)
+        unseen = fitted(counts, most)
+        if words is None or unseen is None:
+            return cls(words, -3.4, 8.0)  # too few rows to calibrate on: the cut stands just over no evidence
+        tested = histogram(with_evidence(rows.where("fold = 4").select("text", "label"), unseen), LOW, HIGH)
+        return cls(words, *cut(tested, LOW, HIGH)) if tested.sum(0).all() else cls(words, -3.4, 8.0)
+
+    def probability(self) -> Column:
         return 1 / (1 + F.exp(-self.slope * (F.col("s") - self.threshold)))
 
     def scored(self, df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         """``(key, held_out, score, predicted)`` of every row."""
-        found = with_evidence(df.select(key, text), self.words, text).withColumn("score", self.probability())
-        return found.select(key, (fold(F.col(key)) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+        rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+        if self.words is None:
+            found = rows.select("key", F.lit(0.0).alias("score"))
+        else:
+            found = with_evidence(rows, self.words).select("key", self.probability().alias("score"))
+        return found.select(F.col("key").alias(key), (fold(F.col("key")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
     def kept(self, df: DataFrame, text: str = "text") -> DataFrame:
         """The rows of ``df`` that are not toxic, with their columns as they were."""
+        if self.words is None:
+            return df
         names = [f"c{i}" for i in range(len(df.columns))]
-        column, threshold = names[df.columns.index(text)], self.threshold
-        if isinstance(self.words, DataFrame):
-            return joined(df.toDF(*names), self.words, column, "s").where(F.col("s") < threshold).drop("s").toDF(*df.columns)
-        known = df.sparkSession.sparkContext.broadcast(self.words)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                yield batch[[evidence(t, known.value) < threshold for t in batch[column]]]
-
-        renamed = df.toDF(*names)
-        return renamed.mapInPandas(run, renamed.schema).toDF(*df.columns)
+        found = with_evidence(df.toDF(*names), self.words, names[df.columns.index(text)])
+        return found.where(F.col("s") < self.threshold).select(*names).toDF(*df.columns)
