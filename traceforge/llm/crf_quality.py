@@ -6,30 +6,31 @@ label for each of its lines; scoring runs forward-backward over the whole docume
 marginal probabilities of being good, weighted by length. A one-dimensional calibration maps the average so
 that ``CUT`` separates the classes best.
 
-The field is fitted on a bounded sample: the ``TRAIN_DOCS`` labelled rows of the fitting folds whose ids hash
-lowest, and of each of them at most ``TRAIN_CHUNKS`` stretches of ``CHUNK`` lines, spread evenly. Everything
-else reads all rows and whole texts.
+The field is fitted on a bounded sample of labelled rows: one for each of the ``TRAIN_DOCS`` ids of the fitting
+folds that hash lowest, as many in that order as have ``TRAIN_LINES`` lines together. Every line of theirs is
+used; texts are cut into chains of ``CHAIN`` lines, for training alone. Everything else reads all rows.
 
 Cases: null, empty and blank texts are one empty line; one very long line is one line; a document of any
-number of lines is scored whole; repeated and null labels are merged or ignored; without labels of both
-classes every score is 1 (nothing is rejected on no evidence).
+number of lines is scored whole; repeated and null labels are merged or ignored; of rows that share an id, the
+sample takes the smallest text; without labels of both classes every score is 1 (nothing is rejected on no
+evidence); an empty table gives an empty result; repeated rows are scored alike; other columns are ignored
+by ``scored`` and returned as they were by ``kept``, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructType
 
-from traceforge.llm.labels import cut, fold, histogram, labelled
+from traceforge.llm.labels import cut, fold, histogram, labelled, sampled
+from traceforge.llm.shared import worked
 
 TRAIN_DOCS = 4000
-TRAIN_CHUNKS = 2
-CHUNK = 16
+TRAIN_LINES = 100_000
+CHAIN = 32
 CUT = 0.3
 OWN = 14
 FEATURES = 3 * OWN + 2
@@ -185,7 +186,7 @@ def fit_field(sequences: list[np.ndarray], labels: np.ndarray, rounds: int = 120
     lengths = mask.sum(1)
     m1, m2 = np.zeros(len(w) + 4), np.zeros(len(w) + 4)
     flat = x[mask]
-    scale = weight / lengths  # a line of a long stretch counts less
+    scale = weight / lengths  # every chain counts alike
     for step in range(1, rounds + 1):
         node = np.zeros(mask.shape)
         node[mask] = flat @ w
@@ -206,11 +207,9 @@ def fit_field(sequences: list[np.ndarray], labels: np.ndarray, rounds: int = 120
     return w, trans
 
 
-def chunks(x: np.ndarray) -> list[np.ndarray]:
-    parts = [x[i : i + CHUNK] for i in range(0, len(x), CHUNK)]
-    if len(parts) > TRAIN_CHUNKS:
-        parts = [parts[i * len(parts) // TRAIN_CHUNKS] for i in range(TRAIN_CHUNKS)]
-    return parts
+def chains(x: np.ndarray) -> list[np.ndarray]:
+    """All lines of a text, as chains of like length."""
+    return np.array_split(x, -(-len(x) // CHAIN))
 
 
 def averages(texts: list, w: np.ndarray, trans: np.ndarray) -> np.ndarray:
@@ -242,57 +241,46 @@ class QualityModel:
     @classmethod
     def fit(cls, docs: DataFrame, labels: DataFrame, label: str = "quality") -> QualityModel:
         rows = labelled(docs, labels, label)
-        sample = labelled(docs, labels, label, most=TRAIN_DOCS)
+        sample = sampled(docs, labels, label, TRAIN_DOCS, TRAIN_LINES)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                out = [(c.astype(np.float32).tobytes(), y) for (x, _), y in zip(features(list(batch["text"])), batch["label"]) for c in chunks(x)]
-                yield pd.DataFrame(out, columns=["x", "y"])
+        def work(texts: list) -> tuple[list]:
+            return ([x.astype(np.float32).ravel().tolist() for x, _ in features(texts)],)
 
-        got = sample.mapInPandas(run, "x binary, y int").collect()
-        y = np.array([r["y"] > 0 for r in got])
-        if not y.any() or y.all():
+        got = [(np.array(r["x"]).reshape(-1, FEATURES), r["label"] > 0) for r in worked(sample, ["text"], {"x": "array<double>"}, lambda: work).toLocalIterator()]
+        y = np.array([label for x, label in got for _ in chains(x)])
+        if y.all() or not y.any():  # also without rows
             return cls(None, None)
-        w, trans = fit_field([np.frombuffer(r["x"], np.float32).reshape(-1, FEATURES).astype(float) for r in got], y)
+        w, trans = fit_field([c for x, _ in got for c in chains(x)], y)
         model = cls(w, trans)
         counts = histogram(model.averaged(rows.where("fold = 4").select("text", "label")), LOW, HIGH)
         if counts.sum(0).all():
             model.threshold, model.slope = cut(counts, LOW, HIGH)
         return model
 
-    def averaged(self, df: DataFrame, text: str = "text") -> DataFrame:
-        """``df`` without its text, with ``s``, the log odds of the averaged marginals."""
-        rest = [c for c in df.columns if c not in (text, "s")]
-        schema = StructType([df.schema[c] for c in rest]).add("s", DoubleType())
+    def averaged(self, df: DataFrame, text: str = "text", drop: list[str] | None = None) -> DataFrame:
+        """``df`` with ``s``, the log odds of the averaged marginals, and without its text unless ``drop`` is empty."""
         w, trans = self.w, self.trans
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                yield batch[rest].assign(s=averages(list(batch[text]), w, trans))
+        def setup() -> Callable:
+            return lambda texts: (averages(texts, w, trans),)
 
-        return df.select(*rest, text).mapInPandas(run, schema)
+        return worked(df, [text], {"s": "double"}, setup, drop)
 
-    def score(self):
+    def score(self) -> Column:
         """A probability that is ``CUT`` at the threshold."""
         at_cut = float(np.log(CUT / (1 - CUT)))
         return 1 / (1 + F.exp(-(self.slope * (F.col("s") - self.threshold) + at_cut)))
 
     def scored(self, df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         """``(key, held_out, score, predicted)`` of every row."""
-        rows = df.select(key, text)
-        found = rows.select(key, F.lit(1.0).alias("score")) if self.w is None else self.averaged(rows, text).withColumn("score", self.score())
-        return found.select(key, (fold(F.col(key)) == 0).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+        rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+        found = rows.withColumn("score", F.lit(1.0)) if self.w is None else self.averaged(rows).withColumn("score", self.score())
+        return found.select(F.col("key").alias(key), (fold(F.col("key")) == 0).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
     def kept(self, df: DataFrame, text: str = "text") -> DataFrame:
         """The rows of ``df`` that are good enough, with their columns as they were."""
         if self.w is None:
             return df
         names = [f"c{i}" for i in range(len(df.columns))]
-        column, w, trans, threshold = names[df.columns.index(text)], self.w, self.trans, self.threshold
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                yield batch[averages(list(batch[column]), w, trans) >= threshold]
-
-        renamed = df.toDF(*names)
-        return renamed.mapInPandas(run, renamed.schema).toDF(*df.columns)
+        found = self.averaged(df.toDF(*names), names[df.columns.index(text)], drop=[])
+        return found.where(F.col("s") >= self.threshold).select(*names).toDF(*df.columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Labels up to this number (about 60 MB as a hash table) are broadcast; more are joined by shuffle.
 BROADCAST_LABELS = 1_000_000
@@ -16,20 +17,34 @@ def fold(key: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(5)).cast("int")
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", most: int | None = None) -> DataFrame:
-    """``(text, label, fold)`` of the rows with a label outside the held-out fold.
-
-    With ``most``, that many labels of the fitting folds, chosen by the hash of their ids before any text is read.
-    """
+def known_labels(labels: DataFrame, label: str, key: str) -> DataFrame:
+    """``(key, label)`` outside the held-out fold: one row per id, the highest label where an id has several."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(key).agg(F.max(label).cast("int").alias("label"))
-    known = known.where(fold(F.col(key)) != 0)
-    if most:
-        known = F.broadcast(known.where(fold(F.col(key)) != 4).orderBy(F.xxhash64(key), key).limit(most))
-    elif labels.count() <= BROADCAST_LABELS:
+    return known.where(fold(F.col(key)) != 0)
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(text, label, fold)`` of all rows with a label outside the held-out fold."""
+    known = known_labels(labels, label, key)
+    if labels.count() <= BROADCAST_LABELS:
         known = F.broadcast(known)
     return docs.where(F.col(key).isNotNull()).select(key, F.col(text).alias("text")).join(known, key).select("text", "label", fold(F.col(key)).alias("fold"))
 
 
+def sampled(docs: DataFrame, labels: DataFrame, label: str, most: int, lines: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(text, label)`` of at most ``most`` labelled rows of the fitting folds with at most ``lines`` lines in all.
+
+    Ids are taken in the order of their hashes before any text is read. An id that repeats gives one row, with
+    its smallest text. Texts with over a tenth of ``lines`` are not sampled.
+    """
+    known = known_labels(labels, label, key).where(fold(F.col(key)) != 4).orderBy(F.xxhash64(key), key).limit(most)
+    found = docs.where(F.col(key).isNotNull()).select(key, F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(known), key)
+    size = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) + 1
+    one = found.where(10 * size <= lines).groupBy(key, "label").agg(F.min("text").alias("text"))
+    order = Window.orderBy(F.xxhash64(key), key)  # at most ``most`` rows
+    return one.withColumn("lines", F.sum(size).over(order)).where(F.col("lines") <= lines).select("text", "label")
+
+
 def histogram(scored: DataFrame, low: float, high: float) -> np.ndarray:
     """Counts of ``s`` by bin (rows) and label (columns); one row per bin comes to the driver."""
     at = F.least(F.greatest(F.floor((F.col("s") - low) / (high - low) * BINS), F.lit(0)), F.lit(BINS - 1))
