@@ -7,32 +7,37 @@ rarest shingle alone: rows are joined to windows on it. A hit on that shingle fi
 start; it must then fit inside the row (length and positional bounds), and the words in place are compared
 one by one.
 
-The windows are taken in blocks of bounded size. Each block is broadcast and the rows are joined to it
-where they lie, so no row is shuffled, however often a shingle occurs; a benchmark of any size takes more
-blocks, one after another over the same rows.
-
-Cases: null and empty texts have no words and are clean; items without words are ignored; items that repeat
-count under each of their ids; extra columns are carried through, except names that the result adds.
+Items with equal texts become one text with several ids, in Spark. The texts are taken in blocks of bounded
+size, ids included. Each block is broadcast and the rows are joined to it where they lie, so no row is
+shuffled, however often a shingle occurs; a benchmark of any size takes more blocks, one after another over
+the same rows.
+
+Cases: null and empty texts have no words and are clean; items without words or without an id are ignored;
+items that repeat count under each of their different ids; an empty table gives an empty result, an empty
+benchmark clean rows; repeated rows are judged alike. Extra columns are carried through; of those whose names
+the result adds, the result's stay (the pipeline renames its columns first).
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
+
+from traceforge.llm.shared import worked
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 13
 SHINGLE = 3
-#: Bytes of benchmark text in one broadcast block.
-BLOCK_BYTES = 16_000_000
+#: Bytes of benchmark text and ids in one broadcast block (its index takes about 50 times as many).
+BLOCK_BYTES = 4_000_000
+
+#: An item: its words and its ids. A window of it is known by the item's number, its start and its length.
+Item = tuple[list[bytes], list[str]]
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -43,111 +48,90 @@ def shingles(words: list[bytes], width: int) -> list[bytes]:
     return words if width == 1 else [b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)]
 
 
-def windows_of(items: list[tuple], window: int) -> dict[tuple[bytes, ...], list]:
-    """The ids of the items that each window occurs in."""
-    found: dict[tuple[bytes, ...], list] = defaultdict(list)
-    for item, text in items:
-        words = words_of(text)
-        for i in range(max(1, len(words) - window + 1) if words else 0):
-            found[tuple(words[i : i + window])].append(item)
-    return found
-
-
-def blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple]]:
+def blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[Item]]:
     """The items, a block of bounded bytes at a time."""
-    size = F.coalesce(F.octet_length(text), F.lit(0)) + 64
-    total = benchmark.agg(F.sum(size)).first()[0] or 0
+    ids = F.array_sort(F.collect_set(F.col(item).cast("string")))
+    grouped = benchmark.where(F.col(item).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(text).alias("text")).agg(ids.alias("ids"))
+    size = F.octet_length("text") + F.aggregate("ids", F.lit(64), lambda a, x: a + F.octet_length(x))
+    total = grouped.agg(F.sum(size.cast("long"))).first()[0] or 0
     n = -(-total // BLOCK_BYTES)
     for k in range(n):
-        part = benchmark if n == 1 else benchmark.where(F.pmod(F.xxhash64(item, text), F.lit(n)) == k)
-        yield [tuple(r) for r in part.select(item, text).toLocalIterator()]
+        part = grouped if n == 1 else grouped.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
+        items = [(words_of(r["text"]), r["ids"]) for r in part.toLocalIterator()]
+        yield [x for x in items if x[0]]
 
 
 def corpus_counts(df: DataFrame, text: str, wanted: set[bytes], width: int) -> dict[bytes, int]:
     """In how many rows each wanted shingle occurs, over all rows; at most one number per wanted shingle comes back."""
     known = df.sparkSession.sparkContext.broadcast({s: i for i, s in enumerate(wanted)})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = known.value
         total = np.zeros(len(index), np.int64)
         for batch in batches:
-            for t in batch["text"]:
+            for t in batch.column(0).to_pylist():
                 words = words_of(t)
                 hits = index.keys() & set(shingles(words, width)) if len(words) >= width else ()
                 total[[index[s] for s in hits]] += 1
         on = np.flatnonzero(total)
-        yield pd.DataFrame({"k": on, "n": total[on]})
+        yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(total[on])], ["k", "n"])
 
-    counts = df.select(F.col(text).alias("text")).mapInPandas(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
+    counts = df.select(F.col(text).alias("text")).mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()
     names = list(known.value)
     return {names[r["k"]]: r["n"] for r in counts}
 
 
-def prefix_index(windows: dict[tuple[bytes, ...], list], rows: dict[int, dict[bytes, int]]) -> dict[int, dict[bytes, list]]:
-    """By shingle width and shingle: ``(offset, window, its items)`` of the windows whose rarest shingle it is."""
+def prefix_index(items: list[Item], window: int, rows: dict[int, dict[bytes, int]]) -> dict[int, dict[bytes, list]]:
+    """By shingle width and shingle: ``(offset, item, start)`` of the windows whose rarest shingle it is."""
     index: dict[int, dict[bytes, list]] = {}
-    for window, items in windows.items():
-        width = min(SHINGLE, len(window))
-        own = shingles(list(window), width)
-        counts = rows[width]
-        at = min(range(len(own)), key=lambda i: (counts.get(own[i], 0), own[i]))
-        if counts.get(own[at]):  # a shingle that no row holds rules its window out
-            index.setdefault(width, {}).setdefault(own[at], []).append((at, list(window), items))
+    for number, (words, _) in enumerate(items):
+        size = min(window, len(words))
+        width = min(SHINGLE, size)
+        own, counts = shingles(words, width), rows[width]
+        order = [(counts.get(s, 0), s) for s in own]
+        for start in range(len(words) - size + 1):
+            at = min(range(start, start + size - width + 1), key=order.__getitem__)
+            if order[at][0]:  # a shingle that no row holds rules its window out
+                index.setdefault(width, {}).setdefault(own[at], []).append((at - start, number, start))
     return index
 
 
-def hits_in(words: list[bytes], index: dict[int, dict[bytes, list]]) -> tuple[list[int], set]:
+def hits_in(words: list[bytes], items: list[Item], window: int, index: dict[int, dict[bytes, list]]) -> tuple[list[int], set[str]]:
     """Positions of hit words and the ids of the items that have occurring windows."""
-    hit, items = set(), set()
+    hit, found = set(), set()
     n = len(words)
     for width, probes in index.items():
         if n < width:
             continue
         for p, s in enumerate(shingles(words, width)):
-            for offset, window, ids in probes.get(s, ()):
-                start = p - offset
-                if start >= 0 and start + len(window) <= n and words[start : start + len(window)] == window:
-                    hit.update(range(start, start + len(window)))
-                    items.update(ids)
-    return sorted(hit), items
+            for offset, number, begin in probes.get(s, ()):
+                own, ids = items[number]
+                size, start = min(window, len(own)), p - offset
+                if start >= 0 and start + size <= n and words[start : start + size] == own[begin : begin + size]:
+                    hit.update(range(start, start + size))
+                    found.update(ids)
+    return sorted(hit), found
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """``df`` with ``n_words, n_hit, n_items, items_sha256, contaminated`` and the hit items and spans."""
     spark = df.sparkSession
     added = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "hits")
-    df = df.drop(*(c for c in added if c in df.columns))
-    names = [f"c{i}" for i in range(len(df.columns))]
-    where = df.columns.index(text)
-    schema = StructType([StructField(n, f.dataType, True) for n, f in zip(names, df.schema.fields)])
-    schema = schema.add("n_words", LongType()).add("items", ArrayType(StringType())).add("hits", ArrayType(IntegerType()))
-    out = df.toDF(*names).selectExpr("*", "0L as n_words", "cast(array() as array<string>) as items", "cast(array() as array<int>) as hits")
-    column = names[where]
+    out = df.drop(*(c for c in added if c in df.columns))
+    out = out.selectExpr("*", "0L as n_words", "cast(array() as array<string>) as items", "cast(array() as array<int>) as hits")
+    found = False
     for block in blocks(benchmark, item, item_text):
-        windows = windows_of(block, window)
-        wanted: dict[int, set[bytes]] = defaultdict(set)
-        for w in windows:
-            wanted[min(SHINGLE, len(w))].update(shingles(list(w), min(SHINGLE, len(w))))
+        wanted: dict[int, set[bytes]] = {}
+        for words, _ in block:
+            width = min(SHINGLE, window, len(words))
+            wanted.setdefault(width, set()).update(shingles(words, width))
         rows = {width: corpus_counts(df, text, s, width) for width, s in wanted.items()}
-        index = spark.sparkContext.broadcast(prefix_index(windows, rows))
-
-        def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                n_words, items, hits = [], [], []
-                for t, had, was in zip(batch[column], batch["items"], batch["hits"]):
-                    words = words_of(t)
-                    hit, ids = hits_in(words, index.value)
-                    n_words.append(len(words))
-                    items.append(sorted({*had, *map(str, ids)}))
-                    hits.append(sorted({*was, *hit}))
-                yield batch.assign(n_words=n_words, items=items, hits=hits)
-
-        out = out.mapInPandas(run, schema)
-    if not benchmark.take(1):
-        out = counted_words(out, column, schema)
+        known = spark.sparkContext.broadcast((block, prefix_index(block, window, rows)))
+        out, found = with_hits(out, text, lambda known=known: known.value, window), True
+    if not found:
+        out = with_hits(out, text, lambda: ([], {}), window)
     n_hit = F.size("hits").cast("long")
-    out = out.toDF(*df.columns, "n_words", "items", "hits").withColumn("n_hit", n_hit)
-    return out.withColumns(
+    return out.withColumn("n_hit", n_hit).withColumns(
         {
             "n_items": F.size("items").cast("long"),
             "items_sha256": F.sha2(F.array_join("items", ",").cast("binary"), 256),
@@ -156,27 +140,22 @@ def contamination(df: DataFrame, benchmark: DataFrame, text: str = "text", item:
     )
 
 
-def counted_words(out: DataFrame, column: str, schema: StructType) -> DataFrame:
-    """Without a benchmark only the words are counted."""
+def with_hits(out: DataFrame, text: str, known: Callable[[], tuple], window: int) -> DataFrame:
+    """``out`` with its words counted and the hits of one block added to those that it has."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(n_words=[len(words_of(t)) for t in batch[column]])
+    def setup() -> Callable:
+        items, index = known()
 
-    return out.mapInPandas(run, schema)
+        def work(texts: list, had: list, was: list) -> tuple[list, list, list]:
+            n_words, ids, hits = [], [], []
+            for t, h, w in zip(texts, had, was):
+                words = words_of(t)
+                hit, found = hits_in(words, items, window, index)
+                n_words.append(len(words))
+                ids.append(sorted({*h, *found}))
+                hits.append(sorted({*w, *hit}))
+            return n_words, ids, hits
 
+        return work
 
-def brute_force(text: str | None, items: list[tuple], window: int = WINDOW) -> tuple[int, int, int, str, bool]:
-    """The same by looking for every window at every position; for tests and small data."""
-    words = words_of(text)
-    hit, found = set(), set()
-    for item, item_text in items:
-        own = words_of(item_text)
-        for i in range(max(1, len(own) - window + 1) if own else 0):
-            w = own[i : i + window]
-            for p in range(len(words) - len(w) + 1):
-                if words[p : p + len(w)] == w:
-                    hit.update(range(p, p + len(w)))
-                    found.add(str(item))
-    digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
-    return len(words), len(hit), len(found), digest, bool(hit) and 20 * len(hit) >= len(words)
+    return worked(out.drop("n_words"), [text, "items", "hits"], {"n_words": "long", "items": "array<string>", "hits": "array<int>"}, setup, drop=["items", "hits"])
