@@ -2,28 +2,36 @@
 
 A word is held as its part boundaries and, beside them, the merge rank of every adjacent pair. The lowest
 rank is found by a scan, its boundary deleted, and the one or two neighbouring ranks refreshed, until no
-pair has a rank. Words are short, so a scan over a small contiguous list beats a heap. Texts are
-normalised and cut into words as the tokenizer file says: NFC, white space to one blank, lower case; then
-its split pattern, byte symbols and an end-of-word suffix.
+pair has a rank. Words are short, so a scan over a small contiguous list beats a heap. A word of over ``SHORT``
+symbols would take time with the square of its length, so its boundaries are linked and its lowest rank comes
+from a heap, leftmost first, which gives the same ids. Texts are normalised and cut into words as the tokenizer
+file says: NFC, white space to one blank, lower case; then its split pattern, byte symbols and an end-of-word
+suffix.
 
 Cases: a null text is an empty one and gives no ids; special-token strings inside a text are their ids, as
-in the library; texts of any length are encoded whole, a word at a time; rows keep their number and any
-other columns are left alone.
+in the library; texts and words of any length are encoded whole; repeated rows are each encoded; a null id is
+carried like any other; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from traceforge.llm.shared import worked
+
+#: Symbols of a word that is scanned; longer ones take a heap.
+SHORT = 300
+#: Words that are remembered have this many characters at most.
+MEMORABLE = 64
 #: A worker forgets its remembered words when they reach this number.
 REMEMBER = 200_000
 
@@ -83,15 +91,39 @@ class RankArrayBPE:
                 near[k] = get(part << 20 | parts[k + 1], none)
         return parts
 
+    def merge_long(self, parts: list[int]) -> list[int]:
+        """The same for a long word: each part knows its neighbours, a heap the ranks of the pairs."""
+        get, none, made = self.ranks.get, self.none, self.made
+        size = len(parts)
+        before, after = list(range(-1, size - 1)), list(range(1, size + 1))
+        heap = [(r, k) for k, r in enumerate(get(a << 20 | b, none) for a, b in zip(parts, parts[1:])) if r < none]
+        heapq.heapify(heap)
+        while heap:
+            low, k = heapq.heappop(heap)
+            nxt = after[k] if parts[k] >= 0 else size
+            if nxt >= size or get(parts[k] << 20 | parts[nxt], none) != low:
+                continue  # one of the two was merged meanwhile
+            parts[k], parts[nxt] = made[low], -1
+            after[k] = nxt = after[nxt]
+            if nxt < size:
+                before[nxt] = k
+                if (r := get(parts[k] << 20 | parts[nxt], none)) < none:
+                    heapq.heappush(heap, (r, k))
+            prev = before[k]
+            if prev >= 0 and (r := get(parts[prev] << 20 | parts[k], none)) < none:
+                heapq.heappush(heap, (r, prev))
+        return [p for p in parts if p >= 0]
+
     def word_ids(self, word: str) -> list[int]:
         ids = self.known.get(word)
         if ids is None:
             data = word.encode("utf-8")
             ids = [*map(self.byte_ids.__getitem__, data[:-1]), self.last_ids[data[-1]]]
-            ids = self.merge(ids)
-            if len(self.known) >= REMEMBER:
-                self.known.clear()
-            self.known[word] = ids
+            ids = self.merge(ids) if len(ids) <= SHORT else self.merge_long(ids)
+            if len(word) <= MEMORABLE:
+                if len(self.known) >= REMEMBER:
+                    self.known.clear()
+                self.known[word] = ids
         return ids
 
     def plain_ids(self, text: str) -> list[int]:
@@ -136,19 +168,24 @@ def encoded(df: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
     once a task. Words repeat, so a worker remembers what it has merged, up to a fixed number of words.
     """
     spec = df.sparkSession.sparkContext.broadcast(tokenizer_spec(tokenizer_path))
-    kind = df.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def setup() -> Callable:
         bpe = RankArrayBPE(spec.value)
         names = list(map(str, range(max(bpe.strings) + 1)))
-        for batch in batches:
-            rows = []
-            for t in batch["text"]:
-                ids = bpe.encode(t)
-                shown = " ".join(map(names.__getitem__, ids))
-                rows.append((len(ids), hashlib.sha256(shown.encode()).hexdigest(), hashlib.sha256(bpe.decode(ids).encode("utf-8")).hexdigest(), *([ids] if with_ids else [])))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]).assign(key=batch["key"].array)
 
-    picked = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    out = picked.mapInPandas(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
-    return out.withColumnRenamed("key", key)
+        def work(texts: list) -> tuple[list, ...]:
+            count, shown, decoded, all_ids = [], [], [], []
+            for t in texts:
+                ids = bpe.encode(t)
+                count.append(len(ids))
+                shown.append(hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
+                decoded.append(hashlib.sha256(bpe.decode(ids).encode("utf-8")).hexdigest())
+                if with_ids:
+                    all_ids.append(ids)
+            return (count, shown, decoded, all_ids) if with_ids else (count, shown, decoded)
+
+        return work
+
+    added = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>"} if with_ids else {})
+    found = worked(df.select(F.col(key).alias("key"), F.col(text).alias("text")), ["text"], added, setup)
+    return found.toDF(key, *added)
