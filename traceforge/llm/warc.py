@@ -2,31 +2,37 @@
 
 Every page becomes one capture of three records that name each other: a request, a response (or a revisit
 of an equal earlier payload) and a metadata record, both others pointing at the response through
-``WARC-Concurrent-To``. Spark's text sink writes the records, so each output file is a gzipped WARC file in
-whatever store the path names. Files are read back as binary rows, parsed by Content-Length, and the
-records are joined through the concurrent-to identifiers into one nested row per capture.
+``WARC-Concurrent-To``. Spark's text sink writes the records, so each output file is a WARC file in whatever
+store the path names, every record a gzip member of its own. Files are read back as binary rows, member by
+member, and the records are joined through the concurrent-to identifiers into one nested row per capture.
 
 Of captures with equal payloads of at least ``min_bytes``, the one with the largest page id is the
 response, the others are revisits that refer to it and hold no payload of their own. Smaller payloads are
-always responses.
+always responses. Rows that repeat are dealt by where they were read, so many of them are many groups.
 
-Cases: null html is an empty payload; a null url is written as an empty one; rows that repeat an id and
-payload get identifiers of their own, one of them the response; a payload may hold header-like lines and
-record separators, since lengths alone delimit records; an empty table writes and reads no records.
+Cases: null html is an empty payload; a null url is written as an empty one; a null page id comes back null;
+rows that repeat an id and payload get identifiers of their own, one of them the response; a payload may hold
+header-like lines and record separators, since lengths alone delimit records; payloads of any length below
+Spark's limit of 2 GB a row; an empty table writes and reads no records; other columns are ignored. The reader
+takes plain files and gzip members that hold one or many records; a file must be under 2 GB.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
-import zlib
+import io
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 MIN_BYTES = 1000
+#: Groups that rows of one page id and payload are dealt into, by the partition that they were read in.
+DEALT = 64
 #: Payload bytes to aim for in one file; a file is one row when read back.
 FILE_BYTES = 16_000_000
 RECORDS = "type string, id string, concurrent_to string, refers_to string, uri string, payload_digest string, payload_bytes long, fields map<string,string>, payload binary"
@@ -39,31 +45,30 @@ def record_id(*parts: Column) -> Column:
 
 
 def roles(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """For every distinct (page id, payload): the page id that holds the response of that payload."""
-    keys = pages.select("page_id", "key", "payload_digest", "payload_bytes").where(F.col("payload_bytes") >= min_bytes).distinct()
-    best = keys.groupBy("payload_digest").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).where("n > 1")
-    return keys.join(best, "payload_digest").select("key", "payload_digest", "best")
+    """For every distinct (page id, payload, part) of a payload that has several: the page id and part of its response."""
+    keys = pages.select("page_id", "key", "payload_digest", "payload_bytes", "part").where(F.col("payload_bytes") >= min_bytes).distinct()
+    best = keys.groupBy("payload_digest").agg(F.max(F.struct("page_id", (-F.col("part")).alias("part"))).alias("best"), F.count("*").alias("n")).where("n > 1")
+    return keys.join(best, "payload_digest").select("key", "payload_digest", "part", F.col("best.page_id").alias("best"), (-F.col("best.part")).alias("best_part"))
 
 
 def captures(pages: DataFrame, page_id: str, url: str, html: str, min_bytes: int, files: int) -> DataFrame:
-    """Rows with everything that the three records of a capture need; html moves once, by page id and digest."""
+    """Rows with everything that the three records of a capture need; html moves once, by page id, digest and part."""
     body = F.coalesce(F.col(html), F.lit(""))
-    base = pages.select(F.col(page_id).alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), body.alias("html"))
+    base = pages.select(F.col(page_id).alias("page_id"), F.coalesce(F.col(url), F.lit("")).alias("url"), body.alias("html"), F.pmod(F.spark_partition_id(), F.lit(DEALT)).alias("part"))
     base = base.withColumns({"payload_digest": F.sha1(F.encode("html", "utf-8")), "payload_bytes": F.octet_length("html").cast("long"), "key": F.coalesce(F.col("page_id").cast("string"), F.lit(""))})
     best = roles(base, min_bytes)
+    group = ["key", "payload_digest", "part"]
     # the join, the count of copies and the files all use this one partitioning
-    rows = base.repartition(files, "key", "payload_digest").join(best, ["key", "payload_digest"], "left")
-    copy = F.row_number().over(Window.partitionBy("key", "payload_digest").orderBy("url"))
-    rows = rows.withColumn("copy", copy)
-    large = F.col("payload_bytes") >= min_bytes
-    first = F.col("copy") == 1
-    is_revisit = large & ~(first & (F.col("best").isNull() | F.col("best").eqNullSafe(F.col("page_id"))))
-    of = F.coalesce("best", "page_id")
+    rows = base.repartition(files, *group).join(best, group, "left")
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy(*group).orderBy("url")))
+    chosen = F.col("best_part").isNull() | (F.col("best").eqNullSafe(F.col("page_id")) & (F.col("best_part") == F.col("part")))
+    is_revisit = (F.col("payload_bytes") >= min_bytes) & ~((F.col("copy") == 1) & chosen)
+    of, of_part = F.when(F.col("best_part").isNull(), F.col("page_id")).otherwise(F.col("best")), F.coalesce("best_part", "part")
     return rows.withColumns(
         {
             "is_revisit": is_revisit,
-            "id": record_id(F.lit("response"), F.col("page_id"), F.col("payload_digest"), F.col("copy")),
-            "refers_to": F.when(is_revisit, record_id(F.lit("response"), of, F.col("payload_digest"), F.lit(1))),
+            "id": record_id(F.lit("response"), F.col("page_id"), F.col("payload_digest"), F.col("part"), F.col("copy")),
+            "refers_to": F.when(is_revisit, record_id(F.lit("response"), of, F.col("payload_digest"), of_part, F.lit(1))),
         }
     )
 
@@ -98,30 +103,51 @@ def records(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(F.array(request, response, metadata)).alias("value"))
 
 
+def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each record as a gzip member without its last byte, which is zero and written by the sink between rows.
+
+    A member ends with the length of its content in four bytes, the highest last. Where this is not zero (16 MB
+    and more) an empty member follows, which ends in zeros.
+    """
+    empty = gzip.compress(b"", mtime=0)
+    for batch in batches:
+        packed = (gzip.compress(record.encode() + b"\r\n\r\n", 6, mtime=0) for record in batch.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([(m if m[-1] == 0 else m + empty)[:-1] for m in packed], pa.binary())], ["value"])
+
+
 def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", min_bytes: int = MIN_BYTES) -> None:
     """Write the captures of ``pages`` as WARC files under ``path``."""
     total = pages.agg(F.sum(F.octet_length(html).cast("long"))).first()[0] or 0
     files = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_BYTES))
     rows = captures(pages, page_id, url, html, min_bytes, files)
-    records(rows).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    packed = records(rows).mapInArrow(members, "value binary")
+    packed.select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
 
 
 def parse_records(content: bytes) -> Iterator[tuple]:
-    """The records of one archive file."""
-    view, at = memoryview(content), 0
-    while at < len(content):
-        end = content.index(b"\r\n\r\n", at)
-        head = dict(line.split(": ", 1) for line in content[at:end].decode("utf-8").split("\r\n")[1:] if ": " in line)
-        start = end + 4
-        stop = start + int(head["Content-Length"])
-        kind, payload, fields = head["WARC-Type"], None, {}
+    """The records of one archive file, gzipped or plain, read one after another."""
+    raw = io.BytesIO(content)
+    source = io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 16) if content[:2] == b"\x1f\x8b" else raw
+    while True:
+        line = source.readline()
+        while line in (b"\r\n", b"\n"):
+            line = source.readline()
+        if not line:
+            return
+        head = {}
+        while (line := source.readline()) not in (b"\r\n", b"\n", b""):
+            name, _, value = line.decode("utf-8").rstrip("\r\n").partition(":")
+            head[name.lower()] = value.strip()
+        size = int(head["content-length"])
+        block = source.read(size)
+        if len(block) != size:
+            raise ValueError("an archive ends inside a record")
+        kind, payload, fields = head["warc-type"], None, {}
         if kind in ("response", "revisit"):
-            http = content.index(b"\r\n\r\n", start, stop) + 4
-            payload = bytes(view[http:stop])
+            payload = block.partition(b"\r\n\r\n")[2]
         elif kind == "metadata":
-            fields = dict(line.split(": ", 1) for line in content[start:stop].decode("utf-8").split("\r\n") if ": " in line)
-        yield kind, head["WARC-Record-ID"], head.get("WARC-Concurrent-To"), head.get("WARC-Refers-To"), head.get("WARC-Target-URI"), head.get("WARC-Payload-Digest"), fields, payload
-        at = stop + 4
+            fields = dict(f.split(": ", 1) for f in block.decode("utf-8").split("\r\n") if ": " in f)
+        yield kind, head["warc-record-id"], head.get("warc-concurrent-to"), head.get("warc-refers-to"), head.get("warc-target-uri"), head.get("warc-payload-digest"), fields, payload
 
 
 def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> DataFrame:
@@ -131,7 +157,6 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
         for batch in batches:
             for content in batch["content"]:
                 rows, held = [], 0
-                content = zlib.decompress(content, 31)
                 for kind, rid, concurrent, refers, uri, digest, fields, payload in parse_records(content):
                     size = None if payload is None else len(payload)
                     if kind == "response":
@@ -147,7 +172,7 @@ def read_records(spark: SparkSession, path: str, with_payload: bool = True) -> D
                     yield pd.DataFrame(rows, columns=columns).astype({"payload_bytes": "Int64"})
 
     columns = [c.split()[0] for c in RECORDS.replace("string,string", "s").split(", ")]
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
+    files = spark.read.format("binaryFile").load(path).select("content")
     return files.mapInPandas(run, RECORDS)
 
 
