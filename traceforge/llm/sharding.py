@@ -1,12 +1,16 @@
 """Sharding by fixed virtual slots.
 
-Every record hashes by its id into one of a fixed number of virtual slots. Bytes are summed per slot, and
-a versioned slot-to-shard map says where each slot lives. Rebalancing edits the map, never the hash, so
-only the slots that the edit names move. Everything is DataFrame and SQL functions.
+Every record hashes by its id, size and text into one of a fixed number of virtual slots. Bytes are summed
+per slot, and a versioned slot-to-shard map says where each slot lives. Rebalancing edits the map, never the
+hash, so only the slots that the edit names move. Everything is DataFrame and SQL functions.
 
-Cases: a null text counts as no bytes; a null id hashes like any other value; rows that repeat get
-positions of their own; an empty table gives an empty result; input columns besides the two named ones
-are ignored. The slot count bounds the map (4,096 rows), whatever the input size.
+The slot count bounds the map (4,096 rows), whatever the input size. Rows are numbered in groups of one slot
+and one of ``PARTS`` parts, which follow the partitions that the rows were read in, so that one id, null ids or
+copies of one row are split like any others.
+
+Cases: a null text counts as no bytes; a null id hashes like any other value, with its text; equal rows share a
+slot and so a shard, and get positions of their own; very long texts are only measured; an empty table gives
+an empty result; input columns besides the two named ones are ignored.
 """
 
 from __future__ import annotations
@@ -15,25 +19,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from traceforge.llm.shared import new_path
+from traceforge.llm.shared import new_path, stored
 
 SLOTS = 4096
+#: Parts that the rows of a slot are numbered in.
+PARTS = 64
 MAP_SCHEMA = "version int, slot int, shard int, slot_bytes bigint"
 
 
-def slot_of(key: Column, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
-
-
-def row_bytes(text: Column) -> Column:
-    """UTF-8 bytes of the text plus 1, so that empty rows also have a size."""
-    return F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + F.lit(1)
+def measured(df: DataFrame, key: str, text: str, slots: int = SLOTS) -> DataFrame:
+    """``(key, size, text_crc32, virtual_slot, part)`` of every row; a size is the text's UTF-8 bytes plus 1."""
+    body = F.coalesce(F.encode(F.col(text), "utf-8"), F.lit(b""))
+    rows = df.select(F.col(key).alias("key"), (F.octet_length(body).cast("long") + F.lit(1)).alias("size"), F.crc32(body).cast("long").alias("text_crc32"))
+    slot = F.pmod(F.xxhash64("key", "size", "text_crc32"), F.lit(slots)).cast("int")
+    return rows.select("*", slot.alias("virtual_slot"), F.pmod(F.spark_partition_id(), F.lit(PARTS)).alias("part"))
 
 
-def slot_bytes(df: DataFrame, key: str, text: str, slots: int = SLOTS) -> DataFrame:
-    """Bytes per virtual slot; one row for every slot, empty ones included."""
-    sums = df.select(slot_of(F.col(key), slots).alias("slot"), row_bytes(F.col(text)).alias("b")).groupBy("slot").agg(F.sum("b").alias("slot_bytes"))
-    every = df.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))
+def slot_bytes(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """Bytes per virtual slot of measured rows; one row for every slot, empty ones included."""
+    sums = rows.groupBy(F.col("virtual_slot").alias("slot")).agg(F.sum("size").alias("slot_bytes"))
+    every = rows.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot"))
     return every.join(sums, "slot", "left").select("slot", F.coalesce("slot_bytes", F.lit(0)).cast("long").alias("slot_bytes"))
 
 
@@ -78,37 +83,33 @@ def load_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return table.where(F.col("version") == version)
 
 
-def assign(df: DataFrame, slot_map: DataFrame, key: str, slots: int = SLOTS) -> DataFrame:
-    """``df`` with ``virtual_slot`` and ``shard`` by a map, which has one row per slot and so may be broadcast."""
-    table = slot_map.select(F.col("slot").alias("virtual_slot"), "shard")
-    return df.withColumn("virtual_slot", slot_of(F.col(key), slots)).join(F.broadcast(table), "virtual_slot")
+def assign(rows: DataFrame, slot_map: DataFrame) -> DataFrame:
+    """Measured rows with their ``shard`` by a map, which has one row per slot and so may be broadcast."""
+    return rows.join(F.broadcast(slot_map.select(F.col("slot").alias("virtual_slot"), "shard")), "virtual_slot")
 
 
-def numbered(df: DataFrame, key: str) -> DataFrame:
-    """A gapless position from 0 in each shard: rows are ranked in their virtual slot, and every slot starts
-    where the slots before it in the shard end. No task sees more than one virtual slot at a time."""
-    counts = df.groupBy("shard", "virtual_slot").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("virtual_slot", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    rank = F.row_number().over(Window.partitionBy("virtual_slot").orderBy(key, "size", "text_crc32"))
-    return (
-        df.withColumn("rank", rank)
-        .join(F.broadcast(starts), "virtual_slot")
-        .withColumn("slot", (F.col("start") + F.col("rank") - 1).cast("long"))
-        .drop("rank", "start")
-    )
+def numbered(rows: DataFrame) -> DataFrame:
+    """A gapless position from 0 in each shard: rows are ranked in their slot and part, and every such group starts
+    where those before it in the shard end. The starts (slots times parts at most, 262,144 rows) may be broadcast."""
+    group = ["virtual_slot", "part"]
+    counts = rows.groupBy("shard", *group).agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy(*group).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*group, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy("key", "size", "text_crc32"))
+    placed = rows.withColumn("rank", rank).join(F.broadcast(starts), group)
+    return placed.withColumn("slot", (F.col("start") + F.col("rank") - 1).cast("long")).drop("rank", "start")
 
 
 def shard_by_bytes(df: DataFrame, key: str, text: str, shards: int, path: str | None = None, slots: int = SLOTS) -> DataFrame:
     """Rows of ``df`` as ``(key, size, text_crc32, law, shard, slot, grown_shard, virtual_slot)``.
 
-    The map is stored under ``path`` in two versions: the round-robin one and the one edited by bytes.
+    The map is stored under ``path`` in two versions: the round-robin one and the one edited by bytes. The measured
+    rows (without texts) are written, so that texts are read once and a row's part is fixed.
     """
     spark = df.sparkSession
     path = path or new_path(spark, "slot-map")
-    store_map(initial_map(slot_bytes(df, key, text, slots), shards), path)
+    rows = stored(measured(df, key, text, slots), "measured")
+    store_map(initial_map(slot_bytes(rows, slots), shards), path)
     store_map(rebalanced(load_map(spark, path, 0), shards), path)
-    body = F.coalesce(F.encode(F.col(text), "utf-8"), F.lit(b""))
-    rows = df.select(F.col(key).alias(key), row_bytes(F.col(text)).alias("size"), F.crc32(body).cast("long").alias("text_crc32"))
-    placed = numbered(assign(rows, load_map(spark, path), key, slots), key)
-    return placed.select(key, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+    placed = numbered(assign(rows, load_map(spark, path)))
+    return placed.select(F.col("key").alias(key), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
