@@ -1,33 +1,40 @@
 """Main-text extraction by line-block distribution.
 
-The page's markup is stripped so that every block element becomes one line. Text in elements that are never
+The page's markup is stripped so that every block element becomes one line. Lines in elements that are never
 part of an article (menus, headers, footers, asides, forms, scripts, styles, notices, adverts, reader
-comments, by tag, role or class and id words) counts as blank lines. Text lengths, link text left out, are
-summed over sliding windows of lines. A surge point is a line from which the window sum reaches a threshold;
-the dive point after it is the first line whose window holds no text. Lines between a surge and its dive are
-the text, and so are short lines after a gap of furniture that stand in the element, or beside the element, of a
-line between surge and dive.
-
-Where article or main elements hold at least half of the page's counted text, they decide instead: all their
-lines are the text, and nothing else is. Where they hold less (teasers beside a story), they decide nothing.
-
-Cases: null or empty html gives an empty text; a page without such an article whose lines never surge gives
-an empty text; unclosed and stray tags are tolerated; long pages are scanned once, whole.
+comments, by tag, role or class and id words) become blank lines, and blank lines stand around articles. Every other line weighs by its length. Weights
+are summed over sliding windows of lines: a surge point is a line whose window reaches a threshold, a dive point
+one whose window weighs nothing. The text runs from a dive or the page's start to the next dive, wherever there
+is a surge between. Other lines are dropped, but for short ones (a closing line after a notice) that stand in
+the element, or beside the element, of a line of the text: after it, or in an article.
+
+Article and main elements are evidence, by the share of the page's text that they hold. The larger the share,
+the more lines in them weigh, their link text included, and the less others do; so a teaser in an article beside
+a long story loses to it. A page that has articles, but short ones, has a lower threshold: half of its heaviest
+window.
+
+Cases: null or empty html gives an empty text, and so does a page of furniture alone or one that never
+surges; unclosed and stray tags are tolerated; long pages are scanned once, whole; repeated rows are extracted
+alike; an empty table gives an empty result; other columns are carried through unchanged, but for those named
+``text`` and ``n_chars``, which the result replaces.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
-from collections.abc import Iterator
+from typing import NamedTuple
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql.types import LongType, StringType, StructType
 
-#: Lines in a window, and the characters of text that make a surge.
+from traceforge.llm.shared import worked
+
+#: Lines in a window, and the weight that makes a surge.
 WINDOW = 3
 SURGE = 80
+#: What a character weighs in an article that holds all of the page's text, and out of one that holds nearly none.
+INSIDE, OUTSIDE = 3.0, 1.5
 
 # Element names by role in a page, and class or id words of page furniture.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,12 +55,8 @@ ATTRIBUTE = re.compile(r"([^\s=/>\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+
 WORDS = re.compile(r"[a-z]+")
 
 
-def is_furniture(tag: str, attributes: str, hints: bool = True) -> bool:
-    """Whether an element is page furniture: by its tag, or with ``hints`` by its attributes too."""
-    if tag in FURNITURE:
-        return True
-    if not hints or not attributes.strip() or tag in ("html", "body", "main"):
-        return False
+def is_furniture(attributes: str) -> bool:
+    """Whether an element's attributes say that it is page furniture."""
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
         if name in ("class", "id"):
@@ -69,12 +72,20 @@ def is_furniture(tag: str, attributes: str, hints: bool = True) -> bool:
     return bool(re.search(r"(?:^|\s)hidden(?:\s|$)", attributes))
 
 
-#: Text, characters that count, whether in an article, the block element around it and the one around that.
-Line = tuple[str, int, bool, frozenset[int]]
-BLANK: Line = ("", 0, False, frozenset())
+class Line(NamedTuple):
+    """A block's text, how many of its characters are link text, whether it stands in an article, and the numbers
+    of the block element around it and the one around that."""
+
+    text: str = ""
+    links: int = 0
+    article: bool = False
+    places: frozenset[int] = frozenset()
+
+
+BLANK = Line()
 
 
-def lines_of(page: str, hints: bool = True) -> list[Line]:
+def lines_of(page: str) -> list[Line]:
     """One line per block of the page, blanks for furniture."""
     lines: list[Line] = []
     pieces: list[str] = []
@@ -87,7 +98,7 @@ def lines_of(page: str, hints: bool = True) -> list[Line]:
         text = " ".join("".join(pieces).split())
         pieces.clear()
         if text:
-            lines.append((text, max(0, len(text) - link_chars), inside > 0, frozenset(blocks[-2:])))
+            lines.append(Line(text, min(link_chars, len(text)), inside > 0, frozenset(blocks[-2:])))
         link_chars = 0
 
     def pop() -> None:
@@ -100,6 +111,8 @@ def lines_of(page: str, hints: bool = True) -> list[Line]:
             if not off:
                 lines.extend([BLANK] * WINDOW)
         inside -= is_article
+        if is_article and not inside:
+            lines.extend([BLANK] * WINDOW)
         links -= tag == "a"
 
     def add(raw: str) -> None:
@@ -141,8 +154,8 @@ def lines_of(page: str, hints: bool = True) -> list[Line]:
                     pop()
         if tag in ("li", "td", "th", "tr", "dt", "dd", "option") and stack and stack[-1][0] == tag:
             pop()
-        starts = is_furniture(tag, m[3], hints)
-        if starts and not off:
+        starts = tag in FURNITURE or tag not in ("html", "body", "main") and m[3].strip() != "" and is_furniture(m[3])
+        if starts and not off or tag in ("article", "main") and not inside:
             flush()
             lines.extend([BLANK] * WINDOW)
         off += starts
@@ -159,43 +172,46 @@ def lines_of(page: str, hints: bool = True) -> list[Line]:
     return lines
 
 
+def weights(lines: list[Line]) -> tuple[np.ndarray, float]:
+    """The weight of each line, and the threshold of a surge."""
+    length, links = np.array([len(x.text) for x in lines], float), np.array([x.links for x in lines], float)
+    article = np.array([x.article for x in lines])
+    if not article.any():
+        return length - links, SURGE
+    held, other = length[article].sum(), (length - links)[~article].sum()
+    share = held / (held + other)
+    weight = np.where(article, INSIDE * share * length, OUTSIDE * (1 - share) * (length - links))
+    return weight, min(SURGE, window_sums(weight).max() / 2)
+
+
+def window_sums(weight: np.ndarray) -> np.ndarray:
+    """For each line, the weight of the window that begins with it."""
+    padded = np.r_[weight, np.zeros(WINDOW)]
+    return sum(padded[k : k + len(weight)] for k in range(WINDOW))
+
+
 def main_text(page: str | None) -> str:
-    """The text between surge and dive points, blocks joined by a blank line.
-
-    Where class and id words leave nothing, tags alone decide what is furniture.
-    """
-    return between_surges(lines_of(page or "")) or between_surges(lines_of(page or "", False))
-
-
-def between_surges(lines: list[Line]) -> str:
-    article = [x for x in lines if x[2]]
-    if article and 2 * sum(x[1] for x in article) >= sum(x[1] for x in lines):
-        return "\n\n".join(x[0] for x in article)
-    counts = [x[1] for x in lines] + [0] * WINDOW
-    kept, after_gap, places = [False] * len(lines), [False] * len(lines), set()
-    on = begun = gap = False
-    for i, (text, _, _, place) in enumerate(lines):
-        if not on and counts[i] and sum(counts[i : i + WINDOW]) >= SURGE:
-            on = begun = True
-        elif on and not any(counts[i : i + WINDOW]):
-            on = gap = False
-        gap = not on and (gap or not text)
-        if on and text:
-            kept[i] = True
-            places |= place
-        after_gap[i] = begun and gap and counts[i] > 0
-    return "\n\n".join(x[0] for x, k, g in zip(lines, kept, after_gap) if k or g and not places.isdisjoint(x[3]))
+    """The text between surge and dive points, blocks joined by a blank line."""
+    lines = lines_of(page or "")
+    if not lines:
+        return ""
+    weight, threshold = weights(lines)
+    sums = window_sums(weight)
+    dives = sums <= 0
+    run = np.cumsum(np.r_[False, dives[1:] != dives[:-1]])  # stretches between dive points and of them
+    text = np.isin(run, run[(sums >= threshold) & ~dives])
+    places = frozenset().union(*(x.places for x, t in zip(lines, text) if t and x.text))
+    after = np.cumsum(text) > 0
+    near = [bool(x.text) and (w > 0) and (a or x.article) and not places.isdisjoint(x.places) for x, w, a in zip(lines, weight, after)]
+    return "\n\n".join(x.text for x, t, n in zip(lines, text, near) if x.text and (t or n))
 
 
 def extracted(df: DataFrame, html: str = "html") -> DataFrame:
     """``df`` without its html column, with ``text`` and ``n_chars`` (code points) added."""
-    rest = [c for c in df.columns if c not in (html, "text", "n_chars")]
-    fields = [f for f in df.schema.fields if f.name in rest]
-    schema = StructType(fields).add("text", StringType()).add("n_chars", LongType())
+    rest = df.select(*[c for c in df.columns if c not in ("text", "n_chars") or c == html])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            text = [main_text(x) for x in batch[html]]
-            yield batch[rest].assign(text=text, n_chars=list(map(len, text)))
+    def work(pages: list) -> tuple[list, list]:
+        texts = list(map(main_text, pages))
+        return texts, list(map(len, texts))
 
-    return df.select(*rest, html).mapInPandas(run, schema)
+    return worked(rest, [html], {"text": "string", "n_chars": "long"}, lambda: work)
