@@ -62,7 +62,7 @@ def test_sharding_is_even_and_versions_are_kept(spark):
     rng = random.Random(2)
     many = spark.createDataFrame([(i, "x" * rng.randrange(2000)) for i in range(3000)], "doc_id long, text string")
     path = new_path(spark, "map")
-    sums = sharding.slot_bytes(many, "doc_id", "text", 512)
+    sums = sharding.slot_bytes(sharding.measured(many, "doc_id", "text", 512), 512)
     sharding.store_map(sharding.initial_map(sums, 8), path)
     sharding.store_map(sharding.rebalanced(sharding.load_map(spark, path, 0), 8), path)
     first, second = ({r["slot"]: r for r in sharding.load_map(spark, path, v).collect()} for v in (0, 1))
@@ -83,7 +83,8 @@ def test_html_extraction():
     assert html_extract.main_text(plain) == "Title\n\n" + " ".join(["word"] * 40) + "\n\nEnd."
     beside = "<div class='content with-sidebar'><p>" + "word " * 40 + "</p></div><div class=sidebar><p>" + "no " * 60 + "</p></div><p style='display: none'>hidden text</p>"
     assert html_extract.main_text(beside) == " ".join(["word"] * 40)
-    assert html_extract.main_text("<div class=menu><p>" + "word " * 40 + "</p></div>") == " ".join(["word"] * 40)
+    for only in ("class=menu", "class='site-notice'", "id=comments", "role=navigation", "style='display: none'"):
+        assert html_extract.main_text(f"<div {only}><p>" + "word " * 400 + "</p></div>") == ""
     assert html_extract.main_text("<ul><li><a>x</a><li><a>y</a></ul>") == ""
 
 
@@ -102,6 +103,61 @@ def test_html_keeps_short_blocks_after_furniture():
     assert html_extract.main_text(f"<div>{long}<button>no</button> tail</div>") == f"{long}\n\ntail"
 
 
+def slow_main_text(page):
+    """Surges and dives line by line, and the lines near them, written out."""
+    lines = html_extract.lines_of(page)
+    inside = sum(len(x.text) for x in lines if x.article)
+    outside = sum(len(x.text) - x.links for x in lines if not x.article)
+    share = inside / (inside + outside) if inside else 0
+
+    def weight(k):
+        x = lines[k] if k < len(lines) else html_extract.BLANK
+        if not inside:
+            return len(x.text) - x.links
+        return 3 * share * len(x.text) if x.article else 1.5 * (1 - share) * (len(x.text) - x.links)
+
+    def window(k):
+        return sum(weight(i) for i in range(k, k + 3))
+
+    surge = min(80, max(map(window, range(len(lines)))) / 2) if inside else 80
+    text, k = set(), 0
+    while k < len(lines):
+        stop = k
+        while stop < len(lines) and window(stop) > 0:
+            stop += 1
+        if any(window(i) >= surge for i in range(k, stop)):
+            text.update(range(k, stop))
+        k = stop + 1
+    places = {p for k in text if lines[k].text for p in lines[k].places}
+    near = {k for k, x in enumerate(lines) if weight(k) > 0 and places & x.places and (x.article or any(t < k for t in text))}
+    return "\n\n".join(lines[k].text for k in sorted(text | near) if lines[k].text)
+
+
+def test_html_windows_against_a_slow_version():
+    rng = random.Random(12)
+    changed = 0
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.randrange(1, 25)):
+            words = " ".join(rng.choice(WORDS) for _ in range(rng.choice([0, 1, 2, 5, 30])))
+            shape = rng.choice(["<p>{}</p>", "<div>{}</div>", "<p><a>{}</a></p>", "<aside>{}</aside>", "<div class=promo>{}</div>", "<article><p>{}</p></article>", "<div><p>{}</p>", "</div>{}"])
+            parts.append(shape.format(words))
+        page = "".join(parts)
+        got = html_extract.main_text(page)
+        assert got == slow_main_text(page)
+        changed += got != "\n\n".join(x.text for x in html_extract.lines_of(page) if x.text)
+    assert changed > 100
+
+
+def test_html_density_decides_inside_and_outside_articles():
+    long = " ".join(["word"] * 60)
+    story = f"<div id=content><p>{long}</p><p>{long}</p></div>"
+    assert html_extract.main_text(f"<body>{story}<article class=card>Next: read on</article></body>") == f"{long}\n\n{long}"
+    assert html_extract.main_text(f"<body><div>A line outside</div><aside>x</aside><article><h1>T</h1><p>{long}</p></article></body>") == f"T\n\n{long}"
+    many = "".join(f"<p>{long} {k}</p>" for k in range(3000))
+    assert html_extract.main_text(f"<article>{many}</article>").count("\n\n") == 2999
+
+
 def test_html_columns(spark):
     df = spark.createDataFrame([(1, "u", None, "old"), (1, "u", "<article><p>hi</p></article>", "old")], "page_id long, url string, html string, text string")
     rows = html_extract.extracted(df).collect()
@@ -238,12 +294,25 @@ def test_decontamination_against_brute_force(spark, monkeypatch):
     texts = [None, "", text(rng, 500)] + [text(rng, 20) + " " + (items[k][1] or "").upper() + "!" + text(rng, 5) for k in range(25)] + ["ünï code 7", "xünï code 7"]
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, hits int")
     bench = spark.createDataFrame(items, "item_id long, text string")
+    def brute_force(t, items, window=13):
+        words, hit, found = decontam.words_of(t), set(), set()
+        for item, item_text in items:
+            own = decontam.words_of(item_text)
+            for i in range(max(1, len(own) - window + 1) if own else 0):
+                w = own[i : i + window]
+                for p in range(len(words) - len(w) + 1):
+                    if words[p : p + len(w)] == w:
+                        hit.update(range(p, p + len(w)))
+                        found.add(str(item))
+        digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        return len(words), len(hit), len(found), digest, bool(hit) and 20 * len(hit) >= len(words)
+
     for size in (decontam.BLOCK_BYTES, 600):
         monkeypatch.setattr(decontam, "BLOCK_BYTES", size)
         got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontam.contamination(df, bench).collect()}
-        assert got == {i: decontam.brute_force(t, items) for i, t in enumerate(texts)}
+        assert got == {i: brute_force(t, items) for i, t in enumerate(texts)}
     empty = decontam.contamination(df, bench.limit(0)).collect()
-    assert [r["n_words"] for r in empty] == [decontam.brute_force(t, [])[0] for t in texts] and not any(r["contaminated"] for r in empty)
+    assert [r["n_words"] for r in empty] == [brute_force(t, [])[0] for t in texts] and not any(r["contaminated"] for r in empty)
 
 
 def test_forward_backward_against_enumeration():
@@ -292,26 +361,59 @@ def test_classifiers_on_held_out_rows(spark):
     assert {r["predicted"] for r in toxicity.ToxicityModel.fit(docs, none).scored(docs).collect()} == {0}
 
 
-def test_toxicity_counts_every_context(spark):
-    rows = [(" ".join(f"p{i}x{j} common" for j in range(200)), i % 2, 4 * (i == 2)) for i in range(5)] + [("common common p0x0", 0, 1), (None, 1, 1), ("", 0, 1)]
-    got = {r["word"]: r for r in toxicity.counted(spark.createDataFrame(rows, "text string, label int, fold int").repartition(3)).collect()}
+def toxic_words(rows):
+    """Contexts and document counts of every word of (text, label, fold) rows, by brute force."""
     contexts, documents = {}, {}
     for t, label, part in rows:
-        words = (t or "").split()
+        words = (t or "").lower().split()
         for before, word in zip(["", *words], words):
             contexts.setdefault(word, set()).add(before)
         for word in set(words):
             documents.setdefault(word, [0] * 4)[label + 2 * (part == 4)] += 1
+    return contexts, documents
+
+
+def test_toxicity_counts_every_context(spark):
+    rows = [(" ".join(f"p{i}x{j} common" for j in range(200)), i % 2, 4 * (i == 2)) for i in range(5)] + [("common common p0x0", 0, 1), (None, 1, 1), ("", 0, 1)]
+    got = {r["word"]: r for r in toxicity.counted(spark.createDataFrame(rows, "text string, label int, fold int").repartition(3)).collect()}
+    contexts, documents = toxic_words(rows)
     assert len(contexts["common"]) == 1002
-    assert {w: r["contexts"] for w, r in got.items()} == {w: len(x) for w, x in contexts.items()}
-    assert {w: [r["n0"], r["n1"], r["c0"], r["c1"]] for w, r in got.items()} == documents
+    assert {w: r["contexts"] for w, r in got.items()} == {toxicity.hashed(w): len(x) for w, x in contexts.items()}
+    assert {w: [r["n0"], r["n1"], r["c0"], r["c1"]] for w, r in got.items()} == {toxicity.hashed(w): x for w, x in documents.items()}
+
+
+def test_toxicity_compares_two_models(spark):
+    """The score of every text from the two Kneser-Ney models written out, over all its words."""
+    rng = random.Random(8)
+    fit = [(text(rng, 30) + (" vile" if i % 3 == 0 else "") + (" rare" if i == 3 else ""), int(i % 3 == 0), 1) for i in range(60)]
+    contexts, documents = toxic_words(fit)
+    discount = {0: 0, 1: 1, 2: 2}
+    total = [sum(n[k] for n in documents.values()) for k in (0, 1)]
+    freed = [sum(discount.get(n[k], 2.5) for n in documents.values()) / total[k] for k in (0, 1)]
+    pairs = sum(map(len, contexts.values()))
+
+    def p(word, k):
+        n = documents.get(word, [0, 0])[k]
+        shared = (len(contexts.get(word, ())) + 0.5) / (pairs + 0.5 * (len(contexts) + 1))
+        return (n - discount.get(n, 2.5)) / total[k] + freed[k] * shared
+
+    texts = [None, "", "vile", "rare unseen", "vile and vile " + text(rng, 40), text(rng, 50), "W1 w2\nVILE unseen"]
+    model = toxicity.fitted(toxicity.counted(spark.createDataFrame(fit, "text string, label int, fold int")))
+    broad = {r["i"]: r["s"] for r in toxicity.with_evidence(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), model).collect()}
+    model.packed = None
+    shuffled = {r["i"]: r["s"] for r in toxicity.with_evidence(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), model).collect()}
+    for i, t in enumerate(texts):
+        words = (t or "").lower().split()
+        mean = sum(np.log((1 - toxicity.RATE) * p(w, 0) + toxicity.RATE * p(w, 1)) - np.log(p(w, 0)) for w in words) / (len(words) + toxicity.SMOOTH)
+        want = np.log(max(0, mean - np.log(1 - toxicity.RATE)) + 1e-4) if words else toxicity.LOW
+        assert broad[i] == pytest.approx(want, abs=1e-9) and shuffled[i] == pytest.approx(want, abs=1e-9)
 
 
 def test_toxicity_joins_a_model_too_large_to_broadcast(spark):
     docs, marks, _ = training(spark)
     docs = docs.unionByName(docs.where("doc_id in (1, 2, 6)"))
     small, large = toxicity.ToxicityModel.fit(docs, marks), toxicity.ToxicityModel.fit(docs, marks, most=0)
-    assert isinstance(small.words, dict) and small.words == {r["word"]: r["r"] for r in large.words.collect()}
+    assert small.words.packed is not None and large.words.packed is None
     assert small.threshold == large.threshold
 
     def rows(model):
@@ -321,6 +423,138 @@ def test_toxicity_joins_a_model_too_large_to_broadcast(spark):
     assert sorted(small.kept(docs).collect(), key=str) == sorted(large.kept(docs).collect(), key=str)
 
 
+BIG = [2**60 + 1, None, 2**60 + 3, 2**60 + 3, -(2**61) - 5]
+
+
+def test_ids_of_any_size_come_back(spark):
+    """Every operator that carries ids through Python, with large ids and a null in one batch, and clashing columns."""
+    rng = random.Random(6)
+    fit_docs, marks, _ = training(spark)
+    texts = [text(rng, 40) for _ in BIG]
+    docs = spark.createDataFrame([(i, t, 2**60 + 7 if k else None, "old") for k, (i, t) in enumerate(zip(BIG, texts))], "doc_id long, text string, n_hit long, s string").coalesce(1)
+    want = sorted(BIG, key=str)
+
+    def ids(df, key="doc_id"):
+        return sorted((r[key] for r in df.collect()), key=str)
+
+    quality, toxic = crf_quality.QualityModel.fit(fit_docs, marks), toxicity.ToxicityModel.fit(fit_docs, marks)
+    for made in (quality.scored(docs), toxic.scored(docs)):
+        assert ids(made) == want
+        assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in made.collect() if r["doc_id"] is not None)
+    quality.threshold, toxic.threshold = -99.0, 99.0
+    for made in (quality.kept(docs), toxic.kept(docs)):
+        assert made.columns == docs.columns and sorted(made.collect(), key=str) == sorted(docs.collect(), key=str)
+    assert ids(simhash.near_duplicates(docs)) == want
+    assert {r["component_id"] for r in simhash.near_duplicates(docs).collect()} == {*BIG}
+    assert ids(bpe.encoded(docs, tokenizer_path())) == want
+    assert ids(sharding.shard_by_bytes(docs, "doc_id", "text", 2)) == want
+    pages = docs.select(docs.doc_id.alias("page_id"), docs.s.alias("url"), docs.text.alias("html"), docs.s.alias("text"))
+    assert ids(html_extract.extracted(pages), "page_id") == want
+    bench = spark.createDataFrame([(2**60 + 1, texts[0]), (None, texts[2])], "item_id long, text string")
+    found = {r["doc_id"]: r for r in decontam.contamination(docs.dropDuplicates(["doc_id"]), bench).collect()}
+    assert set(found) == {*BIG} and found[2**60 + 1]["items"] == [str(2**60 + 1)] and not found[2**60 + 3]["items"]
+    conv = docs.select(docs.doc_id.alias("conv_id"), docs.n_hit.alias("turn"), docs.s.alias("role"), "text")
+    assert {r["conv"] for r in chat.read_back(chat.formatted(chat.with_parents(conv, "conv_id", "turn", "role", "text"))).collect()} == {*BIG}
+    path = new_path(spark, "warc-ids")
+    warc.write_archives(pages, path)
+    assert ids(warc.page_rows(warc.transactions(warc.read_records(spark, path))), "page_id") == want
+    vectors = spark.createDataFrame([(i, [1.0, 0.0]) for i in BIG], "vec_id long, embedding array<double>")
+    assert ids(cover_tree.near_vectors(vectors), "vec_id") == want
+
+
+def test_empty_tables(spark):
+    fit_docs, marks, _ = training(spark)
+    docs = spark.createDataFrame([], "doc_id long, text string, size string")
+    assert crf_quality.QualityModel.fit(docs, marks).scored(docs).count() == toxicity.ToxicityModel.fit(docs, marks).scored(docs).count() == 0
+    assert crf_quality.QualityModel.fit(fit_docs, marks).scored(docs).count() == toxicity.ToxicityModel.fit(fit_docs, marks).scored(docs).count() == 0
+    assert sharding.shard_by_bytes(docs, "doc_id", "text", 4).count() == 0
+    assert bpe.encoded(docs, tokenizer_path()).count() == 0
+    assert decontam.contamination(docs, spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
+    conv = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.read_back(chat.formatted(chat.with_parents(conv, "conv_id", "turn", "role", "text"))).count() == 0
+
+
+def test_sharding_splits_one_id(spark):
+    """One id, null ids and equal rows: positions are gapless and different texts spread over the shards."""
+    rows = [(7, f"text {i} " + "x" * (i % 50)) for i in range(2000)] + [(None, f"t{i}") for i in range(500)] + [(8, "same")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    out = sharding.shard_by_bytes(docs, "doc_id", "text", 4).collect()
+    assert len(out) == len(rows) and all(r["size"] > 0 for r in out)
+    load = [sum(r["size"] for r in out if r["shard"] == k) for k in range(4)]
+    assert max(load) < 1.1 * min(load)
+    for k in range(4):
+        assert sorted(r["slot"] for r in out if r["shard"] == k) == list(range(sum(r["shard"] == k for r in out)))
+
+
+def test_quality_samples_rows_not_parts_of_texts(spark):
+    docs, marks, _ = training(spark)
+    again = docs.unionByName(spark.range(3000).selectExpr("cast(1 as bigint) as doc_id", "concat('line ', id) as text"))
+    sample = labels.sampled(again, marks, "quality", 50, 10_000).collect()
+    assert len(sample) == 50 and sum(r["text"].startswith("line ") for r in sample) <= 1
+    few = labels.sampled(again, marks, "quality", 50, 60).collect()
+    assert 0 < len(few) and sum(r["text"].count("\n") + 1 for r in few) <= 60
+    x = np.arange(100)[:, None]
+    assert np.array_equal(np.concatenate(crf_quality.chains(x)), x) and max(map(len, crf_quality.chains(x))) <= crf_quality.CHAIN
+
+
+def test_quality_average_against_enumeration():
+    """Length-weighted marginals of whole texts, by summing over all labellings."""
+    rng = np.random.default_rng(7)
+    w, trans = rng.normal(size=crf_quality.FEATURES), rng.normal(size=(2, 2))
+    texts = ["One line.", "Two\nLINES 12 here", None, "a b\n\nc | d | e\n$$$ $$$\nEnd."]
+    got = crf_quality.averages(texts, w, trans)
+    for t, odds in zip(texts, got):
+        ((x, size),) = crf_quality.features([t])
+        total, good = 0.0, np.zeros(len(x))
+        for k in range(2 ** len(x)):
+            y = [k >> i & 1 for i in range(len(x))]
+            p = np.exp(sum(x[i] @ w * y[i] for i in range(len(x))) + sum(trans[a, b] for a, b in zip(y, y[1:])))
+            total += p
+            good += p * np.array(y)
+        mean = (good / total) @ size / size.sum()
+        assert np.isclose(1 / (1 + np.exp(-odds)), np.clip(mean, 1e-6, 1 - 1e-6))
+
+
+def test_bpe_long_words_equal_the_library():
+    from time import time
+
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path()
+    library, mine = Tokenizer.from_file(path), bpe.RankArrayBPE(bpe.tokenizer_spec(path))
+    rng = random.Random(3)
+    for n in (bpe.SHORT, bpe.SHORT + 1, 5000):
+        word = "".join(rng.choice("etaoinshrdlu") for _ in range(n)) + "x" * n
+        assert mine.encode(word) == library.encode(word, add_special_tokens=False).ids
+    begin = time()
+    assert len(mine.encode("".join(rng.choice("etaoin") for _ in range(300_000)))) > 50_000 and time() - begin < 30
+
+
+def test_warc_reads_members_and_plain_files(spark):
+    """One member per record, several records in one member, and no compression give the same records."""
+    import gzip
+
+    made = [f"WARC/1.0\r\nWARC-Type: {k}\r\nWARC-Record-ID: <urn:{i}>\r\nContent-Length: {len(b)}\r\n\r\n".encode() + b + b"\r\n\r\n" for i, (k, b) in enumerate([("response", b"HTTP/1.1 200 OK\r\n\r\nbody"), ("metadata", b"pageId: 5\r\n"), ("request", b"GET /"), ("response", b"HTTP/1.1 200 OK\r\n\r\n")])]
+    want = [r[1:] for r in warc.parse_records(b"".join(made))]
+    assert len(want) == 4 and want[0][-1] == b"body"
+    assert [r[1:] for r in warc.parse_records(b"".join(map(gzip.compress, made)))] == want
+    assert [r[1:] for r in warc.parse_records(gzip.compress(b"".join(made[:3])) + gzip.compress(made[3]))] == want
+
+
+def test_warc_repeats_in_many_partitions_and_long_payloads(spark):
+    rows = [(5, "u", "z" * 2000)] * 60 + [(6, "v", "z" * 2000)] * 3 + [(None, None, "y" * 3000)] + [(1, "w", "é" * 9_000_000)] + [(2, "s", "short")] * 5
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    path = new_path(spark, "warc-hot-source")
+    df.write.parquet(path)
+    df, path = spark.read.parquet(path), new_path(spark, "warc-hot")
+    warc.write_archives(df, path)
+    got = warc.page_rows(warc.transactions(warc.read_records(spark, path))).collect()
+    assert len(got) == len(rows)
+    assert [(r["page_id"], r["payload_bytes"]) for r in got if r["record_type"] == "response" and r["payload_bytes"] == 2000] == [(6, 2000)]
+    assert sum(r["record_type"] == "revisit" and r["refers_to"] == 6 for r in got) == 62
+    assert {(r["page_id"], r["record_type"]) for r in got if r["payload_bytes"] != 2000} == {(None, "response"), (1, "response"), (2, "response")}
+
+
 def test_cut_takes_the_middle():
     counts = np.zeros((labels.BINS, 2))
     counts[100, 0] = 50
