@@ -54,6 +54,8 @@ WORD_BYTES = 16
 FLUSH = 200_000
 LOW, HIGH = -9.5, 2.0
 COUNTS = ["n0", "n1", "c0", "c1"]
+#: A word before another is a number over ``START``, which is the start of a text; smaller ones are the ``COUNTS``.
+START, CONTEXT = len(COUNTS), 2**40 - 1
 
 
 def words_of(text: str | None) -> list[str]:
@@ -61,9 +63,8 @@ def words_of(text: str | None) -> list[str]:
 
 
 def hashed(word: str) -> int:
-    """A signed 64-bit hash; the words before others are told apart from ``COUNTS`` by being over 3."""
-    h = xxhash.xxh64_intdigest(word) >> 1
-    return h if h > 3 else h + 4
+    """A 64-bit hash without its sign."""
+    return xxhash.xxh64_intdigest(word) >> 1
 
 
 def counted(rows: DataFrame) -> DataFrame:
@@ -81,7 +82,7 @@ def counted(rows: DataFrame) -> DataFrame:
                 once = np.unique(own)
                 # a row for each word of the document, then one for each pair, which counts no document
                 words += [once, own]
-                what += [np.full(len(once), (label > 0) + 2 * (part == 4)), np.r_[np.int64(4), own[:-1]]]
+                what += [np.full(len(once), (label > 0) + 2 * (part == 4)), np.r_[np.int64(START), (own[:-1] & CONTEXT) + START + 1]]
                 number += [np.ones(len(once), np.int64), np.zeros(len(own), np.int64)]
                 held += len(once) + len(own)
                 if held >= FLUSH:
@@ -92,7 +93,7 @@ def counted(rows: DataFrame) -> DataFrame:
 
     pairs = rows.select("text", "label", "fold").mapInArrow(run, "word long, what long, n long").groupBy("word", "what").agg(F.sum("n").alias("n"))
     sums = [F.sum(F.when(F.col("what") == k, F.col("n")).otherwise(0)).alias(c) for k, c in enumerate(COUNTS)]
-    return pairs.groupBy("word").agg(*sums, F.sum((F.col("what") > 3).cast("long")).alias("contexts"))
+    return pairs.groupBy("word").agg(*sums, F.sum((F.col("what") >= START).cast("long")).alias("contexts"))
 
 
 class WordValues:
