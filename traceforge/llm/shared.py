@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 #: Types of the columns that :func:`worked` can add, to Spark and to Arrow.
 TYPES = {
@@ -18,6 +18,7 @@ TYPES = {
     "long": (LongType(), pa.int64()),
     "double": (DoubleType(), pa.float64()),
     "string": (StringType(), pa.string()),
+    "binary": (BinaryType(), pa.binary()),
     "array<double>": (ArrayType(DoubleType()), pa.list_(pa.float64())),
     "array<int>": (ArrayType(IntegerType()), pa.list_(pa.int32())),
     "array<string>": (ArrayType(StringType()), pa.list_(pa.string())),

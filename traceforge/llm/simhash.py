@@ -4,8 +4,15 @@ A fingerprint has a bit for each of 64 positions: 1 where over half of the text'
 it set. Distinct fingerprints are sorted by population count and dealt into tiles of bounded size. Two
 fingerprints that differ in at most r bits have population counts that differ by at most r, so tile pairs
 whose counts lie further apart are skipped; inside a pair the same bound holds for the counts of the
-four quarters of the bits together, and what is left is compared by exclusive-or and bit counts. A tile pair gives back a
-spanning forest of its links, never the pairs, so a large group of near copies stays linear.
+four quarters of the bits together, and what is left is compared by exclusive-or and bit counts. A tile pair
+gives back a spanning forest of its links, never the pairs, so a large group of near copies stays linear; the
+work of the comparison itself grows with the square of the distinct fingerprints.
+
+``near_duplicates`` has fingerprints of 64 bits. ``groups_of`` has wider ones, for a similarity that is to be
+met with few misses: a bit differs as often as the angle between two texts' shingle vectors says, and the
+spread of the share falls with the number of bits. At 512 bits ``WIDE_RADIUS`` finds nearly all texts that share
+0.8 of their shingles of five words and unrelated ones stay far away (the README has figures). Wide fingerprints
+link at ``WIDE_RADIUS`` bits of all, of which ``SIFT`` at most among the first 128.
 
 Cases: null, empty and blank texts have fingerprint zero and link like any other; fewer words than a
 shingle hash as one sequence; repeated rows and equal fingerprints collapse before the comparison; rows
@@ -27,23 +34,39 @@ from pyspark.sql import functions as F
 
 from traceforge.llm.shared import components, hooked, stored, worked
 
-#: Fingerprints in one tile.
+#: Fingerprints in one tile, and pairs that are compared, or held, at a time.
 TILE = 32_768
+STEP = 4_000_000
+#: Words of 64 bits of a wide fingerprint, the bits that may differ, and how many of them in the first two words.
+WIDE_WORDS, WIDE_RADIUS, SIFT = 8, 90, 34
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
-    words = WORD.findall((text or "").encode("utf-8").lower())
-    if not words:
-        return 0
-    n = max(1, len(words) - width + 1)
+def wide_fingerprint(text: str | None, width: int = 4, seed: int = 42, words: int = 1) -> np.ndarray:
+    """``words`` times 64 bits: the first from the shingles' hashes, the others from those mixed again."""
+    own = WORD.findall((text or "").encode("utf-8").lower())
+    if not own:
+        return np.zeros(words, "<u8")
+    n = max(1, len(own) - width + 1)
     digest = xxhash.xxh64_intdigest
-    total, most = np.zeros(64, np.int64), 65_536
+    total, most = np.zeros(64 * words, np.int64), 65_536 // words
     for at in range(0, n, most):
-        part = [b" ".join(words[k : k + width]) for k in range(at, min(n, at + most))]
-        h = np.fromiter((digest(s, seed) for s in part), np.uint64, len(part))
-        total += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
+        part = [b" ".join(own[k : k + width]) for k in range(at, min(n, at + most))]
+        h = np.fromiter((digest(s, seed) for s in part), "<u8", len(part))
+        bits = np.stack([h, *(mixed(h + np.uint64(k)) for k in range(1, words))], 1)
+        total += np.unpackbits(bits.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * total > n, bitorder="little").view("<u8")
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Hashes turned into others by the finishing steps of a 64-bit mixer (fixed values)."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
+    return int(wide_fingerprint(text, width, seed)[0])
 
 
 def fingerprinted(df: DataFrame, text: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
@@ -55,12 +78,16 @@ def fingerprinted(df: DataFrame, text: str = "text", width: int = 4, seed: int =
     return worked(df, [text], {"fp": "long"}, lambda: work)
 
 
-def close_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of all pairs at most ``radius`` bits apart; both inputs are sorted into runs of equal counts.
+Pairs = Iterator[tuple[np.ndarray, np.ndarray]]
+
+
+def close_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> Pairs:
+    """Indices of all pairs of 64-bit fingerprints at most ``radius`` bits apart, a bounded number at a time.
 
     Both sides are cut into cells of equal counts in the four quarters of the bits. Cells whose counts differ
     by more than the radius in sum hold no pair. Each cell of ``a`` meets its surviving cells in one numpy call.
     """
+
     def cells(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         q = np.bitwise_count(x.view(np.uint16).reshape(-1, 4)).astype(np.int16)  # the counts of the four quarters
         key = ((q[:, 0] * 17 + q[:, 1]) * 17 + q[:, 2]) * 17 + q[:, 3].astype(np.int32)
@@ -69,10 +96,9 @@ def close_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray,
         return order, np.r_[starts, len(x)], q[order[starts]]
 
     if not len(a) or not len(b):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return
     (oa, sa, qa), (ob, sb, qb) = cells(a), cells(b)
     xa, xb = a[oa], b[ob]
-    left, right = [], []
     for i, q in enumerate(qa):
         near = np.flatnonzero(np.abs(qb - q).sum(1) <= radius)
         if not len(near):
@@ -80,22 +106,54 @@ def close_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray,
         lengths = sb[near + 1] - sb[near]
         at = np.repeat(sb[near] - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
         other = xb[at]
-        step = max(1, 4_000_000 // len(other))
+        step = max(1, STEP // len(other))
         for s in range(sa[i], sa[i + 1], step):
             e = min(sa[i + 1], s + step)
             r, c = np.nonzero(np.bitwise_count(xa[s:e, None] ^ other[None]) <= radius)
             if len(r):
-                left.append(oa[s + r])
-                right.append(ob[at[c]])
-    if not left:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(left), np.concatenate(right)
-
-
-def tile_links(prints: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
-    """Links ``(a, b)`` that connect distinct fingerprints exactly as all pairs within ``radius`` do."""
-    spark = prints.sparkSession
-    counted = stored(prints.select("fp", F.bit_count("fp").alias("ones")), "prints")
+                yield oa[s + r], ob[at[c]]
+
+
+def close_wide_pairs(a: np.ndarray, b: np.ndarray, radius: int) -> Pairs:
+    """The same for fingerprints of several words, one row each: two words sift, the others decide."""
+    step = max(1, STEP // 8 // max(1, len(b)))  # few enough to stay in a processor's cache
+    first, second = np.ascontiguousarray(b[:, 0]), np.ascontiguousarray(b[:, 1])
+    for s in range(0, len(a), step):
+        part = a[s : s + step]
+        apart = np.bitwise_count(part[:, :1] ^ first) + np.bitwise_count(part[:, 1:2] ^ second)
+        r, c = np.nonzero(apart <= SIFT)
+        if len(r):
+            rest = np.bitwise_count(part[r, 2:] ^ b[c, 2:]).sum(1, dtype=np.int64) + apart[r, c]
+            on = rest <= radius
+            yield s + r[on], c[on]
+
+
+def forest(pairs: Pairs, root: np.ndarray, shift: int) -> np.ndarray:
+    """``root`` with the sets of all pairs joined; the right side's indices begin at ``shift``."""
+    left, right, held = [], [], 0
+    for a, b in pairs:
+        left.append(a)
+        right.append(b + shift)
+        held += len(a)
+        if held > STEP:
+            root = hooked(root, np.concatenate(left), np.concatenate(right))
+            left, right, held = [], [], 0
+    return hooked(root, np.concatenate(left), np.concatenate(right)) if held else root
+
+
+def packed(fps: list) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints as numbers, and the nodes that stand for them: 64 bits themselves, wider ones by their hash."""
+    if isinstance(fps[0], bytes):
+        nodes = np.fromiter((xxhash.xxh64_intdigest(x, 42) for x in fps), np.uint64, len(fps)).view(np.int64)
+        return np.frombuffer(b"".join(fps), "<u8").reshape(len(fps), -1), nodes
+    nodes = np.asarray(fps, np.int64)
+    return nodes.view(np.uint64), nodes
+
+
+def tile_links(counted: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
+    """Links ``(a, b)`` that connect the distinct fingerprints ``(fp, ones)`` exactly as all pairs within ``radius``
+    do. Wider ones than 64 bits are binary, and linked by Spark's ``xxhash64`` of them."""
+    spark = counted.sparkSession
     sizes = {r["ones"]: r["n"] for r in counted.groupBy("ones").agg(F.count("*").alias("n")).collect()}  # 65 rows at most
     runs, of, n = [[]], {}, 0  # runs of counts that make one tile, or one count that makes several
     for ones in sorted(sizes):
@@ -126,12 +184,12 @@ def tile_links(prints: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for t, t2, x, y in batch.itertuples(index=False):
-                x = np.asarray(x, np.int64)
-                y = x if t == t2 else np.asarray(y, np.int64)
-                a, b = close_pairs(x.view(np.uint64), y.view(np.uint64), radius)
-                every = x if t == t2 else np.r_[x, y]
-                root = hooked(np.arange(len(every)), a, b if t == t2 else b + len(x))
+            for t, t2, fps, fps2 in batch.itertuples(index=False):
+                x, nodes = packed(fps)
+                y, every = (x, nodes) if t == t2 else packed(fps2)
+                every = nodes if t == t2 else np.r_[nodes, every]
+                close = close_pairs if x.ndim == 1 else close_wide_pairs
+                root = forest(close(x, y, radius), np.arange(len(every)), 0 if t == t2 else len(x))
                 on = np.flatnonzero(root != np.arange(len(every)))
                 yield pd.DataFrame({"a": every[on], "b": every[root[on]]})
 
@@ -140,11 +198,29 @@ def tile_links(prints: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 4, width: int = 4, seed: int = 42) -> DataFrame:
     """``(key, fp, fingerprint, component_id)`` for every row: equal component, equal group."""
-    rows = stored(fingerprinted(df.select(key, text), text, width, seed), "fingerprints")
-    prints = rows.groupBy("fp").agg(F.min(key).alias("least"))
-    groups = components(tile_links(prints, radius)).select(F.col("node").alias("fp"), F.col("component").alias("group"))
+    own = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
+    rows = stored(fingerprinted(own, "text", width, seed), "fingerprints")
+    prints = rows.groupBy("fp").agg(F.min("key").alias("least"))
+    counted = stored(prints.select("fp", F.bit_count("fp").alias("ones")), "prints")
+    groups = components(tile_links(counted, radius)).select(F.col("node").alias("fp"), F.col("component").alias("group"))
     named = stored(prints.join(groups, "fp", "left").withColumn("group", F.coalesce("group", "fp")), "groups")
     # written, so that both sides of the join below are plain shuffles, which Spark splits where a group is large
     least = stored(named.groupBy("group").agg(F.min("least").alias("component_id")), "group-names")
     by_print = named.select("fp", "group").join(least, "group").select("fp", "component_id")
-    return rows.join(by_print, "fp").select(key, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(by_print, "fp").select(F.col("key").alias(key), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def groups_of(df: DataFrame, name: str, text: str = "text", radius: int = WIDE_RADIUS, width: int = 5, seed: int = 42, words: int = WIDE_WORDS) -> DataFrame:
+    """``(name, group)``, one row for each distinct name: rows of equal names hold equal texts, similar texts share a
+    group (a number without meaning)."""
+
+    def work(texts: list) -> tuple[list, list]:
+        made = [wide_fingerprint(t, width, seed, words) for t in texts]
+        return [x.tobytes() for x in made], [int(np.bitwise_count(x).sum()) for x in made]
+
+    own = df.select(F.col(name).alias("name"), F.col(text).alias("text"))
+    rows = stored(worked(own, ["text"], {"fp": "binary", "ones": "int"}, lambda: work).distinct(), "wide-fingerprints")
+    counted = stored(rows.select("fp", "ones").distinct(), "prints")
+    groups = components(tile_links(counted, radius)).select(F.col("node").alias("at"), F.col("component").alias("group"))
+    found = rows.withColumn("at", F.xxhash64("fp")).join(groups, "at", "left")
+    return found.select(F.col("name").alias(name), F.coalesce("group", "at").alias("group"))
