@@ -185,9 +185,33 @@ def test_close_pairs_are_exact():
     x = rng.integers(0, 2**63, 700, dtype=np.uint64)
     flips = np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)
     x = np.r_[x, x[:300] ^ flips, np.uint64([0, 1, 3, 2**63])]
-    a, b = simhash.close_pairs(x, x, 4)
-    want = np.argwhere(np.bitwise_count(x[:, None] ^ x[None]) <= 4)
-    assert {*zip(a.tolist(), b.tolist())} == {*map(tuple, want.tolist())}
+    got = {p for a, b in simhash.close_pairs(x, x, 4) for p in zip(a.tolist(), b.tolist())}
+    assert got == {*map(tuple, np.argwhere(np.bitwise_count(x[:, None] ^ x[None]) <= 4).tolist())}
+
+
+def test_close_wide_pairs_are_exact():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 2**63, (500, 8), dtype=np.uint64)
+    for k in range(200):
+        x[300 + k] = x[k]
+        for bit in rng.integers(0, 512, 75 + k % 60):
+            x[300 + k, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    got = {p for a, b in simhash.close_wide_pairs(x, x[50:], 90) for p in zip(a.tolist(), b.tolist())}
+    apart = np.bitwise_count(x[:, None] ^ x[None, 50:])
+    want = np.argwhere((apart.sum(2) <= 90) & (apart[:, :, :2].sum(2) <= simhash.SIFT))
+    assert got == {*map(tuple, want.tolist())} and len(got) > 500
+
+
+def test_wide_fingerprints_bit_by_bit(odd_texts):
+    for t in odd_texts[:8]:
+        words = (t or "").lower().split()
+        grams = [" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))] if words else []
+        bits = np.zeros(512)
+        for g in grams:
+            h = np.uint64(xxhash.xxh64_intdigest(g, 42))
+            row = np.array([h, *(simhash.mixed(np.array([h + np.uint64(k)]))[0] for k in range(1, 8))])
+            bits += np.unpackbits(row.view(np.uint8), bitorder="little")
+        assert np.array_equal(np.unpackbits(simhash.wide_fingerprint(t, 5, 42, 8).view(np.uint8), bitorder="little"), 2 * bits > len(grams))
 
 
 def test_simhash_groups(spark, docs, odd_texts, monkeypatch):
