@@ -2,6 +2,11 @@
 
 Quality, toxicity, near duplicates and benchmark contamination take documents away; the last stage encodes
 what is left. Every stage's result is written as Parquet to the shared folder and read again by the next.
+
+Cases: null and empty texts are judged like any others, and equal ones are one document to the third stage; null
+ids are carried along; rows that share an id are judged by their own texts; rows equal in all columns are one after
+the third stage; columns beside ``doc_id`` and ``text`` come back as they were, whatever their names; an empty
+table gives empty results.
 """
 
 from __future__ import annotations
@@ -29,23 +34,27 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near fingerprints, one row of each group.
+    """One row of each group of texts whose wide fingerprints say that they share 0.8 of their five-word shingles.
 
-    A row is named by its id and the digest of its text, so different texts may share an id. Only these names
-    travel to the decision; texts move once, to meet it. Rows without an id cannot be named by a group and stay.
+    It is the row with the smallest id; rows without an id come last, and equal ids are told apart by a hash of
+    their columns, then by the text's digest. Rows equal in all columns are one. Only ids and digests travel to the
+    decision; texts move once, to meet it.
     """
-    keyed = docs.withColumn("digest", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
-    groups = simhash.near_duplicates(keyed, "digest").select("digest", "component_id").distinct()
-    ids = keyed.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    chosen = ids.join(groups, "digest").groupBy("component_id").agg(F.min(F.struct("doc_id", "digest")).alias("row")).select("row.*")
-    kept = keyed.where("doc_id is not null").join(chosen, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
-    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    key, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    rows = docs.toDF(*names).withColumns({"digest": F.md5(F.coalesce(text, F.lit("")).cast("binary")), "row": F.xxhash64(*[c for c in names if c != text], F.col(text).isNull())})
+    groups = simhash.groups_of(rows, "digest", text)
+    least = rows.groupBy("digest").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "row")).alias("least"))
+    chosen = groups.join(least, "digest").groupBy("group").agg(F.min(F.struct("least.*", "digest")).alias("one")).select("one.*")
+    same = (rows["digest"] == chosen["digest"]) & (rows["row"] == chosen["row"]) & rows[key].eqNullSafe(chosen["key"])
+    return rows.join(chosen, same, "left_semi").dropDuplicates(["digest"]).select(*names).toDF(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not contaminated by the benchmark."""
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    found = decontam.contamination(docs.toDF(*names), table(spark, sf_dir, "benchmark"), names[docs.columns.index("text")])
+    return found.where(~F.col("contaminated")).select(*names).toDF(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
