@@ -320,3 +320,48 @@ def test_wide_recordings_become_long(spark):
     wide = spark.createDataFrame([("t", 10.0, 1, "x"), ("t", 0.0, 2, "y")], "test_id string, time double, P int, note string")
     assert prep.time_column(wide) == "time" and prep.numeric_columns(wide) == ["P"]
     assert [(r["channel"], r["seq"], r["timestamp"], r["value"]) for r in prep.wide_to_long(wide).orderBy("seq").collect()] == [("P", 0, 0.0, 2.0), ("P", 1, 10.0, 1.0)]
+
+
+def test_flatlines_against_windows_taken_one_by_one(spark):
+    """The greedy rule with each variance taken around its own mean, on a level where sums of squares would lose it."""
+    rng = np.random.default_rng(3)
+    x = 1e6 + 3000 * rng.normal(size=400)
+    x[50:90], x[120:150], x[300:312] = 1e6, 1e6 + np.arange(30) * 1e-4, 5.0
+    x[130] = np.nan
+    found, i = [], 0
+    while i + 10 <= len(x):
+        if not (np.isfinite(x[i : i + 10]).all() and x[i : i + 10].var() < 1e-6):
+            i += 1
+            continue
+        j = i + 10
+        while j < len(x) and np.isfinite(x[j]) and x[i : j + 1].var() < 1e-6:
+            j += 1
+        found.append((i, j - 1))
+        i = j
+    got = anomaly.flatlines(series(spark, [None if np.isnan(v) else float(v) for v in x])).orderBy("start_seq").collect()
+    assert [(r["start_seq"], r["end_seq"]) for r in got] == found and (50, 89) in found
+
+
+def test_steady_channel_by_role_then_by_name(spark):
+    rows = [(t, c, i, i * 0.01, 1.0) for t, c in (("A", "P1"), ("A", "tank pressure"), ("B", "Pressure 2"), ("B", "flow"), ("C", "flow")) for i in range(3)]
+    r = spark.createDataFrame(rows, "test_id string, channel string, seq long, time_s double, value double")
+    roles = spark.createDataFrame([("P1", "upstream_pressure")], "channel string, role string")
+    assert {x["test_id"]: x["channel"] for x in steady.steady_channel(r, roles).collect()} == {"A": "P1", "B": "Pressure 2"}
+    assert {x["test_id"]: x["channel"] for x in steady.steady_channel(r).collect()} == {"A": "tank pressure", "B": "Pressure 2"}
+
+
+def test_a_familys_own_checks_stop_a_test(spark):
+    from dataclasses import replace
+
+    from traceforge.operators import uncertainty
+    from traceforge.plans import analysis
+
+    rows = [(t, c, i, i * 0.01, v + 0.001 * i) for t, top in (("A", 1.0), ("B", 9.0)) for c, v in (("p", 20.0 + top), ("q", 10.0), ("f", 12.0)) for i in range(100)]
+    r = spark.createDataFrame(rows, "test_id string, channel string, seq long, time_s double, value double")
+    roles = spark.createDataFrame([("p", "upstream_pressure"), ("q", "downstream_pressure"), ("f", "mass_flow")], "channel string, role string")
+    specs = spark.createDataFrame([(c, "rel", 0.01, None) for c in "pqf"], "channel string, u_type string, u_value double, full_scale double")
+    limits = spark.createDataFrame([("p", None, 25.0, True)], "channel string, min double, max double, allow_negative boolean")
+    family = replace(uncertainty.COLD_FLOW, checks=lambda x: [qc.sensor_range(x, limits)])
+    out = {x["test_id"]: (x["success"], x["error"]) for x in analysis.batch(r, roles, specs, family, "simple", "p").collect()}
+    assert out == {"A": (True, None), "B": (False, "quality: sensor_range")}
+    assert all(x["success"] for x in analysis.batch(r, roles, specs, uncertainty.COLD_FLOW, "cv", "p").collect())

@@ -18,6 +18,8 @@ from pyspark.sql.window import Window
 from traceforge.functions.series import KEYS, by_series, correlation, median, ratio, runs, with_stats
 from traceforge.operators.qc import paired
 
+#: Windows whose variances are taken at a time.
+BLOCK = 100_000
 OUT = ("test_id", "channel", "kind", "start_seq", "end_seq", "start_s", "end_s", "n", "score")
 #: Scales a median absolute deviation to a standard deviation.
 MAD = 1.4826
@@ -107,23 +109,20 @@ def flatlines(readings: DataFrame, width: int = 10, variance: float = 1e-6) -> D
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("seq")
         x, seq, t = part["value"].to_numpy(float), part["seq"].to_numpy(), part["time_s"].to_numpy()
-        base = np.nan_to_num(x, nan=0.0)
-        base = base - (np.nanmean(x) if np.isfinite(x).any() else 0.0)
-        s1, s2, bad = np.r_[0, np.cumsum(base)], np.r_[0, np.cumsum(base * base)], np.r_[0, np.cumsum(np.isnan(x))]
-
-        def flat(a: int, b: int) -> bool:
-            n = b - a
-            m = (s1[b] - s1[a]) / n
-            return bad[a] == bad[b] and (s2[b] - s2[a]) / n - m * m < variance
-
         found, i = [], 0
-        while i + width <= len(x):
-            if not flat(i, i + width):
-                i += 1
-                continue
-            j = i + width
-            while j < len(x) and flat(i, j + 1):
-                j += 1
+        # each window's variance is taken around its own mean; a missing sample gives none
+        windows = np.lib.stride_tricks.sliding_window_view(x, width) if len(x) >= width else np.empty((0, width))
+        starts = np.concatenate([np.empty(0, int), *(k + np.flatnonzero(windows[k : k + BLOCK].var(1) < variance) for k in range(0, len(windows), BLOCK))])
+        while (k := np.searchsorted(starts, i)) < len(starts):
+            i = int(starts[k])
+            j, mean = i + width, x[i : i + width].mean()
+            squares = ((x[i:j] - mean) ** 2).sum()
+            while j < len(x):  # one more sample moves mean and squares
+                after = mean + (x[j] - mean) / (j + 1 - i)
+                more = squares + (x[j] - mean) * (x[j] - after)
+                if not more / (j + 1 - i) < variance:
+                    break
+                mean, squares, j = after, more, j + 1
             found.append((*key, "flatline", seq[i], seq[j - 1], t[i], t[j - 1], j - i, float(j - i)))
             i = j
         return pd.DataFrame(found, columns=list(OUT))

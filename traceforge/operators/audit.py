@@ -80,8 +80,8 @@ def audit_metadata(metadata: DataFrame) -> DataFrame:
     return w.withColumn("valid", F.size("warnings") == 0)
 
 
-def audit_configs(configs: DataFrame) -> DataFrame:
-    """Warnings about ``(config_name, test_type, u_types, density, geometry)``."""
+def audit_configs(configs: DataFrame, key: str = "config_name") -> DataFrame:
+    """Warnings about ``(config_name, test_type, u_types, density, geometry)``, by ``key``."""
     rules = [
         (F.col("config_name").isNull() | (F.trim("config_name") == ""), "name missing"),
         (F.col("test_type").isNull() | ~F.col("test_type").isin(*TEST_TYPES), "unknown test type"),
@@ -91,7 +91,7 @@ def audit_configs(configs: DataFrame) -> DataFrame:
         ((F.col("test_type") == "cold_flow") & ~F.map_contains_key("geometry", "orifice_area_mm2"), "orifice area missing"),
         ((F.col("test_type") == "hot_fire") & ~F.map_contains_key("geometry", "throat_area_mm2"), "throat area missing"),
     ]
-    w = configs.select("config_name", warnings(rules).alias("warnings"))
+    w = configs.select(key, warnings(rules).alias("warnings"))
     return w.withColumn("valid", F.size("warnings") == 0)
 
 

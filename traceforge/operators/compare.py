@@ -31,7 +31,7 @@ def compare_tests(long: DataFrame, pairs: DataFrame, tolerances: DataFrame | Non
     b = known.select(F.col("test_id").alias("test_b"), "parameter", F.col("value").alias("b"))
     j = pairs.join(a, "test_a").join(b, ["test_b", "parameter"])
     if tolerances is not None:
-        j = j.join(F.broadcast(tolerances), "parameter", "left")
+        j = j.join(tolerances, "parameter", "left")
     else:
         j = j.withColumn("tol_pct", F.lit(None).cast("double"))
     return compared(j, F.col("a"), F.col("b"), F.coalesce("tol_pct", F.lit(default)))
@@ -44,7 +44,7 @@ def overall(compares: DataFrame, *keys: str) -> DataFrame:
 def compare_to_golden(long: DataFrame, golden: DataFrame) -> DataFrame:
     """Every test's parameters against ``golden(parameter, value, tol_pct)``."""
     g = golden.select("parameter", F.col("value").alias("golden"), "tol_pct")
-    return compared(long.where("value is not null").join(F.broadcast(g), "parameter"), F.col("golden"), F.col("value"), F.col("tol_pct"))
+    return compared(long.where("value is not null").join(g, "parameter"), F.col("golden"), F.col("value"), F.col("tol_pct"))
 
 
 def golden_from_campaign(long: DataFrame, use_median: bool = False, least: int = 5) -> DataFrame:

@@ -89,7 +89,7 @@ def rate_stability(readings: DataFrame, most: float = 0.10) -> DataFrame:
 
 def sensor_range(readings: DataFrame, specs: DataFrame) -> DataFrame:
     """Values outside ``specs(channel, min, max, allow_negative)``; a configured channel without values fails too."""
-    joined = readings.join(F.broadcast(specs), "channel")
+    joined = readings.join(specs, "channel")
     g = joined.groupBy(*KEYS).agg(F.count_if(out_of_range(F.col("value"))).alias("out"), F.count("value").alias("n"))
     return rows(g, "sensor_range", range_verdict(F.col("out"), F.col("n")), F.col("out"))
 
@@ -166,7 +166,7 @@ def full_run(readings: DataFrame, specs: DataFrame, critical: Sequence[str], pre
     """
     v, w = F.col("value"), by_series()
     known = specs.withColumn("has_spec", F.lit(True))
-    e = readings.join(F.broadcast(known), "channel", "left").withColumns({"dt": F.col("time_s") - F.lag("time_s").over(w), "var": rolling(F.var_samp(v), v, 50)})
+    e = readings.join(known, "channel", "left").withColumns({"dt": F.col("time_s") - F.lag("time_s").over(w), "var": rolling(F.var_samp(v), v, 50)})
     one = e.groupBy(*KEYS).agg(
         F.count_if(F.col("dt") <= 0).alias("bad"), F.count("dt").alias("n_dt"), median(F.col("dt")).alias("mid"), ratio(F.stddev_pop("dt"), F.avg("dt")).alias("cv"),
         F.count("var").alias("n_var"), F.count_if(F.col("var") < 1e-10).alias("flat"), F.avg(v.isNull().cast("int")).alias("share"), F.count("value").alias("known"),

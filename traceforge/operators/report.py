@@ -17,7 +17,7 @@ def campaign_summary(long: DataFrame, specs: DataFrame | None = None) -> DataFra
     """Count, mean, deviation, range and coefficient of variation (%) per campaign and parameter, with specs beside."""
     g = long.where("value is not null").groupBy("campaign_name", "parameter").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
     g = g.withColumns({"range": F.col("max") - F.col("min"), "cv_pct": ratio(F.col("std"), F.abs("mean")) * 100})
-    return g.join(F.broadcast(specs), "parameter", "left") if specs is not None else g
+    return g.join(specs, "parameter", "left") if specs is not None else g
 
 
 def with_system(results: DataFrame) -> DataFrame:

@@ -83,7 +83,7 @@ def capability(points: DataFrame, specs: DataFrame) -> DataFrame:
     """Short- and long-term indices against ``specs(parameter, lsl, usl[, target])``; one-sided specs give one side."""
     specs = specs if "target" in specs.columns else specs.withColumn("target", F.lit(None).cast("double"))
     g = ordered(points).groupBy(*KEYS).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("s"), F.avg("mr").alias("mr_bar")).where("n >= 2")
-    j = g.join(F.broadcast(specs), "parameter").withColumn("within", F.when(F.col("mr_bar") > 0, F.col("mr_bar") / D2).otherwise(F.col("s")))
+    j = g.join(specs, "parameter").withColumn("within", F.when(F.col("mr_bar") > 0, F.col("mr_bar") / D2).otherwise(F.col("s")))
     mean, lsl, usl = F.col("mean"), F.col("lsl"), F.col("usl")
 
     def indices(sigma: Column, p: str) -> dict[str, Column]:
@@ -143,7 +143,7 @@ def campaign_spc(points: DataFrame, specs: DataFrame) -> DataFrame:
 def overall_capability(points: DataFrame, specs: DataFrame) -> DataFrame:
     """Cp and Cpk from the overall deviation; infinite where it is zero."""
     g = points.where("value is not null").groupBy(*KEYS).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("s"))
-    j = g.join(F.broadcast(specs.select("parameter", "lsl", "usl")), "parameter")
+    j = g.join(specs.select("parameter", "lsl", "usl"), "parameter")
     inf = F.lit(float("inf"))
     s, mean = F.col("s"), F.col("mean")
     cp = F.when(s > 0, (F.col("usl") - F.col("lsl")) / (6 * s)).when(s == 0, inf)

@@ -220,7 +220,7 @@ def resonances(spectra: DataFrame, low_hz: float = 0.0, high_hz: float = float("
 def band_power(spectra: DataFrame) -> DataFrame:
     """Area under the density inside each band, between lines of the band only, and in total."""
     bands = spectra.sparkSession.createDataFrame([*BANDS, ("total", 0.0, 1e300)], "band string, low double, high double")
-    inside = spectra.join(F.broadcast(bands), F.col("freq_hz").between(F.col("low"), F.col("high")))
+    inside = spectra.join(bands, F.col("freq_hz").between(F.col("low"), F.col("high")))
     w = Window.partitionBy(*KEYS, "band").orderBy("k")
     area = (F.lead("freq_hz").over(w) - F.col("freq_hz")) * (F.col("psd") + F.lead("psd").over(w)) / 2
     return inside.withColumn("area", area).groupBy(*KEYS, "band").agg(F.coalesce(F.sum("area"), F.lit(0.0)).alias("power"))

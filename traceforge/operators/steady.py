@@ -14,6 +14,10 @@ from traceforge.functions.series import KEYS, by_series, longest, ratio, rolling
 
 #: Trees of the isolation forest, and rows that each tree is grown on.
 TREES, TREE_ROWS = 100, 256
+#: Samples of a test that are scored together.
+BLOCK_ROWS = 8192
+#: Roles of the channel that shows whether a test is steady, the first that a test has.
+STEADY_ROLES = ("upstream_pressure", "chamber_pressure", "pressure")
 
 
 def as_window(run_rows: DataFrame, method: str) -> DataFrame:
@@ -61,6 +65,25 @@ def steady_auto(readings: DataFrame, channel: str, preferred: DataFrame | None =
     return ranked.groupBy("test_id").agg(F.min_by(F.struct("start_s", "end_s", "method"), "rank").alias("w")).select("test_id", "w.*")
 
 
+def steady_channel(readings: DataFrame, roles: DataFrame | None = None) -> DataFrame:
+    """``(test_id, channel)``: by role of ``roles(channel, role[, test_id])``, else the first channel with ``pressure`` in its name."""
+    have = readings.select("test_id", "channel").distinct()
+    rank = F.when(F.lower("channel").contains("pressure"), len(STEADY_ROLES))
+    if roles is not None:
+        on = ["test_id", "channel"] if "test_id" in roles.columns else ["channel"]
+        have = have.join(roles.select(*on, "role"), on, "left")
+        by_role = [F.when(F.col("role") == r, k) for k, r in enumerate(STEADY_ROLES)]
+        rank = F.coalesce(*by_role, rank)
+    ranked = have.withColumn("rank", rank).where("rank is not null")
+    return ranked.groupBy("test_id").agg(F.min(F.struct("rank", "channel"))["channel"].alias("channel"))
+
+
+def steady_auto_by_role(readings: DataFrame, roles: DataFrame | None = None, preferred: DataFrame | None = None, width: int = 50, threshold: float = 0.02) -> DataFrame:
+    """:func:`steady_auto` on each test's own channel."""
+    own = readings.join(steady_channel(readings, roles), ["test_id", "channel"], "left_semi").withColumn("channel", F.lit("signal"))
+    return steady_auto(own, "signal", preferred, width, threshold)
+
+
 def validate(readings: DataFrame, windows: DataFrame, channel: str, least: int = 10, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Whether each window is usable, with the reason if not."""
     own = readings.where(F.col("channel") == channel)
@@ -139,12 +162,15 @@ def steady_forest(readings: DataFrame, channels: list[str], contamination: float
         import pickle
 
         for batch in batches:
-            for _, part in batch.groupby("test_id"):
-                x = part[names].to_numpy(float)
-                mean = np.mean([depths(t, x) for t in pickle.loads(part["forest"].iloc[0])], 0)
-                yield part[["test_id", "seq", "time_s"]].assign(score=2.0 ** (-mean / path_length(np.array(TREE_ROWS))))
-
-    scored = full.join(trees, "test_id").mapInPandas(score, "test_id string, seq long, time_s double, score double")
+            for test, seq, time, rows, packed in batch.itertuples(index=False):
+                x = np.stack(rows)
+                mean = np.mean([depths(t, x) for t in pickle.loads(packed)], 0)
+                yield pd.DataFrame({"test_id": test, "seq": seq, "time_s": time, "score": 2.0 ** (-mean / path_length(np.array(TREE_ROWS)))})
+
+    # a forest goes with a block of rows, not with every row
+    row = F.struct("seq", "time_s", F.array(*names).alias("x"))
+    blocks = full.groupBy("test_id", F.floor(F.col("seq") / BLOCK_ROWS).alias("block")).agg(F.collect_list(row).alias("rows")).join(trees, "test_id")
+    scored = blocks.select("test_id", "rows.seq", "rows.time_s", "rows.x", "forest").mapInPandas(score, "test_id string, seq long, time_s double, score double")
     cut = scored.groupBy("test_id").agg(F.percentile("score", F.lit(1 - contamination)).alias("cut"))
     keyed = scored.join(cut, "test_id").withColumn("channel", F.lit("all"))
     return as_window(longest(runs(keyed, F.col("score") <= F.col("cut"), gap=gap)), "ml")

@@ -87,7 +87,7 @@ def sensor_u(kind: Column, amount: Column, full_scale: Column, value: Column) ->
 
 def measured(means: DataFrame, roles: DataFrame, specs: DataFrame) -> DataFrame:
     """``(test_id, role, value, u, rel)`` from channel means, roles and ``specs(channel, u_type, u_value, full_scale)``."""
-    j = means.join(roles, ["test_id", "channel"]).join(F.broadcast(specs), "channel", "left")
+    j = means.join(roles, ["test_id", "channel"]).join(specs, "channel", "left")
     u = sensor_u(F.col("u_type"), F.col("u_value"), F.col("full_scale"), F.col("mean"))
     return j.select("test_id", "role", F.col("mean").alias("value"), u.alias("u")).withColumn("rel", ratio(F.col("u"), F.abs("value")))
 
@@ -121,7 +121,7 @@ def propagate(inputs: DataFrame, correlations: DataFrame | None = None) -> DataF
     else:
         a = terms.select("test_id", F.col("name").alias("a"), F.col("t").alias("ta"))
         b = terms.select("test_id", F.col("name").alias("b"), F.col("t").alias("tb"))
-        both = a.join(F.broadcast(correlations.where("a <> b")), "a").join(b, ["test_id", "b"])
+        both = a.join(correlations.where("a <> b"), "a").join(b, ["test_id", "b"])
         cross = both.groupBy("test_id").agg(F.sum(2 * F.col("ta") * F.col("tb") * F.col("r")).alias("w"))
     total = F.col("v") + F.coalesce("w", F.lit(0.0))
     return own.join(cross, "test_id", "left").select("test_id", F.sqrt(F.greatest(total, F.lit(0.0))).alias("u"))
@@ -150,6 +150,8 @@ class MetricFamily:
     metrics: Callable[[], list[Metric]]
     checks: Callable[[DataFrame], list[DataFrame]] = field(default=lambda readings: [])
     columns: dict[str, str] = field(default_factory=dict)
+    #: Roles of constants, such as areas and densities, that the metrics use beside the measured ones.
+    constants: tuple[str, ...] = ()
 
 
 def c(name: str) -> Column:
@@ -194,8 +196,8 @@ def hot_fire_metrics() -> list[Metric]:
     ]
 
 
-COLD_FLOW = MetricFamily("cold_flow", ("upstream_pressure", "downstream_pressure", "mass_flow"), cold_flow_metrics, columns={"pressure_upstream": "p_up_bar", "mass_flow": "mf_g_s", "delta_p": "dp_bar", "Cd": "cd"})
-HOT_FIRE = MetricFamily("hot_fire", ("chamber_pressure", "thrust", "mass_flow_ox", "mass_flow_fuel"), hot_fire_metrics, columns={"chamber_pressure": "pc_bar", "thrust": "thrust_n", "mass_flow_total": "mf_total_g_s", "of_ratio": "of_ratio", "Isp": "isp_s", "c_star": "c_star_m_s"})
+COLD_FLOW = MetricFamily("cold_flow", ("upstream_pressure", "downstream_pressure", "mass_flow"), cold_flow_metrics, columns={"pressure_upstream": "p_up_bar", "mass_flow": "mf_g_s", "delta_p": "dp_bar", "Cd": "cd"}, constants=("area_m2", "density"))
+HOT_FIRE = MetricFamily("hot_fire", ("chamber_pressure", "thrust", "mass_flow_ox", "mass_flow_fuel"), hot_fire_metrics, columns={"chamber_pressure": "pc_bar", "thrust": "thrust_n", "mass_flow_total": "mf_total_g_s", "of_ratio": "of_ratio", "Isp": "isp_s", "c_star": "c_star_m_s"}, constants=("throat_m2",))
 
 
 def wide_inputs(inputs: DataFrame, family: MetricFamily, constants: tuple[str, ...]) -> DataFrame:

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from traceforge.operators import prep, qc, uncertainty
-from traceforge.operators.steady import steady_auto, steady_middle
+from traceforge.operators import audit, prep, qc, uncertainty
+from traceforge.operators.steady import steady_auto, steady_cv, steady_derivative, steady_forest, steady_middle
 
 #: Detectors by name, as functions of (readings, channel).
-DETECTORS: dict[str, Callable[[DataFrame, str], DataFrame]] = {"auto": steady_auto, "simple": steady_middle}
+DETECTORS: dict[str, Callable[[DataFrame, str], DataFrame]] = {
+    "auto": steady_auto,
+    "simple": steady_middle,
+    "cv": steady_cv,
+    "derivative": steady_derivative,
+    "ml": lambda readings, channel: steady_forest(readings, [channel]),
+}
 
 
 def analyse(
@@ -19,25 +27,63 @@ def analyse(
 ) -> tuple[DataFrame, DataFrame]:
     """``(results, rejects)``: quality gate, steady slice, channel means, metrics with uncertainty, one row per test.
 
-    ``roles`` is ``(channel, role)`` for all tests, ``constants`` adds ``(test_id, role, value, u, rel)`` such as areas
-    and densities. A test that a blocking check fails is in ``rejects`` with the checks that stopped it.
+    ``roles`` is ``(channel, role)`` for all tests, or ``(test_id, channel, role)``; ``constants`` adds ``(test_id, role,
+    value, u, rel)`` of the family's constants. The family's own checks join the given ones. A test that a blocking
+    check fails is in ``rejects`` with the checks that stopped it.
     """
     checks = qc.timestamps_increase(readings).unionByName(qc.missing(readings)) if checks is None else checks
+    checks = reduce(DataFrame.unionByName, family.checks(readings), checks)
     passed = qc.gate(readings, checks)
     means = prep.channel_means(prep.steady_slice(passed, windows))
-    own = means.select("test_id", "channel").join(F.broadcast(roles), "channel")
+    own = means.select("test_id", "channel").join(roles, ["test_id", "channel"] if "test_id" in roles.columns else "channel")
     inputs = uncertainty.measured(means, own, specs)
-    names: Sequence[str] = ()
     if constants is not None:
         inputs = inputs.unionByName(constants.join(means.select("test_id").distinct(), "test_id", "left_semi"))
-        names = tuple(sorted(r["role"] for r in constants.select("role").distinct().collect()))
-    metrics = uncertainty.family_metrics(inputs, family, names)
+    metrics = uncertainty.family_metrics(inputs, family, family.constants)
     samples = passed.groupBy("test_id").agg(F.count("*").alias("n_samples"))
     rows = uncertainty.result_row(metrics, family).join(windows, "test_id", "left").join(samples, "test_id", "left")
     stopped = checks.where("status = 'FAIL' and blocking").groupBy("test_id").agg(F.array_sort(F.collect_set("check")).alias("failed_checks"))
     return rows, stopped
 
 
+def constants_of(merged: DataFrame) -> DataFrame:
+    """``(test_id, role, value, u, rel)`` of areas (given in mm2, known to half a percent) and density (to one) in merged configurations."""
+    area = [F.struct(F.lit(role).alias("role"), (F.col("geometry")[key] / 1e6).alias("value"), F.lit(0.005).alias("rel")) for role, key in (("area_m2", "orifice_area_mm2"), ("throat_m2", "throat_area_mm2"))]
+    density = F.struct(F.lit("density").alias("role"), F.col("density").cast("double").alias("value"), F.lit(0.01).alias("rel"))
+    rows = merged.select("test_id", F.explode(F.array(*area, density)).alias("c")).select("test_id", "c.*").where("value is not null")
+    return rows.select("test_id", "role", "value", (F.abs("value") * F.col("rel")).alias("u"), "rel")
+
+
+def complete(
+    readings: DataFrame, configs: DataFrame, metadata: DataFrame, specs: DataFrame, ranges: DataFrame, family: uncertainty.MetricFamily, detector: str, channel: str, critical: list[str], pressure: str, flow: str, analyst: str, version: str
+) -> DataFrame:
+    """One row for every test: merged and checked configuration, full quality run, steady window by ``detector``, metrics
+    with uncertainty, and provenance. ``error`` says why a test has no metrics.
+
+    ``configs`` is ``(test_id, config_name, test_type, u_types, density, geometry, fluid_name, sensor_roles, conditions)``,
+    ``metadata`` its overriding part by test, ``specs`` the channels' uncertainties, ``ranges`` their limits.
+    """
+    merged = audit.merge_config(configs, metadata)
+    invalid = audit.audit_configs(merged, "test_id").where(~F.col("valid")).select("test_id", "warnings")
+    usable = readings.join(invalid, "test_id", "left_anti")
+    roles = merged.select("test_id", F.explode("sensor_roles").alias("role", "channel"))
+    windows = DETECTORS[detector](usable, channel)
+    checks = qc.full_run(usable, ranges, critical, pressure, flow)
+    rows, stopped = analyse(usable, roles, specs, family, windows.drop("method"), constants_of(merged), checks)
+    held = merged.select("test_id", F.map_concat("conditions", F.create_map(F.lit("config_name"), F.col("config_name"), F.lit("fluid_name"), F.coalesce("fluid_name", F.lit("")))).alias("config"))
+    tests = readings.select("test_id").distinct()
+    found = tests.join(rows.drop("start_s", "end_s"), "test_id", "left").join(stopped, "test_id", "left").join(invalid, "test_id", "left")
+    recorded = audit.provenance(found, audit.content_hash(readings), held, windows, analyst, version)
+    values = [c for c in rows.columns if c.startswith("avg_")]
+    success = F.coalesce(*values).isNotNull() & F.col("failed_checks").isNull() & F.col("warnings").isNull()
+    error = (
+        F.when(F.col("warnings").isNotNull(), F.concat(F.lit("configuration: "), F.array_join("warnings", ", ")))
+        .when(F.col("failed_checks").isNotNull(), F.concat(F.lit("quality: "), F.array_join("failed_checks", ", ")))
+        .when(~success, "no metrics")
+    )
+    return recorded.withColumns({"success": success, "error": error}).drop("warnings", "failed_checks")
+
+
 def batch(readings: DataFrame, roles: DataFrame, specs: DataFrame, family: uncertainty.MetricFamily, detector: str = "simple", channel: str = "", constants: DataFrame | None = None, checks: DataFrame | None = None) -> DataFrame:
     """Every test's outcome: ``success``, quality status, the error text of those that gave no result, and results."""
     windows = DETECTORS[detector](readings, channel).drop("method")
@@ -53,5 +99,4 @@ def batch(readings: DataFrame, roles: DataFrame, specs: DataFrame, family: uncer
 def batch_rates(outcomes: DataFrame) -> DataFrame:
     """Number and share of tests by outcome and quality status."""
     g = outcomes.groupBy("success", "qc_status").agg(F.count("*").alias("n"))
-    total = outcomes.agg(F.count("*").alias("total"))
-    return g.join(F.broadcast(total)).withColumn("share", F.col("n") / F.col("total")).drop("total")
+    return g.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))  # four rows at most

@@ -2,17 +2,9 @@
 
 from __future__ import annotations
 
-from importlib import import_module
-
+from traceforge.queries import anomaly, audit, compare, phases, plans, prep, qc, report, spc, spectral, steady, uncertainty  # noqa: F401  (each registers its queries)
 from traceforge.queries.base import REGISTRY
 
-for _name in ("prep", "qc", "steady", "anomaly", "phases", "spectral", "uncertainty", "spc", "compare", "report", "audit", "plans"):
-    try:
-        import_module(f"traceforge.queries.{_name}")
-    except ModuleNotFoundError as e:
-        if e.name != f"traceforge.queries.{_name}":
-            raise
-
 
 def queries() -> dict:
     return {name: fn for name, (fn, _) in REGISTRY.items()}

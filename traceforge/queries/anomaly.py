@@ -149,3 +149,16 @@ def a10_all(spark, sf):
 @query("a11_r12_report_all")
 def a11_all(spark, sf):
     return anomaly.report(anomaly.detect_all(readings(spark, sf, True), PAIRS)).select("test_id", "channel", "kind", "severity", "n_intervals", "n_samples")
+
+
+NATIVE = f"""WITH {GAPPED}, {robust('readings', 'value', 'z')}, {DROPS_CTE}, {SATURATED_CTE.replace('0.9)', '0.995)').replace('0.1)', '0.005)')}, {MOVES}, {robust('moves', 'move', 't')}, {DRIFT.split('SELECT test_id, channel, \'drift\'')[0].rstrip()}, {BREAKS.split('SELECT test_id, \'view/click\'')[0].rstrip()},
+  a AS ({SPIKES} UNION ALL {DROPS.replace('0.3::DOUBLE', '0.1::DOUBLE')} UNION ALL {runs_sql('s', 'value >= hi', 'value', 'saturation_high', 'count(*) >= 5')} UNION ALL {runs_sql('s', 'value <= lo', '-value', 'saturation_low', 'count(*) >= 5')}
+    UNION ALL {TRANSIENTS.replace('1 * sigma', '3 * sigma')}
+    UNION ALL SELECT test_id, channel, 'drift', start_seq, end_seq, n, round(abs(slope * n / span), 8) FROM g WHERE n >= 200 AND r2 > 0.5 AND abs(slope * n / span) > 0.05::DOUBLE
+    UNION ALL SELECT test_id, 'view/click', 'correlation_break', min(start), max(start) + 50, count(*), round(min(r), 8) FROM u GROUP BY test_id, run)
+  SELECT *, CASE WHEN kind = 'dropout' OR kind = 'spike' AND score > 6 THEN 'CRITICAL' WHEN kind IN ('drift', 'transient') THEN 'INFO' ELSE 'WARNING' END AS severity FROM a"""
+
+
+@query("a10_full_run_native", NATIVE)
+def a10_native(spark, sf):
+    return rounded(anomaly.detect_all(readings(spark, sf, True), [("view", "click")], native_only=True).select(*OUT, "severity"), 8)

@@ -11,6 +11,11 @@ def i1(spark, sf):
     return audit.file_hashes(spark, sf, "nation.parquet").select(F.substring_index("path", "/", -1).alias("file"), "hash")
 
 
+@query("i1_all_file_hashes")
+def i1_all(spark, sf):
+    return audit.file_hashes(spark, sf, "*.parquet").select(F.substring_index("path", "/", -1).alias("file"), "hash")
+
+
 @query("i2_content_hash", f"""WITH {GAPPED}, l AS (SELECT test_id, concat_ws('|', channel, CAST(seq AS VARCHAR), coalesce(printf('%.6f', time_s), ''), coalesce(printf('%.6f', value), '')) AS line FROM readings),
   h AS (SELECT test_id, count(*) AS n, sum(CAST('0x' || substr(sha256(line), 1, 15) AS BIGINT)::HUGEINT) AS s FROM l GROUP BY test_id)
   SELECT test_id, n, 'sha256:' || sha256(CAST(n AS VARCHAR) || ':' || CAST(s AS VARCHAR)) AS hash FROM h""")
@@ -40,7 +45,10 @@ def recorded(spark, sf):
     return audit.provenance(tests, audit.content_hash(r), configs, windows, "analyst", "1.0")
 
 
-@query("i5_provenance")
+@query("i5_provenance", f"""WITH {READINGS}, l AS (SELECT test_id, concat_ws('|', channel, CAST(seq AS VARCHAR), coalesce(printf('%.6f', time_s), ''), coalesce(printf('%.6f', value), '')) AS line FROM readings),
+  h AS (SELECT test_id, count(*) AS n, sum(CAST('0x' || substr(sha256(line), 1, 15) AS BIGINT)::HUGEINT) AS s FROM l GROUP BY test_id)
+  SELECT test_id, n AS n_samples, 'sha256:' || sha256(CAST(n AS VARCHAR) || ':' || CAST(s AS VARCHAR)) AS raw_data_hash, 'sha256:' || sha256('rate=100') AS config_hash, min(time_s) AS steady_start_s, max(time_s) AS steady_end_s, 'simple' AS detection_method, 'analyst' AS analyst_username, '1.0' AS processing_version
+  FROM h JOIN readings USING (test_id) GROUP BY test_id, n, s""")
 def i5(spark, sf):
     return recorded(spark, sf)
 

@@ -6,6 +6,8 @@ orders. Tests and campaigns therefore grow in number with the data, and keep the
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +31,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path for files that a query writes and reads again: in the shared folder, or a local one on a local master.
+
+    It is deleted when the driver ends.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = f"file://{tempfile.gettempdir()}"
+    path = f"{folder.rstrip('/')}/traceforge-{name}-{uuid.uuid4().hex}"
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return path
+
+
 def raw_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(test_id, channel, seq, timestamp, value)``, timestamps in microseconds."""
     e = table(spark, sf_dir, "events").select(

@@ -5,7 +5,7 @@ from pyspark.sql.window import Window
 
 from traceforge.operators import prep, qc, uncertainty
 from traceforge.plans import analysis
-from traceforge.queries.base import GAPPED, RESULTS, query, readings, results, rounded, table
+from traceforge.queries.base import GAPPED, RAW, RESULTS, query, readings, results, rounded, scratch, table
 from traceforge.queries.uncertainty import AREA, COLD_ROLES, RHO, SPEC_SQL, U_AREA, U_RHO, specs
 from traceforge.sources import campaigns, recordings
 
@@ -79,7 +79,7 @@ def s11(spark, sf):
     return done.select("test_id", F.col("price").isNull().alias("price_null"), "part")
 
 
-@query("s12_schema_evolution")
+@query("s12_schema_evolution", f"""WITH {RESULTS} SELECT campaign_name, CAST(test_id AS VARCHAR) AS test_id, test_timestamp, part, status, avg_price, avg_balance, u_price, qc_passed, """ + ", ".join(f"CAST(NULL AS {t}) AS {c}" for t, names in (("VARCHAR", "serial_num raw_data_hash config_hash detection_method analyst_username processing_version"), ("DOUBLE", "steady_start_s steady_end_s avg_p_up_bar u_p_up_bar avg_mf_g_s u_mf_g_s avg_dp_bar u_dp_bar avg_cd u_cd")) for c in names.split()) + " FROM results")
 def s12(spark, sf):
     return campaigns.migrated(results(spark, sf).withColumn("test_id", F.col("test_id").cast("string")), campaigns.schema_of("cold_flow"))
 
@@ -166,3 +166,161 @@ def j7(spark, sf):
     r = readings(spark, sf, True)
     w = r.groupBy("test_id").agg((F.max("time_s") * 0.25).alias("start_s"), (F.max("time_s") * 0.75).alias("end_s"))
     return qc.paired(prep.steady_slice(r, w).drop("start_s", "end_s"), "view", "click").select("test_id", "seq", "a", "b")
+
+
+CHANNELS = ("click", "error", "purchase", "signup", "view")
+
+
+def recorded(spark, sf):
+    """The readings as one CSV file a test: a folder by test, a row a sample, a column a channel; returns the folder."""
+    path = scratch(spark, "recordings")
+    wide = readings(spark, sf, True).groupBy("test_id", "seq").pivot("channel", list(CHANNELS)).agg(F.max("value"))
+    rows = wide.select("test_id", (F.col("seq") * 10.0).alias("timestamp"), *CHANNELS)
+    rows.repartition("test_id").sortWithinPartitions("test_id", "timestamp").write.partitionBy("test_id").option("header", "true").csv(path)
+    return path
+
+
+@query("s1_recording_scan", f"WITH {GAPPED}, g AS (SELECT DISTINCT test_id, seq FROM readings), c AS (SELECT unnest({list(CHANNELS)}) AS channel) SELECT g.test_id, c.channel, g.seq, g.seq * 10.0::DOUBLE AS timestamp, value FROM g CROSS JOIN c LEFT JOIN readings r ON r.test_id = g.test_id AND r.channel = c.channel AND r.seq = g.seq")
+def s1(spark, sf):
+    return recordings.read_recordings(spark, recorded(spark, sf), "part-*.csv", "test_id=([^/]+)/")
+
+
+@query("s2_discovery", "SELECT DISTINCT 'T' || (user_id // 10) AS test_id, true AS has_bytes FROM events")
+def s2(spark, sf):
+    found = recordings.discover(spark, recorded(spark, sf), "part-*.csv")
+    return found.select(recordings.test_id_of(F.col("path"), "test_id=([^/]+)/").alias("test_id"), (F.col("bytes") > 0).alias("has_bytes"))
+
+
+@query("s4_metadata_scan", "SELECT CASE WHEN c_custkey % 3 <> 0 THEN 'C' || c_custkey ELSE 'folder=F' || c_custkey END AS test_id, CASE WHEN c_custkey % 2 = 0 THEN 'complete' ELSE 'pending' END AS status, c_mktsegment AS system, c_acctbal AS area FROM customer")
+def s4(spark, sf):
+    i = F.col("c_custkey")
+    fields = F.struct(F.when(i % 3 != 0, F.concat(F.lit("C"), i)).alias("test_id"), F.when(i % 2 == 0, "complete").alias("status"), F.col("c_mktsegment").alias("system"), F.create_map(F.lit("area"), "c_acctbal").alias("geometry"))
+    path = scratch(spark, "metadata")
+    customers = table(spark, sf, "customer").select(F.concat(F.lit("F"), i).alias("folder"), F.to_json(fields).alias("value"))
+    customers.repartition("folder").write.partitionBy("folder").text(path)
+    found = recordings.read_metadata(spark, path, "part-*.txt")
+    return found.select("test_id", "status", "system", F.col("geometry")["area"].alias("area"))
+
+
+@query("s5_test_folders", "SELECT o_orderkey AS test_id, CASE WHEN o_orderkey % 3 <> 0 THEN 'r/' || o_orderkey || '/metadata.json' END AS metadata_path, CASE WHEN o_orderkey % 2 = 0 THEN 'r/' || o_orderkey || '/config/a_config.json' WHEN o_orderkey % 5 = 0 THEN 'r/' || o_orderkey || '/my_config.json' END AS config_path, CASE WHEN o_orderkey % 7 <> 0 THEN 'r/' || o_orderkey || '/raw_data/raw.csv' ELSE 'r/' || o_orderkey || '/a.csv' END AS raw_path FROM orders")
+def s5_folders(spark, sf):
+    i = F.col("o_orderkey")
+    names = [(i % 3 != 0, "metadata.json"), (i % 2 == 0, "config/z.json"), (i % 2 == 0, "config/a_config.json"), (i % 5 == 0, "my_config.json"), (F.lit(True), "other.json"), (i % 7 != 0, "raw_data/raw.csv"), (F.lit(True), "a.csv")]
+    listed = F.array_compact(F.array(*[F.when(c, F.lit(n)) for c, n in names]))
+    found = table(spark, sf, "orders").select(i.alias("test_id"), F.explode(listed).alias("file"))
+    return recordings.test_folders(found.select("test_id", F.concat(F.lit("r/"), F.col("test_id"), F.lit("/"), F.col("file")).alias("path")))
+
+
+@query("s6_catalog_types", "SELECT o_orderstatus AS system, o_orderpriority AS campaign, CASE WHEN o_orderkey % 4 = 0 THEN 'unknown' WHEN o_orderkey % 2 = 0 THEN 'cold_flow' ELSE 'hot_fire' END AS test_type, count(*) AS n_tests FROM orders GROUP BY ALL")
+def s6_types(spark, sf):
+    i = F.col("o_orderkey")
+    kind = F.when(i % 4 == 0, F.lit(None)).when(i % 2 == 0, "cold_flow").otherwise("hot_fire")
+    return recordings.catalog_types(table(spark, sf, "orders").select(F.col("o_orderstatus").alias("system"), F.col("o_orderpriority").alias("campaign"), kind.alias("test_type")))
+
+
+@query("s11_upsert_values", """WITH o AS (SELECT o_orderkey AS k, o_totalprice AS price, o_orderpriority AS part FROM orders)
+  SELECT k AS test_id, CASE WHEN k % 4 = 0 THEN NULL WHEN k % 6 = 0 THEN k / 8 ELSE price END AS price, CASE WHEN k % 2 = 0 THEN 'new' ELSE part END AS part FROM o UNION ALL SELECT k + 100000000, 7.5, 'new' FROM o WHERE k % 50 = 0""")
+def s11_values(spark, sf):
+    i = F.col("test_id")
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("test_id"), F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("part"))
+    price = F.when(i % 4 == 0, F.create_map(F.lit("price"), F.lit(None).cast("string"))).when(i % 6 == 0, F.create_map(F.lit("price"), (i / 8).cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    new = o.where(i % 2 == 0).select("test_id", F.lit(2).alias("written_at"), F.map_concat(F.create_map(F.lit("part"), F.lit("new")), price).alias("values"))
+    added = o.where(i % 50 == 0).select((i + 100000000).alias("test_id"), F.lit(1).alias("written_at"), F.create_map(F.lit("part"), F.lit("new"), F.lit("price"), F.lit("7.5")).alias("values"))
+    return campaigns.upsert(o, new.unionByName(added)).select("test_id", "price", "part")
+
+
+RESULT_COLUMNS = "campaign_name, test_id, part, status, avg_price, avg_balance, u_price, qc_passed"
+
+
+@query("s14_csv_round_trip", f"WITH {RESULTS} SELECT {RESULT_COLUMNS} FROM results")
+def s14_csv(spark, sf):
+    path, r = scratch(spark, "csv"), results(spark, sf)
+    campaigns.export_csv(r, path, ["all campaigns"])
+    return spark.read.schema(r.schema).option("header", "true").csv(path).select(*RESULT_COLUMNS.split(", "))
+
+
+@query("s15_json_round_trip", f"WITH {RESULTS} SELECT {RESULT_COLUMNS} FROM results")
+def s15_json(spark, sf):
+    path, r = scratch(spark, "json"), results(spark, sf)
+    campaigns.export_json(r, path)
+    return spark.read.schema(r.schema).json(path).select(*RESULT_COLUMNS.split(", "))
+
+
+@query("s16_parquet_round_trip", f"WITH {RESULTS} SELECT {RESULT_COLUMNS} FROM results")
+def s16(spark, sf):
+    path = scratch(spark, "parquet")
+    campaigns.export_parquet(results(spark, sf), path, "zstd")
+    return spark.read.parquet(path).select(*RESULT_COLUMNS.split(", "))
+
+
+@query("s17_context_fields", f"WITH {RESULTS} SELECT test_id, round(avg_balance, 6) AS balance, round(avg_price, 6) AS price, round(u_price, 6) AS u, part, status, '100' AS rate FROM results")
+def s17_fields(spark, sf):
+    document = F.from_json("document", "measurements array<struct<name:string,value:double,u:double>>, provenance struct<part:string,status:string>, config map<string,string>")
+    d = s17(spark, sf).select("test_id", document.alias("d"))
+    return d.select("test_id", F.round(F.col("d.measurements")[0]["value"], 6).alias("balance"), F.round(F.col("d.measurements")[1]["value"], 6).alias("price"), F.round(F.col("d.measurements")[1]["u"], 6).alias("u"), "d.provenance.part", "d.provenance.status", F.col("d.config")["rate"].alias("rate"))
+
+
+@query("s19_qualification_package", f"WITH {RESULTS} SELECT name, (SELECT count(*) FROM results) AS rows FROM (SELECT unnest(['summary', 'full', 'provenance']) AS name)")
+def s19(spark, sf):
+    return campaigns.qualification_package(results(spark, sf), scratch(spark, "package"))
+
+
+@query("s20_batch_export", f"WITH {RESULTS} SELECT test_id, test_id % 6 <> 0 AS success, CASE WHEN test_id % 6 = 0 THEN 'no metrics' END AS error, round(avg_price, 6) AS price, round(u_price, 6) AS price_u, round(avg_balance, 6) AS balance, round(u_price, 6) AS balance_u FROM results")
+def s20(spark, sf):
+    path, rows = scratch(spark, "batch"), outcomes(spark, sf).withColumn("error", F.when(~F.col("success"), "no metrics"))
+    campaigns.export_batch(rows, ["price", "balance"], path)
+    return rounded(spark.read.schema("test_id long, success boolean, error string, price double, price_u double, balance double, balance_u double").option("header", "true").csv(path), 6)
+
+
+@query("s21_save_analysis", f"WITH {GAPPED} SELECT test_id, count(*) AS n_samples, count(value) AS n_known, round(avg(value), 6) AS mean FROM readings GROUP BY test_id")
+def s21(spark, sf):
+    path, r = scratch(spark, "analysis"), readings(spark, sf, True)
+    campaigns.save_analysis(r, r.groupBy("test_id").agg(F.avg("value").alias("mean")), path)
+    saved = spark.read.parquet(f"{path}/processed").groupBy("test_id").agg(F.count("*").alias("n_samples"), F.count("value").alias("n_known"))
+    return rounded(saved.join(spark.read.parquet(f"{path}/results"), "test_id"), 6)
+
+
+@query("p6_columns_of_a_recording", f"WITH {RAW} SELECT test_id, 'view' AS channel, row_number() OVER (PARTITION BY test_id ORDER BY event_id) - 1 AS seq, ts_us / 1e6 AS timestamp, v AS value FROM raw WHERE channel = 'view' UNION ALL SELECT test_id, 'twice', row_number() OVER (PARTITION BY test_id ORDER BY event_id) - 1, ts_us / 1e6, 2 * v FROM raw WHERE channel = 'view'")
+def p6(spark, sf):
+    e = table(spark, sf, "events").where("event_type = 'view'")
+    wide = e.select(F.concat(F.lit("T"), F.floor(F.col("user_id") / 10)).alias("test_id"), "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("Time"), F.col("value").alias("view"), (2 * F.col("value")).alias("twice"), F.col("event_type").alias("note"))
+    return prep.wide_to_long(wide, "test_id", "event_id")
+
+
+@query("b3_batch_by_detector")
+def b3_detectors(spark, sf):
+    r = readings(spark, sf)
+    roles = spark.createDataFrame(COLD_ROLES, "channel string, role string")
+    found = None
+    for name in analysis.DETECTORS:
+        own = analysis.batch(r, roles, specs(spark), uncertainty.COLD_FLOW, name, "view").select("test_id", F.lit(name).alias("detector"), "success", "error", "avg_p_up_bar")
+        found = own if found is None else found.unionByName(own)
+    return rounded(found, 9)
+
+
+REGULAR = f"""{RAW}, readings AS (SELECT test_id, channel, seq, seq * 0.01::DOUBLE AS time_s, CASE WHEN event_id % 17 <> 0 THEN v END AS value FROM raw)"""
+COMPLETE = f"""WITH {REGULAR}, invalid AS (SELECT DISTINCT test_id FROM readings WHERE CAST(substr(test_id, 2) AS INT) % 9 = 0),
+  e AS (SELECT test_id, channel, avg((value IS NULL)::INT) AS s, max(value) AS top, count(value) AS n FROM readings WHERE channel IN ('view', 'click') GROUP BY ALL),
+  f AS (SELECT test_id, 'nan_ratio' AS c FROM e WHERE s > 0.2 UNION SELECT test_id, 'sensor_range' FROM e WHERE channel = 'view' AND (n = 0 OR top > 250)),
+  stopped AS (SELECT test_id, string_agg(DISTINCT c, ', ' ORDER BY c) AS c FROM f WHERE test_id NOT IN (SELECT test_id FROM invalid) GROUP BY test_id),
+  bad AS (SELECT test_id FROM stopped UNION SELECT test_id FROM invalid), """ + CHECKED[CHECKED.index("own AS (") :] + """
+  SELECT t.test_id, CASE WHEN i.test_id IS NOT NULL THEN 'configuration: density missing' WHEN s.test_id IS NOT NULL THEN 'quality: ' || s.c WHEN p1 IS NULL AND f IS NULL THEN 'no metrics' END AS error,
+    i.test_id IS NULL AND s.test_id IS NULL AND (p1 IS NOT NULL OR f IS NOT NULL) AS success, round(cd, 9) AS avg_cd, round(p1, 9) AS avg_p_up_bar, CASE WHEN i.test_id IS NULL THEN 'simple' END AS detection_method, 'analyst' AS analyst_username
+  FROM (SELECT DISTINCT test_id FROM readings) t LEFT JOIN k USING (test_id) LEFT JOIN invalid i USING (test_id) LEFT JOIN stopped s USING (test_id)"""
+
+
+@query("b1_complete_analysis", COMPLETE)
+def b1_complete(spark, sf):
+    r = readings(spark, sf, True).withColumn("time_s", F.col("seq") * 0.01)
+    number = F.substring("test_id", 2, 20).cast("int")
+    empty = F.create_map().cast("map<string,string>")
+    tests = r.select("test_id").distinct()
+    roles = F.create_map(*[F.lit(x) for channel, role in COLD_ROLES for x in (role, channel)])
+    configs = tests.select(
+        "test_id", F.lit("bench").alias("config_name"), F.lit("cold_flow").alias("test_type"), F.create_map(F.lit("view"), F.lit("rel")).alias("u_types"), F.when(number % 9 != 0, F.lit(RHO)).alias("density"),
+        F.create_map(F.lit("orifice_area_mm2"), F.lit(9.0)).alias("geometry"), F.lit("water").alias("fluid_name"), empty.alias("sensor_roles"), F.create_map(F.lit("rate"), F.lit("50")).alias("conditions"),
+    )
+    metadata = tests.select("test_id", F.create_map(F.lit("orifice_area_mm2"), F.lit(AREA * 1e6)).alias("geometry"), F.lit(None).cast("string").alias("fluid_name"), roles.alias("sensor_roles"), F.create_map(F.lit("rate"), F.lit("100")).alias("conditions"))
+    ranges = spark.createDataFrame([("view", None, 250.0, True)], "channel string, min double, max double, allow_negative boolean")
+    done = analysis.complete(r, configs, metadata, specs(spark), ranges, uncertainty.COLD_FLOW, "simple", "view", ["view", "click"], "view", "click", "analyst", "1.0")
+    return rounded(done.select("test_id", "error", "success", "avg_cd", "avg_p_up_bar", "detection_method", "analyst_username"), 9)

@@ -112,7 +112,38 @@ def run(spark, sf):
     return qc.full_run(readings(spark, sf, True), specs(spark), ["view", "click"], "view", "click", "purchase", "signup")
 
 
-@query("q10_full_run")
+FULL = f"""WITH {GAPPED}, {DT}, specs(channel, lo, hi, neg) AS (VALUES ('view', 0.5, 150.0, true), ('click', NULL, 400.0, true), ('error', 0.2, NULL, false)),
+  one AS (SELECT test_id, channel, count_if(dt <= 0) AS bad, count(dt) AS n_dt, quantile_cont(dt, 0.5) AS mid, stddev_pop(dt) / nullif(avg(dt), 0) AS cv, avg((value IS NULL)::INT) AS share, count(value) AS known, min(value) AS low, max(value) AS high FROM dts GROUP BY ALL),
+  two AS (SELECT d.test_id, d.channel, count_if(dt > 3 * mid) AS gaps, greatest(avg((value = low)::INT), avg((value = high)::INT)) AS stuck FROM dts d JOIN one USING (test_id, channel) GROUP BY ALL),
+  f50 AS (SELECT *, CASE WHEN count(value) {frame(50)} = 50 THEN var_samp(value) {frame(50)} END AS v FROM readings WHERE channel IN ('view', 'click')),
+  fl AS (SELECT test_id, channel, count(v) AS n, count_if(v < 1e-10) AS flat FROM f50 GROUP BY ALL),
+  rg AS (SELECT test_id, channel, count_if(coalesce(value < lo, false) OR coalesce(value > hi, false) OR (NOT neg AND coalesce(value < 0, false))) AS bad, count(value) AS n FROM readings JOIN specs USING (channel) GROUP BY ALL),
+  pairs AS (SELECT test_id, seq, max(value) FILTER (channel = 'view') AS a, max(value) FILTER (channel = 'click') AS b, max(value) FILTER (channel = 'purchase') AS c, max(value) FILTER (channel = 'signup') AS d FROM readings GROUP BY ALL),
+  ab AS (SELECT test_id, 'view/click' AS channel, count(*) AS n, corr(a, b) AS r FROM pairs WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY test_id),
+  cd AS (SELECT test_id, 'purchase/signup' AS channel, count(*) AS n, corr(c, d) AS r FROM pairs WHERE c IS NOT NULL AND d IS NOT NULL GROUP BY test_id),
+  known AS (SELECT * FROM readings WHERE channel = 'purchase' AND value IS NOT NULL),
+  ro AS (SELECT *, CASE WHEN count(value) {frame(50)} = 50 THEN max(value) {frame(50)} - min(value) {frame(50)} END AS span, CASE WHEN count(value) {frame(50)} = 50 THEN avg(value) {frame(50)} END AS mid FROM known),
+  st AS (SELECT test_id, channel, count(*) AS n, avg(value) AS mean, max(CASE WHEN mid > 0 THEN span / mid * 100 END) AS rough FROM ro GROUP BY ALL),
+  ig AS (SELECT test_id, channel, max(value) AS top, min_by(time_s, seq) FILTER (value >= 2) AS first_s FROM readings WHERE channel = 'purchase' GROUP BY ALL) """
+RELATED = "CASE WHEN n < 10 THEN 'SKIP' WHEN r IS NULL OR isnan(r) THEN 'WARN' WHEN r >= {} THEN 'PASS' WHEN r < 0 THEN 'FAIL' ELSE 'WARN' END"
+FULL += " UNION ALL ".join(
+    [
+        case("timestamp_monotonic", "CASE WHEN bad > 0 THEN 'FAIL' ELSE 'PASS' END", "bad", "FROM one"),
+        case("timestamp_gaps", "CASE WHEN gaps = 0 THEN 'PASS' WHEN gaps / n_dt < 0.01 THEN 'WARN' ELSE 'FAIL' END", "gaps", "FROM one JOIN two USING (test_id, channel) WHERE n_dt > 0"),
+        case("sampling_rate", "CASE WHEN n_dt < 10 THEN 'SKIP' WHEN cv > 0.10 THEN 'WARN' ELSE 'PASS' END", "cv", "FROM one"),
+        case("sensor_range", "CASE WHEN n = 0 OR bad > 0 THEN 'FAIL' ELSE 'PASS' END", "bad", "FROM rg"),
+        case("flatline", "CASE WHEN n = 0 THEN 'SKIP' WHEN flat = 0 THEN 'PASS' WHEN flat / n < 0.1 THEN 'WARN' ELSE 'FAIL' END", "flat / nullif(n, 0)", "FROM fl"),
+        case("saturation", "CASE WHEN known < 10 THEN 'SKIP' WHEN stuck > 0.10 THEN 'FAIL' WHEN stuck > 0.01 THEN 'WARN' ELSE 'PASS' END", "stuck", "FROM one JOIN two USING (test_id, channel) WHERE channel IN ('view', 'click') AND known > 0"),
+        case("nan_ratio", "CASE WHEN share > 0.20 THEN 'FAIL' WHEN share > 0.05 THEN 'WARN' ELSE 'PASS' END", "share", "FROM one WHERE channel IN ('view', 'click')"),
+        case("pressure_flow_correlation", RELATED.format(0.3), "r", "FROM ab"),
+        case("chamber_thrust_correlation", RELATED.format(0.5), "r", "FROM cd"),
+        case("combustion_stability", "CASE WHEN n < 100 THEN 'SKIP' WHEN mean <= 0 THEN 'FAIL' WHEN rough <= 10 THEN 'PASS' WHEN rough > 20 THEN 'FAIL' ELSE 'WARN' END", "rough", "FROM st"),
+        case("ignition", "CASE WHEN top >= 2 THEN 'PASS' ELSE 'FAIL' END", "first_s", "FROM ig"),
+    ]
+)
+
+
+@query("q10_full_run", FULL)
 def q10(spark, sf):
     return out(run(spark, sf))
 

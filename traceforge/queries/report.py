@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from traceforge.operators import qc, report
-from traceforge.queries.base import RESULTS, query, readings, results, rounded
+from traceforge.queries.base import GAPPED, RESULTS, query, readings, results, rounded
 from traceforge.queries.compare import LONG, long
 
 SUMMARY = "SELECT campaign_name, parameter, count(*) AS n, round(avg(value), 7) AS mean, round(stddev_samp(value), 7) AS std, min(value) AS min, max(value) AS max, round(max(value) - min(value), 7) AS range, round(stddev_samp(value) / abs(avg(value)) * 100, 7) AS cv_pct"
@@ -68,3 +68,14 @@ def r13(spark, sf):
     r = readings(spark, sf, True)
     means = r.groupBy("test_id").agg(F.avg("value").alias("avg_value"), F.count("value").alias("n"))
     return report.report_feed(means, qc.missing(r).unionByName(qc.saturation(r)))
+
+
+@query("r13_report_feed_fields", f"""WITH {GAPPED}, m AS (SELECT test_id, round(avg(value), 6) AS avg_value, count(value) AS n FROM readings GROUP BY test_id), c AS (SELECT test_id, channel, avg((value IS NULL)::INT) AS share FROM readings GROUP BY ALL)
+  SELECT test_id, avg_value, n, count(*) AS n_checks, string_agg(channel || '=' || CASE WHEN share > 0.20 THEN 'FAIL' WHEN share > 0.05 THEN 'WARN' ELSE 'PASS' END, ',' ORDER BY channel) AS checks FROM m JOIN c USING (test_id) GROUP BY ALL""")
+def r13_fields(spark, sf):
+    r = readings(spark, sf, True)
+    means = r.groupBy("test_id").agg(F.avg("value").alias("avg_value"), F.count("value").alias("n"))
+    document = F.from_json("document", "avg_value double, n long, checks array<struct<check:string,channel:string,status:string>>")
+    d = report.report_feed(means, qc.missing(r)).select("test_id", document.alias("d"))
+    listed = F.array_join(F.transform("d.checks", lambda x: F.concat_ws("=", x["channel"], x["status"])), ",")
+    return d.select("test_id", F.round("d.avg_value", 6).alias("avg_value"), "d.n", F.size("d.checks").cast("long").alias("n_checks"), listed.alias("checks"))

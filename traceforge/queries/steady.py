@@ -50,14 +50,23 @@ CV_BEST = f"""flagged AS (SELECT * FROM (SELECT *, coalesce(CASE WHEN count(valu
 SLOPE_BEST = DERIVATIVE.split(",", 1)[1].replace(frame(5), frame(20)).replace("= 5 THEN", "= 20 THEN").replace("< 0.0001", "< 0.1").replace("flagged", "flat").replace("runs", "flat_runs").replace("best AS", "flat_best AS")
 
 
-@query("d5_steady_auto", f"""WITH {READINGS}, {MIDDLE}, {CV_BEST}, {SLOPE_BEST},
+AUTO = f"""WITH {READINGS}, {MIDDLE}, {CV_BEST}, {SLOPE_BEST},
   d AS (SELECT b.test_id, b.start_s, s.after_s AS end_s FROM flat_best b JOIN steps s ON b.test_id = s.test_id AND b.end_seq = s.seq WHERE b.n >= 10)
   SELECT m.test_id, round(coalesce(b.start_s, d.start_s, m.start_s), 6) AS start_s, round(coalesce(b.end_s, d.end_s, m.end_s), 6) AS end_s,
-         CASE WHEN b.start_s IS NOT NULL THEN 'cv' WHEN d.start_s IS NOT NULL THEN 'derivative' ELSE 'simple' END AS method FROM m LEFT JOIN best b USING (test_id) LEFT JOIN d USING (test_id)""")
+         CASE WHEN b.start_s IS NOT NULL THEN 'cv' WHEN d.start_s IS NOT NULL THEN 'derivative' ELSE 'simple' END AS method FROM m LEFT JOIN best b USING (test_id) LEFT JOIN d USING (test_id)"""
+
+
+@query("d5_steady_auto", AUTO)
 def d5(spark, sf):
     return rounded(steady.steady_auto(readings(spark, sf), "view", None, 6, 0.3))
 
 
+@query("d5_steady_auto_by_role", AUTO)
+def d5_role(spark, sf):
+    roles = spark.createDataFrame([("view", "chamber_pressure"), ("click", "mass_flow"), ("error", "pressure")], "channel string, role string")
+    return rounded(steady.steady_auto_by_role(readings(spark, sf), roles, None, 6, 0.3))
+
+
 @query("d6_validate_window", f"""WITH {GAPPED}, {CV}, g AS (SELECT o.test_id, b.start_s, b.end_s, count(*) AS n, count_if(o.time_s BETWEEN b.start_s AND b.end_s) AS inside FROM own o JOIN best b USING (test_id) GROUP BY ALL),
   r AS (SELECT test_id, inside, CASE WHEN start_s >= end_s THEN 'start not before end' WHEN inside < 10 THEN 'too few samples' WHEN inside / n < 0.05 THEN 'too short' WHEN inside / n > 0.95 THEN 'too long' ELSE 'ok' END AS reason FROM g)
   SELECT test_id, CAST(inside AS BIGINT) AS inside, reason, reason = 'ok' AS valid FROM r""")
