@@ -228,19 +228,32 @@ def result_row(metrics: DataFrame, family: MetricFamily) -> DataFrame:
 FLUIDS = [
     ("water", 998.2, 18.015, None, False), ("nitrogen", 1.165, 28.014, 1.4, True), ("oxygen", 1.331, 31.998, 1.4, True), ("helium", 0.1664, 4.0026, 1.667, True),
     ("air", 1.204, 28.96, 1.4, True), ("ethanol", 789.0, 46.07, None, False), ("methane", 0.668, 16.04, 1.32, True), ("hydrogen", 0.0838, 2.016, 1.41, True),
+    ("isopropanol", 786.0, 60.096, None, False), ("n-dodecane", 750.0, 170.33, None, False), ("nitrous oxide", 1.83, 44.013, 1.27, True),
+]
+# Fixed values at the same state: dynamic viscosity (Pa s), specific heat (J/kg K), thermal conductivity (W/m K).
+TRANSPORT = [
+    ("water", 0.001002, 4182.0, 0.598), ("nitrogen", 1.76e-5, 1040.0, 0.0258), ("oxygen", 2.04e-5, 918.0, 0.0263), ("helium", 1.96e-5, 5193.0, 0.152), ("air", 1.81e-5, 1006.0, 0.0257),
+    ("ethanol", 0.00109, 2440.0, 0.171), ("isopropanol", 0.00237, 2600.0, 0.140), ("n-dodecane", 0.00134, 2210.0, 0.140), ("nitrous oxide", 1.46e-5, 880.0, 0.017),
+]
+# Other names of the fluids.
+ALIASES = [
+    ("h2o", "water"), ("n2", "nitrogen"), ("gn2", "nitrogen"), ("o2", "oxygen"), ("gox", "oxygen"), ("he", "helium"), ("etoh", "ethanol"), ("ethyl alcohol", "ethanol"), ("ch4", "methane"), ("h2", "hydrogen"),
+    ("ipa", "isopropanol"), ("isopropyl alcohol", "isopropanol"), ("2-propanol", "isopropanol"), ("rp-1", "n-dodecane"), ("rp1", "n-dodecane"), ("kerosene", "n-dodecane"), ("jet-a", "n-dodecane"),
+    ("dodecane", "n-dodecane"), ("n2o", "nitrous oxide"), ("nitrous", "nitrous oxide"),
 ]
-ALIASES = [("h2o", "water"), ("n2", "nitrogen"), ("gn2", "nitrogen"), ("o2", "oxygen"), ("gox", "oxygen"), ("he", "helium"), ("etoh", "ethanol"), ("ch4", "methane"), ("h2", "hydrogen")]
 
 
 def fluid_table(spark: SparkSession) -> DataFrame:
     """Properties by every name a fluid goes by."""
-    by_name = {f[0]: f for f in FLUIDS}
+    transport = {t[0]: t[1:] for t in TRANSPORT}
+    by_name = {f[0]: (*f, *transport.get(f[0], (None, None, None))) for f in FLUIDS}
     rows = [(n, *f) for n, f in [*by_name.items(), *((a, by_name[n]) for a, n in ALIASES)]]
-    return spark.createDataFrame(rows, "alias string, fluid string, density_ref double, molar_mass double, gamma double, gas boolean")
+    return spark.createDataFrame(rows, "alias string, fluid string, density_ref double, molar_mass double, gamma double, gas boolean, viscosity double, specific_heat double, conductivity double")
 
 
 def fluid_properties(tests: DataFrame) -> DataFrame:
-    """Density, its uncertainty, sound speed and compressibility from ``(test_id, fluid_name, temperature_k, pressure_pa)``.
+    """Density, its uncertainty, sound speed and compressibility from ``(test_id, fluid_name, temperature_k, pressure_pa)``,
+    with viscosity, specific heat and conductivity at the reference state.
 
     Gases follow the ideal law from the reference state; 2 % for liquids, 5 % for gases. Unknown fluids stay null.
     """
@@ -252,6 +265,18 @@ def fluid_properties(tests: DataFrame) -> DataFrame:
     return j.withColumns({"u_density": F.col("density") * F.when(F.col("gas"), 0.05).otherwise(0.02), "sound_speed": speed, "compressible": F.col("gas")})
 
 
+def propellant_properties(tests: DataFrame) -> DataFrame:
+    """Properties of both fluids of ``(test_id, oxidizer, fuel, temperature_k, pressure_pa)``, under ``ox_`` and ``fuel_``."""
+    names = ("fluid", "density", "u_density", "viscosity", "specific_heat", "conductivity")
+    state = ("test_id", "temperature_k", "pressure_pa")
+
+    def side(column: str, prefix: str) -> DataFrame:
+        found = fluid_properties(tests.select(*state, F.col(column).alias("fluid_name")))
+        return found.select("test_id", *[F.col(n).alias(prefix + n) for n in names])
+
+    return side("oxidizer", "ox_").join(side("fuel", "fuel_"), "test_id")
+
+
 def density(tests: DataFrame) -> DataFrame:
     """First of: metadata density, config density, table density; 1000 at the end; 0.5 % where no uncertainty is given."""
     value = F.coalesce("metadata_density", "config_density", "table_density", F.lit(1000.0))

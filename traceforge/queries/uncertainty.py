@@ -143,3 +143,27 @@ def u18(spark, sf):
 @query("u19_u20_result_row", f"WITH {COLD} SELECT test_id, " + ", ".join(f"round(max({k}) FILTER (name = '{n}'), 7) AS {p}{c}" for n, c in uncertainty.COLD_FLOW.columns.items() for k, p in (("value", "avg_"), ("u", "u_"))) + " FROM q GROUP BY test_id")
 def u20(spark, sf):
     return rounded(uncertainty.result_row(cold(spark, sf), uncertainty.COLD_FLOW), 7)
+
+
+PROPELLANTS = "f(alias, fluid, rho, gas, mu, cp, k) AS (VALUES ('n2o', 'nitrous oxide', 1.83::DOUBLE, true, 1.46e-5::DOUBLE, 880.0::DOUBLE, 0.017::DOUBLE), ('gox', 'oxygen', 1.331::DOUBLE, true, 2.04e-5::DOUBLE, 918.0::DOUBLE, 0.0263::DOUBLE), ('ipa', 'isopropanol', 786.0::DOUBLE, false, 0.00237::DOUBLE, 2600.0::DOUBLE, 0.14::DOUBLE), ('rp-1', 'n-dodecane', 750.0::DOUBLE, false, 0.00134::DOUBLE, 2210.0::DOUBLE, 0.14::DOUBLE))"
+
+
+@query("u17_propellant_pair", f"""WITH {RESULTS}, {PROPELLANTS}, t AS (SELECT test_id, CASE test_id % 2 WHEN 0 THEN 'n2o' ELSE 'gox' END AS o, CASE test_id % 3 WHEN 0 THEN 'ipa' WHEN 1 THEN 'rp-1' END AS u, 280.0::DOUBLE + avg_price / 10 AS kelvin, 101325.0::DOUBLE * (1 + u_price) AS p FROM results),
+  j AS (SELECT test_id, a.fluid AS ox_fluid, a.rho * (p / 101325.0) * (293.15::DOUBLE / kelvin) AS d, b.fluid AS fuel_fluid, b.rho AS e, a.mu AS ox_viscosity, b.mu AS fuel_viscosity, a.cp AS ox_specific_heat, b.cp AS fuel_specific_heat, a.k AS ox_conductivity, b.k AS fuel_conductivity
+    FROM t JOIN f a ON a.alias = t.o LEFT JOIN f b ON b.alias = t.u)
+  SELECT * EXCLUDE (d, e), round(d, 8) AS ox_density, round(d * 0.05::DOUBLE, 8) AS ox_u_density, round(e, 8) AS fuel_density, round(e * 0.02::DOUBLE, 8) AS fuel_u_density FROM j""")
+def u17_pair(spark, sf):
+    i = F.col("test_id")
+    ox, fuel = F.when(i % 2 == 0, "N2O").otherwise(" GOX"), F.when(i % 3 == 0, "IPA").when(i % 3 == 1, "RP-1")
+    t = results(spark, sf).select("test_id", ox.alias("oxidizer"), fuel.alias("fuel"), (280.0 + F.col("avg_price") / 10).alias("temperature_k"), (101325.0 * (1 + F.col("u_price"))).alias("pressure_pa"))
+    return rounded(uncertainty.propellant_properties(t), 8)
+
+
+@query("u16_density_of_the_table", f"""WITH {RESULTS}, {FLUID}, t AS (SELECT test_id, CASE test_id % 3 WHEN 0 THEN 'water' WHEN 1 THEN 'unknown' ELSE 'n2' END AS a, CASE WHEN test_id % 5 = 0 THEN 900.0::DOUBLE END AS given FROM results)
+  SELECT test_id, round(coalesce(given, rho, 1000.0), 8) AS density, round(0.005::DOUBLE * coalesce(given, rho, 1000.0), 8) AS u_density FROM t LEFT JOIN f ON f.alias = t.a""")
+def u16_table(spark, sf):
+    i = F.col("test_id")
+    name = F.when(i % 3 == 0, "Water").when(i % 3 == 1, "unknown").otherwise("N2")
+    t = results(spark, sf).select("test_id", name.alias("fluid_name"), F.lit(293.15).alias("temperature_k"), F.lit(101325.0).alias("pressure_pa"))
+    found = uncertainty.fluid_properties(t).select("test_id", F.lit(None).cast("double").alias("metadata_density"), F.when(i % 5 == 0, 900.0).alias("config_density"), F.col("density").alias("table_density"), F.lit(None).cast("double").alias("given_u"))
+    return rounded(uncertainty.density(found), 8)
