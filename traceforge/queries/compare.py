@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from traceforge.operators import compare, prep
-from traceforge.queries.base import REGISTRY, RESULTS, query, results, rounded, table
+from traceforge.queries.base import RESULTS, query, results, rounded, table
 
 LONG = f"""{RESULTS}, lng AS (SELECT campaign_name, test_id, test_timestamp, 'avg_price' AS parameter, avg_price AS value, qc_passed FROM results UNION ALL SELECT campaign_name, test_id, test_timestamp, 'avg_balance', avg_balance, qc_passed FROM results)"""
 PERCENT = "CASE WHEN (abs({a}) + abs({b})) / 2 > 1e-10 THEN ({b} - {a}) / ((abs({a}) + abs({b})) / 2) * 100 WHEN {b} = {a} THEN 0 ELSE 'inf'::DOUBLE END"
@@ -92,13 +92,8 @@ def m8(spark, sf):
 
 @query("m9_deviation_tracking", f"""WITH {LONG}, {REFERENCE}, d AS (SELECT l.campaign_name, l.parameter, (l.value - g.value) / abs(g.value) * 100 AS dev, tol_pct, (row_number() OVER (PARTITION BY l.campaign_name, l.parameter ORDER BY test_timestamp, test_id) - 1)::DOUBLE AS i FROM lng l JOIN gold g USING (campaign_name, parameter)),
   s AS (SELECT campaign_name, parameter, count(*) AS n, count_if(abs(dev) <= tol_pct) AS n_within, avg(dev) AS mean_dev, max(abs(dev)) AS max_dev, regr_slope(dev, i) AS slope, max(dev) - min(dev) AS span FROM d GROUP BY ALL)
-  SELECT campaign_name, parameter, n, CAST(n_within AS BIGINT) AS n_within, round(max_dev, 7) AS max_dev, round(slope, 8) AS slope, coalesce(n >= 5 AND abs(slope * n / nullif(span, 0)) > 0.3, false) AS trending FROM s WHERE parameter = 'avg_price'""")
+  SELECT campaign_name, parameter, n, CAST(n_within AS BIGINT) AS n_within, round(max_dev, 7) AS max_dev, round(slope, 8) AS slope, coalesce(n >= 5 AND abs(slope * n / nullif(span, 0)) > 0.3, false) AS trending FROM s""")
 def m9(spark, sf):
-    return m9_all(spark, sf).where("parameter = 'avg_price'")
-
-
-@query("m9_deviation_tracking_all", REGISTRY["m9_deviation_tracking"][1].replace(" WHERE parameter = 'avg_price'", ""))
-def m9_all(spark, sf):
     points = long(spark, sf)
     df = compare.track_deviations(points, compare.golden_from_campaign(points))
     return df.select("campaign_name", "parameter", "n", "n_within", F.round("max_dev", 7).alias("max_dev"), F.round("slope", 8).alias("slope"), "trending")

@@ -1,7 +1,6 @@
 """Source, campaign-store and pipeline queries."""
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from traceforge.operators import prep, qc, uncertainty
 from traceforge.plans import analysis
@@ -42,15 +41,9 @@ def s7(spark, sf):
     return recordings.next_run(t)
 
 
-@query("s8_campaign_read", f"WITH {RESULTS} SELECT campaign_name, test_id, avg_price FROM results WHERE campaign_name = 'BUILDING-3'")
+@query("s8_campaign_read", f"WITH {RESULTS} SELECT campaign_name, row_number() OVER (PARTITION BY campaign_name ORDER BY test_timestamp DESC, test_id) AS position, test_id, avg_price FROM results")
 def s8(spark, sf):
-    return campaigns.newest_first(results(spark, sf).where("campaign_name = 'BUILDING-3'")).select("campaign_name", "test_id", "avg_price")
-
-
-@query("s8_campaign_read_all", f"WITH {RESULTS} SELECT campaign_name, row_number() OVER (PARTITION BY campaign_name ORDER BY test_timestamp DESC, test_id) AS position, test_id, avg_price FROM results")
-def s8_all(spark, sf):
-    position = F.row_number().over(Window.partitionBy("campaign_name").orderBy(F.desc("test_timestamp"), "test_id"))
-    return results(spark, sf).select("campaign_name", position.cast("long").alias("position"), "test_id", "avg_price")
+    return campaigns.positions(results(spark, sf)).select("campaign_name", "position", "test_id", "avg_price")
 
 
 @query("s9_campaign_listing", f"WITH {RESULTS}, c AS (SELECT DISTINCT c_mktsegment || '-' || (c_custkey // 100) AS campaign_name FROM customer UNION ALL SELECT 'EMPTY-0') SELECT campaign_name, count(test_id) AS n_tests FROM c LEFT JOIN results USING (campaign_name) GROUP BY ALL")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from traceforge.operators import prep, uncertainty
-from traceforge.queries.base import READINGS, REGISTRY, RESULTS, query, readings, results, rounded
+from traceforge.queries.base import READINGS, RESULTS, query, readings, results, rounded
 
 MEANS = f"{READINGS}, mean AS (SELECT test_id, channel, avg(value) AS m FROM readings GROUP BY ALL)"
 SPECS = [("view", "rel", 0.02, None), ("click", "abs", 0.5, None), ("error", "pct_fs", 0.01, 300.0), ("purchase", "pct_rd", 0.015, None)]
@@ -74,29 +74,14 @@ def u9(spark, sf):
 T_TABLE = "t(dof, k) AS (VALUES " + ", ".join(f"({d}, {uncertainty.t_quantile(0.975, d)!r}::DOUBLE)" for d in range(1, 30)) + ")"
 
 
-@query("u10_statistical", f"WITH {READINGS}, {T_TABLE}, g AS (SELECT test_id, channel, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS s FROM readings WHERE seq % 9 = 0 GROUP BY ALL) SELECT test_id, channel, n, round(mean, 8) AS mean, round(s, 8) AS s, round(CASE WHEN n < 2 THEN 'inf'::DOUBLE ELSE coalesce(k, 1.96::DOUBLE) * s / sqrt(n) END, 8) AS u_stat FROM g LEFT JOIN t ON t.dof = n - 1")
+@query("u10_statistical", f"WITH {READINGS}, {T_TABLE}, g AS (SELECT test_id, channel, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS s FROM readings GROUP BY ALL) SELECT test_id, channel, n, round(mean, 8) AS mean, round(s, 8) AS s, round(CASE WHEN n < 2 THEN 'inf'::DOUBLE ELSE coalesce(k, 1.96::DOUBLE) * s / sqrt(n) END, 8) AS u_stat FROM g LEFT JOIN t ON t.dof = n - 1")
 def u10(spark, sf):
-    r = readings(spark, sf).where("seq % 9 = 0")
-    return rounded(uncertainty.statistical(r, "value", "test_id", "channel").select("test_id", "channel", "n", "mean", "s", "u_stat"), 8)
-
-
-@query("u10_statistical_all", REGISTRY["u10_statistical"][1].replace(" WHERE seq % 9 = 0", ""))
-def u10_all(spark, sf):
     return rounded(uncertainty.statistical(readings(spark, sf), "value", "test_id", "channel").select("test_id", "channel", "n", "mean", "s", "u_stat"), 8)
 
 
-@query("u11_u12_combined_expanded", f"WITH {RESULTS}, {T_TABLE}, e AS (SELECT campaign_name, count(*) - 1 AS dof, sqrt(pow(avg(u_price), 2) + pow(stddev_samp(avg_price) / sqrt(count(*)), 2)) AS u FROM results WHERE part = '1-URGENT' GROUP BY ALL HAVING count(*) > 1) SELECT campaign_name, dof, round(u, 8) AS u, round(coalesce(k, 1.96::DOUBLE), 8) AS k, round(coalesce(k, 1.96::DOUBLE) * u, 8) AS expanded FROM e LEFT JOIN t USING (dof)")
+@query("u11_u12_combined_expanded", f"WITH {RESULTS}, {T_TABLE}, e AS (SELECT campaign_name, count(*) - 1 AS dof, sqrt(pow(avg(u_price), 2) + pow(stddev_samp(avg_price) / sqrt(count(*)), 2)) AS u FROM results GROUP BY ALL HAVING count(*) > 1) SELECT campaign_name, dof, round(u, 8) AS u, round(coalesce(k, 1.96::DOUBLE), 8) AS k, round(coalesce(k, 1.96::DOUBLE) * u, 8) AS expanded FROM e LEFT JOIN t USING (dof)")
 def u12(spark, sf):
-    return expanded(results(spark, sf).where("part = '1-URGENT'"))
-
-
-@query("u11_u12_combined_expanded_all", REGISTRY["u11_u12_combined_expanded"][1].replace(" WHERE part = '1-URGENT'", ""))
-def u12_all(spark, sf):
-    return expanded(results(spark, sf))
-
-
-def expanded(rows):
-    g = rows.groupBy("campaign_name").agg((F.count("*") - 1).alias("dof"), F.avg("u_price").alias("a"), (F.stddev_samp("avg_price") / F.sqrt(F.count("*"))).alias("b")).where("dof > 0")
+    g = results(spark, sf).groupBy("campaign_name").agg((F.count("*") - 1).alias("dof"), F.avg("u_price").alias("a"), (F.stddev_samp("avg_price") / F.sqrt(F.count("*"))).alias("b")).where("dof > 0")
     return rounded(uncertainty.with_coverage(g.select("campaign_name", "dof", uncertainty.combined(F.col("a"), F.col("b")).alias("u"))).select("campaign_name", "dof", "u", "k", "expanded"), 8)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.window import Window
 
 from traceforge.operators.prep import metric_columns
 
@@ -38,6 +39,12 @@ def newest_first(results: DataFrame) -> DataFrame:
     return results.orderBy(F.desc("test_timestamp"), "test_id")
 
 
+def positions(results: DataFrame) -> DataFrame:
+    """Every campaign's results with their ``position`` from the newest on."""
+    order = Window.partitionBy("campaign_name").orderBy(F.desc("test_timestamp"), "test_id")
+    return results.withColumn("position", F.row_number().over(order).cast("long"))
+
+
 def list_campaigns(campaigns: DataFrame, results: DataFrame) -> DataFrame:
     """Campaigns with their information and number of tests, those without tests included."""
     n = results.groupBy("campaign_name").agg(F.count("*").alias("n_tests"), F.max("test_timestamp").alias("last_test"))
