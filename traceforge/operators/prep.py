@@ -76,12 +76,10 @@ def fill_gaps(readings: DataFrame, limit: int = 5) -> DataFrame:
 
     The head of a longer gap is filled too; a trailing gap repeats the last value; a leading gap stays.
     """
-    near = neighbours(readings)
-    top = near.groupBy(*KEYS).agg(F.max("seq").alias("top"))
-    near = near.join(top, list(KEYS))
+    series = Window.partitionBy(*KEYS)
+    near = neighbours(readings).withColumn("top", F.max("seq").over(series))
     gap = F.coalesce("next_seq", F.col("top") + 1) - F.coalesce("prev_seq", F.lit(-1)) - 1
-    short = near.groupBy(*KEYS).agg(F.max(F.when(F.col("value").isNull() & (gap <= limit), 1).otherwise(0)).alias("short"))
-    near = near.join(short, list(KEYS))
+    near = near.withColumn("short", F.max(F.when(F.col("value").isNull() & (gap <= limit), 1).otherwise(0)).over(series))
     inside = F.col("value").isNull() & F.col("prev").isNotNull() & (F.col("seq") - F.col("prev_seq") <= limit) & (F.col("short") == 1)
     filled = F.when(F.col("value").isNotNull(), F.col("value")).when(inside, F.when(F.col("next").isNull(), F.col("prev")).otherwise(between(F.col("seq"))))
     return near.withColumn("value", filled).select(*readings.columns)
