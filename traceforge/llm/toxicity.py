@@ -11,9 +11,10 @@ probability ``RATE`` and else from the ordinary one, since few words make a docu
 classes know only from the shared counts, unseen ones too, have one and the same ratio, so the stored model
 holds the others alone; no word is left out of the score.
 
-Counts are taken over every labelled row outside the held-out fold, merged by a shuffle. Words are known by
-64-bit hashes, and the different words before a word are counted exactly by grouping on the pair of hashes and
-then on the word; the start of a text counts as one of them. Counts are kept apart for the calibration fold,
+Counts are taken over every labelled row outside the held-out fold, merged within a task and then by a shuffle
+on the word and the upper bits of the word before it, which deals a frequent word over several tasks. Words are
+known by 64-bit hashes, the words before them by 40 of these bits, and the different ones are counted one by one;
+the start of a text counts as one of them. Counts are kept apart for the calibration fold,
 so that the cut is set with a model that has not seen the rows it is set on; the final model uses all of them.
 A model of ``BROADCAST_BYTES`` at most is broadcast; a larger one is joined to the words of the texts by a
 shuffle, with the same scores.
@@ -50,12 +51,16 @@ SMOOTH = 20
 #: A model of up to this size is broadcast, at ``WORD_BYTES`` a word (a hash and a value).
 BROADCAST_BYTES = 96_000_000
 WORD_BYTES = 16
-#: Rows of one Arrow batch of word counts, and words that a scoring task remembers.
+#: Words that a scoring task remembers, and rows of one batch of a text's words.
 FLUSH = 200_000
+#: Counts that a counting task merges before it hands them on.
+MERGE = 2_000_000
 LOW, HIGH = -9.5, 2.0
 COUNTS = ["n0", "n1", "c0", "c1"]
 #: A word before another is a number over ``START``, which is the start of a text; smaller ones are the ``COUNTS``.
 START, CONTEXT = len(COUNTS), 2**40 - 1
+#: The contexts of one word are dealt over 2 ** (40 - DEAL) tasks by their upper bits.
+DEAL = 37
 
 
 def words_of(text: str | None) -> list[str]:
@@ -72,26 +77,38 @@ def counted(rows: DataFrame) -> DataFrame:
     hold the word, outside and inside the calibration fold, and how many different words stand before it."""
     names = ["word", "what", "n"]
 
+    def merged(parts: list[tuple]) -> tuple[np.ndarray, ...]:
+        """One entry for each word and ``what``, in their order, so that neighbours in the shuffle are alike."""
+        word, what, n = map(np.concatenate, zip(*parts))
+        order = np.lexsort((what, word))
+        word, what, n = word[order], what[order], n[order]
+        first = np.flatnonzero(np.r_[True, (np.diff(word) != 0) | (np.diff(what) != 0)])
+        return word[first], what[first], np.add.reduceat(n, first)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, what, number, held = [], [], [], 0
+        parts, held = [], 0
         for batch in batches:
             for text, label, part in zip(*[batch.column(i).to_pylist() for i in range(3)]):
                 own = np.fromiter(map(hashed, words_of(text)), np.int64)
                 if not len(own):
                     continue
                 once = np.unique(own)
-                # a row for each word of the document, then one for each pair, which counts no document
-                words += [once, own]
-                what += [np.full(len(once), (label > 0) + 2 * (part == 4)), np.r_[np.int64(START), (own[:-1] & CONTEXT) + START + 1]]
-                number += [np.ones(len(once), np.int64), np.zeros(len(own), np.int64)]
+                # an entry for each word of the document, then one for each pair, which counts no document
+                parts.append((once, np.full(len(once), (label > 0) + 2 * (part == 4)), np.ones(len(once), np.int64)))
+                parts.append((own, np.r_[np.int64(START), (own[:-1] & CONTEXT) + START + 1], np.zeros(len(own), np.int64)))
                 held += len(once) + len(own)
-                if held >= FLUSH:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (words, what, number)], names)
-                    words, what, number, held = [], [], [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (words, what, number)], names)
-
-    pairs = rows.select("text", "label", "fold").mapInArrow(run, "word long, what long, n long").groupBy("word", "what").agg(F.sum("n").alias("n"))
+                if held >= MERGE:
+                    parts = [merged(parts)]
+                    held = len(parts[0][0])
+                    if 2 * held > MERGE:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in parts[0]], names)
+                        parts, held = [], 0
+        if parts:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in merged(parts)], names)
+
+    found = rows.select("text", "label", "fold").mapInArrow(run, "word long, what long, n long")
+    deal = F.shiftright("what", DEAL)
+    pairs = found.repartition("word", deal).groupBy("word", deal, "what").agg(F.sum("n").alias("n"))
     sums = [F.sum(F.when(F.col("what") == k, F.col("n")).otherwise(0)).alias(c) for k, c in enumerate(COUNTS)]
     return pairs.groupBy("word").agg(*sums, F.sum((F.col("what") >= START).cast("long")).alias("contexts"))
 
