@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from traceforge.llm import bpe, chat, cover_tree, decontam, html_extract, sharding, simhash, warc
+from traceforge.llm import bpe, chat, code_compression, cover_tree, decontam, html_extract, resampling, sharding, simhash, suffix_dedup, warc
 from traceforge.llm.crf_quality import QualityModel
 from traceforge.llm.oracles import SQL
 from traceforge.llm.shared import new_path, stored
@@ -77,6 +77,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ToxicityModel.fit(docs, table(spark, sf_dir, "labels")).scored(docs)
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op12_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = code_compression.codes(table(spark, sf_dir, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 

@@ -53,6 +53,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark's cleaner remove the shuffle files of frames that nothing refers to any more."""
+    spark._jvm.System.gc()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: the lineage ends there, so a lost executor costs a reread."""
     spark = df.sparkSession
