@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from traceforge.functions.series import KEYS, by_series, correlation, median, ratio, runs, with_stats
+from traceforge.functions.blocks import percentiles, positioned, spectra, with_percentiles
+from traceforge.functions.series import KEYS, by_series, correlation, ratio, runs
 from traceforge.operators.qc import paired
 
-#: Windows whose variances are taken at a time.
-BLOCK = 100_000
+#: Positions in a block, and windows whose variances are taken at a time.
+BLOCK = 1 << 16
 OUT = ("test_id", "channel", "kind", "start_seq", "end_seq", "start_s", "end_s", "n", "score")
 #: Scales a median absolute deviation to a standard deviation.
 MAD = 1.4826
@@ -39,8 +40,10 @@ def scored_runs(df: DataFrame, flag: Column, score: Column, kind: str, least: in
 
 def with_robust_z(df: DataFrame, value: str = "value") -> DataFrame:
     """Adds the series' count, median and scaled median absolute deviation."""
-    centre = with_stats(df, {"mid": median(F.col(value)), "known": F.count(value)})
-    return with_stats(centre.withColumn("off", F.abs(F.col(value) - F.col("mid"))), {"sigma": MAD * median(F.col("off"))})
+    centre = with_percentiles(df, value, {"mid": 0.5})
+    off = centre.withColumn("off", F.abs(F.col(value) - F.col("mid")))
+    sigma = percentiles(off, "off", {"sigma": 0.5}).select(*KEYS, (MAD * F.col("sigma")).alias("sigma"))
+    return off.join(sigma, list(KEYS))
 
 
 def spikes(readings: DataFrame, threshold: float = 4.0, most: int = 10) -> DataFrame:
@@ -49,7 +52,7 @@ def spikes(readings: DataFrame, threshold: float = 4.0, most: int = 10) -> DataF
 
 
 def dropouts(readings: DataFrame, share: float = 0.1, least: int = 3) -> DataFrame:
-    p = with_stats(readings, {"p75": F.percentile("value", F.lit(0.75)), "known": F.count("value")}).where("known >= 5 and p75 >= 1e-10")
+    p = with_percentiles(readings, "value", {"p75": 0.75}).where("known >= 5 and p75 >= 1e-10")
     low = F.col("value").isNull() | (F.abs("value") < share * F.col("p75"))
     return scored_runs(p, low, F.lit(1.0), "dropout", least)
 
@@ -67,52 +70,77 @@ def drift(readings: DataFrame, least_change: float = 0.05, least_r2: float = 0.5
 
 
 def oscillation(readings: DataFrame, low_hz: float = 0.5, high_hz: float = 20.0, least_share: float = 0.3, least_n: int = 64) -> DataFrame:
-    """Share of a band's strongest line in all power but the mean's, from one real FFT per series."""
+    """Share of a band's strongest line in all power but the mean's.
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("seq")
-        part = part[part["value"].notna()]
-        columns = list(OUT)
-        if len(part) < least_n:
-            return pd.DataFrame(columns=columns)
-        t = part["time_s"].to_numpy()
-        step = np.median(np.diff(t))
-        x = part["value"].to_numpy()
-        power = np.abs(np.fft.rfft(x - x.mean())) ** 2
-        freq = np.fft.rfftfreq(len(x), step) if step > 0 else np.zeros(len(power))
-        band = (freq >= low_hz) & (freq <= high_hz)
-        total = power[1:].sum()
-        if not band.any() or total <= 0:
-            return pd.DataFrame(columns=columns)
-        share = float(power[band].max() / total)
-        if share <= least_share:
-            return pd.DataFrame(columns=columns)
-        return pd.DataFrame([(*key, "oscillation", part["seq"].iloc[0], part["seq"].iloc[-1], t[0], t[-1], len(part), share)], columns=columns)
-
-    spec = "test_id string, channel string, kind string, start_seq long, end_seq long, start_s double, end_s double, n long, score double"
-    return readings.groupBy(*KEYS).applyInPandas(run, spec)
+    All power comes from the sum of squares (and the alternating sum, where the length is even); only the band's lines
+    are transformed, in blocks of a series.
+    """
+    x = positioned(readings.where("value is not null"))
+    signed = F.when(F.col("at") % 2 == 0, F.col("value")).otherwise(-F.col("value"))
+    g = x.groupBy(*KEYS).agg(
+        F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("var"), F.sum(signed).alias("odd"),
+        F.min("seq").alias("start_seq"), F.max("seq").alias("end_seq"), F.min_by("time_s", "seq").alias("start_s"), F.max_by("time_s", "seq").alias("end_s"),
+    ).where(F.col("n") >= least_n)
+    steps = x.select(*KEYS, (F.col("time_s") - F.col("last_s")).alias("dt"))
+    g = g.join(percentiles(steps, "dt", {"step": 0.5}).select(*KEYS, "step"), list(KEYS)).where("step > 0")
+    k0, k1 = F.greatest(F.ceil(low_hz * F.col("n") * F.col("step") * (1 - 1e-12)), F.lit(0)), F.least(F.floor(high_hz * F.col("n") * F.col("step") * (1 + 1e-12)), F.floor(F.col("n") / 2))
+    total = F.col("n") * F.col("n") * F.col("var") / 2 + F.when(F.col("n") % 2 == 0, F.col("odd") * F.col("odd") / 2).otherwise(0.0)
+    g = g.withColumns({"k0": k0.cast("long"), "k1": k1.cast("long"), "total": total}).where("k0 <= k1 and total > 0")
+    off = x.join(g.select(*KEYS, "mean"), list(KEYS)).select(*KEYS, "at", "size", (F.col("value") - F.col("mean")).alias("x"))
+    best = spectra(off, g).groupBy(*KEYS).agg(F.max(F.array_max("power")).alias("most"))
+    share = g.join(best, list(KEYS)).withColumns({"kind": F.lit("oscillation"), "score": F.col("most") / F.col("total")})
+    return share.where(F.col("score") > least_share).select(*OUT)
 
 
 def saturation(readings: DataFrame, least: int = 5) -> DataFrame:
     """Runs at or beyond the 99.5th or the 0.5th percentile."""
-    p = with_stats(readings.where("value is not null"), {"high": F.percentile("value", F.lit(0.995)), "low": F.percentile("value", F.lit(0.005))})
+    p = with_percentiles(readings.where("value is not null"), "value", {"high": 0.995, "low": 0.005})
     up = scored_runs(p, F.col("value") >= F.col("high"), F.col("value"), "saturation_high", least)
     return up.unionByName(scored_runs(p, F.col("value") <= F.col("low"), -F.col("value"), "saturation_low", least))
 
 
+def flat_starts(x: np.ndarray, width: int, variance: float) -> np.ndarray:
+    """Where windows of nearly no variance begin; each variance is taken around the window's own mean, a missing sample gives none."""
+    windows = np.lib.stride_tricks.sliding_window_view(x, width) if len(x) >= width else np.empty((0, width))
+    return np.concatenate([np.empty(0, int), *(k + np.flatnonzero(windows[k : k + BLOCK].var(1) < variance) for k in range(0, len(windows), BLOCK))])
+
+
+def cuts(samples: DataFrame, width: int, variance: float) -> DataFrame:
+    """``(keys, block, cut)``: positions that no flat segment crosses, one a block of positions at most.
+
+    Before a cut stand at least ``width`` samples at which no flat window begins, and which no segment that began before
+    them gets over: one value is missing, or their squares alone exceed what a segment from the series' start may have.
+    So whatever comes before a cut, the next segment begins at the first flat window after it.
+    """
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("at")
+        x, at = part["value"].to_numpy(float), part["at"].to_numpy()
+        own = int((at // BLOCK == key[-1]).sum())  # the first of the next block only complete the windows
+        edges = np.concatenate([[-1], (s := flat_starts(x, width, variance))[s < own], [own]])
+        k = int(np.argmax(np.diff(edges)))
+        a, b = int(edges[k]) + 1, int(edges[k + 1])
+        still = x[a:b]
+        firm = b - a >= width and (np.isnan(still).any() or ((still - still.mean()) ** 2).sum() >= 1.001 * variance * (at[a] + b - a))
+        return pd.DataFrame([(*key, int(at[0] + b))] if firm else [], columns=[*KEYS, "block", "cut"])
+
+    block = F.floor(F.col("at") / BLOCK).cast("long")
+    also = F.when((F.col("at") % BLOCK < width - 1) & (block > 0), F.array(block, block - 1)).otherwise(F.array(block))
+    parts = samples.select(*KEYS, "at", "value", F.explode(also).alias("block"))
+    return parts.groupBy(*KEYS, "block").applyInPandas(run, "test_id string, channel string, block long, cut long")
+
+
 def flatlines(readings: DataFrame, width: int = 10, variance: float = 1e-6) -> DataFrame:
     """Greedy segments: the first window of nearly no variance, extended while the whole segment stays so.
 
-    Each end depends on where the segment before stopped, so a series is walked in order, in one pass.
+    Each end depends on where the segment before stopped. A series is cut where no segment can cross, and the
+    pieces are walked side by side; a series that is flat nearly everywhere stays in few pieces.
     """
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("seq")
+        part = part.sort_values("at")
         x, seq, t = part["value"].to_numpy(float), part["seq"].to_numpy(), part["time_s"].to_numpy()
-        found, i = [], 0
-        # each window's variance is taken around its own mean; a missing sample gives none
-        windows = np.lib.stride_tricks.sliding_window_view(x, width) if len(x) >= width else np.empty((0, width))
-        starts = np.concatenate([np.empty(0, int), *(k + np.flatnonzero(windows[k : k + BLOCK].var(1) < variance) for k in range(0, len(windows), BLOCK))])
+        found, i, starts = [], 0, flat_starts(part["value"].to_numpy(float), width, variance)
         while (k := np.searchsorted(starts, i)) < len(starts):
             i = int(starts[k])
             j, mean = i + width, x[i : i + width].mean()
@@ -123,12 +151,17 @@ def flatlines(readings: DataFrame, width: int = 10, variance: float = 1e-6) -> D
                 if not more / (j + 1 - i) < variance:
                     break
                 mean, squares, j = after, more, j + 1
-            found.append((*key, "flatline", seq[i], seq[j - 1], t[i], t[j - 1], j - i, float(j - i)))
+            found.append((*key[:2], "flatline", seq[i], seq[j - 1], t[i], t[j - 1], j - i, float(j - i)))
             i = j
         return pd.DataFrame(found, columns=list(OUT))
 
+    samples = positioned(readings, block=BLOCK).withColumn("block", F.floor(F.col("at") / BLOCK).cast("long"))
+    own = Window.partitionBy(*KEYS).orderBy("block")
+    blocks = samples.select(*KEYS, "block").distinct().join(cuts(samples, width, variance), [*KEYS, "block"], "left")
+    pieces = blocks.select(*KEYS, "block", "cut", F.count("cut").over(own.rowsBetween(Window.unboundedPreceding, -1)).alias("piece"))
+    dealt = samples.join(pieces, [*KEYS, "block"]).withColumn("piece", F.col("piece") + F.coalesce((F.col("at") >= F.col("cut")).cast("int"), F.lit(0)))
     spec = "test_id string, channel string, kind string, start_seq long, end_seq long, start_s double, end_s double, n long, score double"
-    return readings.groupBy(*KEYS).applyInPandas(run, spec)
+    return dealt.groupBy(*KEYS, "piece").applyInPandas(run, spec)
 
 
 def correlation_breaks(readings: DataFrame, left: str, right: str, width: int = 50, step: int = 25, least_r: float = 0.5) -> DataFrame:

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from traceforge.functions.blocks import with_percentiles
 from traceforge.functions.series import KEYS, by_series, correlation, median, ratio, rolling, with_stats
 
 COLUMNS = ("test_id", "check", "channel", "status", "blocking", "metric")
@@ -76,7 +77,7 @@ def violations(readings: DataFrame) -> DataFrame:
 
 def timestamp_gaps(readings: DataFrame, factor: float = 3.0) -> DataFrame:
     """Intervals over ``factor`` times the median: under one in a hundred WARN, else FAIL."""
-    steps = with_stats(intervals(readings).where("dt is not null"), {"mid": median(F.col("dt"))})
+    steps = with_percentiles(intervals(readings).where("dt is not null"), "dt", {"mid": 0.5})
     g = steps.groupBy(*KEYS).agg(F.count_if(F.col("dt") > factor * F.col("mid")).alias("gaps"), F.count("*").alias("n"))
     return rows(g, "timestamp_gaps", gap_verdict(F.col("gaps"), F.col("n")), F.col("gaps"))
 

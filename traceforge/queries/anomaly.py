@@ -69,7 +69,7 @@ def a4(spark, sf):
 @query("a5_saturation", f"WITH {GAPPED}, {SATURATED_CTE} {runs_sql('s', 'value >= hi', 'value', 'saturation_high', 'count(*) >= 2')} UNION ALL {runs_sql('s', 'value <= lo', '-value', 'saturation_low', 'count(*) >= 2')}")
 def a5(spark, sf):
     r = readings(spark, sf, True).where("value is not null")
-    p = anomaly.with_stats(r, {"high": F.percentile("value", F.lit(0.9)), "low": F.percentile("value", F.lit(0.1))})
+    p = anomaly.with_percentiles(r, "value", {"high": 0.9, "low": 0.1})
     return out(anomaly.scored_runs(p, F.col("value") >= F.col("high"), F.col("value"), "saturation_high", 2).unionByName(anomaly.scored_runs(p, F.col("value") <= F.col("low"), -F.col("value"), "saturation_low", 2)))
 
 
