@@ -25,6 +25,9 @@ TYPES = {
 }
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
@@ -53,16 +56,19 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
-def released(spark: SparkSession) -> None:
-    """Lets Spark's cleaner remove the shuffle files of frames that nothing refers to any more."""
-    spark._jvm.System.gc()
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: the lineage ends there, so a lost executor costs a reread."""
+    """``df`` written to the shared folder and read back: the lineage ends there, so a lost executor costs a reread.
+
+    The shuffle files of the write go when it is done; the session's setting for that is put back.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

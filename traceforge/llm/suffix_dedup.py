@@ -23,16 +23,18 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from traceforge.llm.shared import released, stored
+from traceforge.llm.shared import stored
 
 LENGTH = 50
 #: A perfect difference set: every difference modulo 13 is one of two members.
@@ -59,6 +61,11 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+@lru_cache
+def hasher(which: int) -> Hasher:
+    return Hasher(which)
+
+
 class Hasher:
     """Polynomial hashes modulo 2**64 of a text's substrings, from prefix sums over stretches of it."""
 
@@ -82,7 +89,7 @@ class Hasher:
 def digests(body: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128 bits of each piece, as two arrays."""
     view = memoryview(body)
-    raw = b"".join(hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), stops.tolist()))
+    raw = b"".join([xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(starts.tolist(), stops.tolist())])
     both = np.frombuffer(raw, np.uint64).reshape(-1, 2)
     return both[:, 0], both[:, 1]
 
@@ -94,7 +101,7 @@ class Block:
         self.ids, self.sizes = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64)
         self.body = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8)
         self.stops = np.cumsum(self.sizes)
-        self.first = Hasher(0)
+        self.first = hasher(0)
 
     def cut(self) -> None:
         """Pieces ``starts`` to ``ends`` with the document of each, and ``reach``: up to where their suffixes' prefixes go."""
@@ -135,7 +142,7 @@ class Block:
         np.add.at(on, np.maximum(shared - COVER + 1, shared - self.rel[shared]), 1)
         np.add.at(on, shared + 1, -1)
         rows = np.flatnonzero((np.cumsum(on)[:-1] > 0) & (self.left >= LENGTH))
-        second = Hasher(1).windows(self.body, LENGTH)[self.at[rows]]
+        second = hasher(1).windows(self.body, LENGTH)[self.at[rows]]
         return self.first.windows(self.body, LENGTH)[self.at[rows]] >> ONE, second >> np.uint64(32), self.owner[self.piece[rows]], rows
 
 
@@ -157,17 +164,20 @@ def changes(key: np.ndarray, key2: np.ndarray) -> np.ndarray:
 
 
 class Keys:
-    """A block's different keys in order, each with its smallest owner and the first ``row`` that has it."""
+    """A block's different keys in order, each with its smallest owner and the first ``row`` that has it.
+
+    ``plain`` keys (one hash, owners told apart only in the block) are sent without their owners.
+    """
 
-    def __init__(self, key: np.ndarray, key2: np.ndarray, owner: np.ndarray, rows: np.ndarray):
-        order = np.lexsort((owner, key2, key))
+    def __init__(self, key: np.ndarray, key2: np.ndarray, owner: np.ndarray, rows: np.ndarray, plain: bool = False):
+        order = np.argsort(key, kind="stable") if plain else np.lexsort((owner, key2, key))
         fresh = changes(key[order], key2[order])
         start = np.flatnonzero(fresh)
         self.group = np.empty(len(key), np.int64)
         self.group[order] = np.cumsum(fresh) - 1
-        self.head, self.rows, self.owner = order[start], rows, owner
+        self.head, self.rows, self.owner, self.plain = order[start], rows, owner, plain
         self.key, self.key2, self.least = key[self.head].astype(np.int64), key2[self.head].astype(np.int64), owner[self.head]
-        self.two = owner[order[np.append(start[1:], len(key))[: len(start)] - 1]] != self.least
+        self.two = np.maximum.reduceat(owner[order], start) != np.minimum.reduceat(owner[order], start) if len(key) else np.zeros(0, bool)
 
     def sent(self, block: int, bits: int, buckets: int) -> pd.DataFrame:
         """The keys packed for every bucket, by their leading bits."""
@@ -175,42 +185,56 @@ class Keys:
         rows = []
         for b in np.unique(bucket):
             s, e = np.searchsorted(bucket, [b, b + 1])
-            names, at = np.unique(self.least[s:e], return_inverse=True)
-            key2 = planes(self.key2[s:e]) if self.key2[s:e].any() else b""
-            rows.append((int(b), block, e - s, planes(np.diff(self.key[s:e], prepend=0)), key2, planes(at * 2 + self.two[s:e]), planes(np.diff(names, prepend=0))))
-        return pd.DataFrame(rows, columns=["bucket", "block", "n", "keys", "keys2", "whose", "names"])
+            key2 = whose = names = b""
+            if not self.plain:
+                owners, at = np.unique(self.least[s:e], return_inverse=True)
+                key2, whose, names = planes(self.key2[s:e]), planes(at), planes(np.diff(owners, prepend=0))
+            rows.append((int(b), block, e - s, planes(np.diff(self.key[s:e], prepend=0)), key2, np.packbits(self.two[s:e]).tobytes(), whose, names))
+        return pd.DataFrame(rows, columns=["bucket", "block", "n", "keys", "keys2", "two", "whose", "names"])
 
     def told(self, found: list) -> tuple[np.ndarray, np.ndarray]:
-        """``(shared, least)`` of every row by what the buckets decided."""
+        """``(shared, least)`` of every row by what the buckets decided; plain keys have no ``least``."""
         found = sorted(found, key=lambda r: r["bucket"])
-        gaps = [unplaned(r["gap"]) for r in found]
-        shared = [np.unpackbits(np.frombuffer(r["shared"], np.uint8), count=len(g)) for r, g in zip(found, gaps)]
+        shared = [np.unpackbits(np.frombuffer(r["shared"], np.uint8), count=r["n"]) for r in found]
+        gaps = [np.zeros(r["n"], np.int64) if self.plain else unplaned(r["gap"]) for r in found]
         least = self.least - np.concatenate([np.zeros(0, np.int64), *gaps])
         return np.concatenate([np.zeros(0, np.uint8), *shared]).astype(bool)[self.group], least[self.group]
 
 
-SENT = "bucket long, block long, n long, keys binary, keys2 binary, whose binary, names binary"
-DECIDED = "block long, bucket long, shared binary, gap binary"
+SENT = "bucket long, block long, n long, keys binary, keys2 binary, two binary, whose binary, names binary"
+DECIDED = "block long, bucket long, n long, shared binary, gap binary"
 
 
 def decided(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-    """One bucket, sorted: for each block's keys whether owners differ, and how far its owner is above the smallest."""
+    """One bucket, sorted: for each block's keys whether owners differ, and how far its owner is above the smallest.
+
+    Plain keys of two blocks count as of two owners.
+    """
     k = np.concatenate([np.cumsum(unplaned(x)) for x in part["keys"]])
-    k2 = np.concatenate([unplaned(x) if x else np.zeros(n, np.int64) for x, n in zip(part["keys2"], part["n"])])
-    whose = [unplaned(x) for x in part["whose"]]
-    owner = np.concatenate([np.cumsum(unplaned(names))[w >> 1] for names, w in zip(part["names"], whose)])
-    two = np.concatenate(whose) & 1
-    order = np.lexsort((owner, k2, k))
+    two = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(part["two"], part["n"])])
+    plain = not part["names"].iloc[0]
+    if plain:
+        order, k2 = np.argsort(k, kind="stable"), np.zeros(len(k), np.int8)
+    else:
+        k2 = np.concatenate([unplaned(x) for x in part["keys2"]])
+        owner = np.concatenate([np.cumsum(unplaned(names))[unplaned(w)] for names, w in zip(part["names"], part["whose"])])
+        order = np.lexsort((owner, k2, k))
     fresh = changes(k[order], k2[order])
     start = np.flatnonzero(fresh)
     group = np.cumsum(fresh) - 1
-    least, most = owner[order[start]], owner[order[np.append(start[1:], len(k)) - 1]]
-    differ = np.bitwise_or.reduceat(two[order], start).astype(bool) | (most != least)
+    last = np.append(start[1:], len(k)) - 1
+    differ = np.maximum.reduceat(two[order], start).astype(bool)
     shared, gap = np.empty(len(k), bool), np.empty(len(k), np.int64)
-    shared[order], gap[order] = differ[group], owner[order] - least[group]
+    if plain:
+        differ |= last > start
+    else:
+        least = owner[order[start]]
+        differ |= owner[order[last]] != least
+        gap[order] = owner[order] - least[group]
+    shared[order] = differ[group]
     ends = np.cumsum(part["n"].to_numpy())
-    rows = [(b, key[0], np.packbits(shared[e - n : e]).tobytes(), planes(gap[e - n : e])) for b, n, e in zip(part["block"], part["n"], ends)]
-    return pd.DataFrame(rows, columns=["block", "bucket", "shared", "gap"])
+    rows = [(b, key[0], n, np.packbits(shared[e - n : e]).tobytes(), b"" if plain else planes(gap[e - n : e])) for b, n, e in zip(part["block"], part["n"], ends)]
+    return pd.DataFrame(rows, columns=["block", "bucket", "n", "shared", "gap"])
 
 
 def packed(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -255,14 +279,14 @@ def keys_of(block: Block, step: int, told: dict[int, list], bits: int) -> Keys:
         return Keys(*block.piece_keys())
     if step == 1:
         pieces_taken(block, told)
-        return Keys(*block.sample_keys(bits))
+        return Keys(*block.sample_keys(bits), plain=True)
     return suffixes(block, told, bits)[0]
 
 
 def suffixes(block: Block, told: dict[int, list], bits: int) -> tuple[Keys, Keys, np.ndarray]:
     """Suffixes that may tie, the block's pieces, and the smallest id of each piece."""
     pieces, least = pieces_taken(block, told)
-    samples = Keys(*block.sample_keys(bits))
+    samples = Keys(*block.sample_keys(bits), plain=True)
     return Keys(*block.suffix_keys(samples.rows[samples.told(told[1])[0]])), pieces, least
 
 
@@ -294,8 +318,8 @@ def told_of(rows: list | None) -> dict[int, list]:
 
 def with_answers(blocks: DataFrame, answers: DataFrame | None) -> DataFrame:
     if answers is None:
-        return blocks.withColumn("told", F.lit(None).cast("array<struct<step:int,bucket:bigint,shared:binary,gap:binary>>"))
-    told = answers.groupBy("block").agg(F.collect_list(F.struct("step", "bucket", "shared", "gap")).alias("told"))
+        return blocks.withColumn("told", F.lit(None).cast("array<struct<step:int,bucket:bigint,n:bigint,shared:binary,gap:binary>>"))
+    told = answers.groupBy("block").agg(F.collect_list(F.struct("step", "bucket", "n", "shared", "gap")).alias("told"))
     return blocks.join(told, "block", "left")
 
 
@@ -306,7 +330,7 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """
     blocks = stored(packed(df, key, text), "suffix-blocks")
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
-    bits = min(63, 16 + max(1, total).bit_length())  # few keys that are not equal meet by chance, whatever their number
+    bits = min(63, 12 + max(1, total).bit_length())  # few samples that are not equal meet by chance, whatever their number
     answers = None
     for step, (share, width) in enumerate([(1 / PIECE, 63), (len(MEMBERS) / COVER, bits), (1, 63)]):
         buckets = 1 + int(total * share) // BUCKET_KEYS
@@ -319,7 +343,6 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> D
         sent = with_answers(blocks, answers).select("block", "ids", "sizes", "body", "told").mapInPandas(run, SENT)
         made = stored(sent.groupBy("bucket").applyInPandas(decided, DECIDED).withColumn("step", F.lit(step)), "suffix-answers")
         answers = made if answers is None else answers.unionByName(made)
-        released(df.sparkSession)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
