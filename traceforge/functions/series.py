@@ -66,3 +66,39 @@ def ratio(a: Column, b: Column) -> Column:
 def correlation(a: str, b: str) -> Column:
     """Pearson correlation of two columns without nulls; null where either does not vary."""
     return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
+def in_intervals(samples: DataFrame, intervals: DataFrame, keys: Sequence[str] = KEYS, at: str = "seq", start: str = "start_seq", end: str = "end_seq") -> DataFrame:
+    """Samples with the columns of the interval they lie in, both ends included; intervals of a key do not overlap.
+
+    Starts and samples stand in one order, and a sample reads the last start before it: no pair of the two is formed.
+    """
+    carried = F.struct(*[c for c in intervals.columns if c not in keys])
+    starts = intervals.select(*keys, F.col(start).alias(at), carried.alias("_in"), F.lit(0).alias("_sample"))
+    both = starts.unionByName(samples.withColumn("_sample", F.lit(1)), allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy(at, "_sample").rowsBetween(Window.unboundedPreceding, 0)
+    told = both.withColumn("_in", F.last("_in", ignorenulls=True).over(w)).where(F.col("_sample") == 1).where(F.col("_in")[end] >= F.col(at))
+    return told.select(*samples.columns, "_in.*")
+
+
+def interval_sums(samples: DataFrame, intervals: DataFrame, value: str, at: str, start: str, end: str, keys: Sequence[str] = KEYS) -> DataFrame:
+    """``intervals`` with ``rows``, ``n``, ``mean`` and ``std`` of the values inside each, both ends included, of those with rows.
+
+    Bounds and samples stand in one order; running sums (of values less their series' mean) are read at both bounds,
+    so the cost is that of sorting samples and bounds, however many intervals overlap.
+    """
+    named = intervals.withColumn("_id", F.monotonically_increasing_id())
+    named = named.withColumn("_ends", F.array(F.struct(F.col(start).alias("at"), F.lit(0).alias("kind")), F.struct(F.col(end).alias("at"), F.lit(2).alias("kind"))))
+    bounds = named.where(F.col(start) <= F.col(end)).select(*keys, F.struct("_id", *[c for c in intervals.columns if c not in keys]).alias("_of"), F.explode("_ends").alias("_b")).select(*keys, "_of", "_b.at", "_b.kind")
+    centre = samples.groupBy(*keys).agg(F.avg(value).alias("_mid"))
+    rows = samples.join(centre, list(keys)).select(*keys, F.col(at).alias("at"), F.lit(1).alias("kind"), (F.col(value) - F.col("_mid")).alias("x"), "_mid")
+    both = rows.unionByName(bounds, allowMissingColumns=True)
+    w = Window.partitionBy(*keys).orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    x = F.col("x")
+    sums = {"rows": F.count_if(F.col("kind") == 1).over(w), "n": F.count("x").over(w), "s": F.coalesce(F.sum("x").over(w), F.lit(0.0)), "q": F.coalesce(F.sum(x * x).over(w), F.lit(0.0)), "_mid": F.max("_mid").over(w)}
+    read = both.withColumns(sums).where(F.col("kind") != 1)
+    sign = F.when(F.col("kind") == 2, 1).otherwise(-1)
+    g = read.groupBy(*keys, "_of").agg(*[F.sum(sign * F.col(c)).alias(c) for c in ("rows", "n", "s", "q")], F.max("_mid").alias("_mid")).where("rows > 0")
+    mean = F.try_divide(F.col("s"), F.col("n"))
+    std = F.when(F.col("n") > 1, F.sqrt(F.greatest((F.col("q") - F.col("s") * mean) / (F.col("n") - 1), F.lit(0.0))))
+    return g.select(*keys, "_of.*", "rows", "n", (F.col("_mid") + mean).alias("mean"), std.alias("std")).drop("_id")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from traceforge.functions.series import KEYS, by_series, longest, ratio, runs
+from traceforge.functions.series import KEYS, by_series, in_intervals, longest, ratio, runs
 from traceforge.operators.prep import fill_all
 
 
@@ -79,7 +79,7 @@ def merge_short(found: DataFrame, least_s: float = 0.1) -> DataFrame:
 
 def phase_metrics(readings: DataFrame, found: DataFrame) -> DataFrame:
     """Statistics of each phase, with ramps for transients, steadiness for the steady phase, drift for quiet ones."""
-    j = readings.where("value is not null").join(found.drop("n"), list(KEYS)).where(F.col("seq").between(F.col("start_seq"), F.col("end_seq")))
+    j = in_intervals(readings.where("value is not null"), found.drop("n"))
     w = Window.partitionBy(*KEYS, "phase_no").orderBy("seq")
     dt = F.col("time_s") - F.lag("time_s").over(w)
     j = j.withColumns({"rate": F.when(dt > 0, F.abs((F.col("value") - F.lag("value").over(w)) / dt))})

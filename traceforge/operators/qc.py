@@ -159,8 +159,15 @@ def lead_lag(readings: DataFrame, first: str, second: str, share: float = 0.1, w
     return rows(g, "propellant_lead_lag", status, lag, False)
 
 
-def full_run(readings: DataFrame, specs: DataFrame, critical: Sequence[str], pressure: str, flow: str, chamber: str | None = None, thrust: str | None = None) -> DataFrame:
-    """All checks of a test in one table; hot-fire checks join where a chamber channel is named.
+def hot_fire_checks(readings: DataFrame, chamber: str, ox: str, fuel: str) -> list[DataFrame]:
+    """The checks that only firing tests have: combustion stability, ignition, lead or lag of the propellants."""
+    return [combustion_stability(readings, chamber), ignition(readings, chamber), lead_lag(readings, ox, fuel)]
+
+
+def full_run(
+    readings: DataFrame, specs: DataFrame, critical: Sequence[str], pressure: str, flow: str, chamber: str | None = None, thrust: str | None = None, ox: str | None = None, fuel: str | None = None
+) -> DataFrame:
+    """All checks of a test in one table; hot-fire checks join where a chamber channel is named, lead and lag where both flows are.
 
     The checks of single channels share one windowed pass over the readings and two aggregations of it, instead
     of a pass each.
@@ -192,6 +199,8 @@ def full_run(readings: DataFrame, specs: DataFrame, critical: Sequence[str], pre
     pairs = [correlated(readings, pressure, flow)]
     if chamber and thrust:
         pairs += [correlated(readings, chamber, thrust, 0.5, "chamber_thrust_correlation"), combustion_stability(readings, chamber), ignition(readings, chamber)]
+    if ox and fuel:
+        pairs += [lead_lag(readings, ox, fuel)]
     return reduce(DataFrame.unionByName, [single, *pairs])
 
 

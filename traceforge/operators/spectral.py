@@ -6,6 +6,7 @@ function gives its FFT, and spectra are averaged by Spark. Spectra are long: ``(
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from traceforge.functions.blocks import positioned, spectra
 from traceforge.functions.series import KEYS, by_series
 from traceforge.operators.prep import fill_all
 
@@ -78,14 +80,25 @@ def segment_spectra(segs: DataFrame, rate: float, detrend: str = "linear", more:
 
 def psd(readings: DataFrame, rate: float, nperseg: int = 256) -> DataFrame:
     """Welch power spectral density of every series; series of no variance have zeros."""
-    spectra = segment_spectra(segments(signals(readings), nperseg), rate)
-    lines = spectra.select(*KEYS, "n", F.posexplode("p").alias("k", "p"))
+    found = segment_spectra(segments(signals(readings), nperseg), rate)
+    lines = found.select(*KEYS, "n", F.posexplode("p").alias("k", "p"))
     return lines.groupBy(*KEYS, "n", "k").agg(F.avg("p").alias("psd")).select(*KEYS, F.col("k").cast("long").alias("k"), (F.col("k") * rate / F.col("n")).alias("freq_hz"), "psd")
 
 
 def periodogram(readings: DataFrame, rate: float) -> DataFrame:
-    """One segment as long as the series."""
-    return psd(readings, rate, 2**30)
+    """Power density of one segment as long as the series, with linear trend removed and a periodic Hann window.
+
+    The transform is taken in blocks of the series and added up, so no task holds a long series.
+    """
+    x = positioned(fill_all(readings)).where("size >= 8")
+    at, n = F.col("at").cast("double"), F.col("size")
+    fit = x.groupBy(*KEYS).agg(F.regr_slope("value", at).alias("b"), F.regr_intercept("value", at).alias("a"), F.lit(0).cast("long").alias("k0"), F.floor(F.first("size") / 2).alias("k1"))
+    hann_at = 0.5 - 0.5 * F.cos(2 * math.pi * at / n)
+    flat = x.join(fit.select(*KEYS, "a", "b"), list(KEYS)).select(*KEYS, "at", "size", ((F.col("value") - F.col("a") - F.col("b") * at) * hann_at).alias("x"))
+    sizes = x.groupBy(*KEYS).agg(F.first("size").alias("n"))
+    lines = spectra(flat, fit).select(*KEYS, "k0", F.posexplode("power").alias("i", "p")).join(sizes, list(KEYS)).withColumn("k", F.col("k0") + F.col("i"))
+    scale = F.when((F.col("k") == 0) | (2 * F.col("k") == F.col("n")), 1.0).otherwise(2.0) / (rate * 0.375 * F.col("n"))  # the squared window sums to 3/8 n
+    return lines.select(*KEYS, "k", (F.col("k") * rate / F.col("n")).alias("freq_hz"), (F.col("p") * scale).alias("psd"))
 
 
 def trapezoid(spectra: DataFrame) -> DataFrame:
@@ -184,10 +197,22 @@ def cross_spectrum(readings: DataFrame, left: str, right: str, rate: float, nper
     return g.select("test_id", F.col("k").cast("long").alias("k"), (F.col("k") * rate / F.col("n")).alias("freq_hz"), coherence.alias("coherence"), F.atan2("im", "re").alias("phase"), F.struct("re", "im").alias("csd"))
 
 
+def bases(x: np.ndarray) -> np.ndarray:
+    """For each line the smallest value back to the nearest higher line; a stack holds the lines that are not yet passed by a higher one."""
+    out, higher = np.empty(len(x)), []
+    for i, v in enumerate(x):
+        least = v
+        while higher and higher[-1][0] <= v:
+            least = min(least, higher.pop()[1])
+        higher.append((v, least))
+        out[i] = least
+    return out
+
+
 def resonances(spectra: DataFrame, low_hz: float = 0.0, high_hz: float = float("inf"), least_db: float = 3.0) -> DataFrame:
     """Peaks that stand out by ``least_db`` or more in a band, with their quality factor, strongest first.
 
-    A spectrum has a few hundred lines, so prominence is found a spectrum at a time.
+    Prominence is found a spectrum at a time, in time linear in its lines.
     """
     columns = ["test_id", "channel", "peak_k", "freq_hz", "psd", "prominence_db"]
 
@@ -195,6 +220,7 @@ def resonances(spectra: DataFrame, low_hz: float = 0.0, high_hz: float = float("
         part = part.sort_values("k")
         f, p = part["freq_hz"].to_numpy(), part["psd"].to_numpy()
         db = 10 * np.log10(np.maximum(p, 1e-300))
+        left, right = bases(db), bases(db[::-1])[::-1]
         rows, i = [], 1
         while i < len(db) - 1:
             j = i
@@ -202,10 +228,7 @@ def resonances(spectra: DataFrame, low_hz: float = 0.0, high_hz: float = float("
                 j += 1
             if db[i - 1] < db[i] and j + 1 < len(db) and db[j + 1] < db[i]:
                 top = (i + j) // 2
-                higher_left, higher_right = np.flatnonzero(db[:i] > db[i]), np.flatnonzero(db[j + 1 :] > db[i])
-                a = higher_left[-1] if len(higher_left) else 0
-                b = j + 1 + higher_right[0] if len(higher_right) else len(db)
-                prominence = db[i] - max(db[a : i + 1].min(), db[j:b].min())
+                prominence = db[i] - max(left[i], right[j])
                 if prominence >= least_db and low_hz <= f[top] <= high_hz:
                     rows.append((*key, int(part["k"].iloc[top]), f[top], p[top], prominence))
             i = j + 1

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from traceforge.functions.series import KEYS, by_series, longest, ratio, rolling, runs
+from traceforge.functions.blocks import percentiles
+from traceforge.functions.series import KEYS, by_series, interval_sums, longest, ratio, rolling, runs
 
 #: Trees of the isolation forest, and rows that each tree is grown on.
 TREES, TREE_ROWS = 100, 256
@@ -95,9 +96,12 @@ def validate(readings: DataFrame, windows: DataFrame, channel: str, least: int =
 
 
 def sweep(readings: DataFrame, windows: DataFrame) -> DataFrame:
-    """Channel means for many candidate windows ``(test_id, window_id, start_s, end_s)`` of each test."""
-    j = readings.join(windows, "test_id").where(F.col("time_s").between(F.col("start_s"), F.col("end_s")))
-    return j.groupBy("test_id", "window_id", "channel").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.count("value").alias("n"))
+    """Channel means for many candidate windows ``(test_id, window_id, start_s, end_s)`` of each test.
+
+    Each window's bounds are two rows in a channel's order of time; no sample meets a window.
+    """
+    own = readings.select("test_id", "channel").distinct().join(windows, "test_id")
+    return interval_sums(readings, own, "value", "time_s", "start_s", "end_s").select("test_id", "window_id", "channel", "mean", "std", "n")
 
 
 def path_length(n: np.ndarray) -> np.ndarray:
@@ -106,25 +110,49 @@ def path_length(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-def grow(x: np.ndarray, rng: np.random.Generator, depth: int) -> tuple:
-    """An isolation tree as nested ``(feature, cut, left, right)``, leaves as their row count."""
-    spread = x.max(0) - x.min(0) if len(x) else np.zeros(1)
-    if depth == 0 or len(x) <= 1 or not (spread > 0).any():
-        return (len(x),)
-    f = rng.choice(np.flatnonzero(spread > 0))
-    cut = rng.uniform(x[:, f].min(), x[:, f].max())
-    left = x[:, f] < cut
-    return int(f), float(cut), grow(x[left], rng, depth - 1), grow(x[~left], rng, depth - 1)
-
-
-def depths(tree: tuple, x: np.ndarray) -> np.ndarray:
-    if len(tree) == 1:
-        return np.full(len(x), float(path_length(np.array(tree[0]))))
-    f, cut, a, b = tree
-    out = np.empty(len(x))
-    left = x[:, f] < cut
-    out[left], out[~left] = 1 + depths(a, x[left]), 1 + depths(b, x[~left])
-    return out
+def grow(x: np.ndarray, rng: np.random.Generator, depth: int) -> list[tuple[int, float, int, int, float]]:
+    """An isolation tree as rows ``(feature, cut, left, right, length)``; a leaf has feature -1 and its path's mean length."""
+    nodes, waiting = [], [(np.arange(len(x)), 0, -1, 0)]
+    while waiting:
+        rows, level, above, side = waiting.pop()
+        at = len(nodes)
+        if above >= 0:
+            nodes[above][side] = at
+        own = x[rows]
+        spread = own.max(0) - own.min(0) if len(rows) else np.zeros(1)
+        if level == depth or len(rows) <= 1 or not (spread > 0).any():
+            nodes.append([-1, 0.0, at, at, level + float(path_length(np.array(len(rows))))])
+            continue
+        f = int(rng.choice(np.flatnonzero(spread > 0)))
+        cut = float(rng.uniform(own[:, f].min(), own[:, f].max()))
+        nodes.append([f, cut, -1, -1, 0.0])
+        left = own[:, f] < cut
+        waiting += [(rows[~left], level + 1, at, 3), (rows[left], level + 1, at, 2)]
+    return [tuple(n) for n in nodes]
+
+
+def depths(nodes: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Path lengths of rows down one tree, all rows a level at a time."""
+    feature, cut, left, right = nodes[:, 0].astype(int), nodes[:, 1], nodes[:, 2].astype(int), nodes[:, 3].astype(int)
+    at, rows = np.zeros(len(x), int), np.arange(len(x))
+    while True:
+        f = feature[at]
+        to = np.where(f < 0, at, np.where(x[rows, np.maximum(f, 0)] < cut[at], left[at], right[at]))
+        if (to == at).all():
+            return nodes[at, 4]
+        at = to
+
+
+def forest_of(x: np.ndarray, seed: int) -> np.ndarray:
+    """The nodes of all trees end to end, each row led by its tree's number."""
+    rng, size = np.random.default_rng(seed), min(TREE_ROWS, len(x))
+    trees = [grow(x[rng.choice(len(x), size, replace=False)], rng, 8) for _ in range(TREES)]
+    return np.array([(k, *node) for k, tree in enumerate(trees) for node in tree], float)
+
+
+def forest_scores(forest: np.ndarray, x: np.ndarray) -> np.ndarray:
+    mean = np.mean([depths(tree[:, 1:], x) for tree in np.split(forest, np.flatnonzero(np.diff(forest[:, 0])) + 1)], 0)
+    return 2.0 ** (-mean / path_length(np.array(TREE_ROWS)))
 
 
 def steady_forest(readings: DataFrame, channels: list[str], contamination: float = 0.3, gap: int = 5, width: int = 20, seed: int = 7) -> DataFrame:
@@ -140,37 +168,29 @@ def steady_forest(readings: DataFrame, channels: list[str], contamination: float
     names = [f"{k}_{i}" for i in range(len(channels)) for k in ("value", "m", "s")]
     full = wide.dropna(subset=names)
     sizes = full.groupBy("test_id").agg(F.count("*").alias("n")).where("n >= 50")
-    full = full.join(sizes.select("test_id"), "test_id")
-    order = Window.partitionBy("test_id").orderBy(F.xxhash64("test_id", "seq"), "seq")
-    sample = full.withColumn("k", F.row_number().over(order)).where(F.col("k") <= TREES * TREE_ROWS)
+    # rows with the smallest hashes: only those under a bound that leaves a fifth more than wanted are put in order
+    wanted = TREES * TREE_ROWS
+    full = full.join(sizes, "test_id").withColumn("hash", F.xxhash64("test_id", "seq"))
+    bound = F.when(F.col("n") > 2 * wanted, (F.lit(1.2 * wanted) / F.col("n") * 2.0**64 - 2.0**63).cast("long")).otherwise(F.lit(2**63 - 1))
+    order = Window.partitionBy("test_id").orderBy("hash", "seq")
+    sample = full.where(F.col("hash") <= bound).withColumn("k", F.row_number().over(order)).where(F.col("k") <= wanted)
     grouped = sample.groupBy("test_id").agg(F.collect_list(F.array(*names)).alias("rows"))
 
     def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pickle
-
         for batch in batches:
-            made = []
-            for rows in batch["rows"]:
-                x, rng = np.stack(rows), np.random.default_rng(seed)
-                size = min(TREE_ROWS, len(x))
-                made.append(pickle.dumps([grow(x[rng.choice(len(x), size, replace=False)], rng, 8) for _ in range(TREES)]))
-            yield pd.DataFrame({"test_id": batch["test_id"], "forest": made})
+            yield pd.DataFrame({"test_id": batch["test_id"], "forest": [forest_of(np.stack(rows), seed).ravel() for rows in batch["rows"]]})
 
-    trees = grouped.mapInPandas(forest, "test_id string, forest binary")
+    trees = grouped.mapInPandas(forest, "test_id string, forest array<double>")
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import pickle
-
         for batch in batches:
-            for test, seq, time, rows, packed in batch.itertuples(index=False):
-                x = np.stack(rows)
-                mean = np.mean([depths(t, x) for t in pickle.loads(packed)], 0)
-                yield pd.DataFrame({"test_id": test, "seq": seq, "time_s": time, "score": 2.0 ** (-mean / path_length(np.array(TREE_ROWS)))})
+            for test, seq, time, rows, nodes in batch.itertuples(index=False):
+                yield pd.DataFrame({"test_id": test, "seq": seq, "time_s": time, "score": forest_scores(np.asarray(nodes).reshape(-1, 6), np.stack(rows))})
 
     # a forest goes with a block of rows, not with every row
     row = F.struct("seq", "time_s", F.array(*names).alias("x"))
     blocks = full.groupBy("test_id", F.floor(F.col("seq") / BLOCK_ROWS).alias("block")).agg(F.collect_list(row).alias("rows")).join(trees, "test_id")
     scored = blocks.select("test_id", "rows.seq", "rows.time_s", "rows.x", "forest").mapInPandas(score, "test_id string, seq long, time_s double, score double")
-    cut = scored.groupBy("test_id").agg(F.percentile("score", F.lit(1 - contamination)).alias("cut"))
+    cut = percentiles(scored, "score", {"cut": 1 - contamination}, ("test_id",)).select("test_id", "cut")
     keyed = scored.join(cut, "test_id").withColumn("channel", F.lit("all"))
     return as_window(longest(runs(keyed, F.col("score") <= F.col("cut"), gap=gap)), "ml")

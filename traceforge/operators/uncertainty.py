@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceforge.functions.series import ratio
+from traceforge.operators import qc
 
 G0 = 9.80665
 INF = float("inf")
@@ -149,6 +150,11 @@ class MetricFamily:
     roles: tuple[str, ...]
     metrics: Callable[[], list[Metric]]
     checks: Callable[[DataFrame], list[DataFrame]] = field(default=lambda readings: [])
+    #: Checks of readings whose channels are named by their roles.
+    role_checks: Callable[[DataFrame], list[DataFrame]] = field(default=lambda readings: [])
+    #: Result columns that say whether a check passed (1 or 0, null where it did not run), and columns that are declared only.
+    verdicts: dict[str, str] = field(default_factory=dict)
+    declared: tuple[str, ...] = ()
     columns: dict[str, str] = field(default_factory=dict)
     #: Roles of constants, such as areas and densities, that the metrics use beside the measured ones.
     constants: tuple[str, ...] = ()
@@ -197,7 +203,10 @@ def hot_fire_metrics() -> list[Metric]:
 
 
 COLD_FLOW = MetricFamily("cold_flow", ("upstream_pressure", "downstream_pressure", "mass_flow"), cold_flow_metrics, columns={"pressure_upstream": "p_up_bar", "mass_flow": "mf_g_s", "delta_p": "dp_bar", "Cd": "cd"}, constants=("area_m2", "density"))
-HOT_FIRE = MetricFamily("hot_fire", ("chamber_pressure", "thrust", "mass_flow_ox", "mass_flow_fuel"), hot_fire_metrics, columns={"chamber_pressure": "pc_bar", "thrust": "thrust_n", "mass_flow_total": "mf_total_g_s", "of_ratio": "of_ratio", "Isp": "isp_s", "c_star": "c_star_m_s"}, constants=("throat_m2",))
+HOT_FIRE = MetricFamily(
+    "hot_fire", ("chamber_pressure", "thrust", "mass_flow_ox", "mass_flow_fuel"), hot_fire_metrics, columns={"chamber_pressure": "pc_bar", "thrust": "thrust_n", "mass_flow_total": "mf_total_g_s", "of_ratio": "of_ratio", "Isp": "isp_s", "c_star": "c_star_m_s"}, constants=("throat_m2",),
+    role_checks=lambda readings: qc.hot_fire_checks(readings, "chamber_pressure", "mass_flow_ox", "mass_flow_fuel"), verdicts={"ignition_successful": "ignition"}, declared=("avg_cf", "eta_c_star_pct", "eta_isp_pct", "total_impulse_ns"),
+)
 
 
 def wide_inputs(inputs: DataFrame, family: MetricFamily, constants: tuple[str, ...]) -> DataFrame:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import traceback
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from traceforge.operators import audit, prep, qc, uncertainty
-from traceforge.operators.steady import steady_auto, steady_cv, steady_derivative, steady_forest, steady_middle
+from traceforge.operators.steady import steady_auto, steady_channel, steady_cv, steady_derivative, steady_forest, steady_middle
 
 #: Detectors by name, as functions of (readings, channel).
 DETECTORS: dict[str, Callable[[DataFrame, str], DataFrame]] = {
@@ -22,6 +24,72 @@ DETECTORS: dict[str, Callable[[DataFrame, str], DataFrame]] = {
 }
 
 
+#: A test's readings, ordered by channel and sample, to the ends of its steady window, or None where it has none.
+UserDetector = Callable[[pd.DataFrame], tuple[float, float] | None]
+#: A test's readings and its id to its measurements by name, each a value or a value with its uncertainty.
+UserAnalysis = Callable[[pd.DataFrame, str], dict[str, float | tuple[float, float]]]
+
+
+def user_windows(readings: DataFrame, detect: UserDetector) -> DataFrame:
+    """``(test_id, start_s, end_s, method, error)``: a caller's function on each test, its exception as that test's ``error``.
+
+    A test meets in one task, so give only the channels that the function needs.
+    """
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        row: tuple = (None, None, "custom", None)
+        try:
+            found = detect(part.sort_values(["channel", "seq"], ignore_index=True))
+            row = (None, None, "custom", "no steady window") if found is None else (float(found[0]), float(found[1]), "custom", None)
+        except Exception as e:  # whatever a caller's function raises is that test's outcome
+            row = (None, None, "custom", f"{type(e).__name__}: {e}")
+        return pd.DataFrame([(part["test_id"].iloc[0], *row)], columns=["test_id", "start_s", "end_s", "method", "error"])
+
+    return readings.groupBy("test_id").applyInPandas(run, "test_id string, start_s double, end_s double, method string, error string")
+
+
+def user_batch(readings: DataFrame, measure: UserAnalysis) -> DataFrame:
+    """``(test_id, success, error, trace, name, value, u)``: a caller's analysis of each test, a row for each measurement.
+
+    A test whose analysis raises has one row with the error and its trace; the others stay whole.
+    """
+    columns = ["test_id", "success", "error", "trace", "name", "value", "u"]
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        test = part["test_id"].iloc[0]
+        try:
+            made = measure(part.sort_values(["channel", "seq"], ignore_index=True), test)
+            pairs = [(name, *(v if isinstance(v, tuple) else (v, None))) for name, v in made.items()]
+            rows = [(test, True, None, None, name, float(v), None if u is None else float(u)) for name, v, u in pairs] or [(test, True, None, None, None, None, None)]
+        except Exception as e:  # as above
+            rows = [(test, False, f"{type(e).__name__}: {e}", traceback.format_exc(), None, None, None)]
+        return pd.DataFrame(rows, columns=columns)
+
+    return readings.groupBy("test_id").applyInPandas(run, "test_id string, success boolean, error string, trace string, name string, value double, u double")
+
+
+def windows_of(readings: DataFrame, detector: str | UserDetector, channel: str | None = None, roles: DataFrame | None = None) -> DataFrame:
+    """``(test_id, start_s, end_s, method, error)`` by a named detector or a caller's function.
+
+    A named detector works on ``channel``; without one on each test's own channel, by role first, then by name.
+    """
+    if callable(detector):
+        own = readings if channel is None else readings.where(F.col("channel") == channel)
+        return user_windows(own, detector)
+    if channel is None:
+        own = readings.join(steady_channel(readings, roles), ["test_id", "channel"], "left_semi").withColumn("channel", F.lit("signal"))
+        found = DETECTORS[detector](own, "signal")
+    else:
+        found = DETECTORS[detector](readings, channel)
+    return found.withColumn("error", F.lit(None).cast("string"))
+
+
+def by_role(readings: DataFrame, roles: DataFrame) -> DataFrame:
+    """Readings of channels that have a role, under the role's name."""
+    on = ["test_id", "channel"] if "test_id" in roles.columns else ["channel"]
+    return readings.join(roles.select(*on, "role"), on).withColumn("channel", F.col("role")).select(*readings.columns)
+
+
 def analyse(
     readings: DataFrame, roles: DataFrame, specs: DataFrame, family: uncertainty.MetricFamily, windows: DataFrame, constants: DataFrame | None = None, checks: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -32,7 +100,7 @@ def analyse(
     check fails is in ``rejects`` with the checks that stopped it.
     """
     checks = qc.timestamps_increase(readings).unionByName(qc.missing(readings)) if checks is None else checks
-    checks = reduce(DataFrame.unionByName, family.checks(readings), checks)
+    checks = reduce(DataFrame.unionByName, [*family.checks(readings), *family.role_checks(by_role(readings, roles))], checks)
     passed = qc.gate(readings, checks)
     means = prep.channel_means(prep.steady_slice(passed, windows))
     own = means.select("test_id", "channel").join(roles, ["test_id", "channel"] if "test_id" in roles.columns else "channel")
@@ -42,6 +110,10 @@ def analyse(
     metrics = uncertainty.family_metrics(inputs, family, family.constants)
     samples = passed.groupBy("test_id").agg(F.count("*").alias("n_samples"))
     rows = uncertainty.result_row(metrics, family).join(windows, "test_id", "left").join(samples, "test_id", "left")
+    if family.verdicts:
+        ended = [F.max(F.when(F.col("check") == name, (F.col("status") == "PASS").cast("int"))).alias(column) for column, name in family.verdicts.items()]
+        rows = rows.join(checks.groupBy("test_id").agg(*ended), "test_id", "left")
+    rows = rows.withColumns({c: F.lit(None).cast("double") for c in family.declared}) if family.declared else rows
     stopped = checks.where("status = 'FAIL' and blocking").groupBy("test_id").agg(F.array_sort(F.collect_set("check")).alias("failed_checks"))
     return rows, stopped
 
@@ -55,45 +127,53 @@ def constants_of(merged: DataFrame) -> DataFrame:
 
 
 def complete(
-    readings: DataFrame, configs: DataFrame, metadata: DataFrame, specs: DataFrame, ranges: DataFrame, family: uncertainty.MetricFamily, detector: str, channel: str, critical: list[str], pressure: str, flow: str, analyst: str, version: str
+    readings: DataFrame, configs: DataFrame, metadata: DataFrame, specs: DataFrame, ranges: DataFrame, family: uncertainty.MetricFamily, detector: str | UserDetector, channel: str | None, critical: list[str], pressure: str, flow: str, analyst: str, version: str
 ) -> DataFrame:
     """One row for every test: merged and checked configuration, full quality run, steady window by ``detector``, metrics
     with uncertainty, and provenance. ``error`` says why a test has no metrics.
 
     ``configs`` is ``(test_id, config_name, test_type, u_types, density, geometry, fluid_name, sensor_roles, conditions)``,
-    ``metadata`` its overriding part by test, ``specs`` the channels' uncertainties, ``ranges`` their limits.
+    ``metadata`` its overriding part by test, ``specs`` the channels' uncertainties, ``ranges`` their limits; see
+    :func:`windows_of` for ``detector`` and ``channel``.
     """
     merged = audit.merge_config(configs, metadata)
     invalid = audit.audit_configs(merged, "test_id").where(~F.col("valid")).select("test_id", "warnings")
     usable = readings.join(invalid, "test_id", "left_anti")
     roles = merged.select("test_id", F.explode("sensor_roles").alias("role", "channel"))
-    windows = DETECTORS[detector](usable, channel)
+    tried = windows_of(usable, detector, channel, roles)
+    windows, refused = tried.where("error is null").drop("error"), tried.select("test_id", F.col("error").alias("detector_error"))
     checks = qc.full_run(usable, ranges, critical, pressure, flow)
     rows, stopped = analyse(usable, roles, specs, family, windows.drop("method"), constants_of(merged), checks)
     held = merged.select("test_id", F.map_concat("conditions", F.create_map(F.lit("config_name"), F.col("config_name"), F.lit("fluid_name"), F.coalesce("fluid_name", F.lit("")))).alias("config"))
     tests = readings.select("test_id").distinct()
-    found = tests.join(rows.drop("start_s", "end_s"), "test_id", "left").join(stopped, "test_id", "left").join(invalid, "test_id", "left")
+    found = tests.join(rows.drop("start_s", "end_s"), "test_id", "left").join(stopped, "test_id", "left").join(invalid, "test_id", "left").join(refused, "test_id", "left")
     recorded = audit.provenance(found, audit.content_hash(readings), held, windows, analyst, version)
-    values = [c for c in rows.columns if c.startswith("avg_")]
+    values = [f"avg_{c}" for c in family.columns.values()]
     success = F.coalesce(*values).isNotNull() & F.col("failed_checks").isNull() & F.col("warnings").isNull()
     error = (
         F.when(F.col("warnings").isNotNull(), F.concat(F.lit("configuration: "), F.array_join("warnings", ", ")))
         .when(F.col("failed_checks").isNotNull(), F.concat(F.lit("quality: "), F.array_join("failed_checks", ", ")))
+        .when(F.col("detector_error").isNotNull(), F.concat(F.lit("detector: "), "detector_error"))
         .when(~success, "no metrics")
     )
-    return recorded.withColumns({"success": success, "error": error}).drop("warnings", "failed_checks")
+    return recorded.withColumns({"success": success, "error": error}).drop("warnings", "failed_checks", "detector_error")
 
 
-def batch(readings: DataFrame, roles: DataFrame, specs: DataFrame, family: uncertainty.MetricFamily, detector: str = "simple", channel: str = "", constants: DataFrame | None = None, checks: DataFrame | None = None) -> DataFrame:
-    """Every test's outcome: ``success``, quality status, the error text of those that gave no result, and results."""
-    windows = DETECTORS[detector](readings, channel).drop("method")
+def batch(readings: DataFrame, roles: DataFrame, specs: DataFrame, family: uncertainty.MetricFamily, detector: str | UserDetector = "simple", channel: str | None = None, constants: DataFrame | None = None, checks: DataFrame | None = None) -> DataFrame:
+    """Every test's outcome: ``success``, quality status, the error text of those that gave no result, and results.
+
+    See :func:`windows_of` for ``detector`` and ``channel``; a test on which a caller's detector fails says so in ``error``.
+    """
+    tried = windows_of(readings, detector, channel, roles)
+    windows, refused = tried.where("error is null").drop("error", "method"), tried.select("test_id", F.col("error").alias("detector_error"))
     rows, rejects = analyse(readings, roles, specs, family, windows, constants, checks)
     tests = readings.select("test_id").distinct()
-    j = tests.join(rows, "test_id", "left").join(rejects, "test_id", "left")
-    values = [c for c in rows.columns if c.startswith("avg_")]
+    j = tests.join(rows, "test_id", "left").join(rejects, "test_id", "left").join(refused, "test_id", "left")
+    j = j.withColumns({c: F.coalesce(c, F.when(F.array_contains("failed_checks", name), 0)) for c, name in family.verdicts.items()}) if family.verdicts else j
+    values = [f"avg_{c}" for c in family.columns.values()]
     success = F.coalesce(*values).isNotNull() & F.col("failed_checks").isNull()
-    error = F.when(F.col("failed_checks").isNotNull(), F.concat(F.lit("quality: "), F.array_join("failed_checks", ", "))).when(~success, "no metrics")
-    return j.withColumns({"success": success, "error": error, "qc_status": F.when(F.col("failed_checks").isNull(), "PASS").otherwise("FAIL")})
+    error = F.when(F.col("failed_checks").isNotNull(), F.concat(F.lit("quality: "), F.array_join("failed_checks", ", "))).when(F.col("detector_error").isNotNull(), F.concat(F.lit("detector: "), "detector_error")).when(~success, "no metrics")
+    return j.withColumns({"success": success, "error": error, "qc_status": F.when(F.col("failed_checks").isNull(), "PASS").otherwise("FAIL")}).drop("detector_error")
 
 
 def batch_rates(outcomes: DataFrame) -> DataFrame:

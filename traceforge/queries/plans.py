@@ -317,3 +317,44 @@ def b1_complete(spark, sf):
     ranges = spark.createDataFrame([("view", None, 250.0, True)], "channel string, min double, max double, allow_negative boolean")
     done = analysis.complete(r, configs, metadata, specs(spark), ranges, uncertainty.COLD_FLOW, "simple", "view", ["view", "click"], "view", "click", "analyst", "1.0")
     return rounded(done.select("test_id", "error", "success", "avg_cd", "avg_p_up_bar", "detection_method", "analyst_username"), 9)
+
+
+def measured(part, test):
+    if int(test[1:]) % 7 == 0:
+        raise ValueError("an odd test")
+    known = part["value"].dropna()
+    return {"mean": (known.mean(), known.std()), "top": known.max()}
+
+
+@query("b2_user_analysis", f"""WITH {GAPPED}, g AS (SELECT test_id, CAST(substr(test_id, 2) AS INT) % 7 <> 0 AS success, avg(value) AS mean, stddev_samp(value) AS sd, max(value) AS top FROM readings GROUP BY test_id)
+  SELECT test_id, success, NULL AS error, 'mean' AS name, round(mean, 8) AS value, round(sd, 8) AS u FROM g WHERE success UNION ALL SELECT test_id, success, NULL, 'top', round(top, 8), NULL FROM g WHERE success
+  UNION ALL SELECT test_id, success, 'ValueError: an odd test', NULL, NULL, NULL FROM g WHERE NOT success""")
+def b2_user(spark, sf):
+    return rounded(analysis.user_batch(readings(spark, sf, True), measured).drop("trace"), 8)
+
+
+def middle(part):
+    number, t = int(part["test_id"].iloc[0][1:]), part["time_s"]
+    if number % 7 == 0:
+        raise ValueError("an odd test")
+    return None if number % 5 == 0 else (t.min() + 0.25 * (t.max() - t.min()), t.min() + 0.75 * (t.max() - t.min()))
+
+
+@query("d5_user_detector", f"""WITH {GAPPED}, g AS (SELECT test_id, CAST(substr(test_id, 2) AS INT) AS k, min(time_s) AS a, max(time_s) AS b FROM readings WHERE channel = 'view' GROUP BY test_id)
+  SELECT test_id, round(CASE WHEN k % 7 <> 0 AND k % 5 <> 0 THEN a + 0.25::DOUBLE * (b - a) END, 6) AS start_s, round(CASE WHEN k % 7 <> 0 AND k % 5 <> 0 THEN a + 0.75::DOUBLE * (b - a) END, 6) AS end_s,
+    'custom' AS method, CASE WHEN k % 7 = 0 THEN 'ValueError: an odd test' WHEN k % 5 = 0 THEN 'no steady window' END AS error FROM g""")
+def d5_user(spark, sf):
+    return rounded(analysis.windows_of(readings(spark, sf, True), middle, "view"), 6)
+
+
+@query("s11_upsert_store", f"""WITH {RESULTS} SELECT campaign_name, test_id, CASE WHEN campaign_name LIKE '%-3' THEN 'new' ELSE part END AS part, CASE WHEN campaign_name LIKE '%-3' AND test_id % 2 = 0 THEN NULL ELSE round(avg_price, 8) END AS avg_price FROM results
+  UNION ALL SELECT 'ADDED', test_id + 100000000, 'new', 7.5 FROM results WHERE campaign_name LIKE '%-3'""")
+def s11_store(spark, sf):
+    path, r = scratch(spark, "store"), results(spark, sf)
+    campaigns.write_campaigns(r, path)
+    some, i = r.where(F.col("campaign_name").endswith("-3")), F.col("test_id")
+    new = F.create_map(F.lit("part"), F.lit("new"))
+    changed = some.select(i, F.lit(1).alias("written_at"), F.when(i % 2 == 0, F.map_concat(new, F.create_map(F.lit("avg_price"), F.lit(None).cast("string")))).otherwise(new).alias("values"))
+    added = some.select((i + 100000000).alias("test_id"), F.lit(1).alias("written_at"), F.create_map(*[F.lit(x) for x in ("campaign_name", "ADDED", "part", "new", "avg_price", "7.5")]).alias("values"))
+    campaigns.upsert_store(spark, path, changed.unionByName(added))
+    return rounded(spark.read.schema(r.schema).parquet(path).select("campaign_name", "test_id", "part", "avg_price"), 8)

@@ -109,7 +109,7 @@ def q9(spark, sf):
 
 
 def run(spark, sf):
-    return qc.full_run(readings(spark, sf, True), specs(spark), ["view", "click"], "view", "click", "purchase", "signup")
+    return qc.full_run(readings(spark, sf, True), specs(spark), ["view", "click"], "view", "click", "purchase", "signup", "view", "click")
 
 
 FULL = f"""WITH {GAPPED}, {DT}, specs(channel, lo, hi, neg) AS (VALUES ('view', 0.5, 150.0, true), ('click', NULL, 400.0, true), ('error', 0.2, NULL, false)),
@@ -124,7 +124,9 @@ FULL = f"""WITH {GAPPED}, {DT}, specs(channel, lo, hi, neg) AS (VALUES ('view',
   known AS (SELECT * FROM readings WHERE channel = 'purchase' AND value IS NOT NULL),
   ro AS (SELECT *, CASE WHEN count(value) {frame(50)} = 50 THEN max(value) {frame(50)} - min(value) {frame(50)} END AS span, CASE WHEN count(value) {frame(50)} = 50 THEN avg(value) {frame(50)} END AS mid FROM known),
   st AS (SELECT test_id, channel, count(*) AS n, avg(value) AS mean, max(CASE WHEN mid > 0 THEN span / mid * 100 END) AS rough FROM ro GROUP BY ALL),
-  ig AS (SELECT test_id, channel, max(value) AS top, min_by(time_s, seq) FILTER (value >= 2) AS first_s FROM readings WHERE channel = 'purchase' GROUP BY ALL) """
+  ig AS (SELECT test_id, channel, max(value) AS top, min_by(time_s, seq) FILTER (value >= 2) AS first_s FROM readings WHERE channel = 'purchase' GROUP BY ALL),
+  tops AS (SELECT *, max(value) OVER (PARTITION BY test_id, channel) AS top FROM readings WHERE channel IN ('view', 'click')),
+  le AS (SELECT test_id, 'view/click' AS channel, (min(time_s) FILTER (channel = 'click' AND value > 0.1::DOUBLE * top) - min(time_s) FILTER (channel = 'view' AND value > 0.1::DOUBLE * top)) * 1000 AS lag FROM tops GROUP BY test_id) """
 RELATED = "CASE WHEN n < 10 THEN 'SKIP' WHEN r IS NULL OR isnan(r) THEN 'WARN' WHEN r >= {} THEN 'PASS' WHEN r < 0 THEN 'FAIL' ELSE 'WARN' END"
 FULL += " UNION ALL ".join(
     [
@@ -139,13 +141,15 @@ FULL += " UNION ALL ".join(
         case("chamber_thrust_correlation", RELATED.format(0.5), "r", "FROM cd"),
         case("combustion_stability", "CASE WHEN n < 100 THEN 'SKIP' WHEN mean <= 0 THEN 'FAIL' WHEN rough <= 10 THEN 'PASS' WHEN rough > 20 THEN 'FAIL' ELSE 'WARN' END", "rough", "FROM st"),
         case("ignition", "CASE WHEN top >= 2 THEN 'PASS' ELSE 'FAIL' END", "first_s", "FROM ig"),
+        case("propellant_lead_lag", "CASE WHEN lag IS NULL THEN 'WARN' WHEN abs(lag) > 1000 THEN 'FAIL' WHEN abs(lag) > 500 THEN 'WARN' ELSE 'PASS' END", "lag", "FROM le").replace("DOUBLE), 6", "DOUBLE), 3"),
     ]
 )
 
 
 @query("q10_full_run", FULL)
 def q10(spark, sf):
-    return out(run(spark, sf))
+    late = F.col("check") == "propellant_lead_lag"
+    return run(spark, sf).select("test_id", "check", "channel", "status", F.when(late, F.round("metric", 3)).otherwise(F.round("metric", 6)).alias("metric"))
 
 
 QUICK = f"""WITH {DISORDERED.replace('value FROM plain', 'CASE WHEN value > 20 THEN value END AS value FROM plain')}, {DT}, g AS (SELECT test_id, channel, avg((value IS NULL)::INT) AS share, count(DISTINCT value) AS d FROM readings GROUP BY ALL), t AS (SELECT test_id, channel, count_if(dt <= 0) AS bad FROM dts GROUP BY ALL) """

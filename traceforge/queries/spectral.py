@@ -26,6 +26,17 @@ def f1(spark, sf):
     return psd(spark, sf).select("test_id", "channel", "k", "freq_hz", F.round("psd", 4).alias("psd"))
 
 
+PERIODOGRAM = f"""{READINGS}, sz AS (SELECT test_id, channel, count(*) AS n, regr_slope(value, seq::DOUBLE) AS b, regr_intercept(value, seq::DOUBLE) AS a FROM readings GROUP BY ALL HAVING count(*) >= 8),
+  y AS (SELECT r.test_id, r.channel, seq AS i, n, (value - a - b * seq) * (0.5 - 0.5 * cos(2 * pi() * seq / n)) AS y FROM readings r JOIN sz USING (test_id, channel)),
+  f AS (SELECT test_id, channel, k, any_value(n) AS n, pow(sum(y * cos(2 * pi() * (k * i % n) / n)), 2) + pow(sum(y * sin(2 * pi() * (k * i % n) / n)), 2) AS p
+    FROM y JOIN (SELECT unnest(range(0, 400)) AS k) ON k <= n // 2 GROUP BY test_id, channel, k)"""
+
+
+@query("f1_periodogram", f"WITH {PERIODOGRAM} SELECT test_id, channel, k, round(k / n, 9) AS freq_hz, round(p * CASE WHEN k = 0 OR 2 * k = n THEN 1 ELSE 2 END / (0.375::DOUBLE * n), 4) AS psd FROM f")
+def f1_whole(spark, sf):
+    return spectral.periodogram(readings(spark, sf), 1.0).select("test_id", "channel", "k", F.round("freq_hz", 9).alias("freq_hz"), F.round("psd", 4).alias("psd"))
+
+
 SUMMARY = """ar AS (SELECT *, (lead(freq_hz) OVER w - freq_hz) * (psd + lead(psd) OVER w) / 2 AS area FROM psd WINDOW w AS (PARTITION BY test_id, channel ORDER BY k)),
   pk AS (SELECT test_id, channel, k AS peak_k, freq_hz AS dominant_hz, psd AS peak_psd FROM psd WHERE k > 0 QUALIFY row_number() OVER (PARTITION BY test_id, channel ORDER BY psd DESC, k) = 1)"""
 

@@ -27,6 +27,12 @@ def d2(spark, sf):
     return steady.steady_forest(readings(spark, sf), ["view", "click"])
 
 
+@query("d2_steady_forest_all")
+def d2_all(spark, sf):
+    r = readings(spark, sf)
+    return steady.steady_forest(r, ["click", "error", "purchase", "signup", "view"], width=4)
+
+
 DERIVATIVE = f"""{OWN}, span AS (SELECT test_id, channel, max(value) - min(value) AS span FROM own GROUP BY ALL),
   steps AS (SELECT * FROM (SELECT own.*, abs((lead(value) OVER w - value) / CASE WHEN lead(time_s) OVER w - time_s = 0 THEN 1e-10 ELSE lead(time_s) OVER w - time_s END) / nullif(span, 0) AS slope, lead(time_s) OVER w AS after_s
     FROM own JOIN span USING (test_id, channel) WINDOW w AS (PARTITION BY test_id, channel ORDER BY seq)) WHERE after_s IS NOT NULL),

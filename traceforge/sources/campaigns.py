@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType, TimestampType
@@ -78,6 +80,29 @@ def upsert(stored: DataFrame, changes: DataFrame, key: str = "test_id", order: s
     return j.select(*out)
 
 
+def upsert_store(spark: SparkSession, path: str, changes: DataFrame, key: str = "test_id", order: str = "written_at") -> None:
+    """:func:`upsert` on the store at ``path``, which rewrites only the campaigns of changed tests.
+
+    The new partitions are written beside the store first, then put in place, so a job that fails before that leaves
+    the store as it was, and doing it again gives the same store. A stored test stays in its campaign; a new one goes
+    to that which its changes name.
+    """
+    store = spark.read.option("mergeSchema", "true").parquet(path)
+    fields = {f.name: f.dataType for f in store.schema}
+    changed = changes.select(F.col(key).cast(fields[key]).alias(key)).distinct()
+    named = changes.select(F.try_element_at("values", F.lit("campaign_name")).alias("campaign_name")).where("campaign_name is not null")
+    found = store.select("campaign_name", key).join(changed, key, "left_semi").select(F.col("campaign_name").cast("string"))
+    touched = found.unionByName(named).distinct().withColumnRenamed("campaign_name", "touched")
+    part = store.join(touched, F.col("campaign_name").cast("string") == F.col("touched"), "left_semi")
+    kept = part.withColumn("_campaign", F.col("campaign_name"))
+    made = upsert(kept, changes, key, order).withColumn("campaign_name", F.coalesce("_campaign", "campaign_name")).drop("_campaign")
+    staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
+    made.where("campaign_name is not null").write.partitionBy("campaign_name").parquet(staged)
+    write_campaigns(spark.read.schema(made.schema).parquet(staged), path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(staged)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def write_campaigns(results: DataFrame, path: str) -> None:
     """Replace the partitions of the campaigns in ``results`` and leave the others."""
     results.repartition("campaign_name").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("campaign_name").parquet(path)
