@@ -1,6 +1,6 @@
 """Sharding by fixed virtual slots.
 
-Every record hashes by its id, size and text into one of a fixed number of virtual slots. Bytes are summed
+Every record hashes by its id, size, text and copy number (0 but for rows that repeat) into one of a fixed number of virtual slots. Bytes are summed
 per slot, and a versioned slot-to-shard map says where each slot lives. Rebalancing edits the map, never the
 hash, so only the slots that the edit names move. Everything is DataFrame and SQL functions.
 
@@ -8,8 +8,8 @@ The slot count bounds the map (4,096 rows), whatever the input size. Rows are nu
 and one of ``PARTS`` parts, which follow the partitions that the rows were read in, so that one id, null ids or
 copies of one row are split like any others.
 
-Cases: a null text counts as no bytes; a null id hashes like any other value, with its text; equal rows share a
-slot and so a shard, and get positions of their own; very long texts are only measured; an empty table gives
+Cases: a null text counts as no bytes; a null id hashes like any other value, with its text; equal rows are told
+apart by their number among the equal ones of a part, so they spread over slots and shards, and get positions of their own; very long texts are only measured; an empty table gives
 an empty result; input columns besides the two named ones are ignored.
 """
 
@@ -31,8 +31,10 @@ def measured(df: DataFrame, key: str, text: str, slots: int = SLOTS) -> DataFram
     """``(key, size, text_crc32, virtual_slot, part)`` of every row; a size is the text's UTF-8 bytes plus 1."""
     body = F.coalesce(F.encode(F.col(text), "utf-8"), F.lit(b""))
     rows = df.select(F.col(key).alias("key"), (F.octet_length(body).cast("long") + F.lit(1)).alias("size"), F.crc32(body).cast("long").alias("text_crc32"))
-    slot = F.pmod(F.xxhash64("key", "size", "text_crc32"), F.lit(slots)).cast("int")
-    return rows.select("*", slot.alias("virtual_slot"), F.pmod(F.spark_partition_id(), F.lit(PARTS)).alias("part"))
+    parts = rows.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(PARTS)))
+    copy = F.row_number().over(Window.partitionBy("key", "size", "text_crc32", "part").orderBy("part")) - 1
+    slot = F.pmod(F.xxhash64("key", "size", "text_crc32", "copy"), F.lit(slots)).cast("int")
+    return parts.withColumn("copy", copy).select("key", "size", "text_crc32", slot.alias("virtual_slot"), "part")
 
 
 def slot_bytes(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
