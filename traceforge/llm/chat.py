@@ -11,7 +11,8 @@ this and of other common templates) are broken up by a backslash, and backslashe
 formatting is reversible and no text can open or close a turn.
 
 Cases: null text and null role are empty strings; a null conversation id is one conversation; rows with
-equal turns are all kept, in the order of role and text; control strings and backslashes come back as they
+equal turns are all kept, in the order of role and text; a reply to an unknown message begins a path; messages
+whose replies run in a circle, or lead into one, are each a path of one message; control strings and backslashes come back as they
 were; a conversation of any number of turns is formatted whole, as one row; an empty table gives an empty
 result; columns besides those named are ignored, whatever their names.
 """
@@ -60,7 +61,12 @@ def chosen_paths(tree: DataFrame, top: int = 1) -> DataFrame:
     level = stored(tree.select("conv", "node", F.col("parent").alias("up"), F.col("score").alias("sum"), F.lit(1).cast("long").alias("n")), "paths")
     done, tables = level.where("up is null"), []
     active = level.where("up is not null")
+    rounds = level.count().bit_length() + 1  # by then every path that ends has met its root
     while active.limit(1).count():
+        if len(tables) == rounds:
+            endless = active.select(F.col("conv").alias("c2"), F.col("node").alias("n2")).distinct()
+            cut = tree.join(endless, F.col("conv").eqNullSafe(F.col("c2")) & (F.col("node") == F.col("n2")), "left")
+            return chosen_paths(stored(cut.withColumn("parent", F.when(F.col("n2").isNull(), F.col("parent"))).drop("c2", "n2"), "tree"), top)
         tables.append(active.select("conv", "node", "up"))
         # a message that has met its root is done; only the others look further up
         above = done.unionByName(active).select(F.col("conv").alias("c2"), F.col("node").alias("n2"), F.col("up").alias("up2"), F.col("sum").alias("sum2"), F.col("n").alias("m2"))
