@@ -42,7 +42,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
     key, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
-    rows = docs.toDF(*names).withColumns({"digest": F.md5(F.coalesce(text, F.lit("")).cast("binary")), "row": F.xxhash64(*[c for c in names if c != text], F.col(text).isNull())})
+    told = [F.array_sort(F.transform(F.map_entries(c), lambda e: F.to_json(F.struct(e)))) if t.startswith("map<") else F.to_json(F.struct(c)) if "map<" in t else F.col(c) for c, t in zip(names, [t for _, t in docs.dtypes]) if c != text]
+    rows = docs.toDF(*names).withColumns({"digest": F.md5(F.coalesce(text, F.lit("")).cast("binary")), "row": F.xxhash64(*told, F.col(text).isNull())})
     groups = simhash.groups_of(rows, "digest", text)
     least = rows.groupBy("digest").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "row")).alias("least"))
     chosen = groups.join(least, "digest").groupBy("group").agg(F.min(F.struct("least.*", "digest")).alias("one")).select("one.*")
