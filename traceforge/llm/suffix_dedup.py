@@ -61,11 +61,6 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-@lru_cache
-def hasher(which: int) -> Hasher:
-    return Hasher(which)
-
-
 class Hasher:
     """Polynomial hashes modulo 2**64 of a text's substrings, from prefix sums over stretches of it."""
 
@@ -74,16 +69,13 @@ class Hasher:
         self.values = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(base))
         self.up, self.down = powers(base, STRETCH + LENGTH), powers(pow(base, -1, 1 << 64), STRETCH + LENGTH)
 
-    def windows(self, body: np.ndarray, length: int) -> np.ndarray:
-        """The hash of every substring of ``length`` bytes."""
-        n = max(0, len(body) - length + 1)
-        out = np.empty(n, np.uint64)
-        for s in range(0, n, STRETCH):
-            part = self.values[body[s : s + STRETCH + length - 1]]
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * self.up[: len(part)])])
-            m = min(STRETCH, n - s)
-            out[s : s + m] = (sums[length : length + m] - sums[:m]) * self.down[:m]
-        return mixed(out)
+    def sums(self, stretch: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.values[stretch] * self.up[: len(stretch)])])
+
+
+@lru_cache
+def hasher(which: int) -> Hasher:
+    return Hasher(which)
 
 
 def digests(body: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,16 +93,41 @@ class Block:
         self.ids, self.sizes = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64)
         self.body = np.frombuffer(zstandard.ZstdDecompressor().decompress(body), np.uint8)
         self.stops = np.cumsum(self.sizes)
-        self.first = hasher(0)
+        self.known: dict[tuple[int, int], np.ndarray] = {}
+
+    def sums(self, which: int, start: int) -> np.ndarray:
+        """Prefix sums of the stretch from ``start`` on, kept while the block is of the usual size."""
+        if (which, start) in self.known:
+            return self.known[which, start]
+        found = hasher(which).sums(self.body[start : start + STRETCH + LENGTH - 1])
+        if len(self.body) <= 2 * BLOCK_BYTES:
+            self.known[which, start] = found
+        return found
+
+    def hashes(self, which: int, length: int, at: np.ndarray | None = None) -> np.ndarray:
+        """The hash of the ``length`` bytes from each position ``at`` on, or from every position."""
+        n, down = max(0, len(self.body) - length + 1), hasher(which).down
+        out = np.empty(n if at is None else len(at), np.uint64)
+        for s in range(0, n, STRETCH):
+            sums, m = self.sums(which, s), min(STRETCH, n - s)
+            if at is None:
+                out[s : s + m] = (sums[length : length + m] - sums[:m]) * down[:m]
+            else:
+                own = np.flatnonzero((at >= s) & (at < s + STRETCH)) if n > STRETCH else slice(None)
+                p = at[own] - s
+                out[own] = (sums[p + length] - sums[p]) * down[p]
+        return mixed(out)
 
     def cut(self) -> None:
-        """Pieces ``starts`` to ``ends`` with the document of each, and ``reach``: up to where their suffixes' prefixes go."""
-        ends = np.flatnonzero(self.first.windows(self.body, MARK) % np.uint64(PIECE) == 0) + MARK
+        """Pieces ``starts`` to ``ends`` with the document of each, ``reach``: up to where their suffixes' prefixes go, and
+        ``stop``: where their suffixes with a whole prefix stop."""
+        ends = np.flatnonzero(self.hashes(0, MARK) % np.uint64(PIECE) == 0) + MARK
         filled = self.sizes > 0
         cuts = np.unique(np.concatenate([ends[ends < len(self.body)], (self.stops - self.sizes)[filled]]))
         self.starts, self.ends = cuts, np.append(cuts[1:], len(self.body))[: len(cuts)]
         self.doc = np.flatnonzero(filled)[np.searchsorted(self.stops[filled], self.starts, side="right")]
         self.reach = np.minimum(self.ends + LENGTH - 1, self.stops[self.doc])
+        self.stop = np.maximum(self.starts, self.reach - LENGTH + 1)
 
     def piece_keys(self) -> tuple[np.ndarray, ...]:
         """``(key, key2, owner, row)``: every piece with its digest."""
@@ -118,32 +135,26 @@ class Block:
         key, key2 = digests(self.body, self.starts, self.reach)
         return key >> ONE, key2 >> ONE, self.ids[self.doc], np.arange(len(key))
 
-    def take(self, kept: np.ndarray) -> None:
-        """Only pieces ``kept`` go on, as positions of their bytes end to end: ``at``, their ``piece`` and place ``rel``."""
-        self.kept = kept
-        sizes = (self.reach - self.starts)[self.kept]
-        begin = np.cumsum(sizes) - sizes
-        self.piece = np.repeat(np.arange(len(sizes)), sizes)
-        self.rel = np.arange(int(sizes.sum())) - begin[self.piece]
-        self.at = self.starts[self.kept][self.piece] + self.rel
-        self.left = sizes[self.piece] - self.rel
-        self.owner = self.ids[self.doc[self.kept]]
-
-    def sample_keys(self, bits: int) -> tuple[np.ndarray, ...]:
-        """Every cover sample of the pieces that went on, by the leading ``bits`` of its hash."""
-        size = LENGTH - COVER + 1
-        member = np.isin(np.arange(COVER), MEMBERS)
-        rows = np.flatnonzero(member[self.rel % COVER] & (self.left >= size))
-        return self.first.windows(self.body, size)[self.at[rows]] >> np.uint64(64 - bits), np.zeros(len(rows), np.uint64), self.owner[self.piece[rows]], rows
+    def sample_keys(self, kept: np.ndarray, bits: int) -> tuple[np.ndarray, ...]:
+        """Every cover sample of the pieces ``kept``, by the leading ``bits`` of its hash; ``at`` and ``of`` say where and whose it is."""
+        size, lengths = LENGTH - COVER + 1, (self.reach - self.starts)[kept]
+        offsets = np.flatnonzero(np.isin(np.arange(COVER), MEMBERS)[np.arange(lengths.max(initial=0)) % COVER])
+        counts = np.searchsorted(offsets, lengths - size, side="right")
+        nth = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+        self.of = np.repeat(kept, counts)
+        self.at = self.starts[self.of] + offsets[nth]
+        return self.hashes(0, size, self.at) >> np.uint64(64 - bits), np.zeros(len(nth), np.uint64), self.ids[self.doc[self.of]], np.arange(len(nth))
 
     def suffix_keys(self, shared: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Suffixes with a shared cover sample among their first positions; ``shared`` are rows of :meth:`sample_keys`."""
-        on = np.zeros(len(self.at) + 1, np.int32)
-        np.add.at(on, np.maximum(shared - COVER + 1, shared - self.rel[shared]), 1)
-        np.add.at(on, shared + 1, -1)
-        rows = np.flatnonzero((np.cumsum(on)[:-1] > 0) & (self.left >= LENGTH))
-        second = hasher(1).windows(self.body, LENGTH)[self.at[rows]]
-        return self.first.windows(self.body, LENGTH)[self.at[rows]] >> ONE, second >> np.uint64(32), self.owner[self.piece[rows]], rows
+        """Suffixes, by position, with a shared cover sample among their first positions; ``shared`` are rows of :meth:`sample_keys`."""
+        at, of = self.at[shared], self.of[shared]
+        low, high = np.maximum(self.starts[of], at - COVER + 1), np.minimum(at + 1, self.stop[of])
+        on = np.zeros(len(self.body) + 1, np.int32)
+        np.add.at(on, low[low < high], 1)
+        np.add.at(on, high[low < high], -1)
+        rows = np.flatnonzero(np.cumsum(on)[:-1] > 0)
+        owner = self.ids[self.doc[np.searchsorted(self.starts, rows, side="right") - 1]]
+        return self.hashes(0, LENGTH, rows) >> ONE, self.hashes(1, LENGTH, rows) >> np.uint64(32), owner, rows
 
 
 def planes(x: np.ndarray) -> bytes:
@@ -170,7 +181,7 @@ class Keys:
     """
 
     def __init__(self, key: np.ndarray, key2: np.ndarray, owner: np.ndarray, rows: np.ndarray, plain: bool = False):
-        order = np.argsort(key, kind="stable") if plain else np.lexsort((owner, key2, key))
+        order = np.argsort(key) if plain else np.lexsort((owner, key2, key))
         fresh = changes(key[order], key2[order])
         start = np.flatnonzero(fresh)
         self.group = np.empty(len(key), np.int64)
@@ -214,7 +225,7 @@ def decided(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
     two = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(part["two"], part["n"])])
     plain = not part["names"].iloc[0]
     if plain:
-        order, k2 = np.argsort(k, kind="stable"), np.zeros(len(k), np.int8)
+        order, k2 = np.argsort(k), np.zeros(len(k), np.int8)
     else:
         k2 = np.concatenate([unplaned(x) for x in part["keys2"]])
         owner = np.concatenate([np.cumsum(unplaned(names))[unplaned(w)] for names, w in zip(part["names"], part["whose"])])
@@ -265,12 +276,11 @@ def packed(df: DataFrame, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(run, "block long, n_bytes long, ids binary, sizes binary, body binary")
 
 
-def pieces_taken(block: Block, told: dict[int, list]) -> tuple[Keys, np.ndarray]:
-    """The block's pieces, of which those go on whose id is the smallest, one of equal ones; the smallest id of each."""
+def pieces_taken(block: Block, told: dict[int, list]) -> tuple[Keys, np.ndarray, np.ndarray]:
+    """The block's pieces, the smallest id of each, and those that go on: whose id is the smallest, one of equal ones."""
     pieces = Keys(*block.piece_keys())
     least = pieces.told(told[0])[1]
-    block.take(np.sort(pieces.head[least[pieces.head] == pieces.least]))
-    return pieces, least
+    return pieces, least, np.sort(pieces.head[least[pieces.head] == pieces.least])
 
 
 def keys_of(block: Block, step: int, told: dict[int, list], bits: int) -> Keys:
@@ -278,31 +288,30 @@ def keys_of(block: Block, step: int, told: dict[int, list], bits: int) -> Keys:
     if not step:
         return Keys(*block.piece_keys())
     if step == 1:
-        pieces_taken(block, told)
-        return Keys(*block.sample_keys(bits), plain=True)
+        return Keys(*block.sample_keys(pieces_taken(block, told)[2], bits), plain=True)
     return suffixes(block, told, bits)[0]
 
 
 def suffixes(block: Block, told: dict[int, list], bits: int) -> tuple[Keys, Keys, np.ndarray]:
     """Suffixes that may tie, the block's pieces, and the smallest id of each piece."""
-    pieces, least = pieces_taken(block, told)
-    samples = Keys(*block.sample_keys(bits), plain=True)
+    pieces, least, kept = pieces_taken(block, told)
+    samples = Keys(*block.sample_keys(kept, bits), plain=True)
     return Keys(*block.suffix_keys(samples.rows[samples.told(told[1])[0]])), pieces, least
 
 
 def gone(block: Block, told: dict[int, list], bits: int) -> np.ndarray:
     """Which bytes of the block go."""
     keys, pieces, least = suffixes(block, told, bits)
-    owner, stops = block.ids[block.doc], np.maximum(block.starts, block.reach - LENGTH + 1)
+    owner = block.ids[block.doc]
     starts = np.zeros(len(block.body), bool)  # suffixes that start with what starts in a smaller id too
-    rows = keys.rows[keys.told(told[2])[1] < keys.owner]
-    starts[block.at[rows]] = True
+    starts[keys.rows[keys.told(told[2])[1] < keys.owner]] = True
     head = pieces.head[pieces.group]
     for k in np.flatnonzero((least == owner) & (head != np.arange(len(head)))):  # its equal of the same id went on for it
-        starts[block.starts[k] : stops[k]] = starts[block.starts[head[k]] : stops[head[k]]]
-    for k in np.flatnonzero(least < owner):
-        starts[block.starts[k] : stops[k]] = True
+        starts[block.starts[k] : block.stop[k]] = starts[block.starts[head[k]] : block.stop[head[k]]]
     edge = np.zeros(len(block.body) + LENGTH + 1, np.int32)
+    whole = np.flatnonzero((least < owner) & (block.starts < block.stop))
+    edge[block.starts[whole]] += 1
+    edge[block.stop[whole] + LENGTH - 1] -= 1
     at = np.flatnonzero(starts)
     edge[at] += 1
     edge[at + LENGTH] -= 1
