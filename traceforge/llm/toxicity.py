@@ -1,15 +1,15 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Each class has a model of its words, a word's count being the number of documents of the class that hold it.
-Counts are lowered by a discount (``DISCOUNTS`` for counts of one, two, and three or more), and the mass so
+Counts are lowered by a discount, estimated for each class from its counts of counts (one for counts of one, two,
+and three or more, each less than the count, so every word keeps a part of its own), and the mass so
 freed goes to a backoff distribution that both classes share: how many different words stand before a word,
 over all fitting documents. Rare expressions thus get their probability from the shared counts in both models.
 
 Two log-likelihoods of a text are compared, both over all its words and normalised by its length. An ordinary
 text draws every word from the ordinary model. A toxic text draws a word from the toxic model with the
-probability ``RATE`` and else from the ordinary one, since few words make a document toxic. Words that both
-classes know only from the shared counts, unseen ones too, have one and the same ratio, so the stored model
-holds the others alone; no word is left out of the score.
+probability ``RATE`` and else from the ordinary one, since few words make a document toxic. Words of no labelled row
+have one and the same ratio; no word is left out of the score.
 
 Counts are taken over every labelled row outside the held-out fold, merged within a task and then by a shuffle
 on the word and the upper bits of the word before it, which deals a frequent word over several tasks. Words are
@@ -42,10 +42,10 @@ from traceforge.llm.labels import cut, fold, histogram, labelled
 from traceforge.llm.shared import stored, worked
 
 WORD = re.compile(r"\w+")
-#: Discounts of words in one, two, and more documents of a class.
-DISCOUNTS = (1.0, 2.0, 2.5)
 #: The share of toxic words in a toxic text.
-RATE = 0.03
+RATE = 0.005
+#: Discounts are at least this, and this far under the count.
+LEAST = 0.05
 #: Words added to a text's length, so that a few words alone do not make an extreme score.
 SMOOTH = 20
 #: A model of up to this size is broadcast, at ``WORD_BYTES`` a word (a hash and a value).
@@ -153,25 +153,37 @@ class WordValues:
         return setup
 
 
+def discounts(found: list[int]) -> list[float]:
+    """Discounts of counts of one, two, and three or more from how many words have counts of one to four (Chen and Goodman)."""
+    y = found[0] / (found[0] + 2 * found[1]) if found[0] else 0.0
+    made = [k - (k + 1) * y * found[k] / found[k - 1] if found[k - 1] else 0.5 * k for k in (1, 2, 3)]
+    return [min(max(d, LEAST), k - LEAST) for k, d in enumerate(made, 1)]
+
+
 def fitted(counts: DataFrame, most: int = BROADCAST_BYTES) -> WordValues | None:
     """The model of ``(word, n0, n1, contexts)``; none without words of both classes."""
-    first, second, more = DISCOUNTS
+    known = [F.count_if(F.col(n) == k).alias(f"{n}_{k}") for n in ("n0", "n1") for k in (1, 2, 3)]
+    many = [F.count_if(F.col(n) > 3).alias(f"{n}_more") for n in ("n0", "n1")]
+    fours = [F.count_if(F.col(n) == 4).alias(f"{n}_4") for n in ("n0", "n1")]
+    sums = counts.agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), F.sum("contexts").alias("c"), F.count("*").alias("v"), *known, *many, *fours).first()
+    if not sums["t0"] or not sums["t1"]:
+        return None
+    by = {n: discounts([sums[f"{n}_{k}"] for k in (1, 2, 3, 4)]) for n in ("n0", "n1")}
+    freed = {n: by[n][0] * sums[f"{n}_1"] + by[n][1] * sums[f"{n}_2"] + by[n][2] * (sums[f"{n}_3"] + sums[f"{n}_more"]) for n in by}
 
     def discount(n: str) -> Column:
+        first, second, more = by[n]
         return F.when(F.col(n) == 0, 0.0).when(F.col(n) == 1, first).when(F.col(n) == 2, second).otherwise(more)
 
-    sums = counts.agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), F.sum(discount("n0")).alias("d0"), F.sum(discount("n1")).alias("d1"), F.sum("contexts").alias("c"), F.count("*").alias("v")).first()
-    if not sums["t0"] or not sums["t1"]:
-        return None
     shared = (F.col("contexts") + 0.5) / (sums["c"] + 0.5 * (sums["v"] + 1))
 
     def p(n: str, k: str) -> Column:
-        return (F.col(n) - discount(n)) / sums[f"t{k}"] + sums[f"d{k}"] / sums[f"t{k}"] * shared
+        return (F.col(n) - discount(n)) / sums[f"t{k}"] + freed[n] / sums[f"t{k}"] * shared
 
     # toxic against ordinary text, for one word: (1 - RATE) p0 + RATE p1 over p0
     value = F.log(1 - RATE + RATE * p("n1", "1") / p("n0", "0"))
-    rest = math.log(1 - RATE + RATE * (sums["d1"] / sums["t1"]) / (sums["d0"] / sums["t0"]))
-    own = (F.col("n0") > discount("n0")) | (F.col("n1") > discount("n1"))
+    rest = math.log(1 - RATE + RATE * (freed["n1"] / sums["t1"]) / (freed["n0"] / sums["t0"]))
+    own = (F.col("n0") > 0) | (F.col("n1") > 0)
     return WordValues(stored(counts.where(own).select("word", value.alias("value")), "toxic-words"), rest, most)
 
 
@@ -231,9 +243,9 @@ class ToxicityModel:
         words = fitted(counts.select("word", (F.col("n0") + F.col("c0")).alias("n0"), (F.col("n1") + F.col("c1")).alias("n1"), "contexts"), most)
         unseen = fitted(counts, most)
         if words is None or unseen is None:
-            return cls(words, -3.4, 8.0)  # too few rows to calibrate on: the cut stands just over no evidence
+            return cls(words, -4.9, 16.0)  # too few rows to calibrate on: the cut stands just over no evidence
         tested = histogram(with_evidence(rows.where("fold = 4").select("text", "label"), unseen), LOW, HIGH)
-        return cls(words, *cut(tested, LOW, HIGH)) if tested.sum(0).all() else cls(words, -3.4, 8.0)
+        return cls(words, *cut(tested, LOW, HIGH)) if tested.sum(0).all() else cls(words, -4.9, 16.0)
 
     def probability(self) -> Column:
         return 1 / (1 + F.exp(-self.slope * (F.col("s") - self.threshold)))
