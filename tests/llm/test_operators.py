@@ -119,14 +119,15 @@ def slow_main_text(page):
     def window(k):
         return sum(weight(i) for i in range(k, k + 3))
 
-    surge = min(80, max(map(window, range(len(lines)))) / 2) if inside else 80
+    surge = min(80, max(map(window, range(len(lines))), default=0) / 2)
     text, k = set(), 0
     while k < len(lines):
         stop = k
         while stop < len(lines) and window(stop) > 0:
             stop += 1
         if any(window(i) >= surge for i in range(k, stop)):
-            text.update(range(k, stop))
+            heavy = [i for i in range(k, stop) if weight(i) > 0]
+            text.update(range(heavy[0], heavy[-1] + 1) if heavy else ())
         k = stop + 1
     places = {p for k in text if lines[k].text for p in lines[k].places}
     near = {k for k, x in enumerate(lines) if weight(k) > 0 and places & x.places and (x.article or any(t < k for t in text))}
@@ -411,15 +412,18 @@ def test_toxicity_compares_two_models(spark):
     rng = random.Random(8)
     fit = [(text(rng, 30) + (" vile" if i % 3 == 0 else "") + (" rare" if i == 3 else ""), int(i % 3 == 0), 1) for i in range(60)]
     contexts, documents = toxic_words(fit)
-    discount = {0: 0, 1: 1, 2: 2}
     total = [sum(n[k] for n in documents.values()) for k in (0, 1)]
-    freed = [sum(discount.get(n[k], 2.5) for n in documents.values()) / total[k] for k in (0, 1)]
+    found = [[sum(n[k] == m for n in documents.values()) for m in (1, 2, 3, 4)] for k in (0, 1)]
+    y = [f[0] / (f[0] + 2 * f[1]) for f in found]
+    discount = [{0: 0} | {m: min(max(m - (m + 1) * y[k] * found[k][m] / found[k][m - 1] if found[k][m - 1] else m / 2, 0.05), m - 0.05) for m in (1, 2, 3)} for k in (0, 1)]
+    freed = [sum(discount[k][min(n[k], 3)] for n in documents.values()) / total[k] for k in (0, 1)]
+    assert all(discount[k][min(n[k], 3)] < n[k] for n in documents.values() for k in (0, 1) if n[k])  # every word keeps a part of its counts
     pairs = sum(map(len, contexts.values()))
 
     def p(word, k):
         n = documents.get(word, [0, 0])[k]
         shared = (len(contexts.get(word, ())) + 0.5) / (pairs + 0.5 * (len(contexts) + 1))
-        return (n - discount.get(n, 2.5)) / total[k] + freed[k] * shared
+        return (n - discount[k][min(n, 3)]) / total[k] + freed[k] * shared
 
     texts = [None, "", "vile", "rare unseen", "vile and vile " + text(rng, 40), text(rng, 50), "W1 w2\nVILE unseen"]
     model = toxicity.fitted(toxicity.counted(spark.createDataFrame(fit, "text string, label int, fold int")))
