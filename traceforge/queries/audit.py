@@ -6,12 +6,16 @@ from traceforge.operators import audit
 from traceforge.queries.base import GAPPED, READINGS, RESULTS, query, readings, results, table
 
 
-@query("i1_file_hashes")
+#: The SQL names the files of the tables that queries are compared on.
+HASHES = "SELECT parse_filename(filename) AS file, 'sha256:' || sha256(content) AS hash FROM read_blob('/root/testdata/sf0.01/{}.parquet')"
+
+
+@query("i1_file_hashes", HASHES.format("nation"))
 def i1(spark, sf):
     return audit.file_hashes(spark, sf, "nation.parquet").select(F.substring_index("path", "/", -1).alias("file"), "hash")
 
 
-@query("i1_all_file_hashes")
+@query("i1_all_file_hashes", HASHES.format("*"))
 def i1_all(spark, sf):
     return audit.file_hashes(spark, sf, "*.parquet").select(F.substring_index("path", "/", -1).alias("file"), "hash")
 

@@ -120,7 +120,10 @@ def u17(spark, sf):
     return df.select("test_id", "fluid", F.round("density", 8).alias("density"), F.round("u_density", 8).alias("u_density"), F.round("sound_speed", 7).alias("sound_speed"), "compressible")
 
 
-@query("u18_display")
+DIGITS = "CASE WHEN u_price > 0 THEN greatest(0, 1 - CAST(floor(log10(u_price)) AS INT)) ELSE 3 END"
+
+
+@query("u18_display", f"WITH {RESULTS} SELECT test_id, format('{{:.' || {DIGITS} || 'f}}', avg_price) || ' ± ' || format('{{:.' || {DIGITS} || 'f}}', u_price) AS shown FROM results")
 def u18(spark, sf):
     return results(spark, sf).select("test_id", uncertainty.shown(F.col("avg_price"), F.col("u_price")).alias("shown"))
 
