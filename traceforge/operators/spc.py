@@ -121,13 +121,21 @@ def cusum(points: DataFrame, target: float | None = None, k_sigma: float = 0.5,
 def ewma(points: DataFrame, weight: float = 0.2, width: float = 3.0) -> DataFrame:
     """Exponentially weighted means from the target, with time-varying limits.
 
-    A point's mean depends on no more points than still count in double precision, so the frame is bounded.
+    Points lie in blocks so long that what stood before a block counts for nothing at its end. A point's mean is its
+    block's running sum of weighted values, scaled to the point, and the mean at the end of the block before, scaled likewise.
     """
-    reach = math.ceil(math.log(1e-17) / math.log(1 - weight))
+    keep = 1 - weight
+    block = max(1, math.floor(math.log(1e-200) / math.log(keep)))
     lim = imr_limits(points).select(*KEYS, "cl", F.when(F.col("sigma") > 0, F.col("sigma")).otherwise(1.0).alias("sigma"))
     p = ordered(points).join(lim, list(KEYS))
-    recent = F.collect_list("value").over(in_time().rowsBetween(-reach, 0))
-    z = F.aggregate(recent, F.col("cl"), lambda acc, x: weight * x + (1 - weight) * acc)
+    p = p.withColumns({"block": F.floor(F.col("i") / block), "k": F.col("i") % block})
+    so_far = Window.partitionBy(*KEYS, "block").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    scale = F.pow(F.lit(keep), F.col("k"))
+    p = p.withColumn("own", F.sum(weight * F.col("value") / scale).over(so_far) * scale)
+    ends = p.groupBy(*KEYS, "block").agg(F.max_by("own", "k").alias("end"))
+    starts = ends.select(*KEYS, "block", F.lag("end").over(Window.partitionBy(*KEYS).orderBy("block")).alias("start"))
+    p = p.join(starts, [*KEYS, "block"])
+    z = F.col("own") + scale * keep * F.coalesce("start", "cl")
     spread = width * F.col("sigma") * F.sqrt(F.lit(weight / (2 - weight)) * (1 - F.pow(F.lit(1 - weight), 2 * (F.col("i") + 1))))
     out = p.withColumns({"ewma": z, "ucl": F.col("cl") + spread, "lcl": F.col("cl") - spread})
     return out.select(*KEYS, "test_timestamp", "test_id", "i", "value", "ewma", "ucl", "lcl", ((F.col("ewma") > F.col("ucl")) | (F.col("ewma") < F.col("lcl"))).alias("signal"))
