@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from traceforge.llm import chat, code_compression, html_extract, queries, resampling, sharding, suffix_dedup
+from traceforge.llm import bpe, chat, code_compression, html_extract, queries, resampling, sharding, suffix_dedup
 
 SF = "/root/testdata/sf0.001"
 LENGTH = 50
@@ -239,3 +239,19 @@ def test_pipeline_near_duplicates_carry_maps(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, n array<map<string,string>>")
     got = {r["doc_id"]: r for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()}
     assert set(got) == {1, 3} and got[1]["m"] == {"a": 1, "b": 2} and got[1]["n"] == [{"k": "v"}]
+
+
+def test_every_code_point_is_encoded_as_the_library_does():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library, own = Tokenizer.from_file(path), bpe.RankArrayBPE(bpe.tokenizer_spec(path))
+    library.no_padding(), library.no_truncation()
+    points = [chr(c) for c in range(0x34000) if not 0xD800 <= c < 0xE000] + [chr(c) for c in range(0x3D000, 0x110000, 97)]
+    rng = random.Random(4)
+    texts = [x for c in points[:0x3000] + rng.sample(points, 20_000) for x in (c, f"a{c}b")] + ["".join(rng.choice(points) for _ in range(40)) for _ in range(2000)]
+    texts += [f"a{chr(c)}b {chr(c)}" for a, b, _, _ in bpe.NEW_CAPITALS for c in range(a, b + 1)] + [f"x{c}y" for r in (bpe.NEW_LETTERS + " " + bpe.NEW_NUMBERS).split() for c in (chr(int(r.split("-")[0], 16)), chr(int(r.split("-")[-1], 16)))]
+    want = library.encode_batch(texts, add_special_tokens=False)
+    wrong = [(t, w.ids, own.encode(t)) for t, w in zip(texts, want) if own.encode(t) != w.ids]
+    assert not wrong, wrong[:3]

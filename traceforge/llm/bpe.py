@@ -38,10 +38,30 @@ REMEMBER = 200_000
 #: The split pattern of the tokenizer file, and the same for texts of Latin letters alone, where
 #: the standard library's faster matcher agrees with it.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Code points (hexadecimal ranges) that are letters or numbers to ``regex`` but not yet to the tokenizer library,
+#: and capitals (first, last, step, distance to the small letter) that the library knows and Python may not.
+NEW_LETTERS = """
+558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a
+11db0-11ddb 11df1 16ea0-16eb8 16ebb-16ed3 16ff2-16ff3 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128
+1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff
+2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"""
+NEW_NUMBERS = "11de0-11de9 1246f 12475-1247f 12550-12686 16ff4-16ff6"
+NEW_CAPITALS = [(0x1C89, 0x1C89, 1, 1), (0xA7CB, 0xA7CB, 1, 0x264 - 0xA7CB), (0xA7CC, 0xA7CE, 2, 1), (0xA7D2, 0xA7D4, 2, 1), (0xA7DA, 0xA7DA, 1, 1), (0xA7DC, 0xA7DC, 1, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 1, 0x20), (0x16EA0, 0x16EB8, 1, 0x1B)]
 LATIN = re.compile(r"[\t\n\r -~À-ÖØ-öø-ſ]*")
 LATIN_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zA-ZÀ-ÖØ-öø-ſ]+|[0-9]|[^\sa-zA-ZÀ-ÖØ-öø-ſ0-9]+")
 
 
+def ranges(hexadecimal: str) -> str:
+    """Ranges as the inside of a character class."""
+    return "".join("-".join(f"\\U{x:0>8}" for x in r.split("-")) for r in hexadecimal.split())
+
+
+NEWER = regex.compile(f"[{ranges(NEW_LETTERS)}{ranges(NEW_NUMBERS)}{ranges(' '.join(f'{a:x}-{b:x}' for a, b, _, _ in NEW_CAPITALS))}]")
+SMALL = {c: c + d for a, b, step, d in NEW_CAPITALS for c in range(a, b + 1, step)}
+LETTER, NUMBER = rf"[\p{{L}}--[{ranges(NEW_LETTERS)}]]", rf"[\p{{N}}--[{ranges(NEW_NUMBERS)}]]"
+NEWER_WORD = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|{LETTER}+|{NUMBER}|[^\s{LETTER}{NUMBER}]+", regex.V1)
+
+
 def byte_symbols() -> list[str]:
     """The printable stand-in of every byte: itself where printable, else the next code point from 256."""
     printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -133,8 +153,10 @@ class RankArrayBPE:
         else:
             text = unicodedata.normalize("NFC", text)
             # each code point is lowered by itself: no rule that looks at its neighbours
+            newer = NEWER.search(text) is not None
+            text = text.translate(SMALL) if newer else text
             text = text.lower() if "Σ" not in text else "".join(map(str.lower, text))
-            words = self.word.findall(text)
+            words = (NEWER_WORD if newer or NEWER.search(text) else self.word).findall(text)
         known, out = self.known, []
         for word in words:
             ids = known.get(word)
