@@ -119,9 +119,10 @@ class WordValues:
     def __init__(self, words: DataFrame, rest: float, most: int):
         self.rest, self.table, self.packed = rest, words, None
         if words.count() * WORD_BYTES <= most:
-            found = words.toPandas()
-            order = np.argsort(found["word"].to_numpy())
-            self.packed = found["word"].to_numpy()[order], found["value"].to_numpy()[order]
+            found = words.toArrow()
+            word, value = (found.column(c).to_numpy() for c in ("word", "value"))
+            order = np.argsort(word)
+            self.packed = word[order], value[order]
 
     def sums(self) -> Callable[[], Callable]:
         """For :func:`worked`: a function from texts to the sums of their words' values and their lengths."""
