@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from traceforge.llm import bpe, decontam, simhash
@@ -33,8 +33,16 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return ToxicityModel.fit(docs, table(spark, sf_dir, "labels")).kept(docs)
 
 
+def hashable(name: str, kind: str) -> Column:
+    """A column that ``xxhash64`` takes: maps as their entries in order, types that hold maps as JSON."""
+    if kind.startswith("map<"):
+        return F.array_sort(F.transform(F.map_entries(name), lambda e: F.to_json(F.struct(e))))
+    return F.to_json(F.struct(name)) if "map<" in kind else F.col(name)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of texts whose wide fingerprints say that they share 0.8 of their five-word shingles.
+    """One row of each group of texts that share 0.8 of their five-word shingles: wide fingerprints find the links,
+    the shingles decide them.
 
     It is the row with the smallest id; rows without an id come last, and equal ids are told apart by a hash of
     their columns, then by the text's digest. Rows equal in all columns are one. Only ids and digests travel to the
@@ -42,7 +50,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     names = [f"c{i}" for i in range(len(docs.columns))]
     key, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
-    told = [F.array_sort(F.transform(F.map_entries(c), lambda e: F.to_json(F.struct(e)))) if t.startswith("map<") else F.to_json(F.struct(c)) if "map<" in t else F.col(c) for c, t in zip(names, [t for _, t in docs.dtypes]) if c != text]
+    told = [hashable(c, kind) for c, (_, kind) in zip(names, docs.dtypes) if c != text]
     rows = docs.toDF(*names).withColumns({"digest": F.md5(F.coalesce(text, F.lit("")).cast("binary")), "row": F.xxhash64(*told, F.col(text).isNull())})
     groups = simhash.groups_of(rows, "digest", text)
     least = rows.groupBy("digest").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "row")).alias("least"))

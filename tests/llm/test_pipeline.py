@@ -1,7 +1,9 @@
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -25,13 +27,18 @@ def test_stages_keep_columns_and_take_effect(spark):
 
 
 def kept_by_brute_force(rows):
-    """Of (id, text) rows, one of each group of close wide fingerprints: that with the smallest id, none last."""
+    """Of (id, text) rows, one of each group of texts with close wide fingerprints and 0.8 of their shingles in common:
+    that with the smallest id, none last."""
     fps = [simhash.wide_fingerprint(t, 5, 42, simhash.WIDE_WORDS) for _, t in rows]
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
     group = list(range(len(rows)))
     for a in range(len(rows)):
         for b in range(a):
             apart = np.bitwise_count(fps[a] ^ fps[b])
-            if apart.sum() <= simhash.WIDE_RADIUS and apart[:2].sum() <= simhash.SIFT:
+            if apart.sum() <= simhash.WIDE_RADIUS and apart[:2].sum() <= simhash.SIFT and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
                 group = [group[b] if g == group[a] else g for g in group]
     members = defaultdict(list)
     for row, g in zip(rows, group):
@@ -51,6 +58,25 @@ def test_near_duplicates_leave_one_row_of_each_group_where_ids_repeat(spark):
     assert len(want) > len({i for i, _ in rows}) and {r["digest"] for r in kept} == {"x"}
 
 
+def test_links_under_the_similarity_are_dropped(spark, monkeypatch):
+    """Chains of texts that drift apart, with shares around 0.8: candidates that the shingles decide, in one block and in many."""
+    rng = random.Random(17)
+    rows = []
+    for k in range(12):
+        words = [f"w{rng.randrange(500)}" for _ in range(rng.choice((60, 150, 400)))]
+        for step in range(14):
+            rows.append((100 * k + step, " ".join(words)))
+            for at in rng.sample(range(len(words)), rng.choice((1, 2, len(words) // 40, len(words) // 30))):
+                words[at] = f"w{rng.randrange(500)}"
+    want = {i for i, _ in kept_by_brute_force(rows)}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = simhash.groups_of(df.withColumn("name", F.md5("text")), "name").select("group").distinct().count()
+    assert found == len(want) and 12 < found < len(rows)
+    for block in (simhash.BLOCK, 3000):
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, df, "").collect()} == want, block
+
+
 def test_near_copies_go_and_others_stay(spark):
     """Texts that share 0.85 of their five-word shingles are grouped, texts that share under 0.5 are not."""
     rng = random.Random(11)

@@ -12,7 +12,8 @@ work of the comparison itself grows with the square of the distinct fingerprints
 met with few misses: a bit differs as often as the angle between two texts' shingle vectors says, and the
 spread of the share falls with the number of bits. At 512 bits ``WIDE_RADIUS`` finds nearly all texts that share
 0.8 of their shingles of five words and unrelated ones stay far away (the README has figures). Wide fingerprints
-link at ``WIDE_RADIUS`` bits of all, of which ``SIFT`` at most among the first 128.
+link at ``WIDE_RADIUS`` bits of all, of which ``SIFT`` at most among the first 128. These links are candidates: those
+whose shingle sets are less alike than ``SIMILAR`` are dropped (``checked_groups``), so a group never rests on one.
 
 Cases: null, empty and blank texts have fingerprint zero and link like any other; fewer words than a
 shingle hash as one sequence; repeated rows and equal fingerprints collapse before the comparison; rows
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +41,9 @@ TILE = 32_768
 STEP = 4_000_000
 #: Words of 64 bits of a wide fingerprint, the bits that may differ, and how many of them in the first two words.
 WIDE_WORDS, WIDE_RADIUS, SIFT = 8, 90, 34
+#: Least Jaccard similarity of the texts that ``groups_of`` links (4/5), and bytes of text in one block of its check.
+SIMILAR = (4, 5)
+BLOCK = 4_000_000
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -196,6 +201,99 @@ def tile_links(counted: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     return met.mapInPandas(run, "a long, b long")
 
 
+def shingle_set(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
+    """The distinct hashes of a text's word shingles, ascending."""
+    own = WORD.findall((text or "").encode("utf-8").lower())
+    n = max(1, len(own) - width + 1) if own else 0
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(own[k : k + width]), seed) for k in range(n)), "<u8", n))
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets have a Jaccard similarity of ``SIMILAR`` or more, in whole numbers; two empty sets are alike."""
+    top, whole = SIMILAR
+    low, high = sorted((len(a), len(b)))
+    if whole * low < top * high:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return whole * both >= top * (low + high - both)
+
+
+def exact_links(x: list[dict], y: list[dict] | None, radius: int, one: bool) -> list[tuple]:
+    """Names of alike texts among ``x``, and between ``x`` and ``y``, that join what was not joined yet.
+
+    Rows have ``name``, ``fp`` and ``shingles``. All of ``y`` is one group already where ``one`` is set.
+    """
+    rows = x + (y or [])
+    sets = [np.frombuffer(r["shingles"], "<u8") for r in rows]
+    fps = np.frombuffer(b"".join(r["fp"] for r in rows), "<u8").reshape(len(rows), -1)
+    root = np.arange(len(rows))
+    if one:
+        root[len(x) :] = len(x)
+    found = []
+    shift = len(x) if y else 0
+    for left, right in close_wide_pairs(fps[: len(x)], fps[shift:], radius):
+        right = right + shift
+        apart = root[left] != root[right]
+        for a, b in zip(left[apart].tolist(), right[apart].tolist()):
+            if root[a] != root[b] and alike(sets[a], sets[b]):
+                found.append((rows[a]["name"], rows[b]["name"]))
+                root[root == root[b]] = root[a]
+    return found
+
+
+def checked_groups(found: DataFrame, texts: DataFrame, radius: int, width: int, seed: int) -> DataFrame:
+    """``(name, group)`` of the groups that links of exact similarity leave of the candidate groups in ``found``.
+
+    ``found`` has ``(name, fp, size, group)``, one row a name (a string), ``texts`` ``(name, text)`` with repeats. Every member is
+    compared with its group's smallest name first; members that are not like it are then compared with each other and
+    with those that are, in blocks of about ``BLOCK`` bytes of text. Tasks give back links that join, never all pairs.
+    """
+    sums = found.groupBy("group").agg(F.count("*").alias("members"), F.min("name").alias("hub"), F.sum("size").alias("size"))
+    several = sums.where("members > 1").withColumn("salts", F.greatest(F.ceil(F.col("size") / BLOCK), F.lit(1))).drop("size")
+    several = stored(several, "candidate-groups")
+    members = found.join(several, "group").withColumn("salt", F.pmod(F.xxhash64("name"), "salts"))
+    own = texts.join(members, "name").groupBy("name").agg(F.first("text").alias("text"), *[F.first(c).alias(c) for c in ("group", "hub", "members", "size", "salt", "salts", "fp")])
+    sets = stored(worked(own, ["text"], {"shingles": "binary"}, lambda: lambda t: ([shingle_set(x, width, seed).tobytes() for x in t],)), "shingle-sets")
+
+    hubs = sets.where("name = hub").select("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("fp").alias("hub_fp"), F.col("shingles").alias("hub_set"))
+
+    def near_hub(fps: list, shingles: list, hub_fps: list, hub_sets: list) -> tuple[list]:
+        def one(f: bytes, s: bytes, g: bytes, t: bytes) -> bool:
+            f, s, g, t = (np.frombuffer(v, "<u8") for v in (f, s, g, t))
+            return any(len(r) for r, _ in close_wide_pairs(f[None], g[None], radius)) and alike(s, t)
+
+        return ([int(one(*row)) for row in zip(fps, shingles, hub_fps, hub_sets)],)
+
+    met = worked(sets.join(hubs, ["group", "salt"]), ["fp", "shingles", "hub_fp", "hub_set"], {"on": "int"}, lambda: near_hub, drop=["hub_fp", "hub_set"])
+    marked = stored(met, "hub-links")
+
+    # only groups of three and more with members that are unlike the hub need blocks
+    rest = marked.groupBy("group", "members").agg(F.sum(1 - F.col("on")).alias("open"), *[F.greatest(F.ceil(F.sum(F.when(F.col("on") == s, F.col("size")).otherwise(0)) / BLOCK), F.lit(1)).alias(f"k{s}") for s in (0, 1)])
+    rest = stored(rest.where("open > 0 and members > 2").drop("members"), "open-groups")
+    dealt = marked.join(rest, "group").withColumn("block", F.pmod(F.xxhash64("name"), F.when(F.col("on") == 1, F.col("k1")).otherwise(F.col("k0"))))
+    blobs = stored(dealt.groupBy("group", "on", "block").agg(F.collect_list(F.struct("name", "fp", "shingles")).alias("rows")), "shingle-blocks")
+    zero = F.lit(0).cast("long")
+    first = rest.withColumn("block", F.explode(F.sequence(zero, F.col("k0") - 1)))
+    other = F.concat(
+        F.transform(F.sequence(F.col("block"), F.col("k0") - 1), lambda b: F.struct(F.lit(0).alias("on2"), b.alias("block2"))),
+        F.transform(F.sequence(zero, F.col("k1") - 1), lambda b: F.struct(F.lit(1).alias("on2"), b.alias("block2"))),
+    )
+    pairs = first.select("group", "block", F.explode(other).alias("o")).select("group", "block", "o.*")
+    left = blobs.where("on = 0").drop("on")
+    right = blobs.select("group", F.col("on").alias("on2"), F.col("block").alias("block2"), F.col("rows").alias("rows2"))
+    both = pairs.join(left, ["group", "block"]).join(right, ["group", "on2", "block2"]).select("block", "block2", "on2", "rows", "rows2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                block, block2, on, x, y = (batch.column(c)[k].as_py() for c in range(5))
+                links = exact_links(x, None if on == 0 and block == block2 else y, radius, on == 1)
+                yield pa.RecordBatch.from_arrays([pa.array([p[s] for p in links], pa.string()) for s in (0, 1)], ["a", "b"])
+
+    links = both.mapInArrow(run, "a string, b string").unionByName(marked.where("on = 1 and name != hub").select(F.col("name").alias("a"), F.col("hub").alias("b")))
+    return components(links).select(F.col("node").alias("name"), F.col("component").alias("group"))
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radius: int = 4, width: int = 4, seed: int = 42) -> DataFrame:
     """``(key, fp, fingerprint, component_id)`` for every row: equal component, equal group."""
     own = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
@@ -211,16 +309,19 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", radi
 
 
 def groups_of(df: DataFrame, name: str, text: str = "text", radius: int = WIDE_RADIUS, width: int = 5, seed: int = 42, words: int = WIDE_WORDS) -> DataFrame:
-    """``(name, group)``, one row for each distinct name: rows of equal names hold equal texts, similar texts share a
-    group (a number without meaning)."""
+    """``(name, group)``, one row for each distinct name (a string): rows of equal names hold equal texts. Texts link
+    where their fingerprints do and their sets of shingles have a similarity of ``SIMILAR``; linked ones share a group."""
 
     def work(texts: list) -> tuple[list, list]:
         made = [wide_fingerprint(t, width, seed, words) for t in texts]
         return [x.tobytes() for x in made], [int(np.bitwise_count(x).sum()) for x in made]
 
     own = df.select(F.col(name).alias("name"), F.col(text).alias("text"))
-    rows = stored(worked(own, ["text"], {"fp": "binary", "ones": "int"}, lambda: work).distinct(), "wide-fingerprints")
+    sized = own.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"))
+    rows = stored(worked(sized, ["text"], {"fp": "binary", "ones": "int"}, lambda: work).distinct(), "wide-fingerprints")
     counted = stored(rows.select("fp", "ones").distinct(), "prints")
     groups = components(tile_links(counted, radius)).select(F.col("node").alias("at"), F.col("component").alias("group"))
     found = rows.withColumn("at", F.xxhash64("fp")).join(groups, "at", "left")
-    return found.select(F.col("name").alias(name), F.coalesce("group", "at").alias("group"))
+    found = stored(found.select("name", "fp", "size", F.coalesce("group", "at").alias("group")), "candidates")
+    exact = checked_groups(found, own, radius, width, seed)
+    return found.select("name").join(exact, "name", "left").select(F.col("name").alias(name), F.coalesce("group", "name").alias("group"))
