@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from traceforge.functions.blocks import percentiles
+from traceforge.queries import base
 from traceforge.sources import campaigns
 
 
@@ -17,3 +19,12 @@ def test_folders_are_written_by_many_tasks(spark, tmp_path):
     assert len(writers(tmp_path / "analysis" / "results")) > 4
     campaigns.upsert_store(spark, str(tmp_path / "store"), rows.select("test_id", F.lit(1).alias("written_at"), F.create_map(F.lit("campaign_name"), F.lit("0")).alias("values")))
     assert spark.read.parquet(str(tmp_path / "store")).count() == 400
+
+
+def test_series_are_dealt_over_tasks_by_their_samples(spark, monkeypatch):
+    monkeypatch.setattr(base, "TASK_ROWS", 20)
+    sf = "/root/testdata/sf0.001"
+    many = -(-base.table(spark, sf, "events").count() // 20)
+    r = base.readings(spark, sf)
+    assert r.rdd.getNumPartitions() == many
+    assert percentiles(r, "value", {"mid": 0.5}).rdd.getNumPartitions() == many
