@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from traceforge.operators import steady
 from traceforge.functions.blocks import percentiles
 from traceforge.queries import base
 from traceforge.sources import campaigns
@@ -28,3 +29,21 @@ def test_series_are_dealt_over_tasks_by_their_samples(spark, monkeypatch):
     r = base.readings(spark, sf)
     assert r.rdd.getNumPartitions() == many
     assert percentiles(r, "value", {"mid": 0.5}).rdd.getNumPartitions() == many
+
+
+def test_a_forest_is_grown_once_and_by_many_tasks(spark, tmp_path, monkeypatch):
+    grow_one = steady.forest_of
+
+    def counted(x, seed):
+        from pyspark import TaskContext
+
+        with open(tmp_path / "grown", "a") as f:
+            f.write(f"{TaskContext.get().partitionId()}\n")
+        return grow_one(x, seed)
+
+    monkeypatch.setattr(steady, "TREES", 3)
+    monkeypatch.setattr(steady, "forest_of", counted)
+    r = spark.range(640).select(F.concat(F.lit("T"), (F.col("id") % 8).cast("string")).alias("test_id"), F.lit("p").alias("channel"), F.floor(F.col("id") / 8).alias("seq"), F.col("id").cast("double").alias("time_s"), F.sin("id").alias("value"))
+    assert steady.steady_forest(r, ["p"], width=4).count() == 8
+    grown = (tmp_path / "grown").read_text().split()
+    assert len(grown) == 8 and len(set(grown)) > 1

@@ -110,39 +110,47 @@ def path_length(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(np.maximum(n - 1, 1)) + 0.5772156649) - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
+#: Rows of a node that are taken as a list.
+FEW = 8
+#: Mean depths of searches by the rows of a leaf.
+PATHS = path_length(np.arange(TREE_ROWS + 1)).tolist()
+
+
 def grow(x: np.ndarray, rng: np.random.Generator, depth: int) -> list[tuple[int, float, int, int, float]]:
     """An isolation tree as rows ``(feature, cut, left, right, length)``; a leaf has feature -1 and its path's mean length."""
-    nodes, waiting = [], [(np.arange(len(x)), 0, -1, 0)]
+    nodes, waiting = [], [(x, 0, -1, 0)]
     while waiting:
-        rows, level, above, side = waiting.pop()
+        own, level, above, side = waiting.pop()
         at = len(nodes)
         if above >= 0:
             nodes[above][side] = at
-        own = x[rows]
-        spread = own.max(0) - own.min(0) if len(rows) else np.zeros(1)
-        if level == depth or len(rows) <= 1 or not (spread > 0).any():
-            nodes.append([-1, 0.0, at, at, level + float(path_length(np.array(len(rows))))])
+        split = level < depth and len(own) > 1
+        if split and len(own) > FEW:
+            low, high = np.minimum.reduce(own), np.maximum.reduce(own)
+            varied = (high > low).nonzero()[0]
+            split = len(varied) > 0
+        elif split:  # few rows are faster as a list
+            own = own if isinstance(own, list) else own.tolist()
+            columns = list(zip(*own))
+            low, high = list(map(min, columns)), list(map(max, columns))
+            varied = [i for i, a in enumerate(low) if a < high[i]]
+            split = len(varied) > 0
+        if not split:
+            nodes.append([-1, 0.0, at, at, level + PATHS[len(own)]])
             continue
-        f = int(rng.choice(np.flatnonzero(spread > 0)))
-        cut = float(rng.uniform(own[:, f].min(), own[:, f].max()))
+        f = int(varied[rng.integers(len(varied))])
+        least, most = float(low[f]), float(high[f])
+        cut = least + (most - least) * rng.random()
         nodes.append([f, cut, -1, -1, 0.0])
-        left = own[:, f] < cut
-        waiting += [(rows[~left], level + 1, at, 3), (rows[left], level + 1, at, 2)]
+        if isinstance(own, list):
+            parts = [row for row in own if row[f] >= cut], [row for row in own if row[f] < cut]
+        else:
+            left = own[:, f] < cut
+            parts = own[~left], own[left]
+        waiting += [(parts[0], level + 1, at, 3), (parts[1], level + 1, at, 2)]
     return [tuple(n) for n in nodes]
 
 
-def depths(nodes: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Path lengths of rows down one tree, all rows a level at a time."""
-    feature, cut, left, right = nodes[:, 0].astype(int), nodes[:, 1], nodes[:, 2].astype(int), nodes[:, 3].astype(int)
-    at, rows = np.zeros(len(x), int), np.arange(len(x))
-    while True:
-        f = feature[at]
-        to = np.where(f < 0, at, np.where(x[rows, np.maximum(f, 0)] < cut[at], left[at], right[at]))
-        if (to == at).all():
-            return nodes[at, 4]
-        at = to
-
-
 def forest_of(x: np.ndarray, seed: int) -> np.ndarray:
     """The nodes of all trees end to end, each row led by its tree's number."""
     rng, size = np.random.default_rng(seed), min(TREE_ROWS, len(x))
@@ -151,8 +159,17 @@ def forest_of(x: np.ndarray, seed: int) -> np.ndarray:
 
 
 def forest_scores(forest: np.ndarray, x: np.ndarray) -> np.ndarray:
-    mean = np.mean([depths(tree[:, 1:], x) for tree in np.split(forest, np.flatnonzero(np.diff(forest[:, 0])) + 1)], 0)
-    return 2.0 ** (-mean / path_length(np.array(TREE_ROWS)))
+    """Scores of rows by the mean of their path lengths, all rows down all trees a level at a time; a leaf leads to itself."""
+    first = np.flatnonzero(np.diff(forest[:, 0], prepend=-1))
+    start = first[np.searchsorted(first, np.arange(len(forest)), "right") - 1]
+    feature, cut, left, right = forest[:, 1].astype(int), forest[:, 2], forest[:, 3].astype(int) + start, forest[:, 4].astype(int) + start
+    at, rows = np.repeat(first[:, None], len(x), 1), np.arange(len(x))
+    while True:
+        to = np.where(x[rows, feature[at]] < cut[at], left[at], right[at])
+        if (to == at).all():
+            break
+        at = to
+    return 2.0 ** (-np.mean(forest[at, 5], 0) / path_length(np.array(TREE_ROWS)))
 
 
 def steady_forest(readings: DataFrame, channels: list[str], contamination: float = 0.3, gap: int = 5, width: int = 20, seed: int = 7) -> DataFrame:
@@ -166,7 +183,8 @@ def steady_forest(readings: DataFrame, channels: list[str], contamination: float
     features = own.withColumns({"m": rolling(F.avg(v), v, width), "s": rolling(F.stddev_samp(v), v, width)})
     wide = features.groupBy("test_id", "seq").agg(F.min("time_s").alias("time_s"), *[F.max(F.when(F.col("channel") == c, F.col(k))).alias(f"{k}_{i}") for i, c in enumerate(channels) for k in ("value", "m", "s")])
     names = [f"{k}_{i}" for i in range(len(channels)) for k in ("value", "m", "s")]
-    full = wide.dropna(subset=names)
+    # a forest costs more than its rows, so tests are dealt by number, not put together by their bytes
+    full = wide.dropna(subset=names).repartition(8 * readings.sparkSession.sparkContext.defaultParallelism, "test_id")
     sizes = full.groupBy("test_id").agg(F.count("*").alias("n")).where("n >= 50")
     # rows with the smallest hashes: only those under a bound that leaves a fifth more than wanted are put in order
     wanted = TREES * TREE_ROWS
@@ -174,23 +192,21 @@ def steady_forest(readings: DataFrame, channels: list[str], contamination: float
     bound = F.when(F.col("n") > 2 * wanted, (F.lit(1.2 * wanted) / F.col("n") * 2.0**64 - 2.0**63).cast("long")).otherwise(F.lit(2**63 - 1))
     order = Window.partitionBy("test_id").orderBy("hash", "seq")
     sample = full.where(F.col("hash") <= bound).withColumn("k", F.row_number().over(order)).where(F.col("k") <= wanted)
-    grouped = sample.groupBy("test_id").agg(F.collect_list(F.array(*names)).alias("rows"))
-
-    def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"test_id": batch["test_id"], "forest": [forest_of(np.stack(rows), seed).ravel() for rows in batch["rows"]]})
-
-    trees = grouped.mapInPandas(forest, "test_id string, forest array<double>")
+    grouped = sample.groupBy("test_id").agg(F.flatten(F.collect_list(F.array(*names))).alias("grown_on"))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, forest = None, np.empty((0, 6))
         for batch in batches:
-            for test, seq, time, rows, nodes in batch.itertuples(index=False):
-                yield pd.DataFrame({"test_id": test, "seq": seq, "time_s": time, "score": forest_scores(np.asarray(nodes).reshape(-1, 6), np.stack(rows))})
+            for test, seq, time, rows, grown_on in batch.itertuples(index=False):
+                if test != known:  # a test's blocks come one after another
+                    known, forest = test, forest_of(grown_on.reshape(-1, len(names)), seed)
+                yield pd.DataFrame({"test_id": test, "seq": seq, "time_s": time, "score": forest_scores(forest, rows.reshape(-1, len(names)))})
 
-    # a forest goes with a block of rows, not with every row
+    # the rows that a forest is grown on go with a block: they are smaller than the forest, of which a batch would hold thousands
     row = F.struct("seq", "time_s", F.array(*names).alias("x"))
-    blocks = full.groupBy("test_id", F.floor(F.col("seq") / BLOCK_ROWS).alias("block")).agg(F.collect_list(row).alias("rows")).join(trees, "test_id")
-    scored = blocks.select("test_id", "rows.seq", "rows.time_s", "rows.x", "forest").mapInPandas(score, "test_id string, seq long, time_s double, score double")
+    blocks = full.groupBy("test_id", F.floor(F.col("seq") / BLOCK_ROWS).alias("block")).agg(F.collect_list(row).alias("rows")).join(grouped, "test_id")
+    scored = blocks.select("test_id", "rows.seq", "rows.time_s", F.flatten("rows.x").alias("x"), "grown_on").sortWithinPartitions("test_id").mapInPandas(score, "test_id string, seq long, time_s double, score double")
+    scored = scored.persist()  # read three times, and a forest is to be grown once
     cut = percentiles(scored, "score", {"cut": 1 - contamination}, ("test_id",)).select("test_id", "cut")
     keyed = scored.join(cut, "test_id").withColumn("channel", F.lit("all"))
     return as_window(longest(runs(keyed, F.col("score") <= F.col("cut"), gap=gap)), "ml")
