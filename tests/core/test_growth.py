@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from traceforge.operators import steady
+from traceforge.operators import anomaly, steady
 from traceforge.functions.blocks import percentiles
 from traceforge.queries import base
 from traceforge.sources import campaigns
@@ -47,3 +47,16 @@ def test_a_forest_is_grown_once_and_by_many_tasks(spark, tmp_path, monkeypatch):
     assert steady.steady_forest(r, ["p"], width=4).count() == 8
     grown = (tmp_path / "grown").read_text().split()
     assert len(grown) == 8 and len(set(grown)) > 1
+
+
+def reads(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+
+
+def test_detectors_share_one_chain_of_statistics(spark):
+    r = base.readings(spark, "/root/testdata/sf0.001", True)
+    assert reads(r) == 1
+    assert reads(anomaly.spikes_and_dropouts(r)) == 1
+    pairs = [("view", "click"), ("view", "error"), ("click", "error")]
+    few, many = (reads(anomaly.detect_all(r, p, native_only=True)) for p in (pairs[:1], pairs))
+    assert few == many <= 4

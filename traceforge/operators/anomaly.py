@@ -1,7 +1,7 @@
 """Anomaly detection and sensor health.
 
 Detectors give intervals ``(test_id, channel, kind, start_seq, end_seq, start_s, end_s, n, score)``. Robust
-statistics are aggregated per series and joined back, so no window spans a whole series.
+statistics come from sorts of each series that spill; those that several detectors need are computed once.
 """
 
 from __future__ import annotations
@@ -15,9 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from traceforge.functions.blocks import percentiles, positioned, spectra, with_percentiles
-from traceforge.functions.series import KEYS, by_series, correlation, ratio, runs
-from traceforge.operators.qc import paired
+from traceforge.functions.blocks import percentiles, positioned, spectra, with_ranked
+from traceforge.functions.series import KEYS, by_series, correlation, ratio
 
 #: Positions in a block, and windows whose variances are taken at a time.
 BLOCK = 1 << 16
@@ -26,35 +25,69 @@ OUT = ("test_id", "channel", "kind", "start_seq", "end_seq", "start_s", "end_s",
 MAD = 1.4826
 
 
+#: A kind of run: its flag and score by sample, and the fewest and most samples it may have.
+Rule = tuple[str, Column, Column, int, int | None]
+
+
+def flagged_runs(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Runs of flagged samples of an allowed length with the largest score inside, of all rules from one pass."""
+    marks = F.array_compact(F.array(*[F.when(flag, F.struct(F.lit(kind).alias("kind"), score.cast("double").alias("score"))) for kind, flag, score, _, _ in rules]))
+    marked = df.select(*KEYS, "seq", "time_s", F.explode(marks).alias("mark")).select(*KEYS, "seq", "time_s", "mark.*")
+    g = marked.withColumn("run", F.col("seq") - F.row_number().over(by_series((*KEYS, "kind")))).groupBy(*KEYS, "kind", "run").agg(
+        F.min("seq").alias("start_seq"), F.max("seq").alias("end_seq"), F.min("time_s").alias("start_s"), F.max("time_s").alias("end_s"), F.count("*").alias("n"), F.max("score").alias("score"))
+    allowed = [(F.col("kind") == kind) & (F.col("n") >= least) & (F.col("n") <= most if most else F.lit(True)) for kind, _, _, least, most in rules]
+    return g.where(reduce(Column.__or__, allowed)).select(*OUT)
+
+
 def scored_runs(df: DataFrame, flag: Column, score: Column, kind: str, least: int = 1, most: int | None = None) -> DataFrame:
     """Runs of flagged samples of an allowed length with the largest score inside."""
-    on = df.withColumn("score", score)
-    w = by_series()
-    marked = on.where(flag).withColumn("run", F.col("seq") - F.row_number().over(w))
-    g = marked.groupBy(*KEYS, "run").agg(F.min("seq").alias("start_seq"), F.max("seq").alias("end_seq"), F.min("time_s").alias("start_s"), F.max("time_s").alias("end_s"), F.count("*").alias("n"), F.max("score").alias("score"))
-    g = g.where(F.col("n") >= least)
-    if most:
-        g = g.where(F.col("n") <= most)
-    return g.withColumn("kind", F.lit(kind)).select(*OUT)
+    return flagged_runs(df, [(kind, flag, score, least, most)])
+
+
+def with_robust_z(df: DataFrame, value: str = "value", shares: dict[str, float] | None = None, tag: str = "") -> DataFrame:
+    """Adds the series' count, median and scaled median absolute deviation, and the percentiles ``shares``."""
+    mid, off, sigma = "mid" + tag, "off" + tag, "sigma" + tag
+    centre = with_ranked(df, value, {mid: 0.5} | (shares or {}), "known" + tag)
+    z = with_ranked(centre.withColumn(off, F.abs(F.col(value) - F.col(mid))), off, {sigma: 0.5}, "_offs").drop("_offs")
+    return z.withColumn(sigma, MAD * F.col(sigma))
+
+
+def spike_rule(threshold: float = 4.0, most: int = 10) -> Rule:
+    z = F.col("off") / F.col("sigma")
+    return "spike", (F.col("known") >= 10) & (F.col("sigma") >= 1e-10) & (z > threshold), z, 1, most
+
+
+def dropout_rule(share: float = 0.1, least: int = 3) -> Rule:
+    low = F.col("value").isNull() | (F.abs("value") < share * F.col("p75"))
+    return "dropout", (F.col("known") >= 5) & (F.col("p75") >= 1e-10) & low, F.lit(1.0), least, None
+
 
+def saturation_rules(least: int = 5) -> list[Rule]:
+    value = F.col("value")
+    return [("saturation_high", value >= F.col("high"), value, least, None), ("saturation_low", value <= F.col("low"), -value, least, None)]
 
-def with_robust_z(df: DataFrame, value: str = "value") -> DataFrame:
-    """Adds the series' count, median and scaled median absolute deviation."""
-    centre = with_percentiles(df, value, {"mid": 0.5})
-    off = centre.withColumn("off", F.abs(F.col(value) - F.col("mid")))
-    sigma = percentiles(off, "off", {"sigma": 0.5}).select(*KEYS, (MAD * F.col("sigma")).alias("sigma"))
-    return off.join(sigma, list(KEYS))
+
+def transient_rule(factor: float = 3.0) -> Rule:
+    limit = F.col("mid_move") + factor * F.col("sigma_move")
+    return "transient", (F.col("known_move") >= 10) & (limit >= 1e-10) & (F.col("move") > limit), F.col("move"), 2, 20
+
+
+def moved(readings: DataFrame) -> DataFrame:
+    """Adds each sample's step from the one before, 0 where either is missing."""
+    return readings.withColumn("move", F.coalesce(F.abs(F.col("value") - F.lag("value").over(by_series())), F.lit(0.0)))
 
 
 def spikes(readings: DataFrame, threshold: float = 4.0, most: int = 10) -> DataFrame:
-    z = with_robust_z(readings).where("known >= 10 and sigma >= 1e-10")
-    return scored_runs(z, F.col("off") / F.col("sigma") > threshold, F.col("off") / F.col("sigma"), "spike", 1, most)
+    return flagged_runs(with_robust_z(readings), [spike_rule(threshold, most)])
 
 
 def dropouts(readings: DataFrame, share: float = 0.1, least: int = 3) -> DataFrame:
-    p = with_percentiles(readings, "value", {"p75": 0.75}).where("known >= 5 and p75 >= 1e-10")
-    low = F.col("value").isNull() | (F.abs("value") < share * F.col("p75"))
-    return scored_runs(p, low, F.lit(1.0), "dropout", least)
+    return flagged_runs(with_ranked(readings, "value", {"p75": 0.75}), [dropout_rule(share, least)])
+
+
+def spikes_and_dropouts(readings: DataFrame, share: float = 0.1) -> DataFrame:
+    """Both, from one pass."""
+    return flagged_runs(with_robust_z(readings, shares={"p75": 0.75}), [spike_rule(), dropout_rule(share)])
 
 
 def drift(readings: DataFrame, least_change: float = 0.05, least_r2: float = 0.5, least_n: int = 200) -> DataFrame:
@@ -92,11 +125,9 @@ def oscillation(readings: DataFrame, low_hz: float = 0.5, high_hz: float = 20.0,
     return share.where(F.col("score") > least_share).select(*OUT)
 
 
-def saturation(readings: DataFrame, least: int = 5) -> DataFrame:
+def saturation(readings: DataFrame, least: int = 5, high: float = 0.995, low: float = 0.005) -> DataFrame:
     """Runs at or beyond the 99.5th or the 0.5th percentile."""
-    p = with_percentiles(readings.where("value is not null"), "value", {"high": 0.995, "low": 0.005})
-    up = scored_runs(p, F.col("value") >= F.col("high"), F.col("value"), "saturation_high", least)
-    return up.unionByName(scored_runs(p, F.col("value") <= F.col("low"), -F.col("value"), "saturation_low", least))
+    return flagged_runs(with_ranked(readings, "value", {"high": high, "low": low}), saturation_rules(least))
 
 
 def flat_starts(x: np.ndarray, width: int, variance: float) -> np.ndarray:
@@ -166,26 +197,39 @@ def flatlines(readings: DataFrame, width: int = 10, variance: float = 1e-6) -> D
 
 def correlation_breaks(readings: DataFrame, left: str, right: str, width: int = 50, step: int = 25, least_r: float = 0.5) -> DataFrame:
     """Stretches in which two channels lose their correlation; score is the smallest signed correlation."""
-    pair = paired(readings, left, right)
-    n = pair.groupBy("test_id").agg((F.max("seq") + 1).alias("n"))
+    return correlation_breaks_of(readings, [(left, right)], width, step, least_r)
+
+
+def correlation_breaks_of(readings: DataFrame, pairs: list[tuple[str, str]], width: int = 50, step: int = 25, least_r: float = 0.5) -> DataFrame:
+    """:func:`correlation_breaks` of several pairs: the channels of a test stand side by side once for all of them."""
+    place = {c: i for i, c in enumerate(sorted({c for pair in pairs for c in pair}))}
+    own = [(F.col("channel") == c, i) for c, i in place.items()]
+    named = readings.where(F.col("channel").isin(*place))
+    wide = named.groupBy("test_id", "seq").agg(*[F.max(F.when(on, F.col("value"))).alias(f"v{i}") for on, i in own])
+    last = named.groupBy("test_id").agg(*[F.max(F.when(on, F.col("seq"))).alias(f"last{i}") for on, i in own])
+
+    def of(pair: tuple[str, str]) -> Column:
+        i, j = place[pair[0]], place[pair[1]]
+        n = F.greatest(f"last{i}", f"last{j}") + 1 if i != j else F.col(f"last{i}") + 1
+        both = F.struct(F.lit("/".join(pair)).alias("channel"), F.col(f"v{i}").alias("a"), F.col(f"v{j}").alias("b"), n.alias("n"))
+        return F.when(F.col(f"v{i}").isNotNull() & F.col(f"v{j}").isNotNull(), both)
+
+    pair = wide.join(last, "test_id").select("test_id", "seq", F.explode(F.array_compact(F.array(*map(of, pairs)))).alias("p")).select("test_id", "seq", "p.*")
     first = F.greatest(F.lit(0), F.ceil((F.col("seq") - width + 1) / step)).cast("long")
-    last = F.least(F.floor(F.col("seq") / step), F.ceil((F.col("n") - width) / step) - 1).cast("long")
-    in_windows = pair.join(n, "test_id").where("a is not null and b is not null").withColumns({"first": first, "last": last}).where("first <= last")
-    w = in_windows.select("test_id", "a", "b", F.explode(F.sequence("first", "last")).alias("k")).withColumn("start", F.col("k") * step)
-    g = w.groupBy("test_id", "start").agg(F.count("*").alias("m"), correlation("a", "b").alias("r"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb"))
+    final = F.least(F.floor(F.col("seq") / step), F.ceil((F.col("n") - width) / step) - 1).cast("long")
+    in_windows = pair.withColumns({"first": first, "last": final}).where("first <= last")
+    w = in_windows.select(*KEYS, "a", "b", F.explode(F.sequence("first", "last")).alias("k")).withColumn("start", F.col("k") * step)
+    g = w.groupBy(*KEYS, "start").agg(F.count("*").alias("m"), correlation("a", "b").alias("r"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb"))
     broken = g.where((F.col("m") >= width // 2) & (F.col("sa") >= 1e-10) & (F.col("sb") >= 1e-10) & (F.abs("r") < least_r))
-    order = Window.partitionBy("test_id").orderBy("start")
+    order = by_series(order="start")
     fresh = F.when(F.col("start") <= F.lag("start").over(order) + width + step, 0).otherwise(1)
     run = F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    merged = broken.withColumn("fresh", fresh).withColumn("run", run).groupBy("test_id", "run").agg(F.min("start").alias("start_seq"), (F.max("start") + width).alias("end_seq"), F.min("r").alias("score"), F.count("*").alias("n"))
-    return merged.select("test_id", F.lit(f"{left}/{right}").alias("channel"), F.lit("correlation_break").alias("kind"), "start_seq", "end_seq", F.lit(None).cast("double").alias("start_s"), F.lit(None).cast("double").alias("end_s"), "n", "score")
+    merged = broken.withColumn("fresh", fresh).withColumn("run", run).groupBy(*KEYS, "run").agg(F.min("start").alias("start_seq"), (F.max("start") + width).alias("end_seq"), F.min("r").alias("score"), F.count("*").alias("n"))
+    return merged.select(*KEYS, F.lit("correlation_break").alias("kind"), "start_seq", "end_seq", F.lit(None).cast("double").alias("start_s"), F.lit(None).cast("double").alias("end_s"), "n", "score")
 
 
 def transients(readings: DataFrame, factor: float = 3.0) -> DataFrame:
-    step = F.col("value") - F.lag("value").over(by_series())
-    moved = readings.withColumn("move", F.coalesce(F.abs(step), F.lit(0.0)))
-    z = with_robust_z(moved, "move").withColumn("limit", F.col("mid") + factor * F.col("sigma"))
-    return scored_runs(z.where("known >= 10 and limit >= 1e-10"), F.col("move") > F.col("limit"), F.col("move"), "transient", 2, 20)
+    return flagged_runs(with_robust_z(moved(readings), "move", tag="_move"), [transient_rule(factor)])
 
 
 SEVERITY = {"dropout": "CRITICAL", "saturation_high": "WARNING", "saturation_low": "WARNING", "flatline": "WARNING", "correlation_break": "WARNING", "drift": "INFO", "transient": "INFO"}
@@ -199,9 +243,15 @@ def with_severity(anomalies: DataFrame) -> DataFrame:
 
 
 def detect_all(readings: DataFrame, pairs: list[tuple[str, str]], native_only: bool = False) -> DataFrame:
-    """Every detector over every channel, and correlation breaks of the named pairs."""
-    found = [spikes(readings), dropouts(readings), drift(readings), saturation(readings), transients(readings)]
-    found += [correlation_breaks(readings, a, b) for a, b in pairs]
+    """Every detector over every channel, and correlation breaks of the named pairs.
+
+    Detectors of single samples share one chain of statistics, so the readings are not read and sorted for each of them.
+    """
+    z = with_robust_z(moved(readings), shares={"p75": 0.75, "high": 0.995, "low": 0.005})
+    z = with_robust_z(z, "move", tag="_move")
+    found = [flagged_runs(z, [spike_rule(), dropout_rule(), *saturation_rules(), transient_rule()]), drift(readings)]
+    if pairs:
+        found.append(correlation_breaks_of(readings, pairs))
     if not native_only:
         found += [oscillation(readings), flatlines(readings)]
     return with_severity(reduce(DataFrame.unionByName, found))

@@ -2,8 +2,6 @@
 
 from itertools import combinations
 
-from pyspark.sql import functions as F
-
 from traceforge.operators import anomaly
 from traceforge.queries.base import GAPPED, READINGS, query, readings, rounded
 
@@ -68,9 +66,7 @@ def a4(spark, sf):
 
 @query("a5_saturation", f"WITH {GAPPED}, {SATURATED_CTE} {runs_sql('s', 'value >= hi', 'value', 'saturation_high', 'count(*) >= 2')} UNION ALL {runs_sql('s', 'value <= lo', '-value', 'saturation_low', 'count(*) >= 2')}")
 def a5(spark, sf):
-    r = readings(spark, sf, True).where("value is not null")
-    p = anomaly.with_percentiles(r, "value", {"high": 0.9, "low": 0.1})
-    return out(anomaly.scored_runs(p, F.col("value") >= F.col("high"), F.col("value"), "saturation_high", 2).unionByName(anomaly.scored_runs(p, F.col("value") <= F.col("low"), -F.col("value"), "saturation_low", 2)))
+    return out(anomaly.saturation(readings(spark, sf, True), 2, 0.9, 0.1))
 
 
 @query("a6_flatlines")
@@ -102,7 +98,7 @@ def a8(spark, sf):
 
 def some(spark, sf):
     r = readings(spark, sf, True)
-    return r, anomaly.with_severity(anomaly.spikes(r).unionByName(anomaly.dropouts(r, 0.3)))
+    return r, anomaly.with_severity(anomaly.spikes_and_dropouts(r, 0.3))
 
 
 BOTH = f"WITH {GAPPED}, {robust('readings', 'value', 'z')}, {DROPS_CTE}, a AS ({SPIKES} UNION ALL {DROPS}), b AS (SELECT *, CASE WHEN kind = 'dropout' OR score > 6 THEN 'CRITICAL' ELSE 'WARNING' END AS severity FROM a)"
