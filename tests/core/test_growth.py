@@ -60,3 +60,9 @@ def test_detectors_share_one_chain_of_statistics(spark):
     pairs = [("view", "click"), ("view", "error"), ("click", "error")]
     few, many = (reads(anomaly.detect_all(r, p, native_only=True)) for p in (pairs[:1], pairs))
     assert few == many <= 4
+
+
+def test_spectra_and_flatlines_do_not_read_a_series_again_for_each_statistic(spark):
+    r = base.readings(spark, "/root/testdata/sf0.001", True)
+    assert reads(anomaly.oscillation(r)) == 1
+    assert reads(anomaly.flatlines(r)) <= 3

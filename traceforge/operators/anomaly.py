@@ -11,11 +11,12 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from traceforge.functions.blocks import percentiles, positioned, spectra, with_ranked
+from traceforge.functions.blocks import numbered, spectra, with_ranked
 from traceforge.functions.series import KEYS, by_series, correlation, ratio
 
 #: Positions in a block, and windows whose variances are taken at a time.
@@ -108,20 +109,19 @@ def oscillation(readings: DataFrame, low_hz: float = 0.5, high_hz: float = 20.0,
     All power comes from the sum of squares (and the alternating sum, where the length is even); only the band's lines
     are transformed, in blocks of a series.
     """
-    x = positioned(readings.where("value is not null"))
+    x, w = numbered(readings.where("value is not null")), Window.partitionBy(*KEYS)
     signed = F.when(F.col("at") % 2 == 0, F.col("value")).otherwise(-F.col("value"))
-    g = x.groupBy(*KEYS).agg(
-        F.count("*").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("var"), F.sum(signed).alias("odd"),
-        F.min("seq").alias("start_seq"), F.max("seq").alias("end_seq"), F.min_by("time_s", "seq").alias("start_s"), F.max_by("time_s", "seq").alias("end_s"),
-    ).where(F.col("n") >= least_n)
-    steps = x.select(*KEYS, (F.col("time_s") - F.col("last_s")).alias("dt"))
-    g = g.join(percentiles(steps, "dt", {"step": 0.5}).select(*KEYS, "step"), list(KEYS)).where("step > 0")
+    x = x.withColumns({
+        "mean": F.avg("value").over(w), "var": F.var_pop("value").over(w), "odd": F.sum(signed).over(w),
+        "start_seq": F.min("seq").over(w), "end_seq": F.max("seq").over(w), "start_s": F.min_by("time_s", "seq").over(w), "end_s": F.max_by("time_s", "seq").over(w),
+    }).where(F.col("size") >= least_n)
+    x = with_ranked(x.withColumn("dt", F.col("time_s") - F.col("last_s")), "dt", {"step": 0.5}).where("step > 0").withColumn("n", F.col("size"))
     k0, k1 = F.greatest(F.ceil(low_hz * F.col("n") * F.col("step") * (1 - 1e-12)), F.lit(0)), F.least(F.floor(high_hz * F.col("n") * F.col("step") * (1 + 1e-12)), F.floor(F.col("n") / 2))
     total = F.col("n") * F.col("n") * F.col("var") / 2 + F.when(F.col("n") % 2 == 0, F.col("odd") * F.col("odd") / 2).otherwise(0.0)
-    g = g.withColumns({"k0": k0.cast("long"), "k1": k1.cast("long"), "total": total}).where("k0 <= k1 and total > 0")
-    off = x.join(g.select(*KEYS, "mean"), list(KEYS)).select(*KEYS, "at", "size", (F.col("value") - F.col("mean")).alias("x"))
-    best = spectra(off, g).groupBy(*KEYS).agg(F.max(F.array_max("power")).alias("most"))
-    share = g.join(best, list(KEYS)).withColumns({"kind": F.lit("oscillation"), "score": F.col("most") / F.col("total")})
+    x = x.withColumns({"k0": k0.cast("long"), "k1": k1.cast("long"), "total": total}).where("k0 <= k1 and total > 0")
+    own = (*KEYS, "start_seq", "end_seq", "start_s", "end_s", "n", "total")  # told of a series to all its samples, so it comes back with the spectrum
+    off = x.select(*own, "k0", "k1", "at", "size", (F.col("value") - F.col("mean")).alias("x"))
+    share = spectra(off, keys=own).groupBy(*own).agg(F.max(F.array_max("power")).alias("most")).withColumns({"kind": F.lit("oscillation"), "score": F.col("most") / F.col("total")})
     return share.where(F.col("score") > least_share).select(*OUT)
 
 
@@ -168,10 +168,10 @@ def flatlines(readings: DataFrame, width: int = 10, variance: float = 1e-6) -> D
     pieces are walked side by side; a series that is flat nearly everywhere stays in few pieces.
     """
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("at")
-        x, seq, t = part["value"].to_numpy(float), part["seq"].to_numpy(), part["time_s"].to_numpy()
-        found, i, starts = [], 0, flat_starts(part["value"].to_numpy(float), width, variance)
+    def run(part: pa.Table) -> pa.Table:
+        order = np.argsort(part["at"].to_numpy())
+        x, seq, t = (part[c].to_numpy()[order] for c in ("value", "seq", "time_s"))
+        found, i, starts = [], 0, flat_starts(x.astype(float), width, variance)
         while (k := np.searchsorted(starts, i)) < len(starts):
             i = int(starts[k])
             j, mean = i + width, x[i : i + width].mean()
@@ -182,17 +182,22 @@ def flatlines(readings: DataFrame, width: int = 10, variance: float = 1e-6) -> D
                 if not more / (j + 1 - i) < variance:
                     break
                 mean, squares, j = after, more, j + 1
-            found.append((*key[:2], "flatline", seq[i], seq[j - 1], t[i], t[j - 1], j - i, float(j - i)))
+            found.append((seq[i], seq[j - 1], t[i], t[j - 1], j - i, float(j - i)))
             i = j
-        return pd.DataFrame(found, columns=list(OUT))
+        made = part.select(list(KEYS)).take(pa.array([0] * len(found), pa.int64())).append_column("kind", pa.array(["flatline"] * len(found), pa.string()))
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.float64())
+        for name, kind, column in zip(OUT[3:], kinds, zip(*found) if found else [()] * len(kinds)):
+            made = made.append_column(name, pa.array(column, kind))
+        return made
 
-    samples = positioned(readings, block=BLOCK).withColumn("block", F.floor(F.col("at") / BLOCK).cast("long"))
+    samples = numbered(readings).withColumn("block", F.floor(F.col("at") / BLOCK).cast("long"))
     own = Window.partitionBy(*KEYS).orderBy("block")
-    blocks = samples.select(*KEYS, "block").distinct().join(cuts(samples, width, variance), [*KEYS, "block"], "left")
+    long = samples.where(F.col("size") > BLOCK)  # a series of one block is one piece
+    blocks = long.select(*KEYS, "block").distinct().join(cuts(long, width, variance), [*KEYS, "block"], "left")
     pieces = blocks.select(*KEYS, "block", "cut", F.count("cut").over(own.rowsBetween(Window.unboundedPreceding, -1)).alias("piece"))
-    dealt = samples.join(pieces, [*KEYS, "block"]).withColumn("piece", F.col("piece") + F.coalesce((F.col("at") >= F.col("cut")).cast("int"), F.lit(0)))
+    dealt = samples.join(pieces, [*KEYS, "block"], "left").withColumn("piece", F.coalesce("piece", F.lit(0)) + F.coalesce((F.col("at") >= F.col("cut")).cast("int"), F.lit(0)))
     spec = "test_id string, channel string, kind string, start_seq long, end_seq long, start_s double, end_s double, n long, score double"
-    return dealt.groupBy(*KEYS, "piece").applyInPandas(run, spec)
+    return dealt.select(*KEYS, "piece", "at", "seq", "time_s", "value").groupBy(*KEYS, "piece").applyInArrow(run, spec)
 
 
 def correlation_breaks(readings: DataFrame, left: str, right: str, width: int = 50, step: int = 25, least_r: float = 0.5) -> DataFrame:
