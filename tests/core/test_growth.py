@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from traceforge.operators import anomaly, steady
+from traceforge.operators import anomaly, spectral, steady
 from traceforge.functions.blocks import percentiles
 from traceforge.queries import base
 from traceforge.sources import campaigns
@@ -66,3 +66,13 @@ def test_spectra_and_flatlines_do_not_read_a_series_again_for_each_statistic(spa
     r = base.readings(spark, "/root/testdata/sf0.001", True)
     assert reads(anomaly.oscillation(r)) == 1
     assert reads(anomaly.flatlines(r)) <= 3
+
+
+def test_resonances_compute_a_spectrum_once(spark):
+    lines = spectral.psd(base.readings(spark, "/root/testdata/sf0.001"), 1.0, 32)
+    assert reads(lines) == 1
+    found = spectral.resonances(lines)
+    assert reads(found) == 1
+    wide = spectral.bandwidth(lines, found.select("test_id", "channel", "peak_k"))
+    differ = found.alias("f").join(wide.alias("w"), ["test_id", "channel", "peak_k"]).where("abs(f.left_hz - w.left_hz) > 1e-12 or abs(f.right_hz - w.right_hz) > 1e-12 or abs(f.bandwidth_hz - w.bandwidth_hz) > 1e-12")
+    assert found.count() == wide.count() > 0 and differ.count() == 0

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -30,9 +31,8 @@ def hann(n: int) -> np.ndarray:
 
 def signals(readings: DataFrame, least: int = 8) -> DataFrame:
     """Series without gaps, renumbered from 0, with their size; series under ``least`` samples are left out."""
-    filled = fill_all(readings)
-    size = filled.groupBy(*KEYS).agg(F.count("*").alias("size")).where(F.col("size") >= least)
-    return filled.join(size, list(KEYS)).withColumn("at", (F.row_number().over(by_series()) - 1).cast("long"))
+    at = fill_all(readings).withColumn("at", (F.row_number().over(by_series()) - 1).cast("long"))
+    return at.withColumn("size", F.count("*").over(Window.partitionBy(*KEYS))).where(F.col("size") >= least)
 
 
 def segments(series: DataFrame, nperseg: int) -> DataFrame:
@@ -209,16 +209,28 @@ def bases(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def half_power(f: np.ndarray, p: np.ndarray, top: int) -> tuple[float, float]:
+    """Where the density first falls under half of line ``top`` on each side, interpolated; the spectrum's ends where it does not."""
+    half, ends = p[top] / 2, []
+    for step, end in ((-1, 0), (1, len(p) - 1)):
+        i = top
+        while i != end and not p[i] < half:
+            i += step
+        ends.append(f[i] + (half - p[i]) / (p[i - step] - p[i]) * (f[i - step] - f[i]) if p[i] < half else f[end])
+    return ends[0], ends[1]
+
+
 def resonances(spectra: DataFrame, low_hz: float = 0.0, high_hz: float = float("inf"), least_db: float = 3.0) -> DataFrame:
-    """Peaks that stand out by ``least_db`` or more in a band, with their quality factor, strongest first.
+    """Peaks that stand out by ``least_db`` or more in a band, with their half-power width (as by :func:`bandwidth`) and quality factor.
 
-    Prominence is found a spectrum at a time, in time linear in its lines.
+    Prominence and widths are found a spectrum at a time, so the lines are computed once; prominence in time linear in the lines.
     """
-    columns = ["test_id", "channel", "peak_k", "freq_hz", "psd", "prominence_db"]
+    columns = ["test_id", "channel", "peak_k", "freq_hz", "psd", "prominence_db", "left_hz", "right_hz"]
 
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("k")
-        f, p = part["freq_hz"].to_numpy(), part["psd"].to_numpy()
+    def run(part: pa.Table) -> pa.Table:
+        k = part["k"].to_numpy()
+        order = np.argsort(k)
+        k, f, p = k[order], part["freq_hz"].to_numpy()[order], part["psd"].to_numpy()[order]
         db = 10 * np.log10(np.maximum(p, 1e-300))
         left, right = bases(db), bases(db[::-1])[::-1]
         rows, i = [], 1
@@ -230,14 +242,16 @@ def resonances(spectra: DataFrame, low_hz: float = 0.0, high_hz: float = float("
                 top = (i + j) // 2
                 prominence = db[i] - max(left[i], right[j])
                 if prominence >= least_db and low_hz <= f[top] <= high_hz:
-                    rows.append((*key, int(part["k"].iloc[top]), f[top], p[top], prominence))
+                    rows.append((k[top], f[top], p[top], prominence, *half_power(f, p, top)))
             i = j + 1
-        return pd.DataFrame(rows, columns=columns)
-
-    peaks = spectra.groupBy(*KEYS).applyInPandas(run, "test_id string, channel string, peak_k long, freq_hz double, psd double, prominence_db double")
-    wide = bandwidth(spectra, peaks)
-    q = F.when(F.col("bandwidth_hz") > 0, F.col("freq_hz") / F.col("bandwidth_hz"))
-    return peaks.join(wide, [*KEYS, "peak_k"]).withColumn("q_factor", q)
+        made = part.select(list(KEYS)).take(pa.array([0] * len(rows), pa.int64()))
+        for name, column in zip(columns[2:], zip(*rows) if rows else [()] * 6):
+            made = made.append_column(name, pa.array(column, pa.int64() if name == "peak_k" else pa.float64()))
+        return made
+
+    spec = "test_id string, channel string, peak_k long, freq_hz double, psd double, prominence_db double, left_hz double, right_hz double"
+    peaks = spectra.select(*KEYS, "k", "freq_hz", "psd").groupBy(*KEYS).applyInArrow(run, spec).withColumn("bandwidth_hz", F.col("right_hz") - F.col("left_hz"))
+    return peaks.withColumn("q_factor", F.when(F.col("bandwidth_hz") > 0, F.col("freq_hz") / F.col("bandwidth_hz")))
 
 
 def band_power(spectra: DataFrame) -> DataFrame:
