@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from traceforge.operators import anomaly, spectral, steady
+from traceforge.operators import anomaly, spectral, steady, uncertainty
 from traceforge.functions.blocks import percentiles
-from traceforge.queries import base
+from traceforge.plans import analysis
+from traceforge.queries import base, plans
 from traceforge.sources import campaigns
 
 
@@ -76,3 +77,38 @@ def test_resonances_compute_a_spectrum_once(spark):
     wide = spectral.bandwidth(lines, found.select("test_id", "channel", "peak_k"))
     differ = found.alias("f").join(wide.alias("w"), ["test_id", "channel", "peak_k"]).where("abs(f.left_hz - w.left_hz) > 1e-12 or abs(f.right_hz - w.right_hz) > 1e-12 or abs(f.bandwidth_hz - w.bandwidth_hz) > 1e-12")
     assert found.count() == wide.count() > 0 and differ.count() == 0
+
+
+def test_a_batch_reads_the_samples_for_windows_means_checks_and_tests_only(spark):
+    _, done = plans.run(spark, "/root/testdata/sf0.001")
+    assert reads(done) == 4
+    # no task holds the sorts and hash tables of more than one of them
+    held = [0]
+
+    def walk(node, at):
+        name = node.getClass().getSimpleName()
+        if name == "ShuffleExchangeExec":
+            at = len(held)
+            held.append(0)
+        held[at] += name in ("SortExec", "HashAggregateExec", "ObjectHashAggregateExec", "SortAggregateExec")
+        children = node.children()
+        for k in range(children.size()):
+            walk(children.apply(k), at)
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        walk(plans.run(spark, "/root/testdata/sf0.001")[1]._jdf.queryExecution().executedPlan(), 0)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(held) > 4 and max(held) <= 8
+
+
+def test_a_batch_counts_samples_once_under_any_roles(spark):
+    rows = [(t, c, i, i * 0.01, v + 0.001 * i) for t in ("A", "B") for c, v in (("p", 20.0), ("q", 10.0), ("f", 12.0), ("other", 1.0)) for i in range(20) if (t, c) != ("B", "p")]
+    r = spark.createDataFrame(rows, "test_id string, channel string, seq long, time_s double, value double")
+    roles = spark.createDataFrame([("p", "upstream_pressure"), ("p", "tank_pressure"), ("q", "downstream_pressure"), ("f", "mass_flow")], "channel string, role string")
+    specs = spark.createDataFrame([("p", "rel", 0.01, None)], "channel string, u_type string, u_value double, full_scale double")
+    constants = spark.createDataFrame([(t, n, v, v / 50, 0.02) for t in ("A", "B", "C") for n, v in (("area_m2", 2e-6), ("density", 998.2))], "test_id string, role string, value double, u double, rel double")
+    out = {x["test_id"]: x for x in analysis.batch(r, roles, specs, uncertainty.COLD_FLOW, "simple", "p", constants).collect()}
+    assert set(out) == {"A", "B"} and out["A"]["n_samples"] == 80 and out["A"]["avg_cd"] > 0 and out["A"]["success"]
+    assert out["B"]["error"] == "no metrics" and out["B"]["n_samples"] is None and out["B"]["qc_status"] == "PASS"

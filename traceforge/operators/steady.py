@@ -50,9 +50,8 @@ def steady_derivative(readings: DataFrame, channel: str, width: int = 20, thresh
 def steady_middle(readings: DataFrame, channel: str, share: float = 0.5) -> DataFrame:
     """The middle of the samples by position."""
     own = readings.where(F.col("channel") == channel)
-    n = own.groupBy("test_id").agg(F.count("*").alias("n"))
     low, high = F.floor(F.col("n") * (1 - share) / 2), F.least(F.floor(F.col("n") * (1 + share) / 2), F.col("n") - 1)
-    j = own.join(n, "test_id").withColumn("at", F.row_number().over(by_series()) - 1)
+    j = own.withColumn("at", F.row_number().over(by_series()) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*KEYS)))
     return j.groupBy("test_id").agg(F.max(F.when(F.col("at") == low, F.col("time_s"))).alias("start_s"), F.max(F.when(F.col("at") == high, F.col("time_s"))).alias("end_s"), F.lit("simple").alias("method"))
 
 

@@ -86,11 +86,16 @@ def sensor_u(kind: Column, amount: Column, full_scale: Column, value: Column) ->
     return F.when(kind == "abs", amount).when(kind == "pct_fs", amount * full_scale).otherwise(F.abs(value) * amount)
 
 
-def measured(means: DataFrame, roles: DataFrame, specs: DataFrame) -> DataFrame:
-    """``(test_id, role, value, u, rel)`` from channel means, roles and ``specs(channel, u_type, u_value, full_scale)``."""
-    j = means.join(roles, ["test_id", "channel"]).join(specs, "channel", "left")
-    u = sensor_u(F.col("u_type"), F.col("u_value"), F.col("full_scale"), F.col("mean"))
-    return j.select("test_id", "role", F.col("mean").alias("value"), u.alias("u")).withColumn("rel", ratio(F.col("u"), F.abs("value")))
+def measured(means: DataFrame, roles: DataFrame, specs: DataFrame, *more: str) -> DataFrame:
+    """``(test_id, role, value, u, rel)`` from channel means, roles and ``specs(channel, u_type, u_value, full_scale)``.
+
+    ``roles`` is ``(channel, role)`` or ``(test_id, channel, role)``. With ``more`` columns of the means, channels without
+    a role stay, under a null role.
+    """
+    on = [c for c in ("test_id", "channel") if c in roles.columns]
+    j = means.join(roles.select(*on, "role"), on, "left" if more else "inner").join(specs, "channel", "left")
+    u = F.when(F.col("mean").isNotNull(), sensor_u(F.col("u_type"), F.col("u_value"), F.col("full_scale"), F.col("mean")))
+    return j.select("test_id", "role", F.col("mean").alias("value"), u.alias("u"), *more).withColumn("rel", ratio(F.col("u"), F.abs("value")))
 
 
 def statistical(df: DataFrame, value: str, *keys: str, confidence: float = 0.95) -> DataFrame:
@@ -209,11 +214,20 @@ HOT_FIRE = MetricFamily(
 )
 
 
-def wide_inputs(inputs: DataFrame, family: MetricFamily, constants: tuple[str, ...]) -> DataFrame:
-    """One row per test with ``<role>``, ``u_<role>``, ``rel_<role>`` of roles and of constants such as area and density."""
+def wide_inputs(inputs: DataFrame, family: MetricFamily, constants: tuple[str, ...], *more: Column) -> DataFrame:
+    """One row per test with ``<role>``, ``u_<role>``, ``rel_<role>`` of roles and of constants such as area and density, and ``more`` aggregates."""
     names = [*family.roles, *constants]
     picks = [F.max(F.when(F.col("role") == r, F.col(k))).alias(p + r) for r in names for k, p in (("value", ""), ("u", "u_"), ("rel", "rel_"))]
-    return inputs.groupBy("test_id").agg(*picks)
+    return inputs.groupBy("test_id").agg(*picks, *more)
+
+
+def metric_values(family: MetricFamily) -> dict[str, tuple[Column, Column]]:
+    """Value and uncertainty of each metric over :func:`wide_inputs`, null where its inputs or its condition are missing."""
+    found = {}
+    for m in family.metrics():
+        value = m.value.cast("double") if m.where is None else F.when(m.where, m.value.cast("double"))
+        found[m.name] = value, F.when(value.isNotNull(), m.u.cast("double"))
+    return found
 
 
 def family_metrics(inputs: DataFrame, family: MetricFamily, constants: tuple[str, ...] = ()) -> DataFrame:

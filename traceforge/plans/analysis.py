@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from traceforge.operators import audit, prep, qc, uncertainty
+from traceforge.operators import audit, qc, uncertainty
 from traceforge.operators.steady import steady_auto, steady_channel, steady_cv, steady_derivative, steady_forest, steady_middle
 
 #: Detectors by name, as functions of (readings, channel).
@@ -90,32 +90,40 @@ def by_role(readings: DataFrame, roles: DataFrame) -> DataFrame:
     return readings.join(roles.select(*on, "role"), on).withColumn("channel", F.col("role")).select(*readings.columns)
 
 
+def apart(by_test: DataFrame) -> DataFrame:
+    """A table by test, made by tasks of its own, so that a task that joins it to readings does not hold its sorts as well."""
+    return by_test.repartition(by_test.sparkSession.sparkContext.defaultParallelism, F.xxhash64("test_id"))
+
+
 def analyse(
     readings: DataFrame, roles: DataFrame, specs: DataFrame, family: uncertainty.MetricFamily, windows: DataFrame, constants: DataFrame | None = None, checks: DataFrame | None = None
-) -> tuple[DataFrame, DataFrame]:
-    """``(results, rejects)``: quality gate, steady slice, channel means, metrics with uncertainty, one row per test.
+) -> DataFrame:
+    """One row for every test: steady slice, channel means, metrics with uncertainty, quality gate.
 
-    ``roles`` is ``(channel, role)`` for all tests, or ``(test_id, channel, role)``; ``constants`` adds ``(test_id, role,
-    value, u, rel)`` of the family's constants. The family's own checks join the given ones. A test that a blocking
-    check fails is in ``rejects`` with the checks that stopped it.
+    ``roles`` is ``(channel, role)`` for all tests, or ``(test_id, channel, role)``; ``windows`` is ``(test_id, start_s, end_s,
+    detector_error)``, a row a test at most; ``constants`` adds ``(test_id, role, value, u, rel)`` of the family's constants. The
+    family's own checks join the given ones. A test that a blocking check fails has no metrics, but the checks that
+    stopped it in ``failed_checks``. Means, constants and checks meet as rows of one aggregation by test, each from tasks of
+    its own: joined to each other they would be one stage, whose tasks hold the sorts of all of them.
     """
     checks = qc.timestamps_increase(readings).unionByName(qc.missing(readings)) if checks is None else checks
     checks = reduce(DataFrame.unionByName, [*family.checks(readings), *family.role_checks(by_role(readings, roles))], checks)
-    passed = qc.gate(readings, checks)
-    means = prep.channel_means(prep.steady_slice(passed, windows))
-    own = means.select("test_id", "channel").join(roles, ["test_id", "channel"] if "test_id" in roles.columns else "channel")
-    inputs = uncertainty.measured(means, own, specs)
-    if constants is not None:
-        inputs = inputs.unionByName(constants.join(means.select("test_id").distinct(), "test_id", "left_semi"))
-    metrics = uncertainty.family_metrics(inputs, family, family.constants)
-    samples = passed.groupBy("test_id").agg(F.count("*").alias("n_samples"))
-    rows = uncertainty.result_row(metrics, family).join(windows, "test_id", "left").join(samples, "test_id", "left")
-    if family.verdicts:
-        ended = [F.max(F.when(F.col("check") == name, (F.col("status") == "PASS").cast("int"))).alias(column) for column, name in family.verdicts.items()]
-        rows = rows.join(checks.groupBy("test_id").agg(*ended), "test_id", "left")
-    rows = rows.withColumns({c: F.lit(None).cast("double") for c in family.declared}) if family.declared else rows
-    stopped = checks.where("status = 'FAIL' and blocking").groupBy("test_id").agg(F.array_sort(F.collect_set("check")).alias("failed_checks"))
-    return rows, stopped
+    of_test = ("start_s", "end_s", "detector_error")
+    inside = F.col("time_s").between(F.col("start_s"), F.col("end_s"))
+    means = readings.join(apart(windows), "test_id", "left").groupBy("test_id", "channel", *of_test).agg(F.avg(F.when(inside, F.col("value"))).alias("mean"), F.count("*").alias("n"))
+    means = means.withColumns({"n_samples": F.sum("n").over(Window.partitionBy("test_id")), "seen": F.col("mean").isNotNull()})
+    facts = uncertainty.measured(means, roles, specs, *of_test, "n_samples", "seen")
+    for more in (constants, apart(checks.select("test_id", "check", "status", "blocking"))):
+        facts = facts if more is None else facts.unionByName(more, allowMissingColumns=True)
+    failed = F.array_sort(F.collect_set(F.when((F.col("status") == "FAIL") & F.col("blocking"), F.col("check"))))
+    ended = [F.max(F.when(F.col("check") == name, (F.col("status") == "PASS").cast("int"))).alias(column) for column, name in family.verdicts.items()]
+    held = [F.max(c).alias(c) for c in (*of_test, "n_samples", "seen")]
+    wide = uncertainty.wide_inputs(facts, family, family.constants, *held, F.when(F.size(failed) > 0, failed).alias("failed_checks"), *ended).where("n_samples is not null")
+    metrics = uncertainty.metric_values(family)
+    kept = F.col("failed_checks").isNull() & F.col("seen") & F.coalesce(*[v for v, _ in metrics.values()]).isNotNull()
+    own = {p + column: metrics[name][k] for name, column in family.columns.items() for k, p in ((0, "avg_"), (1, "u_"))}
+    own |= {c: F.col(c) for c in ("start_s", "end_s", "n_samples", *family.verdicts)} | {c: F.lit(None).cast("double") for c in family.declared}
+    return wide.select("test_id", *[F.when(kept, c).alias(name) for name, c in own.items()], "failed_checks", "detector_error")
 
 
 def constants_of(merged: DataFrame) -> DataFrame:
@@ -141,13 +149,12 @@ def complete(
     usable = readings.join(invalid, "test_id", "left_anti")
     roles = merged.select("test_id", F.explode("sensor_roles").alias("role", "channel"))
     tried = windows_of(usable, detector, channel, roles)
-    windows, refused = tried.where("error is null").drop("error"), tried.select("test_id", F.col("error").alias("detector_error"))
     checks = qc.full_run(usable, ranges, critical, pressure, flow)
-    rows, stopped = analyse(usable, roles, specs, family, windows.drop("method"), constants_of(merged), checks)
+    rows = analyse(usable, roles, specs, family, tried.drop("method").withColumnRenamed("error", "detector_error"), constants_of(merged), checks)
     held = merged.select("test_id", F.map_concat("conditions", F.create_map(F.lit("config_name"), F.col("config_name"), F.lit("fluid_name"), F.coalesce("fluid_name", F.lit("")))).alias("config"))
     tests = readings.select("test_id").distinct()
-    found = tests.join(rows.drop("start_s", "end_s"), "test_id", "left").join(stopped, "test_id", "left").join(invalid, "test_id", "left").join(refused, "test_id", "left")
-    recorded = audit.provenance(found, audit.content_hash(readings), held, windows, analyst, version)
+    found = tests.join(rows.drop("start_s", "end_s"), "test_id", "left").join(invalid, "test_id", "left")
+    recorded = audit.provenance(found, audit.content_hash(readings), held, tried.where("error is null"), analyst, version)
     values = [f"avg_{c}" for c in family.columns.values()]
     success = F.coalesce(*values).isNotNull() & F.col("failed_checks").isNull() & F.col("warnings").isNull()
     error = (
@@ -164,11 +171,8 @@ def batch(readings: DataFrame, roles: DataFrame, specs: DataFrame, family: uncer
 
     See :func:`windows_of` for ``detector`` and ``channel``; a test on which a caller's detector fails says so in ``error``.
     """
-    tried = windows_of(readings, detector, channel, roles)
-    windows, refused = tried.where("error is null").drop("error", "method"), tried.select("test_id", F.col("error").alias("detector_error"))
-    rows, rejects = analyse(readings, roles, specs, family, windows, constants, checks)
-    tests = readings.select("test_id").distinct()
-    j = tests.join(rows, "test_id", "left").join(rejects, "test_id", "left").join(refused, "test_id", "left")
+    windows = windows_of(readings, detector, channel, roles).drop("method").withColumnRenamed("error", "detector_error")
+    j = analyse(readings, roles, specs, family, windows, constants, checks)
     j = j.withColumns({c: F.coalesce(c, F.when(F.array_contains("failed_checks", name), 0)) for c, name in family.verdicts.items()}) if family.verdicts else j
     values = [f"avg_{c}" for c in family.columns.values()]
     success = F.coalesce(*values).isNotNull() & F.col("failed_checks").isNull()

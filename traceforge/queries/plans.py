@@ -130,11 +130,8 @@ CHECKED = f"""{GAPPED}, share AS (SELECT test_id, channel, avg((value IS NULL)::
 def run(spark, sf):
     r = readings(spark, sf, True)
     roles = spark.createDataFrame(COLD_ROLES, "channel string, role string")
-    tests = r.select("test_id").distinct()
-    fixed = None
-    for name, value, u in (("area_m2", AREA, U_AREA), ("density", RHO, U_RHO)):
-        row = tests.select("test_id", F.lit(name).alias("role"), F.lit(value).alias("value"), F.lit(u).alias("u"), F.lit(u / value).alias("rel"))
-        fixed = row if fixed is None else fixed.unionByName(row)
+    known = [F.struct(F.lit(name).alias("role"), F.lit(value).alias("value"), F.lit(u).alias("u"), F.lit(u / value).alias("rel")) for name, value, u in (("area_m2", AREA, U_AREA), ("density", RHO, U_RHO))]
+    fixed = r.select("test_id").distinct().select("test_id", F.inline(F.array(*known)))
     return r, analysis.batch(r, roles, specs(spark), uncertainty.COLD_FLOW, "simple", "view", fixed, qc.missing(r, 0.05, 0.09))
 
 
