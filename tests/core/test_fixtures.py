@@ -1,5 +1,7 @@
 """Hand-made cases: planted events, properties and edge cases."""
 
+import gzip
+import hashlib
 import math
 import random
 from collections import Counter
@@ -305,6 +307,28 @@ def test_campaign_store_round_trip(spark, tmp_path):
     assert all(r["hash"].startswith("sha256:") for r in hashes.collect())
 
 
+def test_hashes_of_large_files(spark, tmp_path):
+    """Files over the size of one value are hashed as they are: breaks of all kinds, compressed ones, names with signs, no ending."""
+    rng = np.random.default_rng(7)
+    noise = rng.integers(0, 256, 300_000, np.uint8).tobytes()
+    contents = {
+        "a.parquet": noise, "b.parquet": noise + b"\n", "c.csv": b"\xef\xbb\xbft,p\r\n1,2\r\n" * 900, "d.csv": b"\xef\xbb\xbf" + noise, "e.gz": gzip.compress(noise),
+        "f": noise[::-1], "g": b"\n" * 9000, "h+ %41.txt": b"x\n\n" * 900, "i. odd": noise[:5000] + b"\n\n", "j.zst": noise, "small.txt": b"s",
+    }
+    for name, content in contents.items():
+        (tmp_path / name).write_bytes(content)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        hashes = audit.file_hashes(spark, str(tmp_path), whole=1000).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {r["path"].rpartition("/")[2]: r["hash"] for r in hashes} == {n: "sha256:" + hashlib.sha256(c).hexdigest() for n, c in contents.items()}
+    assert len(hashes) == len(contents)
+    plain = audit.file_hashes(spark, str(tmp_path)).collect()
+    assert sorted(plain) == sorted(hashes)
+
+
 @pytest.mark.parametrize("given", [None, {"part": "x"}])
 def test_upsert_partial_columns(spark, given):
     store = spark.createDataFrame([("t1", 1.0, "a")], "test_id string, v double, part string")

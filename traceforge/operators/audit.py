@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 TEST_TYPES = ("cold_flow", "hot_fire")
@@ -10,10 +15,77 @@ STATUSES = ("pending", "complete", "failed", "aborted")
 U_TYPES = ("abs", "rel", "pct_fs", "pct_rd")
 
 
-def file_hashes(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """``(path, hash)``: SHA-256 of every file, with its prefix."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("hash"))
+#: Bytes up to which a file is hashed as one value; Hadoop's codec that changes nothing, the names of its option in Hadoop
+#: and in Spark's shaded copy, and the mark that Hadoop's line reader leaves out.
+WHOLE = 32 << 20
+AS_IT_IS = "org.apache.hadoop.io.compress.PassthroughCodec"
+ENDING = ("io.compress.passthrough.extension", "org.apache.hadoop.shaded.io.compress.passthrough.extension")
+BOM = b"\xef\xbb\xbf"
+
+
+def file_hashes(spark: SparkSession, path: str, glob: str = "*", whole: int = WHOLE) -> DataFrame:
+    """``(path, hash)``: SHA-256 of every file, with its prefix; Spark lists no empty ones.
+
+    A file of more than ``whole`` bytes passes through its task line by line, so it may be of any size, in any store that
+    Spark reads. Under a codec that changes nothing Spark neither decompresses nor splits files of an ending; files
+    without a plain ending are read in splits, and put in order before they are hashed.
+    """
+
+    def reader(kind: str) -> DataFrameReader:
+        return spark.read.format(kind).option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
+
+    def ending(name: Column) -> Column:
+        return F.regexp_extract(name, r"\.[A-Za-z0-9_-]+$", 0)
+
+    def lines(end: str) -> DataFrame:
+        text = reader("text").option("lineSep", "\n")
+        if end:
+            text = text.options(**{"io.compression.codecs": AS_IT_IS} | dict.fromkeys(ENDING, end))
+        name, size = F.col("_metadata.file_path"), F.col("_metadata.file_size")
+        large = text.load(path).where((size > whole) & (name.endswith(end) if end else ending(name) == ""))
+        rows = large.select(name.alias("path"), size.alias("size"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("line"))
+        return rows if end else rows.withColumn("at", F.monotonically_increasing_id()).repartition("path").sortWithinPartitions("path", "start", "at").drop("at")
+
+    files = reader("binaryFile").load(path)
+    found = files.where(F.col("length") <= whole).select("path", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("hash"))
+    for (end,) in files.where(F.col("length") > whole).select(ending(F.col("path"))).distinct().collect():
+        hashes = lines(end).mapInArrow(hashed_lines, "path string, hash string")
+        found = found.unionByName(hashes.withColumn("path", F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))))
+    return found
+
+
+def hashed_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(path, hash)`` of files whose lines come in order, without their breaks.
+
+    The bytes that are missing at the end tell whether the file ended with a break and began with a byte order mark.
+    """
+    path, size, seen, hashes = None, 0, 0, ()
+
+    def done() -> pa.RecordBatch:
+        rest = size - seen
+        if rest not in (0, 1, len(BOM), len(BOM) + 1):
+            raise ValueError(f"{path}: {seen} bytes of lines in a file of {size}")
+        own = hashes[rest >= len(BOM)]
+        own.update(b"\n" * (rest % len(BOM)))
+        return pa.RecordBatch.from_pydict({"path": [path], "hash": ["sha256:" + own.hexdigest()]})
+
+    for batch in batches:
+        runs = pc.run_end_encode(batch["path"])
+        a = 0
+        for name, b in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+            part = b"\n".join(batch["line"].slice(a, b - a).to_pylist())
+            if name != path:
+                if path is not None:
+                    yield done()
+                path, size, seen, hashes = name, batch["size"][a].as_py(), 0, (hashlib.sha256(), hashlib.sha256(BOM))
+            else:
+                part = b"\n" + part
+            a = b
+            seen += len(part)
+            for h in hashes:
+                h.update(part)
+    if path is not None:
+        yield done()
 
 
 def content_hash(readings: DataFrame) -> DataFrame:
