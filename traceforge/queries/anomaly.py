@@ -2,14 +2,21 @@
 
 from itertools import combinations
 
+from pyspark.sql import functions as F
+
 from traceforge.operators import anomaly
 from traceforge.queries.base import GAPPED, READINGS, query, readings, rounded
 
 OUT = ("test_id", "channel", "kind", "start_seq", "end_seq", "n", "score")
 
 
+def scored(df):
+    """Scores rounded as SQL rounds them, where a zero keeps its sign."""
+    return df.withColumn("score", F.round(F.abs("score"), 8) * F.signum("score"))
+
+
 def out(df):
-    return rounded(df.select(*OUT), 8)
+    return scored(df.select(*OUT))
 
 
 def runs_sql(source, flag, score, kind, having="true", name="u"):
@@ -98,7 +105,7 @@ def a8(spark, sf):
 
 def some(spark, sf):
     r = readings(spark, sf, True)
-    return r, anomaly.with_severity(anomaly.spikes_and_dropouts(r, 0.3))
+    return r, anomaly.with_severity(scored(anomaly.spikes_and_dropouts(r, 0.3)))
 
 
 BOTH = f"WITH {GAPPED}, {robust('readings', 'value', 'z')}, {DROPS_CTE}, a AS ({SPIKES} UNION ALL {DROPS}), b AS (SELECT *, CASE WHEN kind = 'dropout' OR score > 6 THEN 'CRITICAL' ELSE 'WARNING' END AS severity FROM a)"
@@ -157,4 +164,4 @@ NATIVE = f"""WITH {GAPPED}, {robust('readings', 'value', 'z')}, {DROPS_CTE}, {SA
 
 @query("a10_full_run_native", NATIVE)
 def a10_native(spark, sf):
-    return rounded(anomaly.detect_all(readings(spark, sf, True), [("view", "click")], native_only=True).select(*OUT, "severity"), 8)
+    return anomaly.with_severity(out(anomaly.detect_all(readings(spark, sf, True), [("view", "click")], native_only=True)))
